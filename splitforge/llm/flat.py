@@ -91,13 +91,13 @@ class Words:
     """The words (runs of other bytes than ASCII white space) of a batch of texts.
 
     starts, ends: byte positions in raw; hashes: one 64-bit value a word; rows: the n + 1 word offsets of the
-    texts. Letters A-Z count as lower case when `lower` is set.
+    texts. Letters A-Z count as lower case when `lower` is set. `part` may name other bytes that words consist of.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, part: np.ndarray | None = None):
         self.raw, self.offsets = utf8(column)
         data = _LOWER[self.raw] if lower else self.raw
-        solid = ~IS_SPACE[data]
+        solid = ~IS_SPACE[data] if part is None else part[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True
         before = np.empty(len(data), bool)
@@ -107,10 +107,35 @@ class Words:
             before[1:], after[:-1] = solid[:-1], solid[1:]
         self.starts = np.flatnonzero(solid & (~before | edge[:-1]))
         self.ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-        self.hashes = span_hashes(BYTE_VALUE[data], self.starts, self.ends)
+        self.values = BYTE_VALUE[data]
+        self.hashes = span_hashes(self.values, self.starts, self.ends)
         self.rows = np.searchsorted(self.starts, self.offsets)
 
 
+def text_hash(text: str) -> int:
+    """The hash that Words gives a word with these bytes."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    return int(span_hashes(BYTE_VALUE[data], np.array([0]), np.array([len(data)]))[0])
+
+
+class Lookup:
+    """Which of many 64-bit hashes are keys of a small table: a bit map first, binary search for what passes it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys.astype(np.uint64))
+        self.map = np.zeros(1 << 20, bool)
+        self.map[self.keys >> np.uint64(44)] = True
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in hashes, positions in keys) of the hits."""
+        at = np.flatnonzero(self.map[hashes >> np.uint64(44)])
+        if not len(self.keys):
+            return at, at
+        key = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        hit = self.keys[key] == hashes[at]
+        return at[hit], key[hit]
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct n-word shingles of each text, ascending in it, and the text offsets.
 
