@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Five small transducers read the words of a clause as symbols: insults, threats, targets, negation and reported
-speech. Their composition is one table; a clause that holds an insult or a threat comes out as a type (what it is,
+Small transducers read the words of a clause as symbols: insults (and words that only tend to be), threats, targets,
+negation and reported speech. Their composition is one table; a clause that holds an insult or a threat comes out as a type (what it is,
 whether it has a target, is negated, is reported). The score of a document is a logistic function of how many clauses
 of each type it has, never of isolated words; the weights, and insult words and stems beyond the given ones, are
 learnt from labelled rows.
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitforge.llm import flat
@@ -26,13 +26,13 @@ from splitforge.llm.shared import stored
 
 #: Labelled rows that words and weights are learnt from, at most about.
 MAX_ROWS = 24_000
-#: Stems of these many bytes are learnt besides whole words.
-STEMS = (4, 5, 6)
-#: How much commoner in toxic rows than in others a learnt word is, at least.
-RATIO = 25.0
+#: Stems of these many bytes are learnt.
+STEMS = (4, 5, 6, 7, 8)
+#: How much commoner in toxic rows than in others a learnt insult is, at least, and one that only tends to be.
+RATIO, TENDS = 25.0, 4.0
 NEGATION_REACH = 3
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SLUR = range(7)
 #: Words to start from, by what they do in a clause.
 WORDS = {
     INSULT: "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting imbecile vermin filth subhuman retard dumbass bastard asshole bitch "
@@ -77,7 +77,7 @@ def compose(machines: list[Transducer], symbols: int) -> tuple[np.ndarray, np.nd
 
 
 #: Output bits: an insult, one that is negated, a threat, one that is negated, a target, reported speech.
-_INSULT, _NOT_INSULT, _THREAT, _NOT_THREAT, _TARGET, _REPORT = (1 << i for i in range(6))
+_INSULT, _NOT_INSULT, _THREAT, _NOT_THREAT, _TARGET, _REPORT, _SLUR, _NOT_SLUR = (1 << i for i in range(8))
 
 
 def _near_negation(symbol_of: int, plain: int, negated: int) -> Transducer:
@@ -95,12 +95,12 @@ def _once(symbol_of: int, bit: int) -> Transducer:
 
 
 MOVES, OUTS = compose(
-    [_near_negation(INSULT, _INSULT, _NOT_INSULT), _near_negation(THREAT, _THREAT, _NOT_THREAT), _once(TARGET, _TARGET), _once(REPORT, _REPORT)], 6
+    [_near_negation(INSULT, _INSULT, _NOT_INSULT), _near_negation(SLUR, _SLUR, _NOT_SLUR), _near_negation(THREAT, _THREAT, _NOT_THREAT), _once(TARGET, _TARGET), _once(REPORT, _REPORT)], 7
 )
-TYPES = list(product(("insult", "threat"), (False, True), (False, True), (False, True)))
+TYPES = list(product(("insult", "threat", "slur"), (False, True), (False, True), (False, True)))
 TYPE_NAMES = [f"n_{k}{'_targeted' * t}{'_negated' * n}{'_reported' * r}" for k, t, n, r in TYPES]
 #: Weights of a clause before anything is learnt; a threat needs a target to count in full.
-PRIOR = [(1.0 if k == "insult" else (1.0 if t else 0.1)) * (1.2 if t else 1.0) * (0.4 if n else 1.0) * (0.5 if r else 1.0) for k, t, n, r in TYPES]
+PRIOR = [(1.0 if k == "insult" else 0.1 if k == "slur" or not t else 1.0) * (1.2 if t else 1.0) * (0.4 if n else 1.0) * (0.5 if r else 1.0) for k, t, n, r in TYPES]
 
 
 def clause_types(symbols: list[int]) -> set[int]:
@@ -111,7 +111,7 @@ def clause_types(symbols: list[int]) -> set[int]:
         state = int(MOVES[state, symbol])
     out = set()
     for i, (kind, target, negated, reported) in enumerate(TYPES):
-        core = {("insult", False): _INSULT, ("insult", True): _NOT_INSULT, ("threat", False): _THREAT, ("threat", True): _NOT_THREAT}[kind, negated]
+        core = {("insult", False): _INSULT, ("insult", True): _NOT_INSULT, ("threat", False): _THREAT, ("threat", True): _NOT_THREAT, ("slur", False): _SLUR, ("slur", True): _NOT_SLUR}[kind, negated]
         if bits & core and bool(bits & _TARGET) == target and bool(bits & _REPORT) == reported:
             out.add(i)
     return out
@@ -129,37 +129,38 @@ def _lower(texts: pa.Array) -> flat.Words:
 
 
 def _stems(words: flat.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the first `size` bytes of the words that are longer."""
-    at = np.flatnonzero(words.ends - words.starts > size)
+    """(positions, hashes) of the first `size` bytes of the words that have as many."""
+    at = np.flatnonzero(words.ends - words.starts >= size)
     return at, flat.span_hashes(words.values, words.starts[at], words.starts[at] + size)
 
 
 class Lexicon:
-    """Hashes of words by symbol and of insult stems by size."""
+    """Hashes of words by symbol and of learnt stems, {(size, symbol): hashes}."""
 
-    def __init__(self, insults: dict[int, list[int]]):
+    def __init__(self, insults: dict[tuple[int, int], list[int]]):
         given = {flat.text_hash(w): s for s, text in WORDS.items() for w in text.split()}
-        given |= {h: INSULT for h in insults.get(0, [])}
         self.words = flat.Lookup(np.array(list(given), np.uint64))
         self.symbol = np.array([given[int(h)] for h in self.words.keys], np.int8)
-        self.stems = {k: flat.Lookup(np.array(v, np.uint64)) for k, v in insults.items() if k and v}
+        self.stems = {k: flat.Lookup(np.array(v, np.uint64)) for k, v in sorted(insults.items(), key=lambda x: -x[0][1])}
 
     def symbols(self, words: flat.Words) -> np.ndarray:
         out = np.zeros(len(words.starts), np.int8)
-        for size, table in self.stems.items():
-            at, hashes = _stems(words, size)
-            out[at[table(hashes)[0]]] = INSULT
+        stems = {size: _stems(words, size) for size in {k[0] for k in self.stems}}
+        for (size, symbol), table in self.stems.items():
+            at, hashes = stems[size]
+            out[at[table(hashes)[0]]] = symbol
         at, key = self.words(words.hashes)
         out[at] = self.symbol[key]
         return out
 
 
 def count_types(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Clauses of each type by text."""
+    """Clauses of each type, and words, by text."""
     words = _lower(texts)
-    out = np.zeros((len(texts), len(TYPES)), np.int64)
+    out = np.zeros((len(texts), len(TYPES) + 1), np.int64)
+    out[:, -1] = np.diff(words.rows)
     symbols = lexicon.symbols(words)
-    core = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
+    core = np.flatnonzero((symbols == INSULT) | (symbols == THREAT) | (symbols == SLUR))
     if not len(core):
         return out
     stops = np.zeros(len(words.raw) + 1, np.int64)
@@ -175,25 +176,25 @@ def count_types(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def features(df: DataFrame, insults: dict[int, list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, TYPE_NAMES) of every row, from its whole text."""
+def features(df: DataFrame, insults: dict[tuple[int, int], list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, TYPE_NAMES, n_words) of every row, from its whole text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(insults)
         for batch in batches:
             for first, rows in flat.slices(batch.column(1)):
                 table = count_types(batch.column(1).slice(first, rows), lexicon)
-                yield pa.record_batch([batch.column(0).slice(first, rows), *(pa.array(c) for c in table.T)], names=[id_col, *TYPE_NAMES])
+                yield pa.record_batch([batch.column(0).slice(first, rows), *(pa.array(c) for c in table.T)], names=[id_col, *TYPE_NAMES, "n_words"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{t} long" for t in TYPE_NAMES))
+    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{t} long" for t in (*TYPE_NAMES, "n_words")))
 
 
-def learn_insults(rows: DataFrame) -> dict[int, list[int]]:
-    """Hashes of words (key 0) and stems (by size) that are RATIO times commoner in toxic rows of (text, label).
+def learn_insults(rows: DataFrame) -> dict[tuple[int, int], list[int]]:
+    """Hashes of stems by (size, INSULT or SLUR) that are commoner in toxic rows of (text, label).
 
-    A word counts once for each pair of neighbours it has in toxic rows, so copies of one text count once; chance
-    finds are kept out by the number of such contexts asked for. Only the bounded fitting sample is read; what comes
+    A stem counts once for each toxic text, and only once for texts in which its (least) pair of neighbours is the
+    same, so copies of one text count once; chance finds are kept out by the number of such contexts asked for. Only the bounded fitting sample is read; what comes
     to the driver are the words frequent in its toxic rows.
     """
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -202,7 +203,6 @@ def learn_insults(rows: DataFrame) -> dict[int, list[int]]:
         return {}
 
     def terms(words: flat.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        yield 0, np.arange(len(words.hashes)), words.hashes
         for size in STEMS:
             yield size, *_stems(words, size)
 
@@ -212,8 +212,14 @@ def learn_insults(rows: DataFrame) -> dict[int, list[int]]:
                 words = _lower(batch.column(0).slice(first, n))
                 around = np.concatenate([[np.uint64(0)], words.hashes, [np.uint64(0)]])
                 near = flat.mix(around[:-2] * np.uint64(3) + around[2:])
+                owner = np.repeat(np.arange(n), np.diff(words.rows))
                 for kind, at, hashes in terms(words):
-                    pairs = np.unique(np.stack([hashes, near[at]], axis=1), axis=0).view(np.int64)
+                    # Of each word of a text, the least of its contexts.
+                    order = np.lexsort((near[at], hashes, owner[at]))
+                    own, term = owner[at][order], hashes[order]
+                    fresh = np.ones(len(order), bool)
+                    fresh[1:] = (own[1:] != own[:-1]) | (term[1:] != term[:-1])
+                    pairs = np.unique(np.stack([term[fresh], near[at][order][fresh]], axis=1), axis=0).view(np.int64)
                     yield pa.record_batch([pa.array(np.full(len(pairs), kind, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "term", "near"])
 
     found = rows.where("label = 1").select("text").mapInArrow(contexts, "kind int, term long, near long")
@@ -222,7 +228,7 @@ def learn_insults(rows: DataFrame) -> dict[int, list[int]]:
     counted = found.groupBy("kind", "term").agg(F.count_distinct("near").alias("n")).where(F.col("n") >= least).collect()
     if not counted:
         return {}
-    by_kind = {k: {r["term"]: r["n"] for r in counted if r["kind"] == k} for k in (0, *STEMS)}
+    by_kind = {k: {r["term"]: r["n"] for r in counted if r["kind"] == k} for k in STEMS}
     keys = {k: np.array(sorted(v), np.int64).view(np.uint64) for k, v in by_kind.items()}
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,26 +246,32 @@ def learn_insults(rows: DataFrame) -> dict[int, list[int]]:
 
     rest = rows.where("label = 0").select("text").mapInArrow(elsewhere, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).collect()
     against = {(r["kind"], r["term"]): r["n"] for r in rest}
-    out: dict[int, list[int]] = {}
+    out: dict[tuple[int, int], list[int]] = {}
     for kind, counts in by_kind.items():
         for term, n in counts.items():
-            if (n / toxic) >= RATIO * (against.get((kind, term), 0) + 0.5) / other:
-                out.setdefault(kind, []).append(term % (1 << 64))
+            ratio = (n / toxic) / ((against.get((kind, term), 0) + 0.5) / other)
+            if ratio >= TENDS:
+                out.setdefault((kind, INSULT if ratio >= RATIO and n >= 3 * least else SLUR), []).append(term % (1 << 64))
     return out
 
 
+def _inputs() -> list[Column]:
+    """log(1 + clauses) of each type; the given weights' sum of them; insults and slurs in 50 words, 1 at most."""
+    logs = [F.log1p(F.col(t)) for t in TYPE_NAMES]
+    prior = sum((c * w for c, w in zip(logs, PRIOR)), F.lit(0.0))
+    dense = [F.least(F.lit(1.0), 50.0 * sum((F.col(n) for n, t in zip(TYPE_NAMES, TYPES) if t[0] == kind), F.lit(0)) / F.greatest(F.col("n_words"), F.lit(1))) for kind in ("insult", "slur")]
+    return [*logs, prior, *dense]
+
+
 def fit_weights(rows: DataFrame) -> tuple[list[float], float]:
-    """(weights of log(1 + clauses) of each type, intercept) from rows of (label, TYPE_NAMES)."""
+    """(weights of _inputs(), intercept) from rows of (label, TYPE_NAMES, n_words)."""
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, n = seen.get(1, 0), sum(seen.values())
     if toxic == 0 or toxic == n:
-        return [4 * p for p in PRIOR], -2.0
-    logs = [F.log1p(F.col(t)) for t in TYPE_NAMES]
-    prior = sum((c * w for c, w in zip(logs, PRIOR)), F.lit(0.0))
-    data = rows.select("label", array_to_vector(F.array(*logs, prior)).alias("features"))
+        return [*([0.0] * len(TYPES)), 4.0, 0.0, 0.0], -2.0
+    data = rows.select("label", array_to_vector(F.array(*_inputs())).alias("features"))
     fitted = LogisticRegression(regParam=0.0005, maxIter=60, standardization=False).fit(data)
-    weights = fitted.coefficients.toArray()
-    return [float(w + weights[-1] * p) for w, p in zip(weights, PRIOR)], float(fitted.intercept)
+    return [float(w) for w in fitted.coefficients.toArray()], float(fitted.intercept)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +287,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     insults = learn_insults(texts)
     shown = features(texts.select(id_col, "text"), insults, id_col, "text")
     weights, intercept = fit_weights(stored(shown.join(train, id_col), "clauses"))
-    total = sum((F.log1p(F.col(t)) * w for t, w in zip(TYPE_NAMES, weights)), F.lit(intercept))
+    total = sum((c * w for c, w in zip(_inputs(), weights)), F.lit(intercept))
     rows = features(docs.select(id_col, text_col), insults, id_col, text_col)
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
     scored = rows.select(id_col, held.alias("held_out"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).alias("score"), *TYPE_NAMES)
