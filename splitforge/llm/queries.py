@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitforge.llm import bpe, chat, quality, token_files, toxicity
+from splitforge.llm import bpe, chat, decontam, quality, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,6 +37,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to files and read back."""
     return token_files.written_and_read(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -48,7 +53,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op5_token_files, op7_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
