@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitforge.llm import bpe, chat, decontam, quality, token_files, toxicity
+from splitforge.llm import bpe, chat, decontam, near_dedup, quality, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,8 +52,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document, at a similarity of 0.85."""
+    return near_dedup.groups(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op7_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op7_toxicity, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
