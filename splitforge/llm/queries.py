@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitforge.llm import bpe, chat, decontam, near_dedup, pseudonyms, quality, token_files, toxicity
+from splitforge.llm import bpe, chat, decontam, embed_dedup, near_dedup, pseudonyms, quality, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,6 +47,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings at a cosine of 0.93 within a label."""
+    return embed_dedup.groups(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -63,11 +68,11 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op7_toxicity, op8_near_dedup, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op6_embedding_dedup, op7_toxicity, op8_near_dedup, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op6_embedding_dedup": OP6_SQL}
 
 
 OP1_SQL = r"""
@@ -86,3 +91,19 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(shown_chars) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id
 """
+
+OP6_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.id
+), least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+many AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN many m ON m.a = e.vec_id
+"""
