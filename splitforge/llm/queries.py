@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitforge.llm import bpe, chat, decontam, embed_dedup, near_dedup, pseudonyms, quality, token_files, toxicity
+from splitforge.llm import bpe, chat, decontam, embed_dedup, line_dedup, near_dedup, pseudonyms, quality, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,13 +62,18 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a passage which stands elsewhere before, and what is left of them."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with personal numbers or dates, with pseudonyms in their place."""
     return pseudonyms.report(table(spark, sf_dir, "documents"), "a key that is kept elsewhere")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op6_embedding_dedup, op7_toxicity, op8_near_dedup, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op6_embedding_dedup, op7_toxicity, op8_near_dedup, op9_line_dedup, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

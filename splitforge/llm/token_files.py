@@ -12,11 +12,11 @@ Layout of a section (little-endian): magic, documents, ids, blocks, exceptions (
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
