@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitforge.llm.components import components
+from splitforge.llm.near_dedup import roots
 from splitforge.llm.shared import stored
 
 #: Vectors of a tile, about.
@@ -48,22 +49,6 @@ def similar_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.nd
     return a[keep], b[keep], len(a)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least position that links (a, b) lead to, by position."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        then = root.copy()
-        np.minimum.at(then, a, low)
-        np.minimum.at(then, b, low)
-        np.minimum.at(then, root[a], low)
-        np.minimum.at(then, root[b], low)
-        then = then[then]
-        if np.array_equal(then, root):
-            return root
-        root = then
-
-
 def _valid(vector: Column) -> Column:
     """Whether a vector has components, all of them finite numbers, and isn't zero."""
     fine = F.forall(vector, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
@@ -99,7 +84,7 @@ def groups(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vecto
             if first[0] == last[0]:
                 a, b = a[a < b], b[a < b]
             links += np.bincount(a, copies[b], len(ids)).astype(np.int64) + np.bincount(b, copies[a], len(ids)).astype(np.int64)
-            root = _roots(len(ids), a, b)
+            root = roots(len(ids), a, b)
             froms = np.flatnonzero(root != np.arange(len(ids)))
             tos = root[froms]
         some = np.flatnonzero(links)

@@ -7,7 +7,7 @@ are compared on their full sets.
 
 Texts with equal sets become one representative first. In every bucket of a band all members are compared with the
 least one, which makes as many pairs as members; buckets whose members are one component then have nothing left to
-find, and only in the others are members of different components compared with one another.
+find, and only in the others are members of different components compared with one another, tile by tile.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from splitforge.llm import flat
 from splitforge.llm.components import components
-from splitforge.llm.shared import stored
+from splitforge.llm.shared import bounded_batches, stored
 
 #: Hash functions, those of a band, bits kept of each minimum. A pair of similarity 0.8 shares no band with a
 #: probability of 3e-6, one of 0.85 with 2e-8.
 HASHES, ROWS, BITS = 96, 4, 4
 #: The estimate must come this many standard deviations short of the threshold for a pair to be passed over.
 SIGMAS = 5.0
+#: Members of a bucket in a tile, about.
+TILE = 400
 _LANES = HASHES * BITS // 64
 _random = np.random.default_rng(20240501)
 _MULTIPLY = _random.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,7 +84,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFra
                 yield pa.record_batch(columns, names=["id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
     schema = f"id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).mapInArrow(work, schema)
+    return bounded_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))).mapInArrow(work, schema)
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -132,7 +134,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, n: int = 5) -> Data
                 keep = (100 * shared >= percent * (nx + ny - shared)) & (shared > 0)
                 yield batch.select([0, 1]).slice(first, rows).filter(pa.array(keep))
 
-    return both.mapInArrow(work, f"a {kind}, b {kind}")
+    return bounded_batches(both).mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,23 +164,116 @@ def _links(reps: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = stored(buckets.join(hubs, "band").select("band", "rep", "hub", "members"), "members")
+    # All texts are shuffled once, at any size, to keep those of bucket members.
+    ids = members.select(F.col("rep").alias("id")).distinct().hint("merge")
+    own = stored(texts.hint("merge").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
     stars = members.where("rep != hub").select("rep", "hub").distinct()
     x, y = small.alias("x"), small.alias("y")
     stars = stars.join(x, F.col("rep") == F.col("x.id")).join(y, F.col("hub") == F.col("y.id")).where(possible(percent, "x", "y"))
     pairs = stored(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "pairs")
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    own = stored(texts.join(ids, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
     links = stored(verify(pairs, own, percent, n), "links")
     first = components(links)
-    # Buckets of three and more whose members aren't one component: their other pairs.
+    # Buckets of three and more whose members aren't one component: pairs of members of different components.
     placed = members.where("members > 2").join(first, F.col("rep") == F.col("id"), "left").select("band", "rep", "hub", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    rest = placed.join(mixed, "band", "left_semi").where("rep != hub").join(small, F.col("rep") == F.col("id")).select("band", "rep", "component", "n_shingles", "bits")
-    rest = stored(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    others = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rep") < F.col("y.rep")) & possible(percent, "x", "y"))
-    more = stored(others.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "pairs")
-    ids = more.select("a").union(more.select("b")).distinct()
-    own = texts.join(ids, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    further = verify(more, stored(own, "texts"), percent, n)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("band", "members")
+    rest = placed.join(mixed, "band").select("band", "members", "rep", "component")
+    rest = rest.join(reps.select("rep", "n_shingles", "bits", "bands"), "rep").join(own.withColumnRenamed("id", "rep"), "rep")
+    further = stored(_across(rest, percent, n), "links")
     return components(links.unionByName(further).unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
+def _across(rest: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that join what is linked between different components of a bucket.
+
+    The members of a bucket are dealt into tiles of bounded size, and each pair of tiles meets in one task. A pair is
+    looked at in the first band that it shares, estimated, and compared on full sets; a task gives a spanning forest of
+    its links, so a bucket of any size gives no more rows than it has members and tiles.
+    """
+    kind = dict(rest.dtypes)["rep"]
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    dealt = rest.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("other", "members")
+    low_bits = np.uint64(int("1" * (64 // BITS), 2**BITS))
+    least, chance = percent / 100, 2.0**-BITS
+    equal = least + (1 - least) * chance
+    cut = least - SIGMAS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten(), np.int64).reshape(len(column), -1).view(np.uint64)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        get = {name: table.column(name).combine_chunks() if isinstance(table.column(name), pa.ChunkedArray) else table.column(name) for name in table.column_names}
+        get = {name: column.chunk(0) if isinstance(column, pa.ChunkedArray) else column for name, column in get.items()}
+        tile, first, last = (np.asarray(get[c]) for c in ("tile", "i", "j"))
+        order = np.argsort(np.asarray(get["component"]), kind="stable")
+        left, right = order[(tile == first)[order]], order[(tile == last)[order]]
+        group, sizes = np.asarray(get["component"]), np.asarray(get["n_shingles"])
+        bits, bands = matrix(get["bits"]), matrix(get["bands"])
+        band = np.uint64(np.asarray(get["band"])[0].astype(np.int64).view(np.uint64)) if len(tile) else 0
+        found_a, found_b = [], []
+        for x in left.tolist():
+            ys = right[group[right] != group[x]]
+            if first[0] == last[0]:
+                ys = ys[group[ys] > group[x]]
+            small, large = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
+            ys = ys[small * 100 >= large * percent]
+            shared = bands[ys] == bands[x]
+            ys = ys[bands[x][shared.argmax(axis=1)] == band]
+            differ = bits[ys] ^ bits[x]
+            for shift in range(BITS.bit_length() - 1):
+                differ |= differ >> np.uint64(1 << shift)
+            count = np.bitwise_count(differ & low_bits).sum(axis=1)
+            ys = ys[((1 - count / HASHES) - chance) / (1 - chance) >= cut]
+            found_a.append(np.full(len(ys), x))
+            found_b.append(ys)
+        a, b = (np.concatenate(f).astype(np.int64) if f else np.empty(0, np.int64) for f in (found_a, found_b))
+        if len(a):
+            keep = _similar(get["text"], a, b, percent, n)
+            a, b = a[keep], b[keep]
+        ids = np.asarray(get["rep"])
+        root = roots(len(ids), a, b)
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[some]), "b": pa.array(ids[root[some]])})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(work, f"a {kind}, b {kind}")
+
+
+def _similar(texts: pa.Array, a: np.ndarray, b: np.ndarray, percent: int, n: int) -> np.ndarray:
+    """Whether the full sets of the texts at a and b are similar, for each of the pairs."""
+    used = np.unique(np.concatenate([a, b]))
+    words = flat.Words(texts.take(pa.array(used)))
+    grams, at = flat.shingles(words.hashes, words.rows, n)
+    sizes = np.diff(at)
+    a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+    shared = np.zeros(len(a), np.int64)
+    distinct, column = np.unique(grams, return_inverse=True)
+    if len(used) ** 2 * len(distinct) * 1e-10 < (sizes[a] + sizes[b]).sum() * 3e-8:
+        # Many pairs of texts with common shingles: products of the 0/1 rows, some columns at a time.
+        owner, products = np.repeat(np.arange(len(used)), sizes), np.zeros((len(used), len(used)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for low in range(0, len(distinct), 8192):
+            first, last = np.searchsorted(column, [low, low + 8192])
+            rows = np.zeros((len(used), 8192), np.float32)
+            rows[owner[first:last], column[first:last] - low] = 1
+            products += rows @ rows.T
+        shared = products[a, b].astype(np.int64)
+    else:
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            shared[i] = len(np.intersect1d(grams[at[x] : at[x + 1]], grams[at[y] : at[y + 1]], assume_unique=True))
+    return (100 * shared >= percent * (sizes[a] + sizes[b] - shared)) & (shared > 0)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least position that links (a, b) lead to, by position."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        then = root.copy()
+        for end in (a, b, root[a], root[b]):
+            np.minimum.at(then, end, low)
+        then = then[then]
+        if np.array_equal(then, root):
+            return root
+        root = then

@@ -28,3 +28,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, its session set to hand Python workers at most about `most` bytes at once.
+
+    By default a batch is 10,000 rows whatever their size, which for long texts is more than a worker should hold.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "268435456").rstrip("bB")) > most:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
