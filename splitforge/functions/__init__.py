@@ -1 +1 @@
-"""Functions of the library."""
+"""Column expressions; all of them stay in the JVM."""

@@ -1,9 +1,19 @@
-"""All registered plans."""
+"""All registered plans by name, with SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from splitforge.plans import assembly, comparison, expressions, robustness, verification
+
+MODULES = (expressions, assembly, verification, robustness, comparison)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: plan for m in MODULES for name, (plan, _) in m.PLANS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, (_, sql) in m.PLANS.items() if sql}

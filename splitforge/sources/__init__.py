@@ -1 +1 @@
-"""Sources of the library."""
+"""Reading of files, manifests and tables, and writing of results."""
