@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitforge.llm import flat
+from splitforge.llm.shared import bounded_batches
 
 #: A chunk ends after a line unless the rolling hash of it and the line before is a multiple of JOIN.
 JOIN = 3
@@ -32,8 +33,8 @@ _SECOND_VALUE = flat.mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xE7
 
 
 class Chunks:
-    """The chunks of a batch of texts: row and number in it, words, byte span, and two hashes: one of the words, one of
-    all bytes from the first word to the last."""
+    """The chunks of a batch of texts: row, words, byte span, two hashes (one of the words, one of all bytes from the
+    first word to the last), and whether the text has the same chunk before."""
 
     def __init__(self, texts: pa.Array):
         words = flat.Words(texts, lower=False)
@@ -67,48 +68,51 @@ class Chunks:
         of = np.concatenate([[0], to[:-1]]).astype(np.int64) if len(to) else to
         self.row = owner[of] if n else np.empty(0, np.int64)
         self.rows = np.searchsorted(self.row, np.arange(len(texts) + 1))
-        self.number = np.arange(len(of)) - self.rows[self.row]
         self.words = to - of
         self.begin, self.end = (starts[of], ends[to - 1]) if n else (of, of)
         self.key = flat.span_hashes(words.hashes, of, to).view(np.int64)
         self.check = flat.span_hashes(_SECOND_VALUE[raw], self.begin, self.end).view(np.int64)
         self.raw, self.offsets = raw, words.offsets
+        order = np.lexsort((self.check, self.key, self.row))
+        same = np.zeros(len(order), bool)
+        same[1:] = (self.row[order][1:] == self.row[order][:-1]) & (self.key[order][1:] == self.key[order][:-1]) & (self.check[order][1:] == self.check[order][:-1])
+        self.again = np.zeros(len(order), bool)
+        self.again[order[same]] = True
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, check, id, number) of every chunk of rows with an id; no text leaves the task."""
+    """(key, check, id) of the distinct chunks of every row with an id; no text leaves the task."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n in flat.slices(batch.column(1)):
                 found = Chunks(batch.column(1).slice(first, n))
-                ids = batch.column(0).slice(first, n).take(pa.array(found.row))
-                yield pa.record_batch([pa.array(found.key), pa.array(found.check), ids, pa.array(found.number.astype(np.int32))], names=["key", "check", "id", "number"])
+                once = ~found.again
+                ids = batch.column(0).slice(first, n).take(pa.array(found.row[once]))
+                yield pa.record_batch([pa.array(found.key[once]), pa.array(found.check[once]), ids], names=["key", "check", "id"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(work, f"key long, check long, id {kind}, number int")
+    return bounded_batches(rows).mapInArrow(work, f"key long, check long, id {kind}")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, numbers array<int>, keys array<long>): of each document the chunks that occur earlier.
+    """(id, keys array<long>): of each document the chunks that a document of lesser id has.
 
-    The first occurrence is the one of the least id, and in it of the least number. Sums over a key are combined
-    before the shuffle, and the occurrences of a frequent key meet its first in a join, which Spark splits.
+    Two chunks are one if the hash of their words and that of all their bytes are. Sums over a key are combined before
+    the shuffle, and the occurrences of a frequent key meet its first in a join, which Spark splits.
     """
     every = chunks(df, id_col, text_col)
-    firsts = every.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).where("n > 1").drop("n")
-    later = chunks(df, id_col, text_col).join(firsts, ["key", "check"]).where((F.col("id") != F.col("first.id")) | (F.col("number") != F.col("first.number")))
-    return later.groupBy("id").agg(F.collect_list("number").alias("numbers"), F.collect_list("key").alias("keys"))
+    firsts = every.groupBy("key", "check").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
+    later = chunks(df, id_col, text_col).join(firsts, ["key", "check"]).where("id != first")
+    return later.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
-def removed_runs(found: Chunks, row: int, numbers: np.ndarray, keys: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(first byte, last byte, words) of the runs of a text that go, from the numbers and keys of repeated chunks."""
+def removed_runs(found: Chunks, row: int, keys: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(first byte, last byte, words) of the runs of a text that go: of chunks among the keys, or that came before in it."""
     a, b = found.rows[row], found.rows[row + 1]
     flag = np.zeros(b - a + 1, bool)
-    fine = numbers < b - a
-    numbers, keys = numbers[fine], keys[fine]
-    flag[numbers[found.key[a + numbers] == keys]] = True
+    flag[:-1] = found.again[a:b] | np.isin(found.key[a:b], keys)
     edge = np.flatnonzero(np.diff(flag.astype(np.int8), prepend=0))
     out = []
     for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -126,23 +130,25 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     rows.
     """
     shown = [c for c in df.columns if c not in ("removed_runs", "removed_words")]
-    marks = repeated(df, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("numbers", "__numbers").withColumnRenamed("keys", "__keys")
-    rows = df.select(*shown).join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__numbers", "__keys")
+    marks = repeated(df, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("keys", "__keys")
+    rows = df.select(*shown).join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__keys")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
-    at = shown.index(text_col)
+    at, own = shown.index(text_col), shown.index(id_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n in flat.slices(batch.column(at)):
                 part = batch.slice(first, n)
-                texts, numbers, keys = part.column(at), part.column(len(shown)), part.column(len(shown) + 1)
+                texts, keys = part.column(at), part.column(len(shown))
                 runs, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                marked = np.flatnonzero(np.asarray(numbers.is_valid()))
+                found = Chunks(texts)
+                repeats = np.zeros(n, bool)
+                repeats[found.row[found.again]] = True
+                marked = np.flatnonzero((np.asarray(keys.is_valid()) | repeats) & np.asarray(part.column(own).is_valid()))
                 if len(marked):
-                    found = Chunks(texts)
                     new = {}
                     for row in marked.tolist():
-                        cuts = removed_runs(found, row, np.asarray(numbers[row].values), np.asarray(keys[row].values), least)
+                        cuts = removed_runs(found, row, np.asarray(keys[row].values if keys[row].is_valid else [], np.int64), least)
                         if cuts:
                             data, at_byte, pieces = found.raw, int(found.offsets[row]), []
                             for begin, end, words in cuts:
@@ -160,7 +166,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 columns = [texts if i == at else part.column(i) for i in range(len(shown))]
                 yield pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])
 
-    return rows.mapInArrow(work, schema)
+    return bounded_batches(rows).mapInArrow(work, schema)
 
 
 def _closed(pieces: list[bytes]) -> bytes:
