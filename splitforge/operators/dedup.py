@@ -44,8 +44,11 @@ def pairwise_overlap(df: DataFrame, key: str, split: str = "split", examples: in
     """(left_split, right_split, n, examples): keys that stand in two splits, from one pass over all splits."""
     shared = df.select(key, split).where(F.col(key).isNotNull()).distinct().groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("in")).where(F.size("in") > 1)
     pairs = shared.select(key, F.explode("in").alias("left_split"), "in").select(key, "left_split", F.explode("in").alias("right_split")).where("left_split < right_split")
-    first = pairs.withColumn("__rank", F.row_number().over(Window.partitionBy("left_split", "right_split").orderBy(key)))
-    return first.groupBy("left_split", "right_split").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__rank") <= examples, F.col(key).cast("string")))).alias("examples"))
+    counts = pairs.groupBy("left_split", "right_split").agg(F.count("*").alias("n"))
+    # A constant bound of the rank: each task keeps the first few of a pair before the shuffle.
+    first = pairs.withColumn("__rank", F.row_number().over(Window.partitionBy("left_split", "right_split").orderBy(key))).where(F.col("__rank") <= examples)
+    shown = first.groupBy("left_split", "right_split").agg(F.array_sort(F.collect_list(F.col(key).cast("string"))).alias("examples"))
+    return counts.join(shown, ["left_split", "right_split"]).select("left_split", "right_split", "n", "examples")
 
 
 def merged_overlap(df: DataFrame, key: str, merged: Sequence[str], other: str, split: str = "split") -> DataFrame:

@@ -33,11 +33,16 @@ def class_balanced_cap(df: DataFrame, seed: int, most: int | None, id_col: str =
     return ranked.crossJoin(F.broadcast(whole)).where((F.col("__all") <= most) | (F.col("__rank") <= most // 2)).drop("__rank", "__n", "__all")
 
 
-def per_key_quota(df: DataFrame, caps: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
-    """The first cap rows of each key in the given order; keys that `caps` (key, cap) doesn't name go."""
-    capped = df.join(F.broadcast(caps), key)
+def per_key_quota(df: DataFrame, caps: dict[str, int], key: str, order: Sequence[str | Column]) -> DataFrame:
+    """The first caps[key] rows of each key in the given order; other keys go.
+
+    The largest cap bounds the rank by a constant, so Spark keeps only that many rows a key in each task before the
+    shuffle.
+    """
+    cap = F.create_map(*(x for k, v in caps.items() for x in (F.lit(k), F.lit(v))))[F.col(key)]
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return capped.withColumn("__rank", rank).where("__rank <= cap").drop("__rank", "cap")
+    ranked = df.where(F.col(key).isin(*caps)).withColumn("__rank", rank).where(F.col("__rank") <= max(caps.values()))
+    return ranked.where(F.col("__rank") <= cap).drop("__rank")
 
 
 def balanced(df: DataFrame, seed: int, n_real: DataFrame, key: str = "generator", id_cols: Sequence[str] = ("content_hash",), ceiling: int | None = None) -> DataFrame:

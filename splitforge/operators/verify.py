@@ -135,3 +135,12 @@ def gate(findings: DataFrame, required: Sequence[str]) -> DataFrame:
     """(allowed, blocked_by): false if any of the named checks has findings."""
     rows = findings.where(F.col("check").isin(*required)).where("n > 0")
     return rows.agg((F.count("*") == 0).alias("allowed"), F.array_sort(F.collect_set("check")).alias("blocked_by"))
+
+
+def readability(images: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """The finding of images that don't decode, of all or of n chosen by hash of their origin."""
+    from splitforge.operators.images import unreadable
+    from splitforge.operators.sampling import seeded_sample
+
+    rows = images if n is None else seeded_sample(images, seed, n, "origin")
+    return finding(unreadable(rows), "unreadable image", "origin")

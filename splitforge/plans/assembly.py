@@ -43,7 +43,7 @@ def w3_class_balanced_cap(spark, sf_dir):
 
 @plan(f"SELECT event_type, event_id FROM (SELECT event_type, event_id, {_rank('PARTITION BY event_type', 'ts, event_id')}, CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 7 WHEN 'purchase' THEN 20 END AS cap FROM events) WHERE r <= cap")
 def w4_per_key_quota(spark, sf_dir):
-    caps = spark.createDataFrame([("click", 100), ("view", 7), ("purchase", 20)], "event_type string, cap int")
+    caps = {"click": 100, "view": 7, "purchase": 20}
     rows = B.table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
     return sampling.per_key_quota(rows, caps, "event_type", ["ts", "event_id"]).select("event_type", "event_id")
 

@@ -3,7 +3,7 @@ import struct
 import numpy as np
 import pytest
 
-from splitforge.operators import corrupt, images
+from splitforge.operators import corrupt, images, verify
 
 
 def bmp(path, image):
@@ -28,6 +28,7 @@ def rows(spark, tmp_path_factory):
 
 def test_unreadable_files_are_known(rows):
     assert [r.origin.rsplit("/", 1)[-1] for r in images.unreadable(rows).collect()] == ["broken.bmp"]
+    assert verify.readability(rows).first().n == 1 and verify.readability(rows, 4).first().n == 1 and verify.readability(rows, 0).first().n == 0
 
 
 def test_sweep_keeps_sizes_and_repeats(spark, rows):

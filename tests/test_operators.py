@@ -112,6 +112,14 @@ def test_planted_defects_are_found_alone(spark, defect, check):
     assert {r.check for r in verify.independent_report(defect(base), *held).collect() if r.n} == {check}
 
 
+def test_missing_files_and_report(spark):
+    rows = clean_splits(spark)
+    listing = rows.where("sample_id != 4").select("sample_id")
+    found = {r.check: (r.n, r.examples) for r in verify.split_report(rows, targets={"train": 1 / 3, "val": 1 / 3, "test": 1 / 3}, listing=listing).collect() if r.n}
+    assert found == {"missing file": (1, ["4"])}
+    assert verify.passed(verify.split_report(rows, listing=listing.where("sample_id < 0"))).first().ok is False
+
+
 def test_quota_plan_is_strict(spark):
     rows = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "generator string")
     assert verify.quota_plan(rows, 10, 4, 2).orderBy("generator").collect() == [("a", 5, 4), ("b", 2, 2)]
