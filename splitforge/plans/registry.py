@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitforge.plans import assembly, comparison, expressions, robustness, verification
+from splitforge.plans import assembly, comparison, expressions, files, robustness, verification
 
-MODULES = (expressions, assembly, verification, robustness, comparison)
+MODULES = (expressions, files, assembly, verification, robustness, comparison)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
