@@ -162,11 +162,13 @@ class Index:
         return (question, answer) if question >= QUESTION and answer >= ANSWER else None
 
 
-def _indexes(items: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in groups of MAX_ITEMS; test sets are small, and what is sent to executors at once is bounded."""
-    rows = items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
-    found = sorted((r[0], r[1]) for r in rows.toLocalIterator())
-    return [found[i : i + MAX_ITEMS] for i in range(0, len(found), MAX_ITEMS)]
+def _indexes(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items in groups of about MAX_ITEMS, by hash; one group at a time comes to the driver, so what it
+    holds and what is sent to the executors at once is bounded however many items there are."""
+    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    groups = -(-rows.count() // MAX_ITEMS)
+    for group in range(groups):
+        yield sorted((r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == group).collect())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:

@@ -80,8 +80,8 @@ class Chunks:
         self.again[order[same]] = True
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, check, id) of the distinct chunks of every row with an id; no text leaves the task."""
+def chunks(df: DataFrame, id_col: str, text_col: str, with_bytes: bool = False) -> DataFrame:
+    """(key, check, id, bytes) of the distinct chunks of every row with an id; bytes are null unless asked for."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,21 +90,30 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = Chunks(batch.column(1).slice(first, n))
                 once = ~found.again
                 ids = batch.column(0).slice(first, n).take(pa.array(found.row[once]))
-                yield pa.record_batch([pa.array(found.key[once]), pa.array(found.check[once]), ids], names=["key", "check", "id"])
+                data = pa.nulls(int(once.sum()), pa.binary())
+                if with_bytes:
+                    raw = found.raw.tobytes()
+                    data = pa.array([raw[a:b] for a, b in zip(found.begin[once].tolist(), found.end[once].tolist())], pa.binary())
+                yield pa.record_batch([pa.array(found.key[once]), pa.array(found.check[once]), ids, data], names=["key", "check", "id", "bytes"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, check long, id {kind}")
+    return bounded_batches(rows).mapInArrow(work, f"key long, check long, id {kind}, bytes binary")
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compare_bytes: bool = False) -> DataFrame:
     """(id, keys array<long>): of each document the chunks that a document of lesser id has.
 
-    Two chunks are one if the hash of their words and that of all their bytes are. Sums over a key are combined before
-    the shuffle, and the occurrences of a frequent key meet its first in a join, which Spark splits.
+    Two chunks are one if the hash of their words and that of all their bytes are; with compare_bytes the bytes of a
+    chunk are held against those of its first occurrence, too, which moves all texts twice more. Sums over a key are
+    combined before the shuffle, and the occurrences of a frequent key meet its first in a join, which Spark splits.
     """
     every = chunks(df, id_col, text_col)
     firsts = every.groupBy("key", "check").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    later = chunks(df, id_col, text_col).join(firsts, ["key", "check"]).where("id != first")
+    found = chunks(df, id_col, text_col, compare_bytes).join(firsts, ["key", "check"])
+    later = found.where("id != first")
+    if compare_bytes:
+        kept = found.where("id = first").groupBy("key", "check").agg(F.first("bytes").alias("first_bytes"))
+        later = later.join(kept, ["key", "check"]).where("bytes = first_bytes")
     return later.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
@@ -122,7 +131,7 @@ def removed_runs(found: Chunks, row: int, keys: np.ndarray, least: int) -> list[
     return out
 
 
-def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", compare_bytes: bool = False) -> DataFrame:
     """df with the repeated passages cut out of text_col, and columns removed_runs and removed_words.
 
     White space around a removed run shrinks to what stood before it. Null texts stay null, texts without words and rows
@@ -130,7 +139,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     rows.
     """
     shown = [c for c in df.columns if c not in ("removed_runs", "removed_words")]
-    marks = repeated(df, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("keys", "__keys")
+    marks = repeated(df, id_col, text_col, compare_bytes).withColumnRenamed("id", "__id").withColumnRenamed("keys", "__keys")
     rows = df.select(*shown).join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__keys")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
     at, own = shown.index(text_col), shown.index(id_col)
@@ -177,6 +186,6 @@ def _closed(pieces: list[bytes]) -> bytes:
     return out
 
 
-def report(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", compare_bytes: bool = False) -> DataFrame:
     """(id_col, removed_runs, removed_words, text) of the documents from which a passage was removed."""
-    return without_repeats(docs.select(id_col, text_col), least, id_col, text_col).where("removed_runs > 0").select(id_col, "removed_runs", "removed_words", text_col)
+    return without_repeats(docs.select(id_col, text_col), least, id_col, text_col, compare_bytes).where("removed_runs > 0").select(id_col, "removed_runs", "removed_words", text_col)

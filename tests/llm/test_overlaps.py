@@ -127,6 +127,7 @@ def test_passages_are_removed_and_clean_text_stays(spark):
         assert found[i].removed_words >= 0.7 * len(passage.split())
         assert all(w in found[i].text for w in texts[i].split()[:20])
     assert {r.doc_id for r in line_dedup.report(df).collect()} == {8, 12, 20, 25}
+    assert sorted(line_dedup.report(df, compare_bytes=True).collect()) == sorted(line_dedup.report(df).collect())
 
 
 def test_repeats_within_a_text_and_short_lines(spark):
