@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,11 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
-_SECOND_VALUE = flat.mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
 class Chunks:
-    """The chunks of a batch of texts: row, words, byte span, two hashes (one of the words, one of all bytes from the
-    first word to the last), and whether the text has the same chunk before."""
+    """The chunks of a batch of texts: row, words, byte span, a hash of its bytes, and whether the text has the same
+    bytes as a chunk before."""
 
     def __init__(self, texts: pa.Array):
         words = flat.Words(texts, lower=False)
@@ -70,18 +70,21 @@ class Chunks:
         self.rows = np.searchsorted(self.row, np.arange(len(texts) + 1))
         self.words = to - of
         self.begin, self.end = (starts[of], ends[to - 1]) if n else (of, of)
-        self.key = flat.span_hashes(words.hashes, of, to).view(np.int64)
-        self.check = flat.span_hashes(_SECOND_VALUE[raw], self.begin, self.end).view(np.int64)
+        self.key = flat.span_hashes(words.values, self.begin, self.end).view(np.int64)
         self.raw, self.offsets = raw, words.offsets
-        order = np.lexsort((self.check, self.key, self.row))
+        self.again = np.zeros(len(self.key), bool)
+        order = np.lexsort((self.key, self.row))
         same = np.zeros(len(order), bool)
-        same[1:] = (self.row[order][1:] == self.row[order][:-1]) & (self.key[order][1:] == self.key[order][:-1]) & (self.check[order][1:] == self.check[order][:-1])
-        self.again = np.zeros(len(order), bool)
-        self.again[order[same]] = True
+        same[1:] = (self.row[order][1:] == self.row[order][:-1]) & (self.key[order][1:] == self.key[order][:-1])
+        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+        if same.any():
+            data = raw.tobytes()
+            for at, of in zip(order[same].tolist(), first[same].tolist()):
+                self.again[at] = data[self.begin[at] : self.end[at]] == data[self.begin[of] : self.end[of]]
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, with_bytes: bool = False) -> DataFrame:
-    """(key, check, id, bytes) of the distinct chunks of every row with an id; bytes are null unless asked for."""
+    """(key, id, bytes) of the distinct chunks of every row with an id; bytes are null unless asked for."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,26 +97,25 @@ def chunks(df: DataFrame, id_col: str, text_col: str, with_bytes: bool = False)
                 if with_bytes:
                     raw = found.raw.tobytes()
                     data = pa.array([raw[a:b] for a, b in zip(found.begin[once].tolist(), found.end[once].tolist())], pa.binary())
-                yield pa.record_batch([pa.array(found.key[once]), pa.array(found.check[once]), ids, data], names=["key", "check", "id", "bytes"])
+                yield pa.record_batch([pa.array(found.key[once]), ids, data], names=["key", "id", "bytes"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, check long, id {kind}, bytes binary")
+    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, bytes binary")
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compare_bytes: bool = False) -> DataFrame:
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keys array<long>): of each document the chunks that a document of lesser id has.
 
-    Two chunks are one if the hash of their words and that of all their bytes are; with compare_bytes the bytes of a
-    chunk are held against those of its first occurrence, too, which moves all texts twice more. Sums over a key are
-    combined before the shuffle, and the occurrences of a frequent key meet its first in a join, which Spark splits.
+    Keys that occur once are found from hashes alone; the bytes of all chunks then meet those keys, and a chunk counts
+    as repeated if its bytes are those of its first occurrence. Sums over a key are combined before the shuffle, and
+    the occurrences of a frequent key meet its first in a join, which Spark splits.
     """
-    every = chunks(df, id_col, text_col)
-    firsts = every.groupBy("key", "check").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    found = chunks(df, id_col, text_col, compare_bytes).join(firsts, ["key", "check"])
-    later = found.where("id != first")
-    if compare_bytes:
-        kept = found.where("id = first").groupBy("key", "check").agg(F.first("bytes").alias("first_bytes"))
-        later = later.join(kept, ["key", "check"]).where("bytes = first_bytes")
+    firsts = chunks(df, id_col, text_col).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
+    found = chunks(df, id_col, text_col, with_bytes=True).join(firsts, "key")
+    # No id is below the first. Said by inequalities, and with the bytes no part of a join key, both sides read one
+    # shuffle of the chunks, by key.
+    kept = found.where("id <= first").groupBy("key").agg(F.first("bytes").alias("first_bytes"))
+    later = found.where("id > first").join(kept, "key").where("coalesce(bytes = first_bytes, false)")
     return later.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
@@ -131,7 +133,7 @@ def removed_runs(found: Chunks, row: int, keys: np.ndarray, least: int) -> list[
     return out
 
 
-def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", compare_bytes: bool = False) -> DataFrame:
+def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the repeated passages cut out of text_col, and columns removed_runs and removed_words.
 
     White space around a removed run shrinks to what stood before it. Null texts stay null, texts without words and rows
@@ -139,16 +141,30 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     rows.
     """
     shown = [c for c in df.columns if c not in ("removed_runs", "removed_words")]
-    marks = repeated(df, id_col, text_col, compare_bytes).withColumnRenamed("id", "__id").withColumnRenamed("keys", "__keys")
-    rows = df.select(*shown).join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__keys")
-    schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
     at, own = shown.index(text_col), shown.index(id_col)
+    kinds = dict(df.dtypes)
+    packed = ", ".join(f"`{c}` {'binary' if c == text_col else kinds[c]}" for c in shown)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor()
         for batch in batches:
             for first, n in flat.slices(batch.column(at)):
                 part = batch.slice(first, n)
-                texts, keys = part.column(at), part.column(len(shown))
+                texts = pa.array([None if t is None else coder.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(at).to_pylist()], pa.binary())
+                yield pa.record_batch([texts if i == at else part.column(i) for i in range(len(shown))], names=shown)
+
+    # Texts are compressed before the shuffle that brings each to its marks.
+    marks = repeated(df, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("keys", "__keys")
+    rows = bounded_batches(df.select(*shown)).mapInArrow(pack, packed).join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__keys")
+    schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor()
+        for batch in batches:
+            whole = pa.array([None if t is None else coder.decompress(t) for t in batch.column(at).to_pylist()], pa.large_string())
+            for first, n in flat.slices(whole):
+                part, texts = batch.slice(first, n), whole.slice(first, n).cast(pa.string())
+                keys = part.column(len(shown))
                 runs, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
                 found = Chunks(texts)
                 repeats = np.zeros(n, bool)
@@ -186,6 +202,6 @@ def _closed(pieces: list[bytes]) -> bytes:
     return out
 
 
-def report(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", compare_bytes: bool = False) -> DataFrame:
+def report(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, removed_runs, removed_words, text) of the documents from which a passage was removed."""
-    return without_repeats(docs.select(id_col, text_col), least, id_col, text_col, compare_bytes).where("removed_runs > 0").select(id_col, "removed_runs", "removed_words", text_col)
+    return without_repeats(docs.select(id_col, text_col), least, id_col, text_col).where("removed_runs > 0").select(id_col, "removed_runs", "removed_words", text_col)
