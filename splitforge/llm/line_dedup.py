@@ -1,10 +1,10 @@
-"""Removal of passages that repeat across documents, by content-defined chunks of lines.
+"""Removal of passages that repeat across documents, by winnowed runs of words.
 
-A line is a run of words up to a newline or the end of a sentence, or before a capital, so a passage put into the
-middle of other text still falls into lines of its own; words chosen by their hash end lines, too. A rolling hash over neighbouring lines chooses chunk
-boundaries: where a passage repeats, the same boundaries come up inside it whatever stands around it. Chunks found
-before (in an earlier document, or earlier in the same) are candidates; runs of them of at least MIN_WORDS words are
-removed, the first occurrence of everything stays.
+Every run of about half of MIN_WORDS words has a hash of its bytes; those that are least among their neighbours are the
+chunks of a text. The choice depends on the words around alone, and any passage of MIN_WORDS words holds a chunk chosen
+within it, wherever it stands and however it is cut into lines. A chunk found before (in an earlier document, or earlier
+in the same) is held against its first occurrence byte by byte and extended from there, word by word in both
+directions; runs of at least MIN_WORDS such words are removed, the first occurrence of everything stays.
 """
 
 from __future__ import annotations
@@ -20,117 +20,162 @@ from pyspark.sql import functions as F
 from splitforge.llm import flat
 from splitforge.llm.shared import bounded_batches
 
-#: A chunk ends after a line unless the rolling hash of it and the line before is a multiple of JOIN.
-JOIN = 3
-#: One word in so many ends a line by its hash, so lines without stops stay short.
-LONG = 24
-#: Words of a run of repeated chunks that is removed, at least.
+#: Words of a repeated run that is removed, at least.
 MIN_WORDS = 25
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
-_CAPITAL = np.zeros(256, bool)
-_CAPITAL[65:91] = True
+_SPACE = b" \t\n\r\x0b\x0c"
+
+
+def _slid(values: np.ndarray, size: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of values[i : i + size] for every i of which so many follow."""
+    out, have = values, 1
+    while have < size:
+        step = min(have, size - have)
+        out = best(out[:-step], out[step:])
+        have += step
+    return out
 
 
 class Chunks:
-    """The chunks of a batch of texts: row, words, byte span, a hash of its bytes, and whether the text has the same
-    bytes as a chunk before."""
+    """The chunks of a batch of texts that any run of `least` equal words has in common: row, first word, byte span, a
+    hash of its bytes, and of a chunk that stands in its text before the place of the first such one (else -1)."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, least: int = MIN_WORDS):
         words = flat.Words(texts, lower=False)
-        raw, starts, ends, rows = words.raw, words.starts, words.ends, words.rows
-        n = len(starts)
-        owner = np.repeat(np.arange(len(texts)), np.diff(rows))
-        fresh = np.zeros(n, bool)
-        fresh[rows[:-1][np.diff(rows) > 0]] = True
-        if n:
-            lines = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum(raw == 10, out=lines[1:])
-            first = raw[starts]
-            second = raw[np.minimum(starts + 1, len(raw) - 1)]
-            capital = _CAPITAL[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-            begins = fresh | capital
-            begins[1:] |= (lines[starts[1:]] > lines[ends[:-1]]) | _ENDS[raw[ends[:-1] - 1]] | (words.hashes[:-1] % np.uint64(LONG) == 0)
-        else:
-            begins = fresh
-        line = np.flatnonzero(begins)
-        line_end = np.append(line[1:], n)
-        hashes = flat.span_hashes(words.hashes, line, line_end)
-        before = np.concatenate([[np.uint64(0)], hashes[:-1]]) if len(hashes) else hashes
-        before[fresh[line]] = 0
-        rolling = flat.mix(hashes + before * np.uint64(3))
-        cut = rolling % np.uint64(JOIN) != 0
-        if len(line):
-            cut[-1] = True
-            cut[:-1] |= fresh[line[1:]]
-        last = np.flatnonzero(cut)
-        to = line_end[last]
-        of = np.concatenate([[0], to[:-1]]).astype(np.int64) if len(to) else to
-        self.row = owner[of] if n else np.empty(0, np.int64)
+        self.size = max(least // 2, 1)
+        self.window = max(least - self.size + 1, 1)
+        self.starts, self.ends, self.word_rows = words.starts, words.ends, words.rows
+        n = len(words.starts) - self.size + 1
+        at, self.key = np.empty(0, np.int64), np.empty(0, np.int64)
+        if n >= self.window:
+            hashes = flat.span_hashes(words.values, words.starts[:n], words.ends[self.size - 1 :])
+            lows = _slid(hashes, self.window, np.minimum)
+            # A window that runs over the end of its text counts as 0, so no hash is equal to it.
+            lows[np.arange(len(lows)) + least > np.repeat(words.rows[1:], np.diff(words.rows))[: len(lows)]] = 0
+            edge = np.zeros(self.window - 1, np.uint64)
+            at = np.flatnonzero((_slid(np.concatenate([edge, lows, edge]), self.window, np.maximum) == hashes) & (hashes > 0))
+            self.key = hashes[at].view(np.int64)
+        self.word = at
+        self.row = np.searchsorted(words.rows, at, "right") - 1
         self.rows = np.searchsorted(self.row, np.arange(len(texts) + 1))
-        self.words = to - of
-        self.begin, self.end = (starts[of], ends[to - 1]) if n else (of, of)
-        self.key = flat.span_hashes(words.values, self.begin, self.end).view(np.int64)
-        self.raw, self.offsets = raw, words.offsets
-        self.again = np.zeros(len(self.key), bool)
+        self.raw, self.offsets = words.raw, words.offsets
         order = np.lexsort((self.key, self.row))
         same = np.zeros(len(order), bool)
         same[1:] = (self.row[order][1:] == self.row[order][:-1]) & (self.key[order][1:] == self.key[order][:-1])
         first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-        if same.any():
-            data = raw.tobytes()
-            for at, of in zip(order[same].tolist(), first[same].tolist()):
-                self.again[at] = data[self.begin[at] : self.end[at]] == data[self.begin[of] : self.end[of]]
+        self.before = np.full(len(self.key), -1)
+        self.before[order[same]] = first[same]
 
+    def surroundings(self, at: int) -> tuple[int, int, int]:
+        """The bytes (from, to) of a chunk and the words of its text around it, and where in them the chunk begins."""
+        row, word = self.row[at], self.word[at]
+        low = max(self.word_rows[row], word - self.window)
+        high = min(self.word_rows[row + 1], word + self.size + self.window)
+        return int(self.starts[low]), int(self.ends[high - 1]), int(self.starts[word] - self.starts[low])
 
-def chunks(df: DataFrame, id_col: str, text_col: str, with_bytes: bool = False) -> DataFrame:
-    """(key, id, bytes) of the distinct chunks of every row with an id; bytes are null unless asked for."""
+
+def _numbered(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(key, id) of the distinct chunks of every row with an id."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n in flat.slices(batch.column(1)):
-                found = Chunks(batch.column(1).slice(first, n))
-                once = ~found.again
+                found = Chunks(batch.column(1).slice(first, n), least)
+                once = found.before < 0
                 ids = batch.column(0).slice(first, n).take(pa.array(found.row[once]))
-                data = pa.nulls(int(once.sum()), pa.binary())
-                if with_bytes:
-                    raw = found.raw.tobytes()
-                    data = pa.array([raw[a:b] for a, b in zip(found.begin[once].tolist(), found.end[once].tolist())], pa.binary())
-                yield pa.record_batch([pa.array(found.key[once]), ids, data], names=["key", "id", "bytes"])
+                yield pa.record_batch([pa.array(found.key[once]), ids], names=["key", "id"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, bytes binary")
+    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}")
+
 
+def _unpacked(texts: pa.Array) -> pa.Array:
+    coder = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else coder.decompress(t) for t in texts.to_pylist()], pa.large_string())
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keys array<long>): of each document the chunks that a document of lesser id has.
 
-    Keys that occur once are found from hashes alone; the bytes of all chunks then meet those keys, and a chunk counts
-    as repeated if its bytes are those of its first occurrence. Sums over a key are combined before the shuffle, and
-    the occurrences of a frequent key meet its first in a join, which Spark splits.
+def repeated(df: DataFrame, packed: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, found array<struct<key, at, near>>): of each document the chunks that a document of lesser id has.
+
+    Keys that stand in several documents are found from hashes alone; near are the bytes around the first occurrence of
+    the key, in which it begins at `at`. They are taken from `packed`, df with compressed texts; its shuffle by id is
+    the one that brings the results to the texts. Sums over a key are combined before the shuffle.
     """
-    firsts = chunks(df, id_col, text_col).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    found = chunks(df, id_col, text_col, with_bytes=True).join(firsts, "key")
-    # No id is below the first. Said by inequalities, and with the bytes no part of a join key, both sides read one
-    # shuffle of the chunks, by key.
-    kept = found.where("id <= first").groupBy("key").agg(F.first("bytes").alias("first_bytes"))
-    later = found.where("id > first").join(kept, "key").where("coalesce(bytes = first_bytes, false)")
-    return later.groupBy("id").agg(F.collect_list("key").alias("keys"))
-
-
-def removed_runs(found: Chunks, row: int, keys: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(first byte, last byte, words) of the runs of a text that go: of chunks among the keys, or that came before in it."""
-    a, b = found.rows[row], found.rows[row + 1]
-    flag = np.zeros(b - a + 1, bool)
-    flag[:-1] = found.again[a:b] | np.isin(found.key[a:b], keys)
-    edge = np.flatnonzero(np.diff(flag.astype(np.int8), prepend=0))
-    out = []
-    for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        words = int(found.words[a + begin : a + end].sum())
-        if words >= least:
-            out.append((int(found.begin[a + begin]), int(found.end[a + end - 1]), words))
-    return out
+    kind = dict(df.dtypes)[id_col]
+    keys = _numbered(df, id_col, text_col, least)
+    firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    wanted = firsts.groupBy(F.col("first").alias("__id")).agg(F.collect_list("key").alias("__keys"))
+    at, own = packed.columns.index(text_col), packed.columns.index(id_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(len(packed_names))
+            batch = batch.filter(keys.is_valid())
+            keys = batch.column(len(packed_names))
+            whole = _unpacked(batch.column(at))
+            for first, n in flat.slices(whole):
+                found = Chunks(whole.slice(first, n).cast(pa.string()), least)
+                raw = found.raw.tobytes()
+                hits = [found.rows[i] + np.flatnonzero((found.before[a:b] < 0) & np.isin(found.key[a:b], np.asarray(keys[first + i].values, np.int64))) for i, (a, b) in enumerate(zip(found.rows[:-1], found.rows[1:]))]
+                hits = np.concatenate(hits).astype(np.int64)
+                near = [found.surroundings(h) for h in hits.tolist()]
+                ids = batch.column(own).slice(first, n).take(pa.array(found.row[hits]))
+                yield pa.record_batch([pa.array(found.key[hits]), ids, pa.array([x[2] for x in near], pa.int32()), pa.array([raw[a:b] for a, b, _ in near], pa.binary())], names=["key", "first", "at", "near"])
+
+    packed_names = packed.columns
+    # A left join whose rows without keys are dropped in Python leaves the shuffle of `packed` as the last join has it.
+    known = packed.join(wanted, F.col(id_col) == F.col("__id"), "left").select(*packed_names, "__keys")
+    known = bounded_batches(known).mapInArrow(work, f"key long, first {kind}, at int, near binary")
+    # Rows of one id may give a key several surroundings; one of them is held against.
+    known = known.groupBy("key").agg(F.min(F.struct("first", "at", "near")).alias("place"))
+    later = keys.join(known, "key").where("id > place.first")
+    return later.groupBy("id").agg(F.collect_list(F.struct("key", "place.at", "place.near")).alias("found"))
+
+
+def _equal(a: bytes, b: bytes, order: str) -> int:
+    """How many bytes two strings have in common at their begin ("big") or end ("little")."""
+    n = min(len(a), len(b))
+    a, b = (a[:n], b[:n]) if order == "big" else (a[len(a) - n :], b[len(b) - n :])
+    return n if a == b else n - (-(-(int.from_bytes(a, order) ^ int.from_bytes(b, order)).bit_length() // 8))
+
+
+def _matched(found: Chunks, raw: bytes, row: int, at: int, near: bytes, inside: int) -> tuple[int, int] | None:
+    """The bytes (from, to) around a chunk that equal those around its first occurrence, in whole words there; they
+    may begin or end within a word of the text itself. None if the chunk differs."""
+    begin, end = int(found.starts[found.word[at]]), int(found.ends[found.word[at] + found.size - 1])
+    after = inside + end - begin
+    if raw[begin:end] != near[inside:after]:
+        return None
+    low, high = int(found.offsets[row]), int(found.offsets[row + 1])
+    left = _equal(raw[max(low, begin - inside) : begin], near[:inside], "little")
+    right = _equal(raw[end : min(high, end + len(near) - after)], near[after:], "big")
+    # Words that end on the edge of what is equal may go on in the first occurrence.
+    if 0 < left < inside and near[inside - left - 1] not in _SPACE:
+        left -= 1
+    if 0 < right < len(near) - after and near[after + right] not in _SPACE:
+        right -= 1
+    return begin - left, end + right
+
+
+def removed_runs(found: Chunks, raw: bytes, row: int, places: dict[int, tuple[int, bytes]], least: int) -> list[tuple[int, int, int]]:
+    """(first byte, last byte, words) of the runs of a text that go: what equals the surroundings of the places, or of
+    chunks that came before in it."""
+    spans = []
+    for at in range(int(found.rows[row]), int(found.rows[row + 1])):
+        if (place := places.get(int(found.key[at]))) is not None:
+            spans.append(_matched(found, raw, row, at, place[1], place[0]))
+        if (before := int(found.before[at])) >= 0:
+            a, b, inside = found.surroundings(before)
+            spans.append(_matched(found, raw, row, at, raw[a:b], inside))
+    spans = np.array([s for s in spans if s], np.int64).reshape(-1, 2)
+    if not len(spans):
+        return []
+    begin, end = np.searchsorted(found.starts, spans[:, 0]), np.searchsorted(found.ends, spans[:, 1], "right")
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    fresh = np.concatenate([[True], begin[1:] > end[:-1]])
+    begin, end = begin[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
+    return [(int(found.starts[a]), int(found.ends[b - 1]), int(b - a)) for a, b in zip(begin, end) if b - a >= least]
 
 
 def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,34 +199,38 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 yield pa.record_batch([texts if i == at else part.column(i) for i in range(len(shown))], names=shown)
 
     # Texts are compressed before the shuffle that brings each to its marks.
-    marks = repeated(df, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("keys", "__keys")
-    rows = bounded_batches(df.select(*shown)).mapInArrow(pack, packed).join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__keys")
+    texts = bounded_batches(df.select(*shown)).mapInArrow(pack, packed)
+    marks = repeated(df, texts, least, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("found", "__found")
+    rows = texts.join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__found")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
         for batch in batches:
-            whole = pa.array([None if t is None else coder.decompress(t) for t in batch.column(at).to_pylist()], pa.large_string())
+            whole = _unpacked(batch.column(at))
             for first, n in flat.slices(whole):
                 part, texts = batch.slice(first, n), whole.slice(first, n).cast(pa.string())
-                keys = part.column(len(shown))
+                marks = part.column(len(shown))
                 runs, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                found = Chunks(texts)
+                found = Chunks(texts, least)
                 repeats = np.zeros(n, bool)
-                repeats[found.row[found.again]] = True
-                marked = np.flatnonzero((np.asarray(keys.is_valid()) | repeats) & np.asarray(part.column(own).is_valid()))
+                repeats[found.row[found.before >= 0]] = True
+                marked = np.flatnonzero((np.asarray(marks.is_valid()) | repeats) & np.asarray(part.column(own).is_valid()))
                 if len(marked):
-                    new = {}
+                    new, data = {}, found.raw.tobytes()
                     for row in marked.tolist():
-                        cuts = removed_runs(found, row, np.asarray(keys[row].values if keys[row].is_valid else [], np.int64), least)
+                        places = {}
+                        if marks[row].is_valid:
+                            known = marks[row].values
+                            places = dict(zip(known.field("key").to_pylist(), zip(known.field("at").to_pylist(), known.field("near").to_pylist())))
+                        cuts = removed_runs(found, data, row, places, least)
                         if cuts:
-                            data, at_byte, pieces = found.raw, int(found.offsets[row]), []
+                            at_byte, pieces = int(found.offsets[row]), []
                             for begin, end, words in cuts:
-                                pieces.append(data[at_byte:begin].tobytes())
+                                pieces.append(data[at_byte:begin])
                                 at_byte = end
                                 runs[row] += 1
                                 gone[row] += words
-                            pieces.append(data[at_byte : int(found.offsets[row + 1])].tobytes())
+                            pieces.append(data[at_byte : int(found.offsets[row + 1])])
                             new[row] = _closed(pieces).decode("utf-8", "replace")
                     if new:
                         column = texts.to_pylist()
@@ -198,7 +247,7 @@ def _closed(pieces: list[bytes]) -> bytes:
     """The pieces joined; where one ends and the next begins with white space, the former's stays."""
     out = b""
     for piece in pieces:
-        out += piece.lstrip(b" \t\n\r\x0b\x0c") if not out or out[-1:] in b" \t\n\r\x0b\x0c" else piece
+        out += piece.lstrip(b" \t\n\r\x0b\x0c") if not out or out[-1:] in _SPACE else piece
     return out
 
 

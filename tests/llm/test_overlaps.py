@@ -129,6 +129,27 @@ def test_passages_are_removed_and_clean_text_stays(spark):
     assert {r.doc_id for r in line_dedup.report(df).collect()} == {8, 12, 20, 25}
 
 
+@pytest.mark.parametrize("size", [25, 26, 51, 60, 80])
+@pytest.mark.parametrize("lower", [True, False])
+def test_passages_within_lines_are_removed_to_their_edges(spark, size, lower):
+    draw = random.Random(size)
+    rows, expected = [], {}
+    for i in range(40):
+        passage = " ".join(words(draw, size, 3000)) if lower else " ".join(sentences(draw, 20).split()[3 : size + 3])
+        a, b, c, d = (" ".join(words(draw, draw.randrange(0, 90), 3000) + [f"own{i}{x}"]) for x in "abcd")
+        rows += [(2 * i, f"{a} {passage} {b[::-1]}"), (2 * i + 1, f"{c} {passage} {d[::-1]}")]
+        expected |= {2 * i: (0, rows[-2][1]), 2 * i + 1: (size, f"{c} {d[::-1]}")}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.removed_words, r.text) for r in line_dedup.without_repeats(df).collect()} == expected
+
+
+def test_runs_of_fewer_words_stay(spark):
+    draw = random.Random(24)
+    passage = " ".join(words(draw, 24, 3000))
+    df = spark.createDataFrame([(1, f"own1 {passage} own2"), (2, f"own3 {passage} own4 x{passage}y")], "doc_id long, text string")
+    assert [r.removed_words for r in line_dedup.without_repeats(df).collect()] == [0, 0]
+
+
 def test_repeats_within_a_text_and_short_lines(spark):
     draw = random.Random(6)
     line = sentences(draw, 5)
