@@ -250,24 +250,39 @@ def m6_best_candidate(spark, sf_dir):
 # Flagship: how much accuracy the scorers keep under each corruption
 
 _KEPT = (("clean", "-", None), ("jpeg", "q90", 90.0), ("jpeg", "q30", 30.0), ("resize", "scale0.5", 0.5), ("color_jitter", "saturation_pm20", 0.2))
-_KEPT_VALUES = ", ".join(f"('{n}', '{p}')" for n, p, _ in _KEPT)
-_KEPT_SWEPT = " ".join(f"WHEN name = '{n}' AND param = '{p}' THEN {_kernel_sql(n, p, v)}" for n, p, v in _KEPT)
-_R4 = f"""{B.VECTORS}, {_MODELS}, both_models AS (SELECT 'baseline' AS model, * FROM base_model UNION ALL SELECT 'robust', * FROM robust_model),
-  swept AS (SELECT v.sample_id, v.label, c.name, c.param, x.i, CASE {_KEPT_SWEPT} END AS v FROM vectors v JOIN splits s USING (sample_id) CROSS JOIN (VALUES {_KEPT_VALUES}) c(name, param) CROSS JOIN (SELECT unnest(range(0, 64)) AS i) x WHERE s.split <> 'train'),
+
+
+def _summary_sql(conditions) -> str:
+    values = ", ".join(f"('{n}', '{p}')" for n, p, _ in conditions)
+    swept = " ".join(f"WHEN name = '{n}' AND param = '{p}' THEN {_kernel_sql(n, p, v)}" for n, p, v in conditions)
+    relations = f"""{B.VECTORS}, {_MODELS}, both_models AS (SELECT 'baseline' AS model, * FROM base_model UNION ALL SELECT 'robust', * FROM robust_model),
+  swept AS (SELECT v.sample_id, v.label, c.name, c.param, x.i, CASE {swept} END AS v FROM vectors v JOIN splits s USING (sample_id) CROSS JOIN (VALUES {values}) c(name, param) CROSS JOIN (SELECT unnest(range(0, 64)) AS i) x WHERE s.split <> 'train'),
   judged AS (SELECT model, name, param, sample_id, label, round(sum((v - mid) * w), 9) AS margin FROM swept JOIN both_models USING (i) GROUP BY ALL),
   scored AS (SELECT *, 1 / (1 + exp(-margin)) AS p, CAST(1 / (1 + exp(-margin)) >= 0.5 AS INT) AS pred FROM judged),
   m AS ({B.metrics_sql('scored', 'model, name, param')}), a AS ({B.auc_sql('scored', 'model, name, param')}), r AS (SELECT m.*, a.roc_auc FROM m JOIN a USING (model, name, param)),
   clean AS (SELECT model, accuracy AS ca, f1 AS cf FROM r WHERE name = 'clean')"""
-
-
-@plan(f"""WITH {_R4} SELECT r.name, r.param, r.model, tn, fp, fn, tp, n, round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, round(roc_auc, 6) AS roc_auc,
+    return f"""WITH {relations} SELECT r.name, r.param, r.model, tn, fp, fn, tp, n, round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, round(roc_auc, 6) AS roc_auc,
   CASE WHEN ca <> 0 THEN round(accuracy / ca, 6) END AS accuracy_retention, round(ca - accuracy, 6) AS accuracy_drop, CASE WHEN cf <> 0 THEN round(f1 / cf, 6) END AS f1_retention, round(cf - f1, 6) AS f1_drop,
   round(max(CASE WHEN r.model = 'robust' THEN accuracy END) OVER (PARTITION BY r.name, r.param) - max(CASE WHEN r.model = 'baseline' THEN accuracy END) OVER (PARTITION BY r.name, r.param), 6) AS accuracy_gap
-  FROM r JOIN clean USING (model)""")
-def r4_robustness_summary(spark, sf_dir):
+  FROM r JOIN clean USING (model)"""
+
+
+def _summary(spark, sf_dir, conditions):
     """Split, fit two centroid scorers on train, corrupt the other samples, score and compare."""
     rows = _train(spark, sf_dir).persist()
     first, second = _models(rows.where("split = 'train'"))
-    swept = corrupt.sweep(rows.where("split != 'train'").select("sample_id", "label", "features"), SEED, _KEPT)
+    swept = corrupt.sweep(rows.where("split != 'train'").select("sample_id", "label", "features"), SEED, conditions)
     table = robustness_summary(score.score(swept, first.unionByName(second)).persist())
     return table.select(*(C.rounded(c).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes))
+
+
+@plan(_summary_sql(_KEPT))
+def r4_robustness_summary(spark, sf_dir):
+    """The summary of five of the conditions."""
+    return _summary(spark, sf_dir, _KEPT)
+
+
+@plan(_summary_sql(corrupt.SWEEP))
+def r4_whole_sweep(spark, sf_dir):
+    """The summary of all conditions of the sweep."""
+    return _summary(spark, sf_dir, corrupt.SWEEP)

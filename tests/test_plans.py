@@ -23,3 +23,12 @@ def test_plan(spark, con, name):
     else:
         assert df.collect()
     spark.catalog.clearCache()
+
+
+def test_entry_summarises_every_condition(spark):
+    import __spark_entry__
+    from splitforge.operators import corrupt
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert sorted((r.model, r.name, r.param) for r in rows) == sorted((m, n, p) for m in ("baseline", "robust") for n, p, _ in corrupt.SWEEP)
+    spark.catalog.clearCache()
