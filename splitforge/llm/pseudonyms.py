@@ -17,7 +17,7 @@ FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 250, 292
 #: The forms of candidates, in order of preference.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,96}",
+    "secret": r"(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
@@ -25,8 +25,11 @@ FORMS = {
     "day_date": r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9/])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: A run of digit groups of 13 digits and more, up to a group that begins another form; cards are looked for within it.
+FORMS["card"] = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:(?:-| (?!" + "|".join(FORMS[f] for f in ("email", "iso_date", "day_date", "ssn", "ip")) + r"))[0-9]++(?![A-Za-z]))*+"
+#: Characters that one network permutes; longer values are permuted in pieces.
+PIECE = 128
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
 DATES = ("iso_date", "day_date")
 
@@ -35,9 +38,9 @@ def _digit(text: Column, at) -> Column:
     return F.substring(text, at, 1).cast("int")
 
 
-def _hash(key: str, tweak: str, turn: Column, half: Column) -> Column:
+def _hash(key: str, tweak: str | Column, turn: Column, half: Column) -> Column:
     """A keyed hash of one half in a round, as 128 hex digits."""
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), turn.cast("string"), half), 512)
+    return F.sha2(F.concat_ws("|", F.lit(key), tweak if isinstance(tweak, Column) else F.lit(tweak), turn.cast("string"), half), 512)
 
 
 def _shifted(char: Column, by: Column, sign: int) -> Column:
@@ -49,7 +52,7 @@ def _shifted(char: Column, by: Column, sign: int) -> Column:
     return F.when(char.between("0", "9"), within("0", 10)).when(char.between("a", "z"), within("a", 26)).when(char.between("A", "Z"), within("A", 26)).otherwise(char)
 
 
-def permuted_text(text: Column, key: str, tweak: str, sign: int = 1) -> Column:
+def permuted_text(text: Column, key: str, tweak: str | Column, sign: int = 1) -> Column:
     """A Feistel network over the characters of a text of at most 128: each round adds a keyed hash of one half to
     the other, character by character within its class. sign -1 reverses it."""
     chars = F.split(text, "")
@@ -67,6 +70,16 @@ def permuted_text(text: Column, key: str, tweak: str, sign: int = 1) -> Column:
     return F.aggregate(turns, F.struct(left.alias("l"), right.alias("r")), step, lambda s: F.concat(F.array_join(s["l"], ""), F.array_join(s["r"], "")))
 
 
+def permuted_pieces(text: Column, key: str, tweak: str, sign: int = 1) -> Column:
+    """permuted_text of each PIECE characters of a text, the number of a later piece in its tweak."""
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / PIECE).cast("int") - 1, F.lit(0)))
+
+    def piece(i: Column) -> Column:
+        return permuted_text(F.substr(text, i * PIECE + 1, F.lit(PIECE)), key, F.when(i == 0, F.lit(tweak)).otherwise(F.concat(F.lit(tweak), i.cast("string"))), sign)
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 def permuted_pair(high: Column, low: Column, many_high, many_low, key: str, tweak: str, sign: int = 1) -> Column:
     """A Feistel network over high * many_low + low, with high below many_high and low below many_low; as one long."""
     many_high, many_low = F.lit(many_high) if isinstance(many_high, int) else many_high, F.lit(many_low) if isinstance(many_low, int) else many_low
@@ -97,6 +110,39 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), add)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def cards(run: Column) -> Column:
+    """(s, e): first and last character of the card numbers in a run of digit groups, from the left, of those that begin
+    with one group the longest. A card is whole groups, of 13 to 19 digits, with a right check digit."""
+    kind = "array<struct<s:int,e:int>>"
+
+    def within(groups: Column) -> Column:
+        def size(i: Column) -> Column:
+            """How many groups from the i-th on (from 0) are a card; null if none are. A card has at most 19 groups."""
+
+            def valid(k: Column) -> Column:
+                plain = F.array_join(F.slice(groups, i + 1, k), "")
+                return F.when(F.length(plain).between(13, 19), luhn_sum(plain) % 10 == 0).otherwise(F.lit(False))
+
+            return F.get(F.filter(F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1), F.lit(-1)), valid), 0)
+
+        def step(state: Column, i: Column) -> Column:
+            def put(k: Column) -> Column:
+                last = state["at"] + F.length(F.array_join(F.slice(groups, i + 1, k), " ")) - 1
+                return F.when(k.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(state["at"].alias("s"), last.alias("e")))))
+
+            out = F.when(F.coalesce(F.get(state["out"], F.size(state["out"]) - 1)["e"], F.lit(0)) > state["at"], state["out"]).otherwise(_bound(size(i), put))
+            return F.struct((state["at"] + F.length(F.get(groups, i)) + 1).alias("at"), out.alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("out")), step, lambda state: state["out"])
+
+    return _bound(F.split(run, "[ -]"), within)
+
+
 def iban_rest(text: Column) -> Column:
     """The number of an IBAN (no blanks) modulo 97, its first four characters read last."""
     turned = F.concat(F.substr(text, F.lit(5)), F.substring(text, 1, 4))
@@ -138,7 +184,7 @@ def kind_of(value: Column) -> Column:
         "day_date": number.between(0, DAYS_HIGH * DAYS_LOW - 1),
         "ssn": (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0),
         "ip": F.greatest(*(_octet(value, i) for i in range(1, 5))) < 256,
-        "card": luhn_sum(plain) % 10 == 0,
+        "card": F.size(cards(value)) > 0,
     }
     out = F.when(F.lit(False), F.lit(""))
     for name, pattern in FORMS.items():
@@ -150,7 +196,23 @@ def kind_of(value: Column) -> Column:
 def _kept_head(value: Column, head: str, key: str, tweak: str, sign: int) -> Column:
     """The value with all but what the pattern `head` matches at its start permuted."""
     first = F.regexp_extract(value, head, 0)
-    return F.concat(first, permuted_text(F.substr(value, F.length(first) + 1), key, tweak, sign))
+    return F.concat(first, permuted_pieces(F.substr(value, F.length(first) + 1), key, tweak, sign))
+
+
+def _card(value: Column, key: str, sign: int) -> Column:
+    """Another card number in the form of one."""
+    body = F.concat(F.substring(value, 1, 1), permuted_text(F.substr(value, F.lit(2), F.length(value) - 2), key, "card", sign))
+    check = F.pmod(10 - luhn_sum(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0"))) % 10, F.lit(10))
+    return F.concat(body, check.cast("string"))
+
+
+def _with_cards(run: Column, key: str, sign: int) -> Column:
+    """A run of digit groups with other card numbers in place of its own."""
+
+    def put(s: Column, x: Column) -> Column:
+        return F.struct((x["e"] + 1).alias("at"), F.concat(s["text"], F.substr(run, s["at"], x["s"] - s["at"]), _card(F.substr(run, x["s"], x["e"] - x["s"] + 1), key, sign)).alias("text"))
+
+    return F.aggregate(cards(run), F.struct(F.lit(1).alias("at"), F.lit("").alias("text")), put, lambda s: F.concat(s["text"], F.substr(run, s["at"])))
 
 
 def pseudonym(value: Column, kind: Column, key: str, sign: int = 1) -> Column:
@@ -164,8 +226,6 @@ def pseudonym(value: Column, kind: Column, key: str, sign: int = 1) -> Column:
     areas, base = F.when(low_area, 665).otherwise(233), F.when(low_area, 1).otherwise(667)
     ssn = permuted_pair(area - base, (group - 1) * 9999 + serial - 1, areas, 99 * 9999, key, "ssn", sign)
     rest = ssn % 989901
-    card_body = F.concat(F.substring(value, 1, 1), permuted_text(F.substr(value, F.lit(2), F.length(value) - 2), key, "card", sign))
-    check = F.pmod(10 - luhn_sum(F.concat(F.regexp_replace(card_body, "[^0-9]", ""), F.lit("0"))) % 10, F.lit(10))
     account = permuted_text(F.substr(value, F.lit(5)), key, "iban", sign)
     country = F.substring(value, 1, 2)
     number = 98 - iban_rest(F.concat(country, F.lit("00"), F.regexp_replace(account, " ", "")))
@@ -180,7 +240,7 @@ def pseudonym(value: Column, kind: Column, key: str, sign: int = 1) -> Column:
         .when(kind == "day_date", F.concat(F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy")))
         .when(kind == "ssn", F.format_string("%03d-%02d-%04d", ((ssn / 989901).cast("long") + base), (rest / 9999).cast("long") + 1, rest % 9999 + 1))
         .when(kind == "ip", F.concat_ws(".", *(F.pmod(F.shiftright(octets, 24 - 8 * i), F.lit(256)).cast("string") for i in range(4))))
-        .when(kind == "card", F.concat(card_body, check.cast("string")))
+        .when(kind == "card", _with_cards(value, key, sign))
         .otherwise(value)
     )
 
@@ -189,7 +249,8 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", sign: int = 1
     """df with `text_col` pseudonymised and a column `pii_kinds`, the kinds replaced in order of appearance.
 
     Whole texts, no shuffle. Null stays null with no kinds; texts without valid values stay as they are; equal values
-    become equal pseudonyms; sign -1 restores them. Other columns stay, whatever their names; a column pii_kinds is
+    become equal pseudonyms; sign -1 restores them, but for a card among other digit groups where by chance these and the
+    pseudonym make up another number with a right check digit. Other columns stay, whatever their names; a column pii_kinds is
     replaced.
     """
     shown = [c for c in df.columns if c != "pii_kinds"]
@@ -198,10 +259,11 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", sign: int = 1
     rows = df.select(F.struct(*shown).alias("row"), found.alias("found")).select("row", F.filter("found", lambda v: v != "").alias("found"))
     rows = rows.select("row", F.when(F.size("found") > 0, F.col("found")).alias("found"))
     rows = rows.select("row", "found", F.transform("found", kind_of).alias("kinds"))
-    rows = rows.select("row", "kinds", F.zip_with("found", "kinds", lambda v, k: pseudonym(v, k, key, sign)).alias("put"))
+    each = F.zip_with("found", "kinds", lambda v, k: F.when(k.isNull(), F.array().cast("array<string>")).when(k == "card", F.array_repeat(k, F.size(cards(v)))).otherwise(F.array(k)))
+    rows = rows.select("row", each.alias("kinds"), F.zip_with("found", "kinds", lambda v, k: pseudonym(v, k, key, sign)).alias("put"))
     between = F.split(F.col("row")[text_col], PATTERN, -1)
     text = F.when(F.col("put").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.zip_with(between, F.concat("put", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
-    kinds = F.coalesce(F.filter("kinds", lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten("kinds"), F.array().cast("array<string>"))
     return rows.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in shown), kinds.alias("pii_kinds"))
 
 

@@ -53,6 +53,28 @@ def test_forms_links_and_reversal(rows):
     assert sum(other[i] != found[i].text for i in range(n)) == n
 
 
+def test_cards_among_other_digits_and_long_secrets(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{spaced} 123", f"{card} 12/27", f"order 12 {card}", f"{card}-01", f"12 34 {spaced} 99 88 77", f"{card} 12ab", f"{card} {card}", f"{spaced} 5500 0000 0000 0004"]
+    others = [f"{card} 2024-01-15", f"{card} 10.0.0.1", f"{card} 123-45-6789", f"{card} 31.12.1999"]
+    token = "".join("abcdefghijk"[i * i % 11] for i in range(160))
+    rows = spark.createDataFrame(list(enumerate([*texts, *others, f"token={token}", "token=" + "q" * 257])), "doc_id long, text string")
+    out = P.pseudonymised(rows, "key").persist()
+    found = [(r.text, r.pii_kinds) for r in out.orderBy("doc_id").collect()]
+    for old, (new, kinds) in zip(texts, found):
+        assert card not in new and spaced not in new and "card" in kinds and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old), (old, new)
+    assert found[6][1] == found[7][1] == ["card", "card"]
+    for old, (new, kinds) in zip(others, found[len(texts) :]):
+        assert kinds[0] == "card" and len(kinds) == 2 and new.split()[1] != old.split()[1]
+    assert sum(a == b for a, b in zip(found[-2][0][102:], token[96:])) < 32 and len(found[-2][0]) == 166
+    tail = found[-1][0].removeprefix("token=")
+    assert len(tail) == 257 and tail.count("q") < 64 and tail[:128] != tail[128:256]
+    back = {r.doc_id: r.text for r in P.pseudonymised(out, "key", sign=-1).collect()}
+    assert [back[i] for i in (len(back) - 2, len(back) - 1)] == [f"token={token}", "token=" + "q" * 257]
+    numbers = spark.createDataFrame([(1, "7 " * 5_000)], "doc_id long, text string")
+    assert re.sub(r"\d", "7", P.pseudonymised(numbers, "key").first().text) == "7 " * 5_000
+
+
 def test_permutations_are_one_to_one(spark):
     days = spark.range(P.DAYS_HIGH * P.DAYS_LOW).select(P.permuted_pair((F.col("id") / P.DAYS_LOW).cast("int"), F.col("id") % P.DAYS_LOW, P.DAYS_HIGH, P.DAYS_LOW, "k", "date").alias("d"))
     assert days.distinct().count() == P.DAYS_HIGH * P.DAYS_LOW and days.agg(F.min("d"), F.max("d")).first() == (0, P.DAYS_HIGH * P.DAYS_LOW - 1)
