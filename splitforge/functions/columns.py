@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row.
+
+    An expression that a lambda refers to is computed again for every element; a lambda's own variable isn't.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # Projections and predicates
 
 
@@ -158,12 +166,20 @@ def reconstructed_counts(accuracy: str | Column, f1: str | Column, positives: in
 
 def perceptual_key(vector: str | Column) -> Column:
     """A hexadecimal key with a bit for each position above the array's median; vectors of 4 * k values."""
-    v = col(vector)
-    ordered = F.array_sort(F.transform(v, lambda x: x.cast("double")))
-    n = F.size(v)
-    median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    bits = F.array_join(F.transform(v, lambda x: F.when(x.cast("double") > median, "1").otherwise("0")), "")
-    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1), lambda i: F.conv(F.substr(bits, i * 4 + 1, F.lit(4)), 2, 16)), ""))
+
+    def median(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+    def key(values: Column, middle: Column) -> Column:
+        def digit(i: Column) -> Column:
+            four = sum((F.when(F.get(values, i * 4 + k) > middle, 8 >> k).otherwise(0) for k in range(4)), F.lit(0))
+            return F.substring(F.lit("0123456789abcdef"), four + 1, 1)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 4).cast("int") - 1), digit), "")
+
+    doubles = F.transform(col(vector), lambda x: x.cast("double"))
+    return bound(doubles, lambda values: bound(bound(F.array_sort(values), median), lambda middle: key(values, middle)))
 
 
 def report_json(**parts: Column) -> Column:

@@ -1,7 +1,8 @@
 """Corruption and augmentation of vector samples: catalogues of conditions and kernels as array expressions.
 
 A kernel takes the vector column, its parameter and the parts that seed its draws, and gives a Column; nothing runs
-in Python. Draws depend on seed, condition, parameter and sample, never on partitions or row order.
+in Python. Draws depend on seed, condition, parameter and sample, never on partitions or row order. What a kernel needs
+of the whole vector (a mean, a factor, a padded copy) is bound once a row, outside the function of an element.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitforge.functions.columns import col, hash_order, normal, uniform
+from splitforge.functions.columns import bound, col, hash_order, normal, uniform
 from splitforge.operators.joins import samples_by_conditions
 
 #: The conditions of the robustness sweep as (name, parameter as shown, value).
@@ -54,23 +55,23 @@ def blur(v: Column, sigma: float, *seed) -> Column:
     reach = max(1, math.ceil(3 * sigma))
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     total = sum(weights)
-    last = F.size(v) - 1
+    padded = F.concat(F.array_repeat(F.get(v, F.lit(0)), reach), v, F.array_repeat(F.get(v, F.size(v) - 1), reach))
 
-    def at(i: Column, k: int) -> Column:
-        return F.get(v, F.greatest(F.lit(0), F.least(last, i + k)))
+    def over(p: Column) -> Column:
+        return F.transform(v, lambda x, i: sum((F.get(p, i + k) * (w / total) for k, w in enumerate(weights)), F.lit(0.0)))
 
-    return F.transform(v, lambda x, i: sum((at(i, k) * (w / total) for k, w in zip(range(-reach, reach + 1), weights)), F.lit(0.0)))
+    return bound(padded, over)
 
 
 def down_up(v: Column, scale: float, *seed) -> Column:
     """Means of blocks of round(1 / scale) positions, repeated to the old length."""
     block = max(1, round(1 / scale))
 
-    def mean(i: Column) -> Column:
-        part = F.slice(v, (F.floor(i / block) * block + 1).cast("int"), F.lit(block))
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(part))
+    def mean(k: Column) -> Column:
+        return bound(F.slice(v, k * block + 1, F.lit(block)), lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part))
 
-    return F.transform(v, lambda x, i: mean(i))
+    means = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), mean)
+    return F.when(F.size(v) > 0, bound(means, lambda m: F.transform(v, lambda x, i: F.get(m, F.floor(i / block).cast("int"))))).otherwise(v)
 
 
 def noise(v: Column, sigma: float, *seed) -> Column:
@@ -78,15 +79,17 @@ def noise(v: Column, sigma: float, *seed) -> Column:
     return F.transform(v, lambda x, i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x + 2 * sigma * normal(*seed, i))))
 
 
+def _factor(spread: float, *seed) -> Column:
+    return 1 - spread + 2 * spread * uniform(*seed, "factor")
+
+
 def brightness(v: Column, spread: float, *seed) -> Column:
-    factor = 1 - spread + 2 * spread * uniform(*seed, "factor")
-    return F.transform(v, lambda x: x * factor)
+    return bound(_factor(spread, *seed), lambda factor: F.transform(v, lambda x: x * factor))
 
 
 def contrast(v: Column, spread: float, *seed) -> Column:
-    factor = 1 - spread + 2 * spread * uniform(*seed, "factor")
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(v))
-    return F.transform(v, lambda x: mean + (x - mean) * factor)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    return bound(mean, lambda m: bound(_factor(spread, *seed), lambda factor: F.transform(v, lambda x: m + (x - m) * factor)))
 
 
 def centre_crop(v: Column, keep: float, *seed) -> Column:
@@ -126,9 +129,8 @@ def sweep(samples: DataFrame, seed: int, conditions: Sequence[tuple] = SWEEP, ve
     One broadcast join and one projection; samples are dealt out before they multiply.
     """
     spark = samples.sparkSession
-    rows = samples_by_conditions(samples, catalogue(spark, conditions))
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    out = None
+    rows = samples_by_conditions(samples.withColumn(vector, F.col(vector).cast("array<double>")), catalogue(spark, conditions))
+    v, out = F.col(vector), None
     for name, param, value in conditions:
         kernel = named(_kernel_of(name, param))
         parts = (seed, name, param, F.col(id_col))
@@ -140,9 +142,8 @@ def sweep(samples: DataFrame, seed: int, conditions: Sequence[tuple] = SWEEP, ve
 
 def probe(samples: DataFrame, seed: int, vector: str = "features", id_col: str = "sample_id") -> DataFrame:
     """Every sample at every step of the probe sweeps; step 0 is the identity, downscaling never upsamples."""
-    rows = samples_by_conditions(samples, probe_catalogue(samples.sparkSession))
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    out = None
+    rows = samples_by_conditions(samples.withColumn(vector, F.col(vector).cast("array<double>")), probe_catalogue(samples.sparkSession))
+    v, out = F.col(vector), None
     for name, steps in PROBES:
         for step, value in enumerate(steps):
             parts = (seed, name, step, F.col(id_col))
@@ -174,7 +175,7 @@ def augmented(samples: DataFrame, seed: int, p: float = 0.5, num: int = 2, names
     order = F.array_sort(F.array(*(F.struct(hash_order(seed, "order", F.lit(n), sample).alias("h"), F.lit(n).alias("n")) for n in names)))
     drawn = F.slice(F.transform(order, lambda s: s["n"]), 1, num)
     applied = F.when(uniform(seed, "gate", sample) < p, drawn).otherwise(F.array().cast("array<string>"))
-    rows = samples.withColumn("applied", applied).withColumn(vector, F.transform(F.col(vector), lambda x: x.cast("double")))
+    rows = samples.withColumn("applied", applied).withColumn(vector, F.col(vector).cast("array<double>"))
     for k in range(num):
         v, pick, out = F.col(vector), F.get(F.col("applied"), F.lit(k)), None
         for n in names:
@@ -191,9 +192,9 @@ def augmented(samples: DataFrame, seed: int, p: float = 0.5, num: int = 2, names
 def legacy(samples: DataFrame, seed: int, p: float = 0.5, vector: str = "features", id_col: str = "sample_id") -> DataFrame:
     """With probability p one of the older corruptions, drawn evenly; `applied` names it, or is null."""
     sample = F.col(id_col)
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    v = F.col(vector)
     pick = F.when(uniform(seed, "gate", sample) < p, F.floor(uniform(seed, "pick", sample) * len(LEGACY)))
-    rows = samples.withColumn("__pick", pick)
+    rows = samples.withColumn("__pick", pick).withColumn(vector, v.cast("array<double>"))
     out, label = F.when(F.col("__pick").isNull(), v), F.when(F.col("__pick").isNull(), None)
     for i, (name, param, value) in enumerate(LEGACY):
         out = out.when(F.col("__pick") == i, named(_kernel_of(name, param))(v, value, seed, name, sample))

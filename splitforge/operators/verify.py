@@ -121,8 +121,9 @@ def frozen_changes(before: DataFrame, after: DataFrame, path: str = "path", dige
 
 
 def condition_digests(rows: DataFrame, vector: str = "features", keys: Sequence[str] = ("name", "param"), places: int = 6) -> DataFrame:
-    """(keys, n, digest): a digest of each condition's transformed rows that their order doesn't change."""
-    one = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("sample_id").cast("string"), F.array_join(F.transform(vector, lambda x: F.format_number(x, places)), ",")), 256), 1, 12), 16, 10).cast("long")
+    """(keys, n, digest): a digest of each condition's transformed rows, at `places` places, that their order doesn't
+    change. It is a sum of 40-bit hashes of sample and vector."""
+    one = F.shiftrightunsigned(F.xxhash64("sample_id", F.transform(vector, lambda x: F.round(x * 10**places).cast("long"))), 24)
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(one).alias("digest"))
 
 

@@ -173,9 +173,9 @@ def st1_stream_quota(spark, sf_dir):
     return quota.groupBy("key").agg(F.count("*").alias("n"))
 
 
-@plan("""SELECT doc_id AS "group", 'real' AS origin, text AS payload FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL
-UNION ALL SELECT doc_id, 'gen' || i, CASE WHEN i = 2 AND lang = 'en' THEN NULL ELSE lang || i END FROM documents, (SELECT unnest(range(0, 4)) AS i) WHERE doc_id % 20 = 0 AND NOT (i = 2 AND lang = 'en')""")
+@plan("""SELECT doc_id AS "group", 'real' AS origin, text AS payload FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, 'gen' || i, CASE WHEN i = 2 AND lang = 'en' THEN NULL ELSE lang || i END FROM documents, (SELECT unnest(range(0, 4)) AS i) WHERE lang IS NOT NULL AND NOT (i = 2 AND lang = 'en')""")
 def st3_unnested(spark, sf_dir):
-    rows = B.table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    rows = B.table(spark, sf_dir, "documents")
     wide = rows.select(F.col("doc_id").alias("group"), F.col("text").alias("image"), *(F.when(F.lit(i != 2) | (F.col("lang") != "en"), F.concat("lang", F.lit(i))).alias(f"image_gen{i}") for i in range(4)))
     return streams.unnested(wide)

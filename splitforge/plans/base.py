@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share, spark.checkpoint.dir. Where that is unset a
+    temporary folder serves, in local mode only: executors of a cluster couldn't read it."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df written to a new shared path and read again, for a plan that reads them several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def names(spark: SparkSession, column: str, values) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], f"{column} string")
 
@@ -26,7 +49,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("label") >= 5
     return rows.select(
         F.col("vec_id").alias("sample_id"), y.cast("int").alias("label"), F.when(y, F.concat(F.lit("g"), "label")).alias("generator"),
-        F.when(~y, F.concat(F.lit("s"), "label")).alias("source"), F.transform("embedding", lambda x: x.cast("double")).alias("features"),
+        F.when(~y, F.concat(F.lit("s"), "label")).alias("source"), F.col("embedding").cast("array<double>").alias("features"),
     )
 
 

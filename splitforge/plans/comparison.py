@@ -29,7 +29,7 @@ def _rounded(df):
 
 def _table(spark, sf_dir):
     """Metrics of every (model, name, param)."""
-    rows = B.scored(spark, sf_dir).persist()
+    rows = B.stored(B.scored(spark, sf_dir), "scored")
     return metrics.classification(rows, KEYS).join(metrics.roc_auc(rows, KEYS), KEYS)
 
 
@@ -69,12 +69,12 @@ _BUCKETED = "bucketed AS (SELECT *, CASE WHEN size <= 96 THEN '<=96' WHEN size <
 @plan(f"""{_WITH}, {_BUCKETED}, m AS ({B.metrics_sql('bucketed', 'bucket')}), a AS ({B.auc_sql('bucketed', 'bucket')}), r AS (SELECT bucket, avg(p) AS mean_p, avg(CASE WHEN label = 0 THEN pred END) AS fpr, avg(CASE WHEN label = 1 THEN pred END) AS tpr FROM bucketed GROUP BY bucket)
 SELECT m.bucket, tn, fp, fn, tp, n, round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, round(mean_p, 6) AS mean_p, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(roc_auc, 6) AS roc_auc FROM m JOIN a USING (bucket) JOIN r USING (bucket)""")
 def a7_by_size_bucket(spark, sf_dir):
-    return _rounded(metrics.by_bucket(B.scored(spark, sf_dir).persist()))
+    return _rounded(metrics.by_bucket(B.stored(B.scored(spark, sf_dir), "scored")))
 
 
 @plan(f"{_WITH}, {_M} SELECT model, true AS with_clean, count(*) AS n_conditions, round(avg(accuracy), 6) AS mean_accuracy, round(avg(f1), 6) AS mean_f1, round(avg(roc_auc), 6) AS mean_roc_auc FROM t GROUP BY model UNION ALL SELECT model, false, count(*), round(avg(accuracy), 6), round(avg(f1), 6), round(avg(roc_auc), 6) FROM t WHERE name <> 'clean' GROUP BY model")
 def a10_macro_means(spark, sf_dir):
-    table = _table(spark, sf_dir).persist()
+    table = B.stored(_table(spark, sf_dir), "metrics")
     both = [_rounded(metrics.macro_mean(table, ["accuracy", "f1", "roc_auc"], with_clean=w).withColumn("with_clean", F.lit(w))) for w in (True, False)]
     return both[0].unionByName(both[1])
 
@@ -169,7 +169,7 @@ _R5M = f"m AS ({B.metrics_sql('scored', 'model')}), a AS ({B.auc_sql('scored', '
   CASE WHEN n IS NULL THEN 'missing' ELSE 'ok' END AS status, round(accuracy - (SELECT accuracy FROM m WHERE model = 'baseline'), 6) AS accuracy_delta FROM expected e LEFT JOIN m USING (model) LEFT JOIN a USING (model) LEFT JOIN r USING (model)""")
 def r5_generalisation(spark, sf_dir):
     expected = B.names(spark, "model", ("baseline", "robust", "not there"))
-    return _rounded(compare.generalisation(expected, B.scored(spark, sf_dir).persist(), "baseline"))
+    return _rounded(compare.generalisation(expected, B.stored(B.scored(spark, sf_dir), "scored"), "baseline"))
 
 
 @plan(f"{_WITH}, {_CURVES} SELECT cohort, sweep, step, round(max(CASE WHEN model = 'baseline' THEN mean_p END), 6) AS baseline, round(max(CASE WHEN model = 'robust' THEN mean_p END), 6) AS robust FROM curves GROUP BY ALL")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitforge.operators import corrupt, images, joins, metrics, verify
 from splitforge.plans import base as B
+from splitforge.plans.base import scratch
 from splitforge.sources import readers, writers
 from splitforge.streaming import streams
 
@@ -24,12 +22,6 @@ def plan(sql: str | None = None):
     return put
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one where none is set."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @plan("SELECT 'documents' AS name, true AS found UNION ALL SELECT 'labels', true UNION ALL SELECT 'no such table', false")
 def src1_file_scan(spark, sf_dir):
     found = readers.files(spark, sf_dir, ("parquet",)).select(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("name")).distinct().withColumn("found", F.lit(True))
@@ -66,27 +58,34 @@ def snk4_metric_table(spark, sf_dir):
     return readers.metric_table(spark, f"{path}.csv", keys)
 
 
-@plan("SELECT l_linenumber AS epoch, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_linenumber")
+@plan("SELECT l_linenumber AS epoch, count(*) AS n FROM lineitem GROUP BY l_linenumber")
 def snk5_append_log(spark, sf_dir):
+    """One append for each line number there is, in order, as a training loop logs its epochs; the rows are counted once."""
     path = scratch(spark, "log")
-    rows = B.table(spark, sf_dir, "lineitem")
-    for epoch in (1, 2, 3):
-        writers.append_log(rows.where(F.col("l_linenumber") == epoch).groupBy(F.col("l_linenumber").cast("int").alias("epoch")).agg(F.count("*").alias("n")), path)
+    counts = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("epoch")).agg(F.count("*").alias("n"))
+    for row in counts.orderBy("epoch").toLocalIterator():
+        writers.append_log(spark.createDataFrame([row], counts.schema), path)
     return spark.read.csv(path, header=True, schema="epoch int, n long")
 
 
-@plan("SELECT 'altered' AS change, 1 AS n")
+def _folder_digests(spark, path: str) -> DataFrame:
+    """(path, digest) of each partition folder, from the digests of its files."""
+    rows = readers.snapshot(spark, path).where(F.col("path").endswith(".parquet"))
+    one = F.conv(F.substring("digest", 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(F.regexp_extract("path", "/(source=[^/]*)/[^/]*$", 1).alias("path")).agg(F.concat_ws("-", F.count("*"), F.sum(one)).alias("digest"))
+
+
+@plan("SELECT CASE WHEN source = 'src1' THEN 'altered' WHEN source = 'src2' THEN 'added' END AS change, count(DISTINCT source) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY ALL")
 def v6_frozen_artefacts(spark, sf_dir):
-    """A table is written, its digests are taken, it is written again with one row more, and the change is found."""
+    """The documents are written by source, all but src2, and the digests of their files are taken; src1 is written again
+    with other texts and src2 is added; the changes are found."""
     path = scratch(spark, "frozen")
-    rows = B.table(spark, sf_dir, "nation").coalesce(1)
-    first = scratch(spark, "digests")
-    rows.write.parquet(path)
-    name = F.lit("nation")
-    readers.snapshot(spark, path).where(F.col("path").endswith(".parquet")).select(name.alias("path"), "digest").write.parquet(first)
-    rows.unionByName(rows.limit(1)).coalesce(1).write.mode("overwrite").parquet(path)
-    after = readers.snapshot(spark, path).where(F.col("path").endswith(".parquet")).select(name.alias("path"), "digest")
-    return verify.frozen_changes(spark.read.parquet(first), after).groupBy("change").agg(F.count("*").cast("int").alias("n"))
+    rows = B.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows.where("source != 'src2'").write.partitionBy("source").parquet(path)
+    before = B.stored(_folder_digests(spark, path), "digests")
+    later = rows.where("source = 'src1'").withColumn("text", F.upper("text")).unionByName(rows.where("source = 'src2'"))
+    later.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    return verify.frozen_changes(before, _folder_digests(spark, path)).groupBy("change").agg(F.count("*").alias("n"))
 
 
 def _events(spark, sf_dir):
@@ -106,9 +105,15 @@ def _ended(spark, df: DataFrame, name: str) -> DataFrame:
 @plan("SELECT event_type AS key, least(2 * count(*), CASE event_type WHEN 'click' THEN 40 ELSE 15 END) AS n FROM events GROUP BY event_type")
 def st1_stateful_quota(spark, sf_dir):
     """Every event comes twice; the stream lets pass 40 clicks and 15 of each other type."""
+    # State of this kind needs this provider; the session's own is set again when the stream has ended.
     provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _ended(spark, streams.stream_quota(_events(spark, sf_dir), {"click": 40}, 15), "quota").groupBy("key").agg(F.count("*").alias("n"))
+    try:
+        kept = _ended(spark, streams.stream_quota(_events(spark, sf_dir), {"click": 40}, 15), "quota")
+    finally:
+        spark.conf.set(provider, before)
+    return kept.groupBy("key").agg(F.count("*").alias("n"))
 
 
 @plan("SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type")

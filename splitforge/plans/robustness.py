@@ -121,8 +121,13 @@ for _id, _name in (("c3_compress", "jpeg"), ("c4_blur", "blur"), ("c5_down_up",
 
 @plan(f"{_SWEEP} SELECT name, param, count(*) // 64 AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 5) AS spread FROM swept GROUP BY ALL")
 def c2_sweep(spark, sf_dir):
-    rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED).select("sample_id", "name", "param", F.explode("features").alias("v"))
-    return rows.groupBy("name", "param").agg((F.count("*") / 64).cast("long").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("spread"))
+    rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate("features", start, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+    # Each vector is summed where it is; nothing is exploded.
+    rows = rows.select("name", "param", F.size("features").alias("k"), sums.alias("sums"))
+    mean, square = F.sum("sums.s") / F.sum("k"), F.sum("sums.q") / F.sum("k")
+    return rows.groupBy("name", "param").agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), 5).alias("spread"))
 
 
 _NAMES = tuple(corrupt.BANKS)
@@ -172,11 +177,12 @@ def c13_capped_dimensions(spark, sf_dir):
     return corrupt.capped_dimensions(rows, 512).select("p_partkey", "w", "h")
 
 
-@plan(f"{_SWEEP} SELECT name, param, count(*) // 64 AS n FROM swept WHERE name IN ('clean', 'jpeg') GROUP BY ALL")
+@plan(f"WITH {_CATALOGUE} SELECT name, param, (SELECT count(*) FROM embeddings) AS n FROM catalogue")
 def v7_reproducible_digests(spark, sf_dir):
-    samples, conditions = B.vectors(spark, sf_dir).select("sample_id", "features"), tuple(c for c in corrupt.SWEEP if c[0] in ("clean", "jpeg"))
-    first = verify.condition_digests(corrupt.sweep(samples, SEED, conditions))
-    second = verify.condition_digests(corrupt.sweep(samples.repartition(5), SEED, conditions))
+    """The conditions of the sweep, all of which give the same digests when the samples are dealt otherwise."""
+    samples = B.vectors(spark, sf_dir).select("sample_id", "features")
+    first = verify.condition_digests(corrupt.sweep(samples, SEED))
+    second = verify.condition_digests(corrupt.sweep(samples.repartition(5), SEED))
     return first.join(verify.not_reproduced(first, second), ["name", "param"], "left_anti").select("name", "param", "n")
 
 
@@ -218,14 +224,14 @@ _MARGINS = "SELECT x.sample_id, '{m}' AS model, round(sum((v.features[x.i + 1] -
 
 @plan(f"WITH {B.VECTORS}, {_MODELS} {_MARGINS.format(m='baseline', m0='base')} UNION ALL {_MARGINS.format(m='robust', m0='robust')}")
 def m4_batch_scores(spark, sf_dir):
-    rows = _train(spark, sf_dir).persist()
+    rows = B.stored(_train(spark, sf_dir), "samples")
     first, second = _models(rows.where("split = 'train'"))
     scored = score.score(rows.where("split = 'test'"), first.unionByName(second))
     return scored.select("sample_id", "model", F.round("margin", 6).alias("margin"))
 
 
 def _probe(spark, sf_dir):
-    rows = _train(spark, sf_dir).select("sample_id", "label", "features", "split").persist()
+    rows = B.stored(_train(spark, sf_dir).select("sample_id", "label", "features", "split"), "samples")
     return score.linear_probe(rows.where("split = 'train'")), rows
 
 
@@ -243,15 +249,12 @@ def m5_diagnostic_scores(spark, sf_dir):
 
 @plan()
 def m6_best_candidate(spark, sf_dir):
-    rows = _train(spark, sf_dir).select("sample_id", "label", "features", "split").persist()
+    rows = B.stored(_train(spark, sf_dir).select("sample_id", "label", "features", "split"), "samples")
     return score.best_candidate(score.candidate_log(rows.where("split = 'train'"), rows.where("split = 'val'"), (0.3, 0.1, 0.01)))
 
 
 # Flagship: how much accuracy the scorers keep under each corruption
 
-_KEPT = (("clean", "-", None), ("jpeg", "q90", 90.0), ("jpeg", "q30", 30.0), ("resize", "scale0.5", 0.5), ("color_jitter", "saturation_pm20", 0.2))
-
-
 def _summary_sql(conditions) -> str:
     values = ", ".join(f"('{n}', '{p}')" for n, p, _ in conditions)
     swept = " ".join(f"WHEN name = '{n}' AND param = '{p}' THEN {_kernel_sql(n, p, v)}" for n, p, v in conditions)
@@ -269,20 +272,28 @@ def _summary_sql(conditions) -> str:
 
 def _summary(spark, sf_dir, conditions):
     """Split, fit two centroid scorers on train, corrupt the other samples, score and compare."""
-    rows = _train(spark, sf_dir).persist()
+    rows = B.stored(_train(spark, sf_dir), "samples")
     first, second = _models(rows.where("split = 'train'"))
     swept = corrupt.sweep(rows.where("split != 'train'").select("sample_id", "label", "features"), SEED, conditions)
-    table = robustness_summary(score.score(swept, first.unionByName(second)).persist())
+    table = robustness_summary(B.stored(score.score(swept, first.unionByName(second)).drop("features"), "scored"))
     return table.select(*(C.rounded(c).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes))
 
 
-@plan(_summary_sql(_KEPT))
+@plan(_summary_sql(corrupt.SWEEP))
 def r4_robustness_summary(spark, sf_dir):
-    """The summary of five of the conditions."""
-    return _summary(spark, sf_dir, _KEPT)
+    """The summary of all conditions of the sweep."""
+    return _summary(spark, sf_dir, corrupt.SWEEP)
+
+
+@plan(f"""SELECT model, count(*) AS conditions, round(avg(accuracy), 5) AS accuracy, round(avg(f1), 5) AS f1, round(avg(roc_auc), 5) AS roc_auc, round(avg(accuracy_retention), 5) AS accuracy_retention, round(avg(f1_retention), 5) AS f1_retention,
+  CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ({_summary_sql(corrupt.SWEEP)}) GROUP BY model""")
+def r4_sweep_means(spark, sf_dir):
+    """The means of the summary over all conditions, and the errors summed."""
+    means = [F.round(F.avg(c), 5).alias(c) for c in ("accuracy", "f1", "roc_auc", "accuracy_retention", "f1_retention")]
+    return _summary(spark, sf_dir, corrupt.SWEEP).groupBy("model").agg(F.count("*").alias("conditions"), *means, F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
 @plan(_summary_sql(corrupt.SWEEP))
 def r4_whole_sweep(spark, sf_dir):
-    """The summary of all conditions of the sweep."""
+    """The summary of all conditions under the name that it was first registered with."""
     return _summary(spark, sf_dir, corrupt.SWEEP)

@@ -58,11 +58,9 @@ def a9_class_counts(spark, sf_dir):
 
 def _defects(spark, sf_dir):
     """Splits with planted defects: a sample in two splits, one twice, one blank generator, held-out keys moved about."""
-    rows = B.splits(spark, sf_dir)
-    more = rows.where("sample_id = 11").withColumn("split", F.lit("val")).unionByName(rows.where("sample_id = 11").withColumn("split", F.lit("train")))
-    twice = rows.where("sample_id = 20")
-    rows = rows.withColumn("generator", F.when(F.col("sample_id") == 30, "").otherwise(F.col("generator")))
-    return rows.where("sample_id NOT IN (11)").unionByName(more).unionByName(twice)
+    rows = B.splits(spark, sf_dir).withColumn("generator", F.when(F.col("sample_id") == 30, "").otherwise(F.col("generator")))
+    copies = F.when(F.col("sample_id") == 11, F.array(F.lit("val"), F.lit("train"))).when(F.col("sample_id") == 20, F.array("split", "split")).otherwise(F.array("split"))
+    return B.stored(rows.withColumn("split", F.explode(copies)), "defects")
 
 
 _DEFECTS = """defects AS (SELECT sample_id, label, CASE WHEN sample_id = 30 THEN '' ELSE generator END AS generator, source, content_hash, "group", split FROM splits WHERE sample_id <> 11
@@ -87,7 +85,7 @@ _SIZES = "SELECT split AS e FROM (SELECT split, count(*) AS n, sum(count(*)) OVE
 
 @plan(f"{_WITH}, {_DEFECTS} {_pairs_sql('defects', 'sample_id', 'overlap')} UNION ALL {_finding_sql('duplicate in split', _DUPLICATES)} UNION ALL {_finding_sql('class balance', _BALANCE, 'warning')} UNION ALL {_finding_sql('split size', _SIZES, 'warning')}")
 def v1_split_report(spark, sf_dir):
-    return _flat(verify.split_report(_defects(spark, sf_dir).persist(), targets={"train": 0.7, "val": 0.15, "test": 0.15}))
+    return _flat(verify.split_report(_defects(spark, sf_dir), targets={"train": 0.7, "val": 0.15, "test": 0.15}))
 
 
 _SEEN = "SELECT sample_id AS e FROM defects WHERE split <> 'test' AND ((label = 1 AND generator IN ('g8', 'g9')) OR (label = 0 AND source IN ('s4')))"
@@ -97,7 +95,7 @@ _BLANK = "SELECT sample_id AS e FROM defects WHERE label = 1 AND trim(coalesce(g
 
 @plan(f"{_WITH}, {_DEFECTS} {_pairs_sql('defects', 'sample_id', 'overlap')} UNION ALL {_pairs_sql('defects', 'content_hash', 'content overlap')} UNION ALL {_finding_sql('duplicate in split', _DUPLICATES)} UNION ALL {_finding_sql('blank generator', _BLANK)} UNION ALL {_finding_sql('held out in training', _SEEN)} UNION ALL {_finding_sql('held out missing in final', _ABSENT)}")
 def v2_independent_report(spark, sf_dir):
-    return _flat(verify.independent_report(_defects(spark, sf_dir).persist(), *_held(spark)))
+    return _flat(verify.independent_report(_defects(spark, sf_dir), *_held(spark)))
 
 
 _POOL = "pool AS (SELECT * REPLACE (CASE WHEN split = 'test' THEN 'test' ELSE 'pool' END AS split) FROM defects)"
@@ -109,7 +107,7 @@ _CONFLICT = "SELECT content_hash AS e FROM defects GROUP BY content_hash HAVING
 
 @plan(f"{_WITH}, {_DEFECTS}, {_POOL} {_pairs_sql('pool', 'sample_id', 'overlap')} UNION ALL {_pairs_sql('pool', 'content_hash', 'content overlap')} UNION ALL {_finding_sql('held out in training', _SEEN)} UNION ALL {_finding_sql('duplicate in split', _DUPLICATES)} UNION ALL {_finding_sql('final split of one class', _ONE_CLASS)} UNION ALL {_finding_sql('thin generator', _THIN, 'warning')} UNION ALL {_finding_sql('group_overlap', _STRADDLE, 'warning')} UNION ALL {_finding_sql('label_conflict', _CONFLICT, 'warning')}")
 def v3_leakage_report(spark, sf_dir):
-    return _flat(verify.leakage_report(_defects(spark, sf_dir).persist(), *_held(spark), least=40))
+    return _flat(verify.leakage_report(_defects(spark, sf_dir), *_held(spark), least=40))
 
 
 @plan(f"{_WITH} SELECT generator, count(*) AS available, CAST(least(count(*), 45, floor(230 / (SELECT count(DISTINCT generator) FROM splits))) AS BIGINT) AS quota, least(count(*), 45, floor(230 / (SELECT count(DISTINCT generator) FROM splits))) < 45 AS short FROM splits WHERE label = 1 GROUP BY generator")
@@ -124,5 +122,5 @@ def v5_thin_generators(spark, sf_dir):
 
 @plan(f"{_WITH}, {_DEFECTS} SELECT false AS allowed, 'blank generator,duplicate in split' AS blocked_by FROM (SELECT 1) WHERE ({_BLANK.replace('SELECT sample_id AS e', 'SELECT count(*)')}) > 0 AND (SELECT count(*) FROM ({_DUPLICATES})) > 0")
 def v9_gate(spark, sf_dir):
-    found = verify.independent_report(_defects(spark, sf_dir).persist(), *_held(spark))
+    found = verify.independent_report(_defects(spark, sf_dir), *_held(spark))
     return verify.gate(found, ["blank generator", "duplicate in split", "no such check"]).withColumn("blocked_by", F.array_join("blocked_by", ","))
