@@ -43,14 +43,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for every span, by one prefix sum over the whole array."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first i values, each times its power of the base, for every i; for span_hashes()."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=total[1:])
+    return total
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of values[s:e] for every span, by one prefix sum over the whole array (`total`, where it is known)."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    total = prefix_sums(values) if total is None else total
+    return mix((total[ends] - total[starts]) * powers(len(values) + 1)[1][starts])
 
 
 def spread(values: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +113,8 @@ class Words:
         self.starts = np.flatnonzero(solid & (~before | edge[:-1]))
         self.ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.values = BYTE_VALUE[data]
-        self.hashes = span_hashes(self.values, self.starts, self.ends)
+        self.total = prefix_sums(self.values)
+        self.hashes = span_hashes(self.values, self.starts, self.ends, self.total)
         self.rows = np.searchsorted(self.starts, self.offsets)
 
 

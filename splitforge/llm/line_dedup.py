@@ -1,10 +1,13 @@
-"""Removal of passages that repeat across documents, by winnowed runs of words.
+"""Removal of passages that repeat across documents, by content-defined chunks of lines.
 
-Every run of about half of MIN_WORDS words has a hash of its bytes; those that are least among their neighbours are the
-chunks of a text. The choice depends on the words around alone, and any passage of MIN_WORDS words holds a chunk chosen
-within it, wherever it stands and however it is cut into lines. A chunk found before (in an earlier document, or earlier
-in the same) is held against its first occurrence byte by byte and extended from there, word by word in both
-directions; runs of at least MIN_WORDS such words are removed, the first occurrence of everything stays.
+A line ends at a line break and, since prose has few of them, after each word whose hash is the least among its
+neighbours. A rolling hash over the hashes of several lines chooses chunk boundaries: the places where it is least among
+the lines around. Both choices depend on nearby words alone, so a passage has the same lines and chunks wherever it
+stands, and one of `least` words and more holds a whole chunk at least, however it lies in the text.
+
+Chunks found in an earlier document (or earlier in the same) put the two texts on a diagonal: a pair of documents and the
+distance between their places. Along each diagonal the bytes of both are compared, and runs of at least `least` equal
+words are removed. The first occurrence of everything stays, and whatever goes stands in one piece in an earlier text.
 """
 
 from __future__ import annotations
@@ -22,9 +25,23 @@ from splitforge.llm.shared import bounded_batches
 
 #: Words of a repeated run that is removed, at least.
 MIN_WORDS = 25
+#: Words of a line at most.
+WRAP = 2
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
+def shape(least: int) -> tuple[int, int]:
+    """(lines of a chunk, neighbouring places of which one begins a chunk), so that `least` equal words hold a chunk.
+
+    Of n words all but 4 * WRAP - 3 at the edges lie in lines that the words around the passage don't change.
+    """
+    lines = (least - 4 * WRAP + 3 + WRAP - 1) // WRAP
+    if lines < 3:
+        raise ValueError(f"runs of {least} words are too short to be found")
+    size = max(2, 2 * lines // 5)
+    return size, lines - size + 1
+
+
 def _slid(values: np.ndarray, size: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) of values[i : i + size] for every i of which so many follow."""
     out, have = values, 1
@@ -35,219 +52,234 @@ def _slid(values: np.ndarray, size: int, best) -> np.ndarray:
     return out
 
 
-class Chunks:
-    """The chunks of a batch of texts that any run of `least` equal words has in common: row, first word, byte span, a
-    hash of its bytes, and of a chunk that stands in its text before the place of the first such one (else -1)."""
-
-    def __init__(self, texts: pa.Array, least: int = MIN_WORDS):
-        words = flat.Words(texts, lower=False)
-        self.size = max(least // 2, 1)
-        self.window = max(least - self.size + 1, 1)
-        self.starts, self.ends, self.word_rows = words.starts, words.ends, words.rows
-        n = len(words.starts) - self.size + 1
-        at, self.key = np.empty(0, np.int64), np.empty(0, np.int64)
-        if n >= self.window:
-            hashes = flat.span_hashes(words.values, words.starts[:n], words.ends[self.size - 1 :])
-            lows = _slid(hashes, self.window, np.minimum)
-            # A window that runs over the end of its text counts as 0, so no hash is equal to it.
-            lows[np.arange(len(lows)) + least > np.repeat(words.rows[1:], np.diff(words.rows))[: len(lows)]] = 0
-            edge = np.zeros(self.window - 1, np.uint64)
-            at = np.flatnonzero((_slid(np.concatenate([edge, lows, edge]), self.window, np.maximum) == hashes) & (hashes > 0))
-            self.key = hashes[at].view(np.int64)
-        self.word = at
-        self.row = np.searchsorted(words.rows, at, "right") - 1
-        self.rows = np.searchsorted(self.row, np.arange(len(texts) + 1))
-        self.raw, self.offsets = words.raw, words.offsets
-        order = np.lexsort((self.key, self.row))
-        same = np.zeros(len(order), bool)
-        same[1:] = (self.row[order][1:] == self.row[order][:-1]) & (self.key[order][1:] == self.key[order][:-1])
-        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-        self.before = np.full(len(self.key), -1)
-        self.before[order[same]] = first[same]
-
-    def surroundings(self, at: int) -> tuple[int, int, int]:
-        """The bytes (from, to) of a chunk and the words of its text around it, and where in them the chunk begins."""
-        row, word = self.row[at], self.word[at]
-        low = max(self.word_rows[row], word - self.window)
-        high = min(self.word_rows[row + 1], word + self.size + self.window)
-        return int(self.starts[low]), int(self.ends[high - 1]), int(self.starts[word] - self.starts[low])
-
-
-def _numbered(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, id) of the distinct chunks of every row with an id."""
+def _least_around(values: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Which values are the least of some `window` neighbours of their row; ends: the end of the row of each value."""
+    if len(values) < window:
+        return np.zeros(len(values), bool)
+    lows = _slid(values, window, np.minimum).copy()
+    # A window that runs over the end of its row counts as 0, and no value is equal to it.
+    lows[np.arange(len(lows)) + window > ends[: len(lows)]] = 0
+    edge = np.zeros(window - 1, np.uint64)
+    return (_slid(np.concatenate([edge, lows, edge]), window, np.maximum) == values) & (values > 0)
+
+
+def chunks(texts: pa.Array, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, first byte, first byte of the same chunk before it in its text, or -1) of the chunks of a batch."""
+    size, window = shape(least)
+    words = flat.Words(texts, lower=False)
+    n = len(words.starts)
+    none = np.empty(0, np.int64)
+    if not n:
+        return none, none, none, none
+    rows = words.rows
+    owner_end = np.repeat(rows[1:], np.diff(rows))
+    breaks = np.zeros(len(words.raw) + 1, np.int64)
+    np.cumsum(words.raw == 10, out=breaks[1:])
+    ends = _least_around(words.hashes, owner_end, WRAP)
+    ends[:-1] |= breaks[words.starts[1:]] > breaks[words.ends[:-1]]
+    ends[rows[1:][np.diff(rows) > 0] - 1] = True
+    last = np.flatnonzero(ends)
+    first = np.concatenate([[0], last[:-1] + 1])
+    lines = flat.span_hashes(words.hashes, first, last + 1)
+    line_rows = np.searchsorted(first, rows)
+    m = len(lines) - size + 1
+    if m < 1:
+        return none, none, none, none
+    at = np.arange(m)
+    rolling = flat.span_hashes(lines, at, at + size)
+    # Where a chunk would run over the end of its text there is none.
+    stop = np.repeat(line_rows[1:], np.diff(line_rows))[:m] - size + 1
+    chosen = np.flatnonzero(_least_around(rolling, stop, window) & (at < stop))
+    # What chose the place are hashes of words; the key is one of all bytes of the chunk, white space included.
+    place = words.starts[first[chosen]]
+    key = flat.span_hashes(words.values, place, words.ends[last[chosen + size - 1]], words.total).view(np.int64)
+    row = np.searchsorted(line_rows, chosen, "right") - 1
+    order = np.lexsort((place, key, row))
+    same = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1])
+    before = np.full(len(key), -1)
+    place = place - words.offsets[row]
+    before[order[1:][same]] = place[order[:-1][same]]
+    return row, key, place, before
+
+
+def _keys(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(key, id, at, before) of the chunks of every row with an id."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n in flat.slices(batch.column(1)):
-                found = Chunks(batch.column(1).slice(first, n), least)
-                once = found.before < 0
-                ids = batch.column(0).slice(first, n).take(pa.array(found.row[once]))
-                yield pa.record_batch([pa.array(found.key[once]), ids], names=["key", "id"])
+                row, key, at, before = chunks(batch.column(1).slice(first, n), least)
+                ids = batch.column(0).slice(first, n).take(pa.array(row))
+                yield pa.record_batch([pa.array(key), ids, pa.array(at.astype(np.int32)), pa.array(before.astype(np.int32))], names=["key", "id", "at", "before"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}")
+    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, at int, before int")
 
 
-def _unpacked(texts: pa.Array) -> pa.Array:
-    coder = zstandard.ZstdDecompressor()
-    return pa.array([None if t is None else coder.decompress(t) for t in texts.to_pylist()], pa.large_string())
+def diagonals(keys: DataFrame) -> DataFrame:
+    """(id, first, shift, low, high): for each document and each earlier one that chunks of it stand in (or itself), the
+    distances between the places, and from where to where in the document its chunks have that distance.
 
+    A chunk is held against its first occurrence in the least id, a repetition within a document against the one before.
+    Sums over a key are combined before the shuffle, and rows of a common key are split like any skewed join.
+    """
+    known = keys.groupBy("key").agg(F.min(F.struct("id", "at")).alias("place"), F.max("id").alias("last"), F.max("before").alias("inner"))
+    known = known.where("place.id < last OR inner >= 0").select("key", "place")
+    other = F.when(F.col("before") >= 0, F.struct(F.col("id").alias("first"), F.col("before").alias("at"))).when(F.col("id") > F.col("place.id"), F.struct(F.col("place.id").alias("first"), F.col("place.at").alias("at")))
+    pairs = keys.join(known, "key").select("id", "at", other.alias("other")).where("other IS NOT NULL")
+    pairs = pairs.select("id", "other.first", (F.col("other.at") - F.col("at")).alias("shift"), "at")
+    return pairs.groupBy("id", "first", "shift").agg(F.min("at").alias("low"), F.max("at").alias("high"))
 
-def repeated(df: DataFrame, packed: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, found array<struct<key, at, near>>): of each document the chunks that a document of lesser id has.
 
-    Keys that stand in several documents are found from hashes alone; near are the bytes around the first occurrence of
-    the key, in which it begins at `at`. They are taken from `packed`, df with compressed texts; its shuffle by id is
-    the one that brings the results to the texts. Sums over a key are combined before the shuffle.
-    """
-    kind = dict(df.dtypes)[id_col]
-    keys = _numbered(df, id_col, text_col, least)
-    firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    wanted = firsts.groupBy(F.col("first").alias("__id")).agg(F.collect_list("key").alias("__keys"))
-    at, own = packed.columns.index(text_col), packed.columns.index(id_col)
+def _bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) byte of the words of a text."""
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = ~flat.IS_SPACE[raw]
+    step = np.diff(solid)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(len(packed_names))
-            batch = batch.filter(keys.is_valid())
-            keys = batch.column(len(packed_names))
-            whole = _unpacked(batch.column(at))
-            for first, n in flat.slices(whole):
-                found = Chunks(whole.slice(first, n).cast(pa.string()), least)
-                raw = found.raw.tobytes()
-                hits = [found.rows[i] + np.flatnonzero((found.before[a:b] < 0) & np.isin(found.key[a:b], np.asarray(keys[first + i].values, np.int64))) for i, (a, b) in enumerate(zip(found.rows[:-1], found.rows[1:]))]
-                hits = np.concatenate(hits).astype(np.int64)
-                near = [found.surroundings(h) for h in hits.tolist()]
-                ids = batch.column(own).slice(first, n).take(pa.array(found.row[hits]))
-                yield pa.record_batch([pa.array(found.key[hits]), ids, pa.array([x[2] for x in near], pa.int32()), pa.array([raw[a:b] for a, b, _ in near], pa.binary())], names=["key", "first", "at", "near"])
-
-    packed_names = packed.columns
-    # A left join whose rows without keys are dropped in Python leaves the shuffle of `packed` as the last join has it.
-    known = packed.join(wanted, F.col(id_col) == F.col("__id"), "left").select(*packed_names, "__keys")
-    known = bounded_batches(known).mapInArrow(work, f"key long, first {kind}, at int, near binary")
-    # Rows of one id may give a key several surroundings; one of them is held against.
-    known = known.groupBy("key").agg(F.min(F.struct("first", "at", "near")).alias("place"))
-    later = keys.join(known, "key").where("id > place.first")
-    return later.groupBy("id").agg(F.collect_list(F.struct("key", "place.at", "place.near")).alias("found"))
-
-
-def _equal(a: bytes, b: bytes, order: str) -> int:
-    """How many bytes two strings have in common at their begin ("big") or end ("little")."""
-    n = min(len(a), len(b))
-    a, b = (a[:n], b[:n]) if order == "big" else (a[len(a) - n :], b[len(b) - n :])
-    return n if a == b else n - (-(-(int.from_bytes(a, order) ^ int.from_bytes(b, order)).bit_length() // 8))
-
-
-def _matched(found: Chunks, raw: bytes, row: int, at: int, near: bytes, inside: int) -> tuple[int, int] | None:
-    """The bytes (from, to) around a chunk that equal those around its first occurrence, in whole words there; they
-    may begin or end within a word of the text itself. None if the chunk differs."""
-    begin, end = int(found.starts[found.word[at]]), int(found.ends[found.word[at] + found.size - 1])
-    after = inside + end - begin
-    if raw[begin:end] != near[inside:after]:
-        return None
-    low, high = int(found.offsets[row]), int(found.offsets[row + 1])
-    left = _equal(raw[max(low, begin - inside) : begin], near[:inside], "little")
-    right = _equal(raw[end : min(high, end + len(near) - after)], near[after:], "big")
-    # Words that end on the edge of what is equal may go on in the first occurrence.
-    if 0 < left < inside and near[inside - left - 1] not in _SPACE:
-        left -= 1
-    if 0 < right < len(near) - after and near[after + right] not in _SPACE:
-        right -= 1
-    return begin - left, end + right
-
-
-def removed_runs(found: Chunks, raw: bytes, row: int, places: dict[int, tuple[int, bytes]], least: int) -> list[tuple[int, int, int]]:
-    """(first byte, last byte, words) of the runs of a text that go: what equals the surroundings of the places, or of
-    chunks that came before in it."""
-    spans = []
-    for at in range(int(found.rows[row]), int(found.rows[row + 1])):
-        if (place := places.get(int(found.key[at]))) is not None:
-            spans.append(_matched(found, raw, row, at, place[1], place[0]))
-        if (before := int(found.before[at])) >= 0:
-            a, b, inside = found.surroundings(before)
-            spans.append(_matched(found, raw, row, at, raw[a:b], inside))
-    spans = np.array([s for s in spans if s], np.int64).reshape(-1, 2)
-    if not len(spans):
+
+def _widened(bounds: tuple[np.ndarray, np.ndarray], low: int, high: int, by: int) -> tuple[int, int]:
+    """The bytes from `by` words before the word at `low` to as many after the one at `high`."""
+    starts, ends = bounds
+    if not len(starts):
+        return 0, 0
+    i = max(0, int(np.searchsorted(starts, low)) - by)
+    j = min(len(starts) - 1, int(np.searchsorted(starts, high)) + by)
+    return int(starts[min(i, j)]), int(ends[j])
+
+
+def equal_runs(own: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], begin: int, other: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first word, end word) of the runs of at least `least` words of a text that equal `other`, laid at byte `begin`.
+
+    Words are whole in both; `other` begins and ends where words of its text do.
+    """
+    starts, ends = bounds
+    low, high = max(begin, 0), min(begin + len(other), len(own))
+    if high <= low:
         return []
-    begin, end = np.searchsorted(found.starts, spans[:, 0]), np.searchsorted(found.ends, spans[:, 1], "right")
-    order = np.argsort(begin)
-    begin, end = begin[order], np.maximum.accumulate(end[order])
-    fresh = np.concatenate([[True], begin[1:] > end[:-1]])
-    begin, end = begin[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
-    return [(int(found.starts[a]), int(found.ends[b - 1]), int(b - a)) for a, b in zip(begin, end) if b - a >= least]
+    there = other[low - begin : high - begin]
+    equal = np.zeros(high - low + 2, np.int8)
+    equal[1:-1] = own[low:high] == there
+    step = np.diff(equal)
+    out = []
+    for a, b in zip((np.flatnonzero(step == 1) + low).tolist(), (np.flatnonzero(step == -1) + low).tolist()):
+        i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(ends, b, "right"))
+        if j - i < least:
+            continue
+        # A word at the edge of what is equal may go on in the other text.
+        if starts[i] == a > begin and not flat.IS_SPACE[other[a - begin - 1]]:
+            i += 1
+        if ends[j - 1] == b < begin + len(other) and not flat.IS_SPACE[other[b - begin]]:
+            j -= 1
+        if j - i >= least:
+            out.append((i, j))
+    return out
+
+
+def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs, those that overlap or adjoin as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the repeated passages cut out of text_col, and columns removed_runs and removed_words.
 
     White space around a removed run shrinks to what stood before it. Null texts stay null, texts without words and rows
-    without id stay as they are; rows of one id count as one document; all other columns stay. An empty table gives no
-    rows.
+    without id stay as they are; rows of one id count as one document and aren't held against one another; ids may be
+    of any type with an order. All other columns stay, whatever their names; columns removed_runs and removed_words are
+    replaced. An empty table gives no rows.
     """
     shown = [c for c in df.columns if c not in ("removed_runs", "removed_words")]
     at, own = shown.index(text_col), shown.index(id_col)
     kinds = dict(df.dtypes)
-    packed = ", ".join(f"`{c}` {'binary' if c == text_col else kinds[c]}" for c in shown)
+    names = [f"c{i}" for i in range(len(shown))]
+    packed_kinds = ", ".join(f"{n} {'binary' if i == at else kinds[shown[i]]}" for i, n in enumerate(names))
+    id_kind = kinds[id_col]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor()
+        coder = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for first, n in flat.slices(batch.column(at)):
                 part = batch.slice(first, n)
-                texts = pa.array([None if t is None else coder.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(at).to_pylist()], pa.binary())
-                yield pa.record_batch([texts if i == at else part.column(i) for i in range(len(shown))], names=shown)
-
-    # Texts are compressed before the shuffle that brings each to its marks.
-    texts = bounded_batches(df.select(*shown)).mapInArrow(pack, packed)
-    marks = repeated(df, texts, least, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("found", "__found")
-    rows = texts.join(marks, F.col(id_col) == F.col("__id"), "left").select(*shown, "__found")
+                texts = pa.array([None if t is None else coder.compress(t) for t in part.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.record_batch([texts if i == at else part.column(i) for i in range(len(shown))], names=names)
+
+    # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
+    packed = bounded_batches(df.select(*(F.col(c).alias(n) for c, n in zip(shown, names)))).mapInArrow(pack, packed_kinds)
+    lines = diagonals(_keys(df, id_col, text_col, least))
+    # The join keeps null ids apart without a filter, so both joins share the shuffle of `packed`.
+    found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", *names)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor()
+        known, raw, bounds = None, np.empty(0, np.uint8), None
+        for batch in batches:
+            ids, first, shift, low, high = (batch.column(i) for i in range(5))
+            texts = batch.column(5 + at)
+            begins, pieces = [], []
+            for i in range(batch.num_rows):
+                if ids[i].equals(first[i]) or not texts[i].is_valid:
+                    # A repetition within the document needs no other text.
+                    begins.append(None)
+                    pieces.append(None)
+                    continue
+                data = texts[i].as_py()
+                if data != known:
+                    known, raw = data, np.frombuffer(coder.decompress(data), np.uint8)
+                    bounds = _bounds(raw)
+                a, b = _widened(bounds, low[i].as_py() + shift[i].as_py(), high[i].as_py() + shift[i].as_py(), least)
+                begins.append(a - shift[i].as_py())
+                pieces.append(raw[a:b].tobytes())
+            yield pa.record_batch([ids, shift, low, high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "begin", "piece"])
+
+    marks = bounded_batches(found).mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, begin int, piece binary")
+    marks = marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "begin", "piece")).alias("__marks"))
+    rows = packed.hint("merge").join(marks, F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor()
         for batch in batches:
-            whole = _unpacked(batch.column(at))
-            for first, n in flat.slices(whole):
-                part, texts = batch.slice(first, n), whole.slice(first, n).cast(pa.string())
-                marks = part.column(len(shown))
-                runs, gone = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                found = Chunks(texts, least)
-                repeats = np.zeros(n, bool)
-                repeats[found.row[found.before >= 0]] = True
-                marked = np.flatnonzero((np.asarray(marks.is_valid()) | repeats) & np.asarray(part.column(own).is_valid()))
-                if len(marked):
-                    new, data = {}, found.raw.tobytes()
-                    for row in marked.tolist():
-                        places = {}
-                        if marks[row].is_valid:
-                            known = marks[row].values
-                            places = dict(zip(known.field("key").to_pylist(), zip(known.field("at").to_pylist(), known.field("near").to_pylist())))
-                        cuts = removed_runs(found, data, row, places, least)
-                        if cuts:
-                            at_byte, pieces = int(found.offsets[row]), []
-                            for begin, end, words in cuts:
-                                pieces.append(data[at_byte:begin])
-                                at_byte = end
-                                runs[row] += 1
-                                gone[row] += words
-                            pieces.append(data[at_byte : int(found.offsets[row + 1])])
-                            new[row] = _closed(pieces).decode("utf-8", "replace")
-                    if new:
-                        column = texts.to_pylist()
-                        for row, text in new.items():
-                            column[row] = text
-                        texts = pa.array(column, texts.type)
-                columns = [texts if i == at else part.column(i) for i in range(len(shown))]
-                yield pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])
-
-    return bounded_batches(rows).mapInArrow(work, schema)
-
-
-def _closed(pieces: list[bytes]) -> bytes:
-    """The pieces joined; where one ends and the next begins with white space, the former's stays."""
-    out = b""
-    for piece in pieces:
-        out += piece.lstrip(b" \t\n\r\x0b\x0c") if not out or out[-1:] in _SPACE else piece
+            marks, packed_texts = batch.column(len(shown)), batch.column(at).to_pylist()
+            texts, runs, gone = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i, data in enumerate(packed_texts):
+                text = None if data is None else coder.decompress(data)
+                if text and marks[i].is_valid:
+                    raw = np.frombuffer(text, np.uint8)
+                    bounds, cuts = _bounds(raw), []
+                    for mark in marks[i].as_py():
+                        if mark["piece"] is None:
+                            a, b = _widened(bounds, mark["low"] + mark["shift"], mark["high"] + mark["shift"], least)
+                            cuts += equal_runs(raw, bounds, a - mark["shift"], raw[a:b], least)
+                        else:
+                            cuts += equal_runs(raw, bounds, mark["begin"], np.frombuffer(mark["piece"], np.uint8), least)
+                    cuts = _joined(cuts)
+                    runs[i], gone[i] = len(cuts), sum(b - a for a, b in cuts)
+                    text = _without(text, bounds, cuts)
+                texts.append(text)
+            column = pa.array(texts, pa.binary()).cast(pa.string())
+            columns = [column if i == at else batch.column(i) for i in range(len(shown))]
+            yield pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])
+
+    return bounded_batches(rows).mapInArrow(cut, schema)
+
+
+def _without(text: bytes, bounds: tuple[np.ndarray, np.ndarray], cuts: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the cuts; where what stays ends and goes on with white space, the former's stays."""
+    starts, ends = bounds
+    out, at = b"", 0
+    for a, b in [*cuts, (len(starts), len(starts))]:
+        piece = text[at : int(starts[a]) if a < len(starts) else len(text)]
+        out += piece.lstrip(_SPACE) if at and (not out or out[-1:] in _SPACE) else piece
+        at = int(ends[b - 1]) if b else 0
     return out
 
 
