@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitforge.llm import flat
@@ -102,34 +103,67 @@ def chunks(texts: pa.Array, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndar
     return row, key, place, before
 
 
-def _keys(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, id, at, before) of the chunks of every row with an id."""
+def _linked(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a slice of texts tells of its chunks, by the ranks of the texts' ids: (positions of the chunks that stand for
+    their key in the slice, rows of (row, other row, distance, first place, last place) of diagonals within it)."""
+    row, key, at, before = found
+    again = before >= 0
+    own = np.stack([row[again], row[again], (before - at)[again], at[again]])
+    new = np.flatnonzero(~again)
+    order = new[np.lexsort((at[new], rank[row[new]], key[new]))]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = key[order][1:] != key[order][:-1]
+    head = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(order) else order
+    later = rank[row[order]] > rank[row[head]]
+    a, b = order[later], head[later]
+    pairs = np.concatenate([own, np.stack([row[a], row[b], at[b] - at[a], at[a]])], axis=1)
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    if not pairs.shape[1]:
+        return order[fresh], np.empty((5, 0), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], (pairs[:3, 1:] != pairs[:3, :-1]).any(axis=0)]))
+    return order[fresh], np.concatenate([pairs[:, starts], pairs[3:, np.append(starts[1:], pairs.shape[1]) - 1]])
+
+
+def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(key, id, low, high, first, shift): the chunks of all rows with an id, one for each key of a slice of rows (first
+    is null), and the diagonals within a slice, with any key."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n in flat.slices(batch.column(1)):
-                row, key, at, before = chunks(batch.column(1).slice(first, n), least)
-                ids = batch.column(0).slice(first, n).take(pa.array(row))
-                yield pa.record_batch([pa.array(key), ids, pa.array(at.astype(np.int32)), pa.array(before.astype(np.int32))], names=["key", "id", "at", "before"])
+                ids = batch.column(0).slice(first, n)
+                found = chunks(batch.column(1).slice(first, n), least)
+                heads, (row, other, shift, low, high) = _linked(found, np.asarray(pc.rank(ids, tiebreaker="dense")))
+                owner, at = found[0][heads], found[2][heads]
+                any_key = flat.mix((low.astype(np.uint64) << np.uint64(32)) ^ (shift.astype(np.uint64) << np.uint64(8)) ^ row.astype(np.uint64)).view(np.int64)
+                nothing = pa.nulls(len(heads), pa.int32())
+                yield pa.record_batch(
+                    [
+                        pa.array(np.concatenate([found[1][heads], any_key])), ids.take(pa.array(np.concatenate([owner, row]))), pa.array(np.concatenate([at, low]).astype(np.int32)),
+                        pa.array(np.concatenate([at, high]).astype(np.int32)), pa.concat_arrays([pa.nulls(len(heads), ids.type), ids.take(pa.array(other))]), pa.concat_arrays([nothing, pa.array(shift.astype(np.int32))]),
+                    ],
+                    names=["key", "id", "low", "high", "first", "shift"],
+                )
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, at int, before int")
+    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, low int, high int, first {kind}, shift int")
 
 
-def diagonals(keys: DataFrame) -> DataFrame:
+def diagonals(places: DataFrame) -> DataFrame:
     """(id, first, shift, low, high): for each document and each earlier one that chunks of it stand in (or itself), the
     distances between the places, and from where to where in the document its chunks have that distance.
 
-    A chunk is held against its first occurrence in the least id, a repetition within a document against the one before.
-    Sums over a key are combined before the shuffle, and rows of a common key are split like any skewed join.
+    A chunk is held against that of the least id in its slice of rows, those against the one of the least id of all, a
+    repetition within a document against the one before. So a key that is common to all documents has a row a slice in
+    the one shuffle by key, not one a document.
     """
-    known = keys.groupBy("key").agg(F.min(F.struct("id", "at")).alias("place"), F.max("id").alias("last"), F.max("before").alias("inner"))
-    known = known.where("place.id < last OR inner >= 0").select("key", "place")
-    other = F.when(F.col("before") >= 0, F.struct(F.col("id").alias("first"), F.col("before").alias("at"))).when(F.col("id") > F.col("place.id"), F.struct(F.col("place.id").alias("first"), F.col("place.at").alias("at")))
-    pairs = keys.join(known, "key").select("id", "at", other.alias("other")).where("other IS NOT NULL")
-    pairs = pairs.select("id", "other.first", (F.col("other.at") - F.col("at")).alias("shift"), "at")
-    return pairs.groupBy("id", "first", "shift").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    of_key = Window.partitionBy("key").orderBy(F.col("first").isNotNull(), "id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = places.withColumn("lead", F.first(F.struct("id", "low")).over(of_key))
+    known = F.col("first").isNotNull()
+    rows = rows.where(known | (F.col("lead.id") < F.col("id")))
+    rows = rows.select("id", F.coalesce("first", "lead.id").alias("first"), F.when(known, F.col("shift")).otherwise(F.col("lead.low") - F.col("low")).alias("shift"), "low", "high")
+    return rows.groupBy("id", "first", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,32 +184,27 @@ def _widened(bounds: tuple[np.ndarray, np.ndarray], low: int, high: int, by: int
     return int(starts[min(i, j)]), int(ends[j])
 
 
-def equal_runs(own: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], begin: int, other: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(first word, end word) of the runs of at least `least` words of a text that equal `other`, laid at byte `begin`.
-
-    Words are whole in both; `other` begins and ends where words of its text do.
-    """
-    starts, ends = bounds
+def equal_spans(own: np.ndarray, begin: int, other: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The bytes (from, to) of the runs in which a text equals `other`, laid at its byte `begin`, that may hold `least` words."""
     low, high = max(begin, 0), min(begin + len(other), len(own))
     if high <= low:
         return []
-    there = other[low - begin : high - begin]
-    equal = np.zeros(high - low + 2, np.int8)
-    equal[1:-1] = own[low:high] == there
-    step = np.diff(equal)
-    out = []
-    for a, b in zip((np.flatnonzero(step == 1) + low).tolist(), (np.flatnonzero(step == -1) + low).tolist()):
-        i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(ends, b, "right"))
-        if j - i < least:
-            continue
-        # A word at the edge of what is equal may go on in the other text.
-        if starts[i] == a > begin and not flat.IS_SPACE[other[a - begin - 1]]:
-            i += 1
-        if ends[j - 1] == b < begin + len(other) and not flat.IS_SPACE[other[b - begin]]:
-            j -= 1
-        if j - i >= least:
-            out.append((i, j))
-    return out
+    differ = np.flatnonzero(own[low:high] != other[low - begin : high - begin]) + low
+    edges = np.concatenate([[low - 1], differ, [high]])
+    long = np.flatnonzero(np.diff(edges) >= 2 * least)
+    return [(int(edges[i]) + 1, int(edges[i + 1])) for i in long.tolist()]
+
+
+def whole_words(span: tuple[int, int], bounds: tuple[np.ndarray, np.ndarray], begin: int, other: np.ndarray) -> tuple[int, int]:
+    """(first word, end word) of a span of equal bytes, of words that are whole in both texts; `other` begins and ends
+    where words of its text do."""
+    (a, b), (starts, ends) = span, bounds
+    i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(ends, b, "right"))
+    if i < j and starts[i] == a > begin and not flat.IS_SPACE[other[a - begin - 1]]:
+        i += 1
+    if i < j and ends[j - 1] == b < begin + len(other) and not flat.IS_SPACE[other[b - begin]]:
+        j -= 1
+    return i, j
 
 
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -189,13 +218,13 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", changed: bool = False) -> DataFrame:
     """df with the repeated passages cut out of text_col, and columns removed_runs and removed_words.
 
     White space around a removed run shrinks to what stood before it. Null texts stay null, texts without words and rows
     without id stay as they are; rows of one id count as one document and aren't held against one another; ids may be
     of any type with an order. All other columns stay, whatever their names; columns removed_runs and removed_words are
-    replaced. An empty table gives no rows.
+    replaced. An empty table gives no rows. With `changed`, only rows that lose something are returned.
     """
     shown = [c for c in df.columns if c not in ("removed_runs", "removed_words")]
     at, own = shown.index(text_col), shown.index(id_col)
@@ -214,7 +243,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
 
     # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
     packed = bounded_batches(df.select(*(F.col(c).alias(n) for c, n in zip(shown, names)))).mapInArrow(pack, packed_kinds)
-    lines = diagonals(_keys(df, id_col, text_col, least))
+    lines = diagonals(_places(df, id_col, text_col, least))
     # The join keeps null ids apart without a filter, so both joins share the shuffle of `packed`.
     found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", *names)
 
@@ -245,29 +274,48 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     rows = packed.hint("merge").join(marks, F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
 
+    if changed:
+        rows = rows.where("__marks IS NOT NULL")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
-            marks, packed_texts = batch.column(len(shown)), batch.column(at).to_pylist()
+            marks, packed_texts = batch.column(len(shown)), batch.column(at)
+            bounds_of, listed = np.asarray(marks.offsets), marks.values
+            valid = np.asarray(marks.is_valid())
+            shift, low, high, begins = (np.asarray(listed.field(c).fill_null(0)) for c in ("shift", "low", "high", "begin"))
+            pieces = listed.field("piece")
+            given, place = np.asarray(pieces.is_valid()), np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else None
+            data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
             texts, runs, gone = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, data in enumerate(packed_texts):
-                text = None if data is None else coder.decompress(data)
-                if text and marks[i].is_valid:
-                    raw = np.frombuffer(text, np.uint8)
-                    bounds, cuts = _bounds(raw), []
-                    for mark in marks[i].as_py():
-                        if mark["piece"] is None:
-                            a, b = _widened(bounds, mark["low"] + mark["shift"], mark["high"] + mark["shift"], least)
-                            cuts += equal_runs(raw, bounds, a - mark["shift"], raw[a:b], least)
+            for i in range(batch.num_rows):
+                if not packed_texts[i].is_valid:
+                    texts.append(None)
+                    continue
+                text = coder.decompress(packed_texts[i].as_buffer())
+                if text and valid[i]:
+                    raw, bounds, cuts = np.frombuffer(text, np.uint8), None, []
+                    for m in range(bounds_of[i], bounds_of[i + 1]):
+                        if given[m]:
+                            begin, other = int(begins[m]), data[place[m] : place[m + 1]]
                         else:
-                            cuts += equal_runs(raw, bounds, mark["begin"], np.frombuffer(mark["piece"], np.uint8), least)
-                    cuts = _joined(cuts)
-                    runs[i], gone[i] = len(cuts), sum(b - a for a, b in cuts)
-                    text = _without(text, bounds, cuts)
+                            bounds = bounds or _bounds(raw)
+                            a, b = _widened(bounds, low[m] + shift[m], high[m] + shift[m], least)
+                            begin, other = a - int(shift[m]), raw[a:b]
+                        for span in equal_spans(raw, begin, other, least):
+                            bounds = bounds or _bounds(raw)
+                            first, end = whole_words(span, bounds, begin, other)
+                            if end - first >= least:
+                                cuts.append((first, end))
+                    if cuts:
+                        cuts = _joined(cuts)
+                        runs[i], gone[i] = len(cuts), sum(b - a for a, b in cuts)
+                        text = _without(text, bounds, cuts)
                 texts.append(text)
             column = pa.array(texts, pa.binary()).cast(pa.string())
             columns = [column if i == at else batch.column(i) for i in range(len(shown))]
-            yield pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])
+            out = pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])
+            yield out.filter(pa.array(runs > 0)) if changed else out
 
     return bounded_batches(rows).mapInArrow(cut, schema)
 
@@ -285,4 +333,4 @@ def _without(text: bytes, bounds: tuple[np.ndarray, np.ndarray], cuts: list[tupl
 
 def report(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, removed_runs, removed_words, text) of the documents from which a passage was removed."""
-    return without_repeats(docs.select(id_col, text_col), least, id_col, text_col).where("removed_runs > 0").select(id_col, "removed_runs", "removed_words", text_col)
+    return without_repeats(docs.select(id_col, text_col), least, id_col, text_col, changed=True).select(id_col, "removed_runs", "removed_words", text_col)
