@@ -125,8 +125,9 @@ def _linked(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], rank:
 
 
 def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, id, low, high, first, shift): the chunks of all rows with an id, one for each key of a slice of rows (first
-    is null), and the diagonals within a slice, with any key."""
+    """(key, id, low, diagonal struct<high, first, shift>): the chunks of all rows with an id, one for each key of a slice
+    of rows (diagonal is null), and the diagonals within a slice, with any key. Rows are few bytes each and in the order
+    of the texts, so neighbours in the shuffle have their id in common."""
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,19 +136,15 @@ def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
                 ids = batch.column(0).slice(first, n)
                 found = chunks(batch.column(1).slice(first, n), least)
                 heads, (row, other, shift, low, high) = _linked(found, np.asarray(pc.rank(ids, tiebreaker="dense")))
+                heads = np.sort(heads)
                 owner, at = found[0][heads], found[2][heads]
                 any_key = flat.mix((low.astype(np.uint64) << np.uint64(32)) ^ (shift.astype(np.uint64) << np.uint64(8)) ^ row.astype(np.uint64)).view(np.int64)
-                nothing = pa.nulls(len(heads), pa.int32())
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate([found[1][heads], any_key])), ids.take(pa.array(np.concatenate([owner, row]))), pa.array(np.concatenate([at, low]).astype(np.int32)),
-                        pa.array(np.concatenate([at, high]).astype(np.int32)), pa.concat_arrays([pa.nulls(len(heads), ids.type), ids.take(pa.array(other))]), pa.concat_arrays([nothing, pa.array(shift.astype(np.int32))]),
-                    ],
-                    names=["key", "id", "low", "high", "first", "shift"],
-                )
+                known = pa.StructArray.from_arrays([pa.array(high.astype(np.int32)), ids.take(pa.array(other)), pa.array(shift.astype(np.int32))], ["high", "first", "shift"])
+                columns = [pa.array(np.concatenate([found[1][heads], any_key])), ids.take(pa.array(np.concatenate([owner, row]))), pa.array(np.concatenate([at, low]).astype(np.int32)), pa.concat_arrays([pa.nulls(len(heads), known.type), known])]
+                yield pa.record_batch(columns, names=["key", "id", "low", "diagonal"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, low int, high int, first {kind}, shift int")
+    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, low int, diagonal struct<high: int, first: {kind}, shift: int>")
 
 
 def diagonals(places: DataFrame) -> DataFrame:
@@ -158,11 +155,11 @@ def diagonals(places: DataFrame) -> DataFrame:
     repetition within a document against the one before. So a key that is common to all documents has a row a slice in
     the one shuffle by key, not one a document.
     """
-    of_key = Window.partitionBy("key").orderBy(F.col("first").isNotNull(), "id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_key = Window.partitionBy("key").orderBy(F.col("diagonal").isNotNull(), "id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = places.withColumn("lead", F.first(F.struct("id", "low")).over(of_key))
-    known = F.col("first").isNotNull()
-    rows = rows.where(known | (F.col("lead.id") < F.col("id")))
-    rows = rows.select("id", F.coalesce("first", "lead.id").alias("first"), F.when(known, F.col("shift")).otherwise(F.col("lead.low") - F.col("low")).alias("shift"), "low", "high")
+    linked = F.struct(F.col("low").alias("high"), F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"))
+    rows = rows.where(F.col("diagonal").isNotNull() | (F.col("lead.id") < F.col("id"))).select("id", "low", F.coalesce("diagonal", linked).alias("d"))
+    rows = rows.select("id", "d.first", "d.shift", "low", "d.high")
     return rows.groupBy("id", "first", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
