@@ -265,22 +265,70 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
 
 
-def test_block_bounds_lose_nothing():
+def index_of(items, threshold=None):
+    words = decontam._words([x for _, x in items])
+    owner = np.repeat(np.arange(len(items)), np.diff(words.rows))
+    terms = np.unique(np.stack([words.hashes, owner.astype(np.uint64)]), axis=1)[0]
+    terms, many = np.unique(terms, return_counts=True)
+    sizes = np.diff(words.rows)
+    return decontam.Index(items, terms, many, len(items), sizes.mean(), sizes.max(), threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, None])
+def test_pivots_and_blocks_lose_nothing(monkeypatch, threshold):
     draw = random.Random(12)
-    items = [(i, sentences(draw, 4)) for i in range(60)]
-    index = decontam.Index(items)
-    own = decontam._words([t for _, t in items])
-    at, term = index.terms(own.hashes)
-    passage = np.searchsorted(own.rows, at, "right") - 1
-    pair = np.unique(passage * len(index.terms.keys) + term)
-    found = {p: dict(zip(i.tolist(), s.tolist())) for p, i, s in index.retrieve(pair % len(index.terms.keys), pair // len(index.terms.keys), 60, 0.3)}
-    for p in range(60):
-        mine = set((pair[pair // len(index.terms.keys) == p] % len(index.terms.keys)).tolist())
-        full = {}
-        for t in mine:
-            for k in range(index.at[t], index.at[t + 1]):
-                full[int(index.item[k])] = full.get(int(index.item[k]), 0) + float(index.weight[k])
-        assert {i for i, s in full.items() if s >= 0.3 + 1e-5} <= set(found[p]) and abs(found[p][p] - 1) < 1e-4
+    items = [(i, sentences(draw, 4) + f" w1 w2 {'w3 ' * (i % 4)}") for i in range(60)]
+    index = index_of(items, threshold)
+    for rows in (50, 10**6):
+        monkeypatch.setattr(decontam, "_ROWS", rows)
+        mixed = [items[i][1] + " " + items[(i * 7 + 3) % 60][1][: 60 * (i % 5)] for i in range(60)]
+        own = decontam._words(mixed)
+        at, term = index.terms(own.hashes)
+        passage = np.searchsorted(own.rows, at, "right") - 1
+        pair = np.unique(passage * len(index.terms.keys) + term)
+        found = {p: {} for p in range(60)}
+        for p, i, s in index.retrieve(pair % len(index.terms.keys), pair // len(index.terms.keys), 60):
+            found[p] |= dict(zip(i.tolist(), s.tolist()))
+        for p in range(60):
+            mine = pair[pair // len(index.terms.keys) == p] % len(index.terms.keys)
+            rows_of = np.isin(index.block_key // index.blocks, mine).nonzero()[0]
+            full = np.zeros(60)
+            for r in rows_of:
+                for k in range(index.items_at[r], index.items_at[r + 1]):
+                    full[index.item[k]] += index.share[k]
+            assert {i for i in range(60) if full[i] >= index.least[i] + 1e-5} <= set(found[p]) <= {i for i in range(60) if full[i] >= index.least[i] - 1e-5}
+            assert all(abs(full[i] - s) < 1e-9 for i, s in found[p].items()) and abs(found[p][p] - 1) < 1e-9
+
+
+def test_retrieval_keeps_all_that_verification_finds(spark):
+    """Items whose rare words stand at one end, in documents that lack as many of these as the rule allows."""
+    draw = random.Random(13)
+    items, docs, expected = [], [], set()
+    for i in range(120):
+        n = draw.randrange(8, 60)
+        common = words(draw, n, 12)
+        rare = max(1, (n - 4) // 5)
+        item = common[: n - rare] + [f"rare{i}x{k}" for k in range(rare)]
+        item = item if i % 2 else item[::-1]
+        left = item[: n - rare] if i % 2 else item[rare:]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(words(draw, 30, 12) + left + words(draw, 30, 12))))
+        grams = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+        wanted, held = grams(item), grams(docs[-1][1].split())
+        asked = grams(item)
+        if len(wanted & held) >= decontam.OVERLAP * len(wanted) and len(asked & held) >= decontam.QUESTION * len(asked) and len(set(item) & set(docs[-1][1].split())) >= decontam.ANSWER * len(set(item)):
+            expected.add((i, i))
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(expected) > 60 and expected <= found
+
+
+def test_groups_of_items_change_nothing(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = [sorted(decontam.find_leaks(docs, bench).collect())]
+    for most in (7, 1000):
+        monkeypatch.setattr(decontam, "MAX_ITEMS", most)
+        rows.append(sorted(decontam.find_leaks(docs, bench).collect()))
+    assert rows[0] and rows[0] == rows[1] == rows[2]
 
 
 def test_decontamination_of_awkward_rows(spark, awkward):
