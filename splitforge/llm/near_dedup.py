@@ -5,9 +5,10 @@ minimum only the low BITS bits are kept, packed into 64-bit integers, and the si
 estimated by counting equal groups of bits, corrected for those equal by chance. Pairs that could be similar enough
 are compared on their full sets.
 
-Texts with equal sets become one representative first. In every bucket of a band all members are compared with the
-least one, which makes as many pairs as members; buckets whose members are one component then have nothing left to
-find, and only in the others are members of different components compared with one another, tile by tile.
+Texts with equal sets become one representative first. The members of a bucket of a band are dealt into parts by their
+id; each is compared with the least of its part, and those with the least of all, which makes as many pairs as members.
+Buckets whose members are one component then have nothing left to find, and only in the others are members of different
+components compared with one another, tile by tile: on signatures first, and on texts those that this leaves.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from splitforge.llm import flat
 from splitforge.llm.components import components
-from splitforge.llm.shared import bounded_batches, stored
+from splitforge.llm.shared import bounded_batches, passing, stored
 
 #: Hash functions, those of a band, bits kept of each minimum. A pair of similarity 0.8 shares no band with a
 #: probability of 3e-6, one of 0.85 with 2e-8.
 HASHES, ROWS, BITS = 96, 4, 4
 #: The estimate must come this many standard deviations short of the threshold for a pair to be passed over.
 SIGMAS = 5.0
+#: Parts that the members of a bucket are dealt into; only a bucket of very many has several in one.
+PARTS = 4096
 #: Members of a bucket in a tile, about.
 TILE = 400
 _LANES = HASHES * BITS // 64
@@ -160,83 +163,113 @@ def groups(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id
 
 def _links(reps: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
     """(id, component) of the representatives that are linked with others."""
-    small = reps.select(F.col("rep").alias("id"), "n_shingles", "bits")
-    buckets = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = stored(buckets.join(hubs, "band").select("band", "rep", "hub", "members"), "members")
-    # All texts are shuffled once, at any size, to keep those of bucket members.
-    ids = members.select(F.col("rep").alias("id")).distinct().hint("merge")
-    own = stored(texts.hint("merge").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-    stars = members.where("rep != hub").select("rep", "hub").distinct()
-    x, y = small.alias("x"), small.alias("y")
-    stars = stars.join(x, F.col("rep") == F.col("x.id")).join(y, F.col("hub") == F.col("y.id")).where(possible(percent, "x", "y"))
-    pairs = stored(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "pairs")
-    links = stored(verify(pairs, own, percent, n), "links")
-    first = components(links)
-    # Buckets of three and more whose members aren't one component: pairs of members of different components.
-    placed = members.where("members > 2").join(first, F.col("rep") == F.col("id"), "left").select("band", "rep", "hub", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("band", "members")
-    rest = placed.join(mixed, "band").select("band", "members", "rep", "component")
-    rest = rest.join(reps.select("rep", "n_shingles", "bits", "bands"), "rep").join(own.withColumnRenamed("id", "rep"), "rep")
-    further = stored(_across(rest, percent, n), "links")
-    return components(links.unionByName(further).unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-
-
-def _across(rest: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links (a, b) that join what is linked between different components of a bucket.
-
-    The members of a bucket are dealt into tiles of bounded size, and each pair of tiles meets in one task. A pair is
-    looked at in the first band that it shares, estimated, and compared on full sets; a task gives a spanning forest of
-    its links, so a bucket of any size gives no more rows than it has members and tiles.
-    """
-    kind = dict(rest.dtypes)["rep"]
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    dealt = rest.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("other", "members")
-    low_bits = np.uint64(int("1" * (64 // BITS), 2**BITS))
-    least, chance = percent / 100, 2.0**-BITS
-    equal = least + (1 - least) * chance
-    cut = least - SIGMAS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
-
-    def matrix(column: pa.Array) -> np.ndarray:
+    with passing(reps.sparkSession) as put:
+        small = reps.select(F.col("rep").alias("id"), "n_shingles", "bits")
+        buckets = reps.select("rep", F.explode("bands").alias("band")).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int"))
+        # Every join below is by part of a band: a band has at most PARTS rows where its parts meet.
+        parts = buckets.groupBy("band", "part").agg(F.min("rep").alias("near"), F.count("*").alias("n"))
+        bands = parts.groupBy("band").agg(F.min("near").alias("hub"), F.sum("n").alias("members")).where("members > 1")
+        parts = put(parts.join(bands, "band").select("band", "part", "near", "hub", "members"), "parts")
+        members = put(buckets.join(parts, ["band", "part"]), "members")
+        # All texts are shuffled once, at any size, to keep those of bucket members.
+        ids = members.select(F.col("rep").alias("id")).distinct().hint("merge")
+        own = put(texts.hint("merge").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
+        stars = members.select("rep", F.when(F.col("rep") != F.col("near"), F.col("near")).otherwise(F.col("hub")).alias("hub")).where("rep != hub").distinct()
+        x, y = small.alias("x"), small.alias("y")
+        stars = stars.join(x, F.col("rep") == F.col("x.id")).join(y, F.col("hub") == F.col("y.id")).where(possible(percent, "x", "y"))
+        pairs = put(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "pairs")
+        links = put(verify(pairs, own, percent, n), "links")
+        first = components(links)
+        # Buckets of three and more whose members aren't one component: pairs of members of different components.
+        placed = members.where("members > 2").join(first, F.col("rep") == F.col("id"), "left").select("band", "part", "members", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = placed.groupBy("band", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        mixed = mixed.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("band")
+        rest = placed.join(parts.join(mixed, "band").select("band", "part"), ["band", "part"]).drop("part")
+        rest = rest.join(reps.select("rep", "n_shingles", "bits", "bands"), "rep")
+        further = put(_across(rest, own, percent, n), "links")
+        return components(links.unionByName(further).unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
+class _Tile:
+    """The rows of a pair of tiles: pairs of its left and right members that belong to different components."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.combine_chunks()
+        tile, first, last = (np.asarray(self.column(c)) for c in ("tile", "i", "j"))
+        self.group, self.sizes = np.asarray(self.column("component")), np.asarray(self.column("n_shingles"))
+        order = np.argsort(self.group, kind="stable")
+        self.left, self.right, self.alike = order[(tile == first)[order]], order[(tile == last)[order]], first[0] == last[0]
+        self.bits, self.bands = self._matrix("bits"), self._matrix("bands")
+        self.band = np.asarray(self.column("band"), np.int64).view(np.uint64)[0]
+
+    def column(self, name: str) -> pa.Array:
+        out = self.table.column(name).combine_chunks()
+        return out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
+
+    def _matrix(self, name: str) -> np.ndarray:
+        column = self.column(name)
         return np.asarray(column.flatten(), np.int64).reshape(len(column), -1).view(np.uint64)
 
-    def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        get = {name: table.column(name).combine_chunks() if isinstance(table.column(name), pa.ChunkedArray) else table.column(name) for name in table.column_names}
-        get = {name: column.chunk(0) if isinstance(column, pa.ChunkedArray) else column for name, column in get.items()}
-        tile, first, last = (np.asarray(get[c]) for c in ("tile", "i", "j"))
-        order = np.argsort(np.asarray(get["component"]), kind="stable")
-        left, right = order[(tile == first)[order]], order[(tile == last)[order]]
-        group, sizes = np.asarray(get["component"]), np.asarray(get["n_shingles"])
-        bits, bands = matrix(get["bits"]), matrix(get["bands"])
-        band = np.uint64(np.asarray(get["band"])[0].astype(np.int64).view(np.uint64)) if len(tile) else 0
-        found_a, found_b = [], []
-        for x in left.tolist():
-            ys = right[group[right] != group[x]]
-            if first[0] == last[0]:
-                ys = ys[group[ys] > group[x]]
-            small, large = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
+    def candidates(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, ys): the members that could be similar enough to x by the packed bits; a pair is looked at in the first
+        band that it shares."""
+        least, chance = percent / 100, 2.0**-BITS
+        equal = least + (1 - least) * chance
+        cut = least - SIGMAS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+        low_bits = np.uint64(int("1" * (64 // BITS), 2**BITS))
+        for x in self.left.tolist():
+            ys = self.right[self.group[self.right] != self.group[x]]
+            if self.alike:
+                ys = ys[self.group[ys] > self.group[x]]
+            small, large = np.minimum(self.sizes[ys], self.sizes[x]), np.maximum(self.sizes[ys], self.sizes[x])
             ys = ys[small * 100 >= large * percent]
-            shared = bands[ys] == bands[x]
-            ys = ys[bands[x][shared.argmax(axis=1)] == band]
-            differ = bits[ys] ^ bits[x]
+            shared = self.bands[ys] == self.bands[x]
+            ys = ys[self.bands[x][shared.argmax(axis=1)] == self.band]
+            differ = self.bits[ys] ^ self.bits[x]
             for shift in range(BITS.bit_length() - 1):
                 differ |= differ >> np.uint64(1 << shift)
             count = np.bitwise_count(differ & low_bits).sum(axis=1)
             ys = ys[((1 - count / HASHES) - chance) / (1 - chance) >= cut]
-            found_a.append(np.full(len(ys), x))
-            found_b.append(ys)
-        a, b = (np.concatenate(f).astype(np.int64) if f else np.empty(0, np.int64) for f in (found_a, found_b))
+            if len(ys):
+                yield x, ys
+
+
+def _across(rest: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that join what is linked between different components of a bucket. texts: (id, text).
+
+    The members of a bucket are dealt into tiles of bounded size, and each pair of tiles meets in one task, twice: with
+    signatures, to find the members that have a candidate there, and with the texts of those alone, to compare full
+    sets. A task gives a spanning forest of its links, so a bucket of any size gives no more rows than it has members
+    and tiles.
+    """
+    kind = dict(rest.dtypes)["rep"]
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    dealt = rest.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("other", "members")
+
+    def involved(table: pa.Table) -> pa.Table:
+        tile, some = _Tile(table), np.zeros(table.num_rows, bool)
+        for x, ys in tile.candidates(percent):
+            some[x] = True
+            some[ys] = True
+        return tile.table.filter(pa.array(some))
+
+    def linked(table: pa.Table) -> pa.Table:
+        tile = _Tile(table)
+        pairs = list(tile.candidates(percent))
+        a = np.repeat([x for x, _ in pairs], [len(ys) for _, ys in pairs]).astype(np.int64)
+        b = np.concatenate([ys for _, ys in pairs]).astype(np.int64) if pairs else a
         if len(a):
-            keep = _similar(get["text"], a, b, percent, n)
+            keep = _similar(tile.column("text"), a, b, percent, n)
             a, b = a[keep], b[keep]
-        ids = np.asarray(get["rep"])
+        ids = np.asarray(tile.column("rep"))
         root = roots(len(ids), a, b)
         some = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"a": pa.array(ids[some]), "b": pa.array(ids[root[some]])})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(work, f"a {kind}, b {kind}")
+    left = dealt.groupBy("band", "i", "j").applyInArrow(involved, dealt.schema)
+    left = left.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    return left.groupBy("band", "i", "j").applyInArrow(linked, f"a {kind}, b {kind}")
 
 
 def _similar(texts: pa.Array, a: np.ndarray, b: np.ndarray, percent: int, n: int) -> np.ndarray:

@@ -5,15 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in local tests, a new temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset a new temporary one serves, in local mode only: executors
+    of a cluster couldn't share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -25,11 +33,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder as Parquet and read again: it cuts the lineage, and a lost
     executor costs no recomputation of what came before."""
-    path = new_path(df.sparkSession, name)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function like stored() whose tables are removed at the end; what is computed from them must be stored by then."""
+    paths: list[str] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_path(spark, name))
+        return _written(df, paths[-1])
+
+    try:
+        yield put
+    finally:
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """df, its session set to hand Python workers at most about `most` bytes at once.
 

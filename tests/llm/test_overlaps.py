@@ -99,7 +99,30 @@ def test_estimates_are_near_the_similarity(spark):
     df = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(other))], "doc_id long, text string").coalesce(1)
     rows = near_dedup.signatures(df, "doc_id", "text")
     x, y = rows.where("id = 0").alias("x"), rows.where("id = 1").alias("y")
-    assert abs(x.crossJoin(y).select(near_dedup.estimate(F.col("x.bits"), F.col("y.bits"))).first()[0] - true) < 0.2
+    assert abs(x.crossJoin(y).select(near_dedup.estimate(F.col("x.bits"), F.col("y.bits"))).first()[0] - true) < 0.1
+
+
+def test_links_of_every_twentieth_document_are_kept(spark):
+    """All pairs of the documents whose id is divisible by 20 with all others, on full sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = sets_of([(r.doc_id, r.text) for r in docs.collect()])
+    holders = {}
+    for i, grams in sets.items():
+        for g in grams:
+            holders.setdefault(g, []).append(i)
+    place = {r.doc_id: r.component_id for r in near_dedup.groups(docs, 85).collect()}
+    links = 0
+    for a in sets:
+        if a % 20 == 0:
+            shared = {}
+            for g in sets[a]:
+                for b in holders[g]:
+                    shared[b] = shared.get(b, 0) + 1
+            for b, k in shared.items():
+                if a != b and 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                    links += 1
+                    assert place[a] == place[b]
+    assert links > 3
 
 
 # Repeated passages
