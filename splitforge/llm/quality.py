@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitforge.llm import flat
+from splitforge.llm.shared import bounded_batches, stored
 
 #: Rows of the fitting sample at most, about; the sample is by hash of the id.
 MAX_ROWS = 30_000
@@ -102,7 +103,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.record_batch([batch.column(0).slice(first, rows), *(pa.array(c) for c in table.T)], names=[id_col, *STATISTICS])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return bounded_batches(df.select(F.col(id_col), F.col(text_col).alias("__text"))).mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -204,11 +205,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts, and kept in the shared folder. Null and empty texts are scored by their zero statistics; repeated rows are
     scored as they are; an empty table gives no rows; further columns of either table are ignored.
     """
-    from splitforge.llm.shared import stored
-
     rows = stored(statistics(docs.select(id_col, text_col), id_col, text_col), "statistics")
-    train = stored(rows.dropDuplicates([id_col]).join(training_rows(rows, labels, "quality", 3, 1, id_col=id_col), id_col), "labelled").coalesce(4)
-    return with_score(rows, fit(train), id_col)
+    return with_score(rows, fitted(rows, labels, id_col), id_col)
+
+
+def fitted(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
+    """The model of rows of statistics whose crc32(id) mod 3 isn't 1; of several rows of one id the least counts."""
+    once = rows.groupBy(id_col).agg(F.min(F.struct(*STATISTICS)).alias("s")).select(id_col, "s.*")
+    return fit(stored(once.join(training_rows(rows, labels, "quality", 3, 1, id_col=id_col), id_col), "labelled").coalesce(4))
 
 
 def with_score(rows: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

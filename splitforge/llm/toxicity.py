@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Small transducers read the words of a clause as symbols: insults (and words that only tend to be), threats, targets,
-negation and reported speech. Their composition is one table; a clause that holds an insult or a threat comes out as a type (what it is,
-whether it has a target, is negated, is reported). The score of a document is a logistic function of how many clauses
-of each type it has, never of isolated words; the weights, and insult words and stems beyond the given ones, are
-learnt from labelled rows.
+Small transducers read the words of a clause as symbols, in order: one finds insults said of a target ("you are an
+idiot", "these losers"), one threats against a target ("I will hurt you", "hang them"), and others negation shortly
+before and reported speech before (or right at the end). Their composition is one table; what it gives at each word
+makes the types of the clause: an insult, a threat, or the mere mention of an insult or of a word that only tends to be
+one, each negated or not, reported or not. The score of a document is a logistic function of how many of its clauses
+are of each type; the weights, and insulting words beyond the given ones, are learnt from labelled rows. Mentions have a
+weight of their own, since many of the labelled texts are words in no order.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from splitforge.llm import flat
 from splitforge.llm.quality import training_rows
-from splitforge.llm.shared import stored
+from splitforge.llm.shared import bounded_batches, stored
 
 #: Labelled rows that words and weights are learnt from, at most about.
 MAX_ROWS = 24_000
@@ -30,15 +32,21 @@ MAX_ROWS = 24_000
 STEMS = (4, 5, 6, 7, 8)
 #: How much commoner in toxic rows than in others a learnt insult is, at least, and one that only tends to be.
 RATIO, TENDS = 25.0, 4.0
-NEGATION_REACH = 3
+#: Words that a negation reaches over; between a target's verb and the insult; before and after a threatening verb.
+NEGATION_REACH, VERB_REACH, BEFORE, AFTER = 3, 3, 3, 2
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SLUR = range(7)
-#: Words to start from, by what they do in a clause.
+OTHER, INSULT, DOUBLE, THREAT, TARGET, TARGET_IS, IS, FIRST, WILL, NEGATION, REPORT, SLUR, END = range(13)
+#: Words to start from, by what they do in a clause. DOUBLE ones are insults only when said of a target.
 WORDS = {
-    INSULT: "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting imbecile vermin filth subhuman retard dumbass bastard asshole bitch "
-    "dumm dummkopf abschaum versager trottel arschloch connard imbécile salaud abruti estúpido imbécil basura escoria",
+    INSULT: "idiot idiots moron morons stupid loser losers scum pathetic worthless disgusting imbecile vermin filth subhuman retard dumbass bastard asshole bitch "
+    "dumm dummkopf abschaum versager trottel arschloch connard imbécile salaud abruti estúpido imbécil escoria",
+    DOUBLE: "trash clown clowns garbage pig pigs basura",
     THREAT: "kill murder hurt destroy shoot stab hang beat burn töten umbringen erschießen tuer frapper matar golpear",
     TARGET: "you your yours yourself he him his she her they them their this these those people everyone du dich dein ihr euch sie tu toi vous ton ils elles tú usted ustedes ellos",
+    TARGET_IS: "you're he's she's they're",
+    IS: "is are was were be being been bist ist sind seid est êtes sont eres son",
+    FIRST: "i i'll i'm we we'll ich wir je nous yo nosotros",
+    WILL: "will gonna going shall must should werde werden wird vais va voy vamos",
     NEGATION: "not never no nobody isn't aren't wasn't don't doesn't won't cannot can't nicht kein keine nie pas jamais aucun nunca ningún",
     REPORT: "said says wrote claimed claims called quoted quote alleged according reported sagte schrieb behauptete dit disait écrit dijo escribió",
 }
@@ -76,45 +84,74 @@ def compose(machines: list[Transducer], symbols: int) -> tuple[np.ndarray, np.nd
     return np.array(moves), np.array(outs)
 
 
-#: Output bits: an insult, one that is negated, a threat, one that is negated, a target, reported speech.
-_INSULT, _NOT_INSULT, _THREAT, _NOT_THREAT, _TARGET, _REPORT, _SLUR, _NOT_SLUR = (1 << i for i in range(8))
+#: Output bits at a word: an insult said of a target, the mention of one, of a word that tends to be one, a threat; that
+#: a negation is near, that a report came before; and at the end, that the last word was a report.
+_INSULT, _MENTION, _SLUR, _THREAT, _NEGATED, _REPORTED, _LATE = (1 << i for i in range(7))
 
 
-def _near_negation(symbol_of: int, plain: int, negated: int) -> Transducer:
-    """Emits `plain` at each symbol_of, or `negated` if a negation is at most NEGATION_REACH words before it."""
+def _insults() -> Transducer:
+    """Of a target: TARGET INSULT, INSULT TARGET, TARGET (a word) IS (up to VERB_REACH words) INSULT."""
 
-    def step(left: int, symbol: int) -> tuple[int, int]:
-        out = (negated if left else plain) if symbol == symbol_of else 0
-        return (NEGATION_REACH if symbol == NEGATION else max(0, left - 1)), out
+    def step(state: tuple[str, int], symbol: int) -> tuple[tuple[str, int], int]:
+        name, left = state
+        if symbol in (INSULT, DOUBLE):
+            said_of = name == "target" or name == "is"
+            return ("insult", 0), _INSULT if said_of else _MENTION if symbol == INSULT else _SLUR
+        if symbol in (TARGET, TARGET_IS):
+            return (("target", 0) if symbol == TARGET else ("is", VERB_REACH)), _INSULT if name == "insult" else 0
+        out = _SLUR if symbol == SLUR else 0
+        if symbol == IS:
+            return (("is", VERB_REACH) if name in ("target", "word", "is") else ("", 0)), out
+        if name == "target":
+            return ("word", 0), out
+        return (("is", left - 1) if name == "is" and left else ("", 0)), out
 
-    return Transducer(0, step)
+    return Transducer(("", 0), step)
 
 
-def _once(symbol_of: int, bit: int) -> Transducer:
-    return Transducer(0, lambda state, symbol: (1, bit if not state else 0) if symbol == symbol_of else (state, 0))
+def _threats() -> Transducer:
+    """FIRST or WILL, up to BEFORE words, THREAT, up to AFTER words, TARGET; or THREAT TARGET."""
 
+    def step(state: tuple[int, int], symbol: int) -> tuple[tuple[int, int], int]:
+        armed, left = state
+        out = _THREAT if symbol in (TARGET, TARGET_IS) and left else 0
+        left = max(left - 1, (AFTER + 1 if armed else 1) if symbol == THREAT else 0)
+        return (BEFORE + 1 if symbol in (FIRST, WILL) else max(0, armed - 1), left), out
 
-MOVES, OUTS = compose(
-    [_near_negation(INSULT, _INSULT, _NOT_INSULT), _near_negation(SLUR, _SLUR, _NOT_SLUR), _near_negation(THREAT, _THREAT, _NOT_THREAT), _once(TARGET, _TARGET), _once(REPORT, _REPORT)], 7
-)
-TYPES = list(product(("insult", "threat", "slur"), (False, True), (False, True), (False, True)))
-TYPE_NAMES = [f"n_{k}{'_targeted' * t}{'_negated' * n}{'_reported' * r}" for k, t, n, r in TYPES]
-#: Weights of a clause before anything is learnt; a threat needs a target to count in full.
-PRIOR = [(1.0 if k == "insult" else 0.1 if k == "slur" or not t else 1.0) * (1.2 if t else 1.0) * (0.4 if n else 1.0) * (0.5 if r else 1.0) for k, t, n, r in TYPES]
+    return Transducer((0, 0), step)
+
+
+def _negation() -> Transducer:
+    return Transducer(0, lambda left, symbol: (NEGATION_REACH if symbol == NEGATION else max(0, left - 1), _NEGATED if left else 0))
+
+
+def _reports() -> Transducer:
+    """States: nothing said, said just now, said before."""
+    return Transducer(0, lambda state, symbol: (1 if symbol == REPORT else min(state * 2, 2), (_LATE if state == 1 else 0) if symbol == END else _REPORTED if state else 0))
+
+
+MOVES, OUTS = compose([_insults(), _threats(), _negation(), _reports()], 13)
+_BITS = {"insult": _INSULT, "threat": _THREAT, "mention": _MENTION, "slur": _SLUR}
+TYPES = list(product(_BITS, (False, True), (False, True)))
+TYPE_NAMES = [f"n_{k}{'_negated' * n}{'_reported' * r}" for k, n, r in TYPES]
+#: Weights of a clause before anything is learnt.
+PRIOR = [{"insult": 1.2, "threat": 1.2, "mention": 0.8, "slur": 0.1}[k] * (0.4 if n else 1.0) * (0.5 if r else 1.0) for k, n, r in TYPES]
+_STATES, _GIVES = MOVES.tolist(), OUTS.tolist()
 
 
 def clause_types(symbols: list[int]) -> set[int]:
-    """Positions in TYPES of what one clause is."""
-    state = bits = 0
+    """Positions in TYPES of what one clause is; a mention counts only in a clause without an insult."""
+    state, given = 0, set()
     for symbol in symbols:
-        bits |= int(OUTS[state, symbol])
-        state = int(MOVES[state, symbol])
-    out = set()
-    for i, (kind, target, negated, reported) in enumerate(TYPES):
-        core = {("insult", False): _INSULT, ("insult", True): _NOT_INSULT, ("threat", False): _THREAT, ("threat", True): _NOT_THREAT, ("slur", False): _SLUR, ("slur", True): _NOT_SLUR}[kind, negated]
-        if bits & core and bool(bits & _TARGET) == target and bool(bits & _REPORT) == reported:
-            out.add(i)
-    return out
+        bits = _GIVES[state][symbol]
+        if bits & 15:
+            given.add(bits)
+        state = _STATES[state][symbol]
+    late = bool(_GIVES[state][END] & _LATE)
+    out = {(k, bool(bits & _NEGATED), late or bool(bits & _REPORTED)) for bits in given for k, bit in _BITS.items() if bits & bit}
+    if any(k == "insult" for k, _, _ in out):
+        out = {t for t in out if t[0] not in ("mention", "slur")}
+    return {TYPES.index(t) for t in out}
 
 
 def _lower(texts: pa.Array) -> flat.Words:
@@ -160,7 +197,7 @@ def count_types(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(TYPES) + 1), np.int64)
     out[:, -1] = np.diff(words.rows)
     symbols = lexicon.symbols(words)
-    core = np.flatnonzero((symbols == INSULT) | (symbols == THREAT) | (symbols == SLUR))
+    core = np.flatnonzero(np.isin(symbols, (INSULT, DOUBLE, THREAT, SLUR)))
     if not len(core):
         return out
     stops = np.zeros(len(words.raw) + 1, np.int64)
@@ -187,7 +224,7 @@ def features(df: DataFrame, insults: dict[tuple[int, int], list[int]], id_col: s
                 yield pa.record_batch([batch.column(0).slice(first, rows), *(pa.array(c) for c in table.T)], names=[id_col, *TYPE_NAMES, "n_words"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{t} long" for t in (*TYPE_NAMES, "n_words")))
+    return bounded_batches(df.select(F.col(id_col), F.col(text_col).alias("__text"))).mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{t} long" for t in (*TYPE_NAMES, "n_words")))
 
 
 def learn_insults(rows: DataFrame) -> dict[tuple[int, int], list[int]]:
@@ -256,10 +293,10 @@ def learn_insults(rows: DataFrame) -> dict[tuple[int, int], list[int]]:
 
 
 def _inputs() -> list[Column]:
-    """log(1 + clauses) of each type; the given weights' sum of them; insults and slurs in 50 words, 1 at most."""
+    """log(1 + clauses) of each type; the given weights' sum of them; clauses of a group of types in 50 words, 1 at most."""
     logs = [F.log1p(F.col(t)) for t in TYPE_NAMES]
     prior = sum((c * w for c, w in zip(logs, PRIOR)), F.lit(0.0))
-    dense = [F.least(F.lit(1.0), 50.0 * sum((F.col(n) for n, t in zip(TYPE_NAMES, TYPES) if t[0] == kind), F.lit(0)) / F.greatest(F.col("n_words"), F.lit(1))) for kind in ("insult", "slur")]
+    dense = [F.least(F.lit(1.0), 50.0 * sum((F.col(n) for n, t in zip(TYPE_NAMES, TYPES) if t[0] in kinds), F.lit(0)) / F.greatest(F.col("n_words"), F.lit(1))) for kinds in (("insult", "threat", "mention"), ("slur",))]
     return [*logs, prior, *dense]
 
 
@@ -274,6 +311,17 @@ def fit_weights(rows: DataFrame) -> tuple[list[float], float]:
     return [float(w) for w in fitted.coefficients.toArray()], float(fitted.intercept)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[tuple[int, int], list[int]], list[float], float]:
+    """(learnt insults, weights, intercept) from labelled rows whose crc32(id) mod 4 isn't 2; of several texts of one id
+    the least counts."""
+    train = training_rows(docs, labels, "toxic", 4, 2, MAX_ROWS, id_col)
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(train, id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
+    texts = stored(texts.select(id_col, "text", "label"), "labelled-texts")
+    insults = learn_insults(texts)
+    shown = features(texts.select(id_col, "text"), insults, id_col, "text")
+    return insults, *fit_weights(stored(shown.join(train, id_col), "clauses"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted, TYPE_NAMES) of every document, from its text alone.
 
@@ -281,12 +329,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     clauses and get the score of the intercept; repeated rows are scored as they are; an empty table gives no rows;
     without labels of both classes fixed weights hold. Further columns are ignored.
     """
-    train = training_rows(docs, labels, "toxic", 4, 2, MAX_ROWS, id_col)
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(train, id_col).select(id_col, "text", "label")
-    texts = stored(texts, "labelled-texts")
-    insults = learn_insults(texts)
-    shown = features(texts.select(id_col, "text"), insults, id_col, "text")
-    weights, intercept = fit_weights(stored(shown.join(train, id_col), "clauses"))
+    return with_score(docs, fitted(docs, labels, id_col, text_col), id_col, text_col)
+
+
+def with_score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    insults, weights, intercept = model
     total = sum((c * w for c, w in zip(_inputs(), weights)), F.lit(intercept))
     rows = features(docs.select(id_col, text_col), insults, id_col, text_col)
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
