@@ -11,6 +11,7 @@ Results equal those of the `tokenizers` library for byte-level files without a n
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -30,6 +31,8 @@ _LETTER, _NUMBER, _OTHER, _SPACE, _EDGE = range(5)
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters of text cut in one step, and words remembered by a worker.
 PIECE, REMEMBERED = 2_000_000, 400_000
+#: Words of more bytes are merged one by one.
+LONG = 4_000
 _tables: dict = {}
 
 
@@ -84,10 +87,16 @@ class Bpe:
         self.special = added
         self.special_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.known: dict[str, bytes] = {}
+        self.by_pair: dict[int, tuple[int, int]] = {}
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The token ids (as little-endian 32-bit integers) of each word."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        if long := [i for i, w in enumerate(raw) if len(w) > LONG]:
+            out = self.merge([w for w, b in zip(words, raw) if len(b) <= LONG])
+            for i in long:
+                out.insert(i, self._merge_long(raw[i]))
+            return out
         sizes = np.array([len(w) for w in raw], np.int64)
         symbol = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int64)
         word = np.repeat(np.arange(len(words)), sizes)
@@ -141,6 +150,35 @@ class Bpe:
         ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _merge_long(self, raw: bytes) -> bytes:
+        """merge() of one very long word, in which each round would merge few of many pairs: a heap of pairs by rank and
+        place, over a chain of symbols."""
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        symbol = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
+        n = len(symbol)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and (then := after[at]) >= 0 and (found := self.by_pair.get(symbol[at] * self.size + symbol[then])):
+                heapq.heappush(heap, (found[0], at, symbol[at], symbol[then], found[1]))
+
+        for at in range(n - 1):
+            offer(at)
+        while heap:
+            _, at, left, right, made = heapq.heappop(heap)
+            then = after[at]
+            if symbol[at] != left or then < 0 or symbol[then] != right:
+                continue
+            symbol[at], symbol[then] = made, -1
+            after[at] = after[then]
+            if after[at] >= 0:
+                before[after[at]] = at
+            offer(before[at])
+            offer(at)
+        return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
+
     def _cut(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the pieces after one another, and the n + 1 offsets of the pieces."""
         text = "".join(pieces)

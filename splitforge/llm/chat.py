@@ -33,6 +33,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1\2", text) if "|im_" in text else text
 
 
+def escape_role(role: str) -> str:
+    """A role on one line: backslashes are doubled and line breaks become \\n, then control strings are escaped."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(text: str) -> str:
+    """The reverse of escape_role()."""
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(text))
+
+
 def encode_turns(df: DataFrame, vocabulary: str, loss_role: str = "assistant") -> DataFrame:
     """One row a turn: (conv_id, turn, ids, edges).
 
@@ -48,7 +58,7 @@ def encode_turns(df: DataFrame, vocabulary: str, loss_role: str = "assistant") -
         for batch in batches:
             for part, texts in bpe.texts_of(batch, "text"):
                 roles = part.column(2).to_pylist()
-                head, head_at = coder.encode([escape(r or "") for r in roles], special=False)
+                head, head_at = coder.encode([escape_role(r or "") for r in roles], special=False)
                 body, body_at = coder.encode([escape(t or "") for t in texts], special=False)
                 ids, edges, sizes = [], [], []
                 for i, role in enumerate(roles):
@@ -112,7 +122,6 @@ def read_back(df: DataFrame, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load_shared(name)
         start, end = coder.size, coder.size + 1
-        newline = len(coder.encode(["\n"])[0])
 
         def texts(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[str]:
             at = np.stack([begins, ends], axis=1).ravel()
@@ -123,14 +132,15 @@ def read_back(df: DataFrame, vocabulary: str) -> DataFrame:
             for row in range(batch.num_rows):
                 ids, mask = np.asarray(batch.column(1)[row].values, np.int64), np.asarray(batch.column(2)[row].values, np.int8)
                 begins, ends = np.flatnonzero(ids == start), np.flatnonzero(ids == end)
+                if len(begins) != len(ends):
+                    raise ValueError("a turn has no end")
                 plain = np.where(ids >= start, 0, ids)
                 inner = texts(plain, begins + 1, ends)
                 split = [t.partition("\n")[::2] for t in inner]
-                turns.append([{"role": unescape(r), "text": unescape(t)} for r, t in split])
+                turns.append([{"role": unescape_role(r), "text": unescape(t)} for r, t in split])
                 formatted.append("".join(f"{START}{t}{END}\n" for t in inner))
                 step = np.diff(np.concatenate([[0], mask, [0]]))
                 loss.append("".join(unescape(t) for t in texts(plain, np.flatnonzero(step == 1), np.flatnonzero(step == -1))))
-                assert newline and len(begins) == len(ends)
             kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
             yield pa.record_batch([batch.column(0), pa.array(turns, kind), pa.array(loss, pa.string()), pa.array(formatted, pa.string())], names=["conv_id", "turns", "loss_text", "formatted"])
 

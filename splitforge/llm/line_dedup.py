@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitforge.llm import flat
-from splitforge.llm.shared import bounded_batches
 
 #: Words of a repeated run that is removed, at least.
 MIN_WORDS = 25
@@ -144,7 +143,7 @@ def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
                 yield pa.record_batch(columns, names=["key", "id", "low", "diagonal"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return bounded_batches(rows).mapInArrow(work, f"key long, id {kind}, low int, diagonal struct<high: int, first: {kind}, shift: int>")
+    return rows.mapInArrow(work, f"key long, id {kind}, low int, diagonal struct<high: int, first: {kind}, shift: int>")
 
 
 def diagonals(places: DataFrame) -> DataFrame:
@@ -239,7 +238,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 yield pa.record_batch([texts if i == at else part.column(i) for i in range(len(shown))], names=names)
 
     # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
-    packed = bounded_batches(df.select(*(F.col(c).alias(n) for c, n in zip(shown, names)))).mapInArrow(pack, packed_kinds)
+    packed = df.select(*(F.col(c).alias(n) for c, n in zip(shown, names))).mapInArrow(pack, packed_kinds)
     lines = diagonals(_places(df, id_col, text_col, least))
     # The join keeps null ids apart without a filter, so both joins share the shuffle of `packed`.
     found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", *names)
@@ -266,7 +265,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 pieces.append(raw[a:b].tobytes())
             yield pa.record_batch([ids, shift, low, high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "begin", "piece"])
 
-    marks = bounded_batches(found).mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, begin int, piece binary")
+    marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, begin int, piece binary")
     marks = marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "begin", "piece")).alias("__marks"))
     rows = packed.hint("merge").join(marks, F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
@@ -314,7 +313,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
             out = pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])
             yield out.filter(pa.array(runs > 0)) if changed else out
 
-    return bounded_batches(rows).mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def _without(text: bytes, bounds: tuple[np.ndarray, np.ndarray], cuts: list[tuple[int, int]]) -> bytes:

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitforge.llm import bpe, chat, decontam, embed_dedup, line_dedup, near_dedup, pseudonyms, quality, token_files, toxicity
+from splitforge.llm.shared import bound_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. All queries here, and the pipeline, begin with this and work on bounded batches: it is the one place
+    that sets this in the session."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,7 +91,7 @@ WITH rows AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), shown AS (
   SELECT *, length(regexp_replace(text, '<(\\*)(\|im_(?:start|end)\|>)', '<\\\1\2', 'g'))
-    + length(regexp_replace(role, '<(\\*)(\|im_(?:start|end)\|>)', '<\\\1\2', 'g')) + 24 AS shown_chars FROM rows
+    + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)(\|im_(?:start|end)\|>)', '<\\\1\2', 'g')) + 24 AS shown_chars FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,

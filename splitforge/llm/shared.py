@@ -58,12 +58,9 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """df, its session set to hand Python workers at most about `most` bytes at once.
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Set the session to hand Python workers at most about `most` bytes at once.
 
     By default a batch is 10,000 rows whatever their size, which for long texts is more than a worker should hold.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "268435456").rstrip("bB")) > most:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
-    return df
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
