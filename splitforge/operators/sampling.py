@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitforge.functions.columns import hash_order
 from splitforge.operators.ranking import hash_ranked
 
 
@@ -83,8 +84,12 @@ def best_epoch(df: DataFrame, score: str = "f1", epoch: str = "epoch", by: Seque
 
 
 def seeded_sample(df: DataFrame, seed: int, n: int, id_col: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
-    """n rows (of each `by` group) in hash order."""
-    return hash_ranked(df, seed, [id_col], by, "__rank", "__n").where(F.col("__rank") <= n).drop("__rank", "__n")
+    """n rows (of each `by` group) in hash order. n is a constant, so every task keeps its first n and only these meet."""
+    key = hash_order(seed, *(F.col(c) for c in by), F.col(id_col))
+    if not by:
+        return df.orderBy(key, id_col).limit(n)
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(key, id_col)))
+    return ranked.where(F.col("__rank") <= n).drop("__rank")
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
@@ -94,6 +99,4 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFram
 
 def seeded_order(df: DataFrame, seed: int, id_col: str = "sample_id") -> DataFrame:
     """df sorted by its seeded hash, for a sink."""
-    from splitforge.functions.columns import hash_order
-
     return df.orderBy(hash_order(seed, F.col(id_col)), id_col)

@@ -90,12 +90,11 @@ def w10_seeded_sample(spark, sf_dir):
     return sampling.seeded_sample(B.table(spark, sf_dir, "documents").select("doc_id", "lang"), 5, 25, "doc_id", ["lang"])
 
 
-@plan("""WITH k AS (SELECT doc_id, CASE WHEN lang = 'en' THEN substr(sha256(text), 1, 3) END AS phash, sha256(text) AS content_hash FROM documents)
-SELECT coalesce(phash, content_hash) AS "group", count(*) AS n, min(doc_id) AS first FROM k GROUP BY ALL HAVING count(*) > 1""")
+@plan(f"""WITH {B.VECTORS}, {B.KEYED} SELECT CASE WHEN label = 1 THEN content_hash ELSE "group" END AS "group", count(*) AS n, min(sample_id) AS first FROM keyed GROUP BY ALL""")
 def w11_near_groups(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "lang", C.content_hash("text").alias("content_hash"))
-    key = F.when(F.col("lang") == "en", F.substring("content_hash", 1, 3))
-    return dedup.near_groups(docs, key, "content_hash").groupBy("group").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    """Samples by their perceptual key; those of label 0 count as having none and fall back on another key."""
+    rows = B.vectors(spark, sf_dir).select("sample_id", "label", C.perceptual_key("features").alias("key"), F.concat(F.lit("q"), F.col("sample_id") % 97).alias("other"))
+    return dedup.near_groups(rows, F.when(F.col("label") == 1, F.col("key")), "other").groupBy("group").agg(F.count("*").alias("n"), F.min("sample_id").alias("first"))
 
 
 @plan("SELECT source AS raw, CASE WHEN lower(trim(source)) IN ('src1', 'src2') THEN 'REAL' ELSE source END AS normalised, count(*) AS n FROM documents GROUP BY ALL")

@@ -149,7 +149,11 @@ def sc8_perceptual_key(spark, sf_dir):
     return B.vectors(spark, sf_dir).select("sample_id", C.perceptual_key("features").alias("key"))
 
 
-@plan()
+def _names_sql(column: str) -> str:
+    return f"""'[' || coalesce('"' || array_to_string(list_sort(list(DISTINCT {column}) FILTER (WHERE {column} IS NOT NULL)), '","') || '"', '') || ']'"""
+
+
+@plan(f"""WITH {B.VECTORS}, {B.KEYED}, {B.SPLITS} SELECT split, '{{"generators":' || {_names_sql('generator')} || ',"n":' || count(*) || ',"n_real":' || count(*) FILTER (WHERE label = 0) || ',"sources":' || {_names_sql('source')} || '}}' AS report FROM splits GROUP BY split""")
 def sc9_report_json(spark, sf_dir):
     from splitforge.operators.metrics import class_counts, members
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,53 @@ def src4_strict_manifest(spark, sf_dir):
     return readers.strict_manifest(spark, path)
 
 
+@plan("SELECT CAST(quality AS INT) AS label, count(*) AS n FROM labels WHERE quality IN (0, 1) GROUP BY ALL")
+def src2_labelled_folders(spark, sf_dir):
+    """The labelled ids are written as text files into folders whose names stand for the label, and one that has no known
+    name; the files found there are read with their label."""
+    root = scratch(spark, "folders")
+    rows = B.table(spark, sf_dir, "labels").select("quality", F.col("doc_id").cast("string").alias("value"))
+    for folder, chosen in (("REAL", "quality = 0"), ("1_fake", "quality = 1"), ("other", "quality IS NOT NULL")):
+        rows.where(chosen).select("value").write.text(f"{root}/train/{folder}")
+    found = readers.labelled_folders(spark, root, extensions=("txt",))
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"))
+    return lines.join(found.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@plan(f"WITH {B.VECTORS}, {B.SCORED}, m AS ({B.metrics_sql('scored', 'model, name, param')}) SELECT model, name, param, round(accuracy, 9) AS accuracy, round(f1, 9) AS f1 FROM m")
+def src7_metric_json(spark, sf_dir):
+    """The JSON half of a metric table, with all places."""
+    path, keys = scratch(spark, "metrics"), ["model", "name", "param"]
+    writers.metrics(metrics.classification(B.scored(spark, sf_dir), keys), path, [*keys, "accuracy", "f1"])
+    rows = readers.metric_json(spark, f"{path}.json", "model string, name string, param string, accuracy double, f1 double")
+    return rows.select(*keys, F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"))
+
+
+@plan("SELECT source, count(*) AS n, count(quality) AS labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def snk1_wide_manifest(spark, sf_dir):
+    """A manifest written as Parquet, written again when forced, and read back."""
+    path = scratch(spark, "manifest")
+    rows = B.texts(spark, sf_dir).select(F.col("sample_id").alias("image_path"), "label", "source")
+    for force in (False, True):
+        writers.manifest(rows, path, ["image_path", "label", "source"], force=force, kind="parquet")
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.count("label").alias("labelled"))
+
+
+@plan("SELECT 'exists' AS refused, count(*) AS kept FROM labels UNION ALL SELECT 'protected', count(*) FROM labels")
+def snk2_write_once(spark, sf_dir):
+    """What a second write that isn't forced, and a forced one below a protected folder, leave of a manifest: all of it."""
+    path = scratch(spark, "manifest")
+    rows = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    writers.manifest(rows, path, ["doc_id", "quality"], kind="parquet")
+    refused = []
+    for name, options in (("exists", {}), ("protected", {"force": True, "protected": [path.rsplit("/", 1)[0]]})):
+        try:
+            writers.manifest(rows.where("quality = 1"), path, ["doc_id", "quality"], kind="parquet", **options)
+        except (AnalysisException, PermissionError):
+            refused.append(name)
+    return spark.read.parquet(path).agg(F.count("*").alias("kept")).crossJoin(B.names(spark, "refused", refused)).select("refused", "kept")
+
+
 @plan(f"WITH {B.VECTORS}, {B.SCORED} SELECT CAST(sample_id AS VARCHAR) AS image_path, CAST(pred AS BIGINT) AS pred FROM scored WHERE model = 'robust' AND name = 'clean'")
 def snk3_predictions(spark, sf_dir):
     path = scratch(spark, "predictions")

@@ -13,7 +13,6 @@ from splitforge.plans import base as B
 
 PLANS: dict = {}
 SEED = B.SEED
-_SCORED = f"WITH {B.VECTORS}, {B.SCORED}"
 
 
 def plan(sql: str | None = None):
@@ -40,13 +39,6 @@ def j1_samples_by_conditions(spark, sf_dir):
     return rows.groupBy("name", "param").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("samples"))
 
 
-@plan(f"{_SCORED} SELECT name, param, count(*) AS pairs, count(DISTINCT sample_id) AS samples FROM scored GROUP BY ALL")
-def j2_paired_models(spark, sf_dir):
-    models = B.names(spark, "model", ("baseline", "robust"))
-    conditions = B.scored(spark, sf_dir).select("sample_id", "name", "param").distinct()
-    return joins.by_models(conditions, models).groupBy("name", "param").agg(F.count("*").alias("pairs"), F.count_distinct("sample_id").alias("samples"))
-
-
 _AT = "features[least(greatest(i + {k}, 0), 63) + 1]"
 
 
@@ -106,6 +98,11 @@ def _summed(rows, *keys):
     return rows.select(*keys, F.round(weighted, 6).alias("s"))
 
 
+_LEGACY_NOISE = _noise_sql("noise", "", 15.0 / 255).replace("'noise', '', ", "'noise', ")
+_LEGACY_FACTOR = "(1 - 0.3 + 2 * 0.3 * " + B.uniform_sql(f"'{SEED}'", "'color_jitter'", "CAST(sample_id AS VARCHAR)", "'factor'") + ")"
+_LEGACY_SQL = [_kernel_sql("jpeg", "", 35.0), _kernel_sql("blur", "", 2.0), _kernel_sql("resize", "", 0.5), _LEGACY_NOISE, f"features[i + 1] * {_LEGACY_FACTOR}", _kernel_sql("center_crop", "", 0.8)]
+
+
 def _kernel_plan(name: str):
     conditions = tuple(c for c in corrupt.SWEEP if c[0] == name)
 
@@ -145,9 +142,13 @@ _PICK = B.uniform_sql(f"'{SEED}'", "'pick'", "CAST(sample_id AS VARCHAR)")
 _LEGACY = " ".join(f"WHEN k = {i} THEN '{n}:{p}'" for i, (n, p, _) in enumerate(corrupt.LEGACY))
 
 
-@plan(f"WITH {B.VECTORS} SELECT applied, count(*) AS n FROM (SELECT CASE {_LEGACY} END AS applied FROM (SELECT CASE WHEN {_GATE} < 0.5 THEN floor({_PICK} * {len(corrupt.LEGACY)}) END AS k FROM vectors)) GROUP BY ALL")
+_LEGACY_VALUE = " ".join(f"WHEN k = {i} THEN {v}" for i, v in enumerate(_LEGACY_SQL))
+
+
+@plan(f"""WITH {B.VECTORS}, picked AS (SELECT sample_id, features, CASE WHEN {_GATE} < 0.5 THEN floor({_PICK} * {len(corrupt.LEGACY)}) END AS k FROM vectors)
+SELECT sample_id, applied, round(sum(v * (i + 1)), 6) AS s FROM (SELECT sample_id, i, CASE {_LEGACY} END AS applied, CASE {_LEGACY_VALUE} ELSE features[i + 1] END AS v FROM picked CROSS JOIN (SELECT unnest(range(0, 64)) AS i)) GROUP BY ALL""")
 def c11_legacy_corruptions(spark, sf_dir):
-    return corrupt.legacy(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED).groupBy("applied").agg(F.count("*").alias("n"))
+    return _summed(corrupt.legacy(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED), "sample_id", "applied")
 
 
 def _probe_sql() -> str:
@@ -255,12 +256,17 @@ def m6_best_candidate(spark, sf_dir):
 
 # Flagship: how much accuracy the scorers keep under each corruption
 
-def _summary_sql(conditions) -> str:
+def _judged_sql(conditions) -> str:
+    """Margins of both models for every sample outside train under every condition."""
     values = ", ".join(f"('{n}', '{p}')" for n, p, _ in conditions)
     swept = " ".join(f"WHEN name = '{n}' AND param = '{p}' THEN {_kernel_sql(n, p, v)}" for n, p, v in conditions)
-    relations = f"""{B.VECTORS}, {_MODELS}, both_models AS (SELECT 'baseline' AS model, * FROM base_model UNION ALL SELECT 'robust', * FROM robust_model),
+    return f"""{B.VECTORS}, {_MODELS}, both_models AS (SELECT 'baseline' AS model, * FROM base_model UNION ALL SELECT 'robust', * FROM robust_model),
   swept AS (SELECT v.sample_id, v.label, c.name, c.param, x.i, CASE {swept} END AS v FROM vectors v JOIN splits s USING (sample_id) CROSS JOIN (VALUES {values}) c(name, param) CROSS JOIN (SELECT unnest(range(0, 64)) AS i) x WHERE s.split <> 'train'),
-  judged AS (SELECT model, name, param, sample_id, label, round(sum((v - mid) * w), 9) AS margin FROM swept JOIN both_models USING (i) GROUP BY ALL),
+  judged AS (SELECT model, name, param, sample_id, label, round(sum((v - mid) * w), 9) AS margin FROM swept JOIN both_models USING (i) GROUP BY ALL)"""
+
+
+def _summary_sql(conditions) -> str:
+    relations = f"""{_judged_sql(conditions)},
   scored AS (SELECT *, 1 / (1 + exp(-margin)) AS p, CAST(1 / (1 + exp(-margin)) >= 0.5 AS INT) AS pred FROM judged),
   m AS ({B.metrics_sql('scored', 'model, name, param')}), a AS ({B.auc_sql('scored', 'model, name, param')}), r AS (SELECT m.*, a.roc_auc FROM m JOIN a USING (model, name, param)),
   clean AS (SELECT model, accuracy AS ca, f1 AS cf FROM r WHERE name = 'clean')"""
@@ -270,12 +276,25 @@ def _summary_sql(conditions) -> str:
   FROM r JOIN clean USING (model)"""
 
 
-def _summary(spark, sf_dir, conditions):
-    """Split, fit two centroid scorers on train, corrupt the other samples, score and compare."""
+def _judged(spark, sf_dir, conditions):
+    """Split, fit two centroid scorers on train, corrupt the other samples, score each changed row with both."""
     rows = B.stored(_train(spark, sf_dir), "samples")
     first, second = _models(rows.where("split = 'train'"))
     swept = corrupt.sweep(rows.where("split != 'train'").select("sample_id", "label", "features"), SEED, conditions)
-    table = robustness_summary(B.stored(score.score(swept, first.unionByName(second)).drop("features"), "scored"))
+    return B.stored(score.score(swept, first.unionByName(second)).drop("features"), "scored")
+
+
+@plan(f"""WITH {_judged_sql(corrupt.SWEEP)} SELECT name, param, CAST(sum(n) AS BIGINT) AS pairs, count(*) AS samples, round(avg(gap), 6) AS gap, round(max(abs(gap)), 6) AS largest
+  FROM (SELECT name, param, sample_id, count(*) AS n, sum(CASE WHEN model = 'robust' THEN margin ELSE -margin END) AS gap FROM judged GROUP BY ALL) GROUP BY ALL""")
+def j2_paired_models(spark, sf_dir):
+    """Each transformed row scored by both models, and how far their margins on the same row are apart."""
+    gap = F.sum(F.when(F.col("model") == "robust", F.col("margin")).otherwise(-F.col("margin")))
+    paired = _judged(spark, sf_dir, corrupt.SWEEP).groupBy("name", "param", "sample_id").agg(F.count("*").alias("n"), gap.alias("gap"))
+    return paired.groupBy("name", "param").agg(F.sum("n").alias("pairs"), F.count("*").alias("samples"), F.round(F.avg("gap"), 6).alias("gap"), F.round(F.max(F.abs("gap")), 6).alias("largest"))
+
+
+def _summary(spark, sf_dir, conditions):
+    table = robustness_summary(_judged(spark, sf_dir, conditions))
     return table.select(*(C.rounded(c).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes))
 
 

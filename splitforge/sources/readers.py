@@ -109,8 +109,9 @@ def metric_table(spark: SparkSession, path: str, keys: Sequence[str] = ("transfo
     return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` {'string' if c in keys else 'double'}" for c in header))
 
 
-def metric_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.json(path, schema=schema, multiLine=True)
+def metric_json(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """Metrics from JSON: an object on each line, or with `whole` one object or array in each file."""
+    return spark.read.json(path, schema=schema, multiLine=whole)
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:

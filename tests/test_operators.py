@@ -1,8 +1,11 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from splitforge.functions import columns as C
-from splitforge.operators import compare, corrupt, dedup, metrics, sampling, verify
+from splitforge.operators import compare, corrupt, dedup, metrics, sampling, score, verify
 from splitforge.sources import readers, writers
 
 #: A published benchmark of 17 conditions, and error counts that must follow from its first rows.
@@ -84,6 +87,48 @@ def test_caps(spark):
     assert sampling.class_balanced_cap(rows, 1, None).count() == sampling.class_balanced_cap(rows, 1, 20).count() == 20
 
 
+def test_probe_equals_newton_steps_and_the_best_setting_wins(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 3)) * [1, 2, 0.5] + [0, 1, 2]
+    y = (x @ [1.0, -0.7, 0.4] + draw.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(i, int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))], "sample_id long, label int, features array<double>")
+    found = {r.sample_id: (r.logit_1, r.p_1) for r in score.probe_scores(score.linear_probe(rows, reg=0.01, iterations=200), rows, "probe").collect()}
+    # The penalty is on coefficients of features divided by their deviation.
+    z = np.column_stack([x / x.std(axis=0, ddof=1), np.ones(300)])
+    w, penalty = np.zeros(4), np.diag([0.01, 0.01, 0.01, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z.T * (p * (1 - p))) @ z / 300 + penalty, z.T @ (p - y) / 300 + penalty @ w)
+    for i, (logit, p) in found.items():
+        assert abs(logit - z[i] @ w) < 1e-3 and abs(p - 1 / (1 + np.exp(-z[i] @ w))) < 1e-4
+    log = score.candidate_log(rows.where("sample_id < 200"), rows.where("sample_id >= 200"), (10.0, 0.01)).collect()
+    best = score.best_candidate(spark.createDataFrame(log)).first()
+    assert best.f1 == max(r.f1 for r in log) and best.epoch == min(r.epoch for r in log if r.f1 == best.f1)
+
+
+def plain_draw(*parts):
+    return (int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15], 16) + 1) / (16**15 + 1)
+
+
+def test_augmentation_in_plain_python(spark):
+    """Which kernels are drawn, with which parameter, and what the vectors become, for kernels without draws of their own."""
+    names = ("jpeg", "resize", "center_crop")
+    draw = np.random.default_rng(5)
+    vectors = {i: draw.uniform(-1, 1, 16) for i in range(60)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "sample_id long, features array<double>")
+    found = {r.sample_id: r for r in corrupt.augmented(rows, 9, p=0.7, num=2, names=names).collect()}
+    kernels = {
+        "jpeg": lambda v, q: np.sign(v) * np.floor(np.abs(v) * q * 0.64 + 0.5) / (q * 0.64), "resize": lambda v, s: np.repeat(v.reshape(-1, round(1 / s)).mean(axis=1), round(1 / s)),
+        "center_crop": lambda v, k: v[2 + np.floor((np.arange(16) + 0.5) * 12 / 16).astype(int)],
+    }
+    for i, v in vectors.items():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"9|order|{n}|{i}".encode()).hexdigest())[:2] if plain_draw(9, "gate", i) < 0.7 else []
+        for n in order:
+            bank = corrupt.BANKS[n]
+            v = kernels[n](v, bank[int(plain_draw(9, "parameter", n, i) * len(bank))])
+        assert found[i].applied == order and np.allclose(found[i].features, v, atol=1e-9), i
+
+
 def test_best_epoch_ignores_nan_and_takes_the_earliest(spark):
     log = spark.createDataFrame([(1, float("nan")), (2, 0.5), (3, 0.7), (4, 0.7), (5, None)], "epoch int, f1 double")
     assert sampling.best_epoch(log).first().epoch == 3
