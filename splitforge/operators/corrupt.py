@@ -175,18 +175,27 @@ def augmented(samples: DataFrame, seed: int, p: float = 0.5, num: int = 2, names
     order = F.array_sort(F.array(*(F.struct(hash_order(seed, "order", F.lit(n), sample).alias("h"), F.lit(n).alias("n")) for n in names)))
     drawn = F.slice(F.transform(order, lambda s: s["n"]), 1, num)
     applied = F.when(uniform(seed, "gate", sample) < p, drawn).otherwise(F.array().cast("array<string>"))
-    rows = samples.withColumn("applied", applied).withColumn(vector, F.col(vector).cast("array<double>"))
+    rows = samples.withColumn("applied", applied)
+
+    def step(k: int) -> Callable[[Column], Column]:
+        def changed(v: Column) -> Column:
+            pick, out = F.get(F.col("applied"), F.lit(k)), None
+            for n in names:
+                bank = BANKS.get(n, (0.0,))
+                index = F.floor(uniform(seed, "parameter", n, sample) * len(bank))
+                for i, parameter in enumerate(bank):
+                    here = (pick == n) & (index == i)
+                    new = named(n)(v, parameter, seed, n, k, sample)
+                    out = F.when(here, new) if out is None else out.when(here, new)
+            return v if out is None else out.otherwise(v)
+
+        return changed
+
+    # Each step binds the vector that it starts from: Spark would put the whole step before into every access to it.
+    value = F.col(vector).cast("array<double>")
     for k in range(num):
-        v, pick, out = F.col(vector), F.get(F.col("applied"), F.lit(k)), None
-        for n in names:
-            bank = BANKS.get(n, (0.0,))
-            index = F.floor(uniform(seed, "parameter", n, sample) * len(bank))
-            for i, value in enumerate(bank):
-                here = (pick == n) & (index == i)
-                changed = named(n)(v, value, seed, n, k, sample)
-                out = F.when(here, changed) if out is None else out.when(here, changed)
-        rows = rows.withColumn(vector, out.otherwise(v))
-    return rows
+        value = bound(value, step(k))
+    return rows.withColumn(vector, value)
 
 
 def legacy(samples: DataFrame, seed: int, p: float = 0.5, vector: str = "features", id_col: str = "sample_id") -> DataFrame:

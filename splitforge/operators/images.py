@@ -1,21 +1,25 @@
 """Image samples: Spark's `image` structs in, the same structs or feature arrays out.
 
-Kernels are numpy on whole images inside mapInPandas, one stage for any number of conditions. They follow their own
-formulas: recompression quantises 8x8 blocks of cosine coefficients, resampling is nearest, bilinear or box.
+Kernels are numpy on whole images inside mapInArrow, one stage for any number of conditions; what a task holds is one image
+and the results of at most BATCH_BYTES. They follow their own formulas: recompression quantises 8x8 blocks of cosine
+coefficients, resampling is nearest, bilinear or box.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
 _EIGHT_BIT_BGR = 16
+#: Bytes of results that a task gathers before it passes them on.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, folder: str, drop_unreadable: bool = False) -> DataFrame:
@@ -41,11 +45,19 @@ def _clipped(table: np.ndarray) -> np.ndarray:
 
 def _draws(*parts) -> np.random.Generator:
     """A generator seeded by values, so a row gives the same draws in any partition."""
-    import hashlib
-
     return np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big"))
 
 
+def _uniform(*parts) -> float:
+    """The draw in (0, 1) that `columns.uniform` gives for the same parts."""
+    digits = hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15]
+    return (float(int(digits, 16)) + 1.0) / float((1 << 60) + 1)
+
+
+def _factor(spread: float, *seed) -> float:
+    return 1 - spread + 2 * spread * _uniform(*seed, "factor")
+
+
 def _cosines(n: int = 8) -> np.ndarray:
     k, i = np.arange(n)[:, None], np.arange(n)[None, :]
     table = np.sqrt(2 / n) * np.cos(np.pi * (2 * i + 1) * k / (2 * n))
@@ -120,17 +132,17 @@ def _luma(image: np.ndarray) -> np.ndarray:
 
 
 def brightness(image: np.ndarray, spread: float, *seed) -> np.ndarray:
-    return _clipped(image * _draws(*seed).uniform(1 - spread, 1 + spread))
+    return _clipped(image * _factor(spread, *seed))
 
 
 def contrast(image: np.ndarray, spread: float, *seed) -> np.ndarray:
     mean = _luma(image).mean()
-    return _clipped(mean + (image - mean) * _draws(*seed).uniform(1 - spread, 1 + spread))
+    return _clipped(mean + (image - mean) * _factor(spread, *seed))
 
 
 def saturation(image: np.ndarray, spread: float, *seed) -> np.ndarray:
     grey = _luma(image)[:, :, None]
-    return _clipped(grey + (image - grey) * _draws(*seed).uniform(1 - spread, 1 + spread))
+    return _clipped(grey + (image - grey) * _factor(spread, *seed))
 
 
 def centre_crop(image: np.ndarray, keep: float, *seed) -> np.ndarray:
@@ -168,27 +180,50 @@ def acquired(image: np.ndarray, *seed) -> np.ndarray:
     return image
 
 
+Row = dict[str, object]
+
+
+def _each(rows: DataFrame, columns: Sequence[str], work: Callable[[Row], Row], schema: str) -> DataFrame:
+    """work(row) of every row, in Arrow batches of at most about BATCH_BYTES; rows are taken out one by one."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[Row] = []
+            size = 0
+            for i in range(batch.num_rows):
+                row = work(batch.slice(i, 1).to_pylist()[0])
+                out.append(row)
+                size += sum(len(x) if isinstance(x, bytes) else x.nbytes if isinstance(x, np.ndarray) else 16 for x in row.values())
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=shape)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
 def mapped(rows: DataFrame, change: Callable[..., np.ndarray], extra: Sequence[str] = ()) -> DataFrame:
     """Readable images changed by change(image, origin, *extra); unreadable ones pass through as they are."""
     kinds = dict(rows.dtypes)
     schema = IMAGE + "".join(f", `{c}` {kinds[c]}" for c in extra)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = part.copy()
-            for i, row in enumerate(part.itertuples(index=False)):
-                if row.height > 0:
-                    image = change(pixels(row.height, row.width, row.nChannels, row.data), row.origin, *(getattr(row, c) for c in extra))
-                    out.iloc[i, out.columns.get_indexer(["height", "width", "nChannels", "mode"])] = [image.shape[0], image.shape[1], 3, _EIGHT_BIT_BGR]
-                    out.iat[i, out.columns.get_loc("data")] = image.astype(np.uint8).tobytes()
-            yield out
+    def work(row: Row) -> Row:
+        if row["height"] is None or row["height"] <= 0:
+            return row
+        image = change(pixels(row["height"], row["width"], row["nChannels"], row["data"]), row["origin"], *(row[c] for c in extra))
+        return row | {"height": image.shape[0], "width": image.shape[1], "nChannels": 3, "mode": _EIGHT_BIT_BGR, "data": image.astype(np.uint8).tobytes()}
 
-    return rows.select("origin", "height", "width", "nChannels", "mode", "data", *extra).mapInPandas(work, schema)
+    return _each(rows, ["origin", "height", "width", "nChannels", "mode", "data", *extra], work, schema)
 
 
 def sweep(rows: DataFrame, conditions: DataFrame, seed: int) -> DataFrame:
-    """Every image under every condition (name, param, value); images are dealt out before they multiply."""
-    every = rows.repartition("origin").crossJoin(F.broadcast(conditions))
+    """Every image under every condition (name, param, value); images multiply where they are read, none is shuffled."""
+    every = rows.crossJoin(F.broadcast(conditions))
 
     def change(image, origin, name, param, value):
         kind = param.split("_")[0] if name == "color_jitter" else name
@@ -216,36 +251,29 @@ def features(rows: DataFrame, side: int, mean: Sequence[float] = (0.485, 0.456,
     """(origin, features array<float>): square resize, scale to 0..1, red-green-blue order, standardised; with a flip
     seed half of the images are mirrored, chosen by their origin. Unreadable images have null features."""
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                if row.height <= 0:
-                    out.append(None)
-                    continue
-                image = resample(pixels(row.height, row.width, row.nChannels, row.data), side, side)[:, :, ::-1] / 255
-                if flip_seed is not None and _draws(flip_seed, "flip", row.origin).random() < 0.5:
-                    image = image[:, ::-1]
-                out.append(((image - np.array(mean)) / np.array(std)).astype(np.float32).ravel())
-            yield pd.DataFrame({"origin": part["origin"], "features": out})
+    centre, width = np.array(mean), np.array(std)
+
+    def work(row: Row) -> Row:
+        if row["height"] is None or row["height"] <= 0:
+            return {"origin": row["origin"], "features": None}
+        image = resample(pixels(row["height"], row["width"], row["nChannels"], row["data"]), side, side)[:, :, ::-1] / 255
+        if flip_seed is not None and _uniform(flip_seed, "flip", row["origin"]) < 0.5:
+            image = image[:, ::-1]
+        return {"origin": row["origin"], "features": ((image - centre) / width).astype(np.float32).ravel()}
 
-    return rows.select("origin", "height", "width", "nChannels", "data").mapInPandas(work, "origin string, features array<float>")
+    return _each(rows, ["origin", "height", "width", "nChannels", "data"], work, "origin string, features array<float>")
 
 
 def perceptual_keys(rows: DataFrame) -> DataFrame:
     """(origin, phash): signs of the 8x8 low frequencies of a 32x32 grey image against their median, as 16 hex digits."""
     cosines = _cosines(32)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                if row.height <= 0:
-                    out.append(None)
-                    continue
-                grey = resample(pixels(row.height, row.width, row.nChannels, row.data), 32, 32, "box")
-                low = (cosines @ _luma(grey) @ cosines.T)[:8, :8].ravel()
-                out.append(f"{int(''.join('1' if x > np.median(low) else '0' for x in low), 2):016x}")
-            yield pd.DataFrame({"origin": part["origin"], "phash": out})
-
-    return rows.select("origin", "height", "width", "nChannels", "data").mapInPandas(work, "origin string, phash string")
+    def work(row: Row) -> Row:
+        if row["height"] is None or row["height"] <= 0:
+            return {"origin": row["origin"], "phash": None}
+        grey = resample(pixels(row["height"], row["width"], row["nChannels"], row["data"]), 32, 32, "box")
+        low = (cosines @ _luma(grey) @ cosines.T)[:8, :8].ravel()
+        bits = "".join("1" if x else "0" for x in low > np.median(low))
+        return {"origin": row["origin"], "phash": f"{int(bits, 2):016x}"}
+
+    return _each(rows, ["origin", "height", "width", "nChannels", "data"], work, "origin string, phash string")

@@ -11,6 +11,8 @@ from splitforge.functions.columns import known_key, size_bucket
 from splitforge.operators.ranking import running_sums
 
 COUNTS = ("tn", "fp", "fn", "tp")
+#: Buckets of a group's distinct scores.
+BUCKETS = 256
 
 
 def _count(label: int, pred: int) -> Column:
@@ -40,13 +42,16 @@ def classification(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, roc_auc): the exact area with ties counted half; null where one class is absent.
 
-    Rows are summed to distinct scores, whose running sums are taken in two levels, so no task sees all of a group.
+    Rows are summed to distinct scores, whose running sums are taken in two levels, so no task sees all of a group. The
+    buckets lie between quantiles of the distinct scores, so scores that crowd somewhere share no bucket.
     """
     keys = list(by) or ["__all"]
     rows = df.where(F.col("p").isNotNull() & ~F.isnan("p"))
     rows = rows if by else rows.withColumn("__all", F.lit(1))
     points = rows.groupBy(*keys, "p").agg(F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    run = running_sums(points, keys, "p", F.floor(F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0)) * 4096), ["neg"])
+    bounds = points.groupBy(*keys).agg(F.percentile_approx("p", [k / BUCKETS for k in range(1, BUCKETS)], 50 * BUCKETS).alias("__bounds"))
+    placed = points.join(bounds, keys).withColumn("__at", F.size(F.filter("__bounds", lambda b: b < F.col("p")))).drop("__bounds")
+    run = running_sums(placed, keys, "p", F.col("__at"), ["neg"])
     area = run.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)).alias("won"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return area.select(*by, F.when((F.col("all_pos") > 0) & (F.col("all_neg") > 0), F.col("won") / (F.col("all_pos") * F.col("all_neg"))).alias("roc_auc"))
 

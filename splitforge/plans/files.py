@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import struct
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitforge.functions import columns as C
 from splitforge.operators import corrupt, images, joins, metrics, verify
 from splitforge.plans import base as B
 from splitforge.plans.base import scratch
@@ -170,11 +174,36 @@ def st2_stream_dedup(spark, sf_dir):
     return _ended(spark, streams.stream_dedup(_events(spark, sf_dir), "record", "ts", "4000 days"), "single").groupBy("key").agg(F.count("*").alias("n"))
 
 
+#: Byte c of pixel i of the colour image of a vector: the number c * 21 places further on, as 0 to 255.
+_SHIFT = 21
+
+
+def _hex_bytes(at: list[tuple[int, int]]):
+    """The pixels at (position, channel) as hexadecimal digits; each number becomes its byte once."""
+    numbers = F.transform("features", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.bround((x + 1) * 127.5).cast("int")))), 2, "0"))
+    wanted = F.array(*(F.lit((i + c * _SHIFT) % 64) for i, c in at))
+    return C.bound(numbers, lambda byte: F.array_join(F.transform(wanted, lambda k: F.get(byte, k)), ""))
+
+
 def _images(spark, sf_dir) -> DataFrame:
-    """The vectors as grey 8x8 images."""
-    rows = B.vectors(spark, sf_dir)
-    byte = F.transform("features", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round((x + 1) * 127.5).cast("int")))), 2, "0"))
-    return rows.select(F.col("sample_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(byte, "")).alias("data"))
+    """The vectors as 8x8 images of three colours."""
+    data = F.unhex(_hex_bytes([(i, c) for i in range(64) for c in range(3)]))
+    shape = [F.lit(v).alias(n) for n, v in (("height", 8), ("width", 8), ("nChannels", 3), ("mode", 16))]
+    return B.vectors(spark, sf_dir).select(F.col("sample_id").cast("string").alias("origin"), *shape, data.alias("data"))
+
+
+def _pixel_sum(rows: DataFrame, *keys: str) -> DataFrame:
+    """Pixel bytes summed with their positions as weights, so a value in the wrong place shows."""
+
+    def total(digits):
+        return F.aggregate(F.sequence(F.lit(1), F.length("data")), F.lit(0).cast("long"), lambda a, i: a + i * F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+
+    value = C.bound(F.hex("data"), total)
+    return rows.select(*keys, value.alias("s"))
+
+
+_BYTES = "bytes AS (SELECT CAST(vec_id AS VARCHAR) AS origin, list_transform(embedding::DOUBLE[], lambda x: greatest(0, least(255, round_even((x + 1) * 127.5, 0)))) AS f FROM embeddings)"
+_PIXELS = f"""{_BYTES}, pixels AS (SELECT origin, i, f[i + 1] AS b, f[(i + {_SHIFT}) % 64 + 1] AS g, f[(i + 2 * {_SHIFT}) % 64 + 1] AS r FROM bytes CROSS JOIN (SELECT unnest(range(0, 64)) AS i))"""
 
 
 @plan("SELECT 17 * count(*) AS n, 17 * count(*) AS same_size FROM embeddings")
@@ -183,27 +212,98 @@ def c3_image_sweep(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.count_if(F.length("data") == 192).alias("same_size"))
 
 
+def _jittered_sql() -> str:
+    """What becomes of channel c of a pixel, rounded half to even and clipped."""
+    whole = "CASE WHEN kind = 'contrast' THEN avg(luma) OVER (PARTITION BY origin, param) WHEN kind = 'saturation' THEN luma ELSE 0 END"
+    u = B.uniform_sql(f"'{B.SEED}'", "'color_jitter'", "param", "origin", "'factor'")
+    value = "greatest(0, least(255, round_even(base + ({c} - base) * factor, 0)))"
+    total = " + ".join(f"(3 * i + {k + 1}) * " + value.format(c=c) for k, c in enumerate("bgr"))
+    kinds = ", ".join(f"('{p}', '{p.split('_')[0]}', {v})" for n, p, v in corrupt.SWEEP if n == "color_jitter")
+    return f"""WITH {_PIXELS}, lit AS (SELECT p.*, k.param, k.kind, k.spread, b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE AS luma FROM pixels p CROSS JOIN (VALUES {kinds}) k(param, kind, spread)),
+  based AS (SELECT *, {whole} AS base, 1 - spread::DOUBLE + 2 * spread::DOUBLE * {u} AS factor FROM lit)
+SELECT origin, param, CAST(sum({total}) AS BIGINT) AS s FROM based GROUP BY origin, param"""
+
+
+@plan(_jittered_sql())
+def c7_image_jitter(spark, sf_dir):
+    """Brightness, contrast and saturation of colour images."""
+    conditions = tuple(c for c in corrupt.SWEEP if c[0] == "color_jitter")
+    return _pixel_sum(images.sweep(_images(spark, sf_dir), corrupt.catalogue(spark, conditions), B.SEED), "origin", "param")
+
+
+@plan("SELECT CAST(vec_id AS VARCHAR) AS origin, 192 AS n FROM embeddings")
+def c10_image_sizes(spark, sf_dir):
+    """Acquisition keeps the sizes of all images."""
+    changed = images.acquisition(_images(spark, sf_dir), B.SEED)
+    return changed.select("origin", F.length("data").alias("n"))
+
+
 @plan()
 def c10_acquisition(spark, sf_dir):
     changed = images.acquisition(_images(spark, sf_dir), B.SEED)
     return changed.select("origin", F.sha2("data", 256).alias("digest"))
 
 
-@plan("SELECT CAST(vec_id AS VARCHAR) AS origin, 192 AS n FROM embeddings")
+_QUARTER = " + ".join(f"(3 * q + {k + 1}) * round_even(avg({c}), 0)" for k, c in enumerate("bgr"))
+
+
+@plan(f"""WITH {_PIXELS} SELECT origin, 8 AS orig_w, 8 AS orig_h, CAST(sum(s) AS BIGINT) AS s FROM (SELECT origin, q, {_QUARTER} AS s FROM (SELECT *, i // 8 // 2 * 4 + i % 8 // 2 AS q FROM pixels) GROUP BY origin, q) GROUP BY origin""")
+def c13_capped_images(spark, sf_dir):
+    """Images of 8x8 capped at 4: means of two by two pixels, the old sizes beside them."""
+    return _pixel_sum(images.capped(_images(spark, sf_dir), 4), "origin", "orig_w", "orig_h")
+
+
+#: The means and deviations of red, green and blue that images are standardised with.
+_MEANS, _STDS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+_STANDARD = " + ".join(f"(3 * pos + {k + 1}) * CAST(CAST(({c} / 255::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE AS FLOAT) AS DOUBLE)" for k, (c, m, d) in enumerate(zip("rgb", _MEANS, _STDS)))
+
+
+@plan(f"""WITH {_PIXELS}, placed AS (SELECT *, CASE WHEN {B.uniform_sql(f"'{B.SEED}'", "'flip'", "origin")} < 0.5 THEN i // 8 * 8 + 7 - i % 8 ELSE i END AS pos FROM pixels)
+SELECT origin, CAST(3 * count(*) AS INT) AS n, round(sum({_STANDARD}), 3) AS s FROM placed GROUP BY origin""")
 def c14_model_features(spark, sf_dir):
-    return images.features(_images(spark, sf_dir), 8, flip_seed=B.SEED).select("origin", F.size("features").alias("n"))
+    rows = images.features(_images(spark, sf_dir), 8, _MEANS, _STDS, flip_seed=B.SEED)
+    total = F.aggregate(F.transform("features", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("origin", F.size("features").alias("n"), F.round(total, 3).alias("s"))
+
 
+def _key_sql() -> str:
+    """Cosine sums of the image stretched to 32x32 between pixel centres: a matrix of 8x8 on each side of the grey values."""
+    at = [min(max((j + 0.5) / 4 - 0.5, 0.0), 7.0) for j in range(32)]
+    wave = [[math.sqrt(2 / 32) * math.cos(math.pi * (2 * j + 1) * k / 64) * (math.sqrt(0.5) if k == 0 else 1) for j in range(32)] for k in range(8)]
+    matrix = [(k, i, sum(wave[k][j] * max(0.0, 1 - abs(at[j] - i)) for j in range(32))) for k in range(8) for i in range(8)]
+    values = ", ".join(f"({k}, {i}, {v!r}::DOUBLE)" for k, i, v in matrix)
+    return f"""WITH {_PIXELS}, side(k, i, v) AS (VALUES {values}), low AS (SELECT origin, a.k * 8 + c.k AS pos, sum(a.v * c.v * (b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE)) AS x
+  FROM pixels p JOIN side a ON a.i = p.i // 8 JOIN side c ON c.i = p.i % 8 GROUP BY ALL),
+  bits AS (SELECT origin, pos, CASE WHEN x > median(x) OVER (PARTITION BY origin) THEN 1 ELSE 0 END AS bit FROM low)
+SELECT origin, string_agg(format('{{:x}}', digit), '' ORDER BY d) AS phash FROM (SELECT origin, pos // 4 AS d, CAST(sum(bit * (8 >> CAST(pos % 4 AS INT))) AS BIGINT) AS digit FROM bits GROUP BY ALL) GROUP BY origin"""
 
-@plan("SELECT count(*) AS n, count(*) AS keys FROM embeddings")
+
+@plan(_key_sql())
 def sc8_image_keys(spark, sf_dir):
-    return images.perceptual_keys(_images(spark, sf_dir)).agg(F.count("*").alias("n"), F.count_if(F.length("phash") == 16).alias("keys"))
+    return images.perceptual_keys(_images(spark, sf_dir))
+
+
+def _bitmaps(spark, sf_dir) -> DataFrame:
+    """(name, content): each vector as a 24-bit bitmap file of 8x8 pixels, its rows from below; of each tenth one the
+    first bytes only."""
+    header = b"BM" + struct.pack("<IHHI", 54 + 192, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 8, 8, 1, 24, 0, 192, 2835, 2835, 0, 0)
+    body = _hex_bytes([(y * 8 + x, c) for y in range(7, -1, -1) for x in range(8) for c in range(3)])
+    whole = F.concat(F.lit(header.hex()), body)
+    digits = F.when(F.col("sample_id") % 10 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    return B.vectors(spark, sf_dir).select(F.col("sample_id").alias("name"), F.unhex(digits).alias("content"))
 
 
-@plan("SELECT 'unreadable image' AS \"check\", 'error' AS severity, CAST(ceil(count(*) / 10.0) AS BIGINT) AS n FROM embeddings WHERE vec_id % 1 = 0")
+@plan(f"""WITH {_PIXELS}, files AS (SELECT origin, CAST(sum((3 * i + 1) * b + (3 * i + 2) * g + (3 * i + 3) * r) AS BIGINT) AS s FROM pixels GROUP BY origin)
+SELECT 'unreadable image' AS "check", 'error' AS severity, count(*) FILTER (origin::BIGINT % 10 = 0) AS n, count(*) FILTER (origin::BIGINT % 10 <> 0) AS decoded, CAST(sum(s) FILTER (origin::BIGINT % 10 <> 0) AS BIGINT) AS s FROM files""")
 def v8_readability(spark, sf_dir):
-    """Each tenth image is made undecodable."""
-    rows = _images(spark, sf_dir).withColumn("height", F.when(F.col("origin").cast("long") % 10 == 0, -1).otherwise(F.col("height")))
-    return verify.readability(rows).drop("examples")
+    """Every vector is written as an image file, each tenth one cut off; the files are decoded, the broken ones found, and
+    the pixels of the others summed."""
+    path = scratch(spark, "bitmaps")
+    # The writer of text puts the bytes as they are into one file a name; the line end after them is no part of a bitmap.
+    _bitmaps(spark, sf_dir).select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").text(path)
+    rows = images.read(spark, path)
+    decoded = _pixel_sum(rows.where("height > 0"), "origin").agg(F.count("*").alias("decoded"), F.sum("s").alias("s"))
+    return verify.readability(rows).drop("examples").crossJoin(decoded)
 
 
 @plan("SELECT CAST(vec_id AS BIGINT) AS sample_id, round(-list_sum(embedding::DOUBLE[]), 6) AS s FROM embeddings")

@@ -60,8 +60,8 @@ def _down_sql(scale: float) -> str:
     return f"list_sum(features[(i // {b}) * {b} + 1:(i // {b}) * {b} + {b}]) / {b}"
 
 
-def _factor_sql(param: str, spread: float) -> str:
-    u = B.uniform_sql(f"'{SEED}'", "'color_jitter'", f"'{param}'", "CAST(sample_id AS VARCHAR)", "'factor'")
+def _factor_sql(param: str, spread: float, name: str = "color_jitter") -> str:
+    u = B.uniform_sql(f"'{SEED}'", f"'{name}'", f"'{param}'", "CAST(sample_id AS VARCHAR)", "'factor'")
     return f"(1 - {spread} + 2 * {spread} * {u})"
 
 
@@ -132,10 +132,38 @@ _ORDERED = ", ".join(f"{{'h': sha256(concat_ws('|', '{SEED}', 'order', '{n}', CA
 _GATE = B.uniform_sql(f"'{SEED}'", "'gate'", "CAST(sample_id AS VARCHAR)")
 
 
-@plan(f"WITH {B.VECTORS} SELECT sample_id, CASE WHEN {_GATE} < 0.5 THEN array_to_string(list_transform(list_sort([{_ORDERED}])[1:2], lambda s: s.n), ',') ELSE '' END AS applied FROM vectors")
+_STEPS = 2
+
+
+def _drawn_sql(k: int) -> str:
+    """The value at position i (from 0) after the kernel that was drawn for step k, with its drawn parameter."""
+    cases = []
+    for name, bank in corrupt.BANKS.items():
+        index = f"floor({B.uniform_sql(f"'{SEED}'", "'parameter'", f"'{name}'", 'CAST(sample_id AS VARCHAR)')} * {len(bank)})"
+        for i, value in enumerate(bank):
+            if name in ("brightness", "contrast"):
+                factor = _factor_sql(str(k), value, name)
+                v = f"features[i + 1] * {factor}" if name == "brightness" else f"{_MEAN} + (features[i + 1] - {_MEAN}) * {factor}"
+            else:
+                v = _kernel_sql(name, str(k), value)
+            cases.append(f"WHEN applied[{k + 1}] = '{name}' AND {index} = {i} THEN {v}")
+    return f"CASE {' '.join(cases)} ELSE features[i + 1] END"
+
+
+def _augmented_sql(source: str) -> str:
+    """Relations step0, step1 and step2: a relation (sample_id, label, features) and what each drawn kernel makes of it."""
+    applied = f"CASE WHEN {_GATE} < 0.5 THEN list_transform(list_sort([{_ORDERED}])[1:{_STEPS}], lambda s: s.n) ELSE [] END"
+    parts = [f"step0 AS (SELECT sample_id, label, features, {applied} AS applied FROM {source})"]
+    for k in range(_STEPS):
+        parts.append(f"""step{k + 1} AS (SELECT sample_id, any_value(label) AS label, list(v ORDER BY i) AS features, any_value(applied) AS applied
+  FROM (SELECT sample_id, label, applied, i, {_drawn_sql(k)} AS v FROM step{k} CROSS JOIN (SELECT unnest(range(0, 64)) AS i)) GROUP BY sample_id)""")
+    return ", ".join(parts)
+
+
+@plan(f"WITH {B.VECTORS}, {_augmented_sql('vectors')} SELECT sample_id, array_to_string(applied, ',') AS applied, round(list_sum(list_transform(range(0, 64), lambda j: features[j + 1] * (j + 1))), 6) AS s FROM step{_STEPS}")
 def c9_random_augmentation(spark, sf_dir):
-    rows = corrupt.augmented(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED)
-    return rows.select("sample_id", F.array_join("applied", ",").alias("applied"))
+    rows = corrupt.augmented(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, num=_STEPS)
+    return _summed(rows, "sample_id", F.array_join("applied", ",").alias("applied"))
 
 
 _PICK = B.uniform_sql(f"'{SEED}'", "'pick'", "CAST(sample_id AS VARCHAR)")
@@ -192,8 +220,9 @@ def v7_reproducible_digests(spark, sf_dir):
 _MODEL = """{m}_model AS (SELECT i, avg(CASE WHEN label = 1 THEN v END) - avg(CASE WHEN label = 0 THEN v END) AS w, (avg(CASE WHEN label = 1 THEN v END) + avg(CASE WHEN label = 0 THEN v END)) / 2 AS mid
   FROM {rows} GROUP BY i)"""
 _TRAIN = f"""{B.KEYED}, {B.SPLITS}, train_rows AS (SELECT v.label, i, v.features[i + 1] AS v FROM vectors v JOIN splits s USING (sample_id) CROSS JOIN (SELECT unnest(range(0, 64)) AS i) WHERE s.split = 'train')"""
-_JPEG = "round(v * 19.2) / 19.2"
-_MODELS = f"{_TRAIN}, {_MODEL.format(m='base', rows='train_rows')}, {_MODEL.format(m='robust', rows='(SELECT label, i, v FROM train_rows UNION ALL SELECT label, i, ' + _JPEG + ' FROM train_rows)')}"
+_AUGMENTED = _augmented_sql("(SELECT v.sample_id, v.label, v.features FROM vectors v JOIN splits s USING (sample_id) WHERE s.split = 'train')")
+_BOTH = f"(SELECT label, i, v FROM train_rows UNION ALL SELECT label, i, features[i + 1] FROM step{_STEPS} CROSS JOIN (SELECT unnest(range(0, 64)) AS i))"
+_MODELS = f"{_TRAIN}, {_AUGMENTED}, {_MODEL.format(m='base', rows='train_rows')}, {_MODEL.format(m='robust', rows=_BOTH)}"
 
 
 def _train(spark, sf_dir):
@@ -202,8 +231,8 @@ def _train(spark, sf_dir):
 
 
 def _models(train):
-    """The centroid model of the clean rows, and that of the clean and the recompressed ones."""
-    noisy = train.withColumn("features", corrupt.quantise(F.col("features"), 30.0))
+    """The centroid model of the clean rows, and that of the clean ones and the same randomly augmented."""
+    noisy = corrupt.augmented(train, SEED, num=_STEPS).drop("applied")
     return score.centroid_model(train, "baseline"), score.centroid_model(train.unionByName(noisy), "robust")
 
 
