@@ -1,3 +1,4 @@
+import hashlib
 import struct
 
 import numpy as np
@@ -60,3 +61,79 @@ def test_box_means_and_constant_images():
     for name, kernel in images.KERNELS.items():
         if name not in ("noise", "brightness"):
             assert np.allclose(kernel(flat, {"jpeg": 50.0}.get(name, 0.5), 1), flat), name
+
+
+def plain(image, name, param, value, origin):
+    """The conditions without draws pixel by pixel, and the jitters by their drawn factor."""
+    h, w = image.shape[:2]
+    clip = lambda x: np.clip(np.rint(x), 0, 255)
+    if name == "clean":
+        return image
+    if name == "blur":
+        reach = max(1, int(np.ceil(3 * value)))
+        weights = [np.exp(-k * k / (2 * value * value)) for k in range(-reach, reach + 1)]
+        out = np.zeros_like(image)
+        for y in range(h):
+            for x in range(w):
+                for a, p in zip(range(-reach, reach + 1), weights):
+                    for b, q in zip(range(-reach, reach + 1), weights):
+                        out[y, x] += p * q * image[min(max(y + a, 0), h - 1), min(max(x + b, 0), w - 1)]
+        return clip(out / sum(weights) ** 2)
+    if name in ("resize", "center_crop"):
+        def scaled(part, height, width):
+            out = np.zeros((height, width, 3))
+            for y in range(height):
+                for x in range(width):
+                    fy, fx = (min(max((t + 0.5) * old / new - 0.5, 0), old - 1) for t, old, new in ((y, part.shape[0], height), (x, part.shape[1], width)))
+                    for a, p in ((int(fy), 1 - fy % 1), (min(int(fy) + 1, part.shape[0] - 1), fy % 1)):
+                        for b, q in ((int(fx), 1 - fx % 1), (min(int(fx) + 1, part.shape[1] - 1), fx % 1)):
+                            out[y, x] += p * q * part[a, b]
+            return out
+
+        if name == "resize":
+            return clip(scaled(scaled(image, int(h * value), int(w * value)), h, w))
+        ch, cw = int(h * value), int(w * value)
+        top, left = (h - ch) // 2, (w - cw) // 2
+        return clip(scaled(image[top : top + ch, left : left + cw], h, w))
+    digits = hashlib.sha256(f"42|color_jitter|{param}|{origin}|factor".encode()).hexdigest()[:15]
+    factor = 1 - value + 2 * value * (int(digits, 16) + 1) / ((1 << 60) + 1)
+    grey = image[:, :, 0] * 0.114 + image[:, :, 1] * 0.587 + image[:, :, 2] * 0.299
+    base = {"brightness": 0.0, "contrast": grey.mean(), "saturation": grey[:, :, None]}[param.split("_")[0]]
+    return clip(base + (image - base) * factor)
+
+
+def test_sweep_gives_the_values_of_plain_loops(spark, rows):
+    conditions = tuple(c for c in corrupt.SWEEP if c[0] not in ("jpeg", "noise"))
+    clean = {r.origin: r for r in rows.where("height > 0").collect()}
+    swept = images.sweep(rows.where("height > 0"), corrupt.catalogue(spark, conditions), 42).collect()
+    assert len(swept) == len(conditions) * 3
+    for r in swept:
+        before = images.pixels(r.height, r.width, 3, clean[r.origin].data)
+        # One grey step at most, where the two orders of summing fall on both sides of a half.
+        assert np.abs(images.pixels(r.height, r.width, 3, r.data) - plain(before, r.name, r.param, r.value, r.origin)).max() <= 1, (r.name, r.param)
+
+
+def test_recompression_loses_more_at_lower_quality_and_nothing_of_flat_blocks():
+    image = np.random.default_rng(3).integers(0, 256, (19, 11, 3)).astype(float)
+    errors = [np.abs(images.recompress(image, q) - image).mean() for q in (90.0, 70.0, 50.0, 30.0)]
+    assert errors == sorted(errors) and errors[0] > 0
+    flat = np.full((9, 9, 3), 77.0)
+    assert np.abs(images.recompress(flat, 90.0) - flat).max() <= 1
+
+
+def test_acquisition_changes_its_share_and_repeats(spark, rows):
+    one = rows.where("origin LIKE '%b.bmp'").first()
+    many = spark.createDataFrame([(f"o{i}", one.height, one.width, 3, 16, one.data) for i in range(300)], images.IMAGE)
+    first = {r.origin: bytes(r.data) for r in images.acquisition(many, 42).collect()}
+    assert first == {r.origin: bytes(r.data) for r in images.acquisition(many.repartition(5), 42).collect()}
+    source = images.pixels(one.height, one.width, 3, one.data)
+    for origin, data in first.items():
+        assert data == images.acquired(source, 42, origin).astype(np.uint8).tobytes()
+    # Of 300 images 60 % draw two steps; with five standard deviations to both sides.
+    assert 180 - 43 <= sum(d != bytes(one.data) for d in first.values()) <= 180 + 43
+
+
+def test_images_come_out_whole_across_small_batches(rows, monkeypatch):
+    expected = {r.origin: bytes(r.data) for r in images.capped(rows, 16).collect()}
+    monkeypatch.setattr(images, "BATCH_BYTES", 1)
+    assert {r.origin: bytes(r.data) for r in images.capped(rows, 16).collect()} == expected

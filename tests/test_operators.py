@@ -229,3 +229,59 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 2
     writers.predictions(spark.createDataFrame([(7, 1)], "sample_id int, pred int"), str(tmp_path / "pred"))
     assert spark.read.json(str(tmp_path / "pred")).collect() == [("7", 1)]
+
+
+def newton(x, y, reg):
+    """Logistic regression with the penalty on coefficients of standardised columns, as MLlib has it; the intercept is free."""
+    n, spread = len(y), x.std(axis=0, ddof=1)
+    z = np.hstack([x / spread, np.ones((n, 1))])
+    w, penalty = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], reg), 0.0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / n + np.diag(penalty), z.T @ (p - y) / n + penalty * w)
+    return w[:-1] / spread, w[-1]
+
+
+@pytest.fixture(scope="module")
+def fitted_rows(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 5)) * np.array([1, 2, 0.5, 3, 1])
+    y = (x @ np.array([1, -0.5, 2, 0, 0.3]) + draw.normal(size=400) > 0.4).astype(int)
+    rows = spark.createDataFrame([(i, int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y))], "sample_id int, label int, features array<double>").persist()
+    return x, y, rows
+
+
+def test_probe_gives_the_logits_of_a_plain_fit(fitted_rows):
+    x, y, rows = fitted_rows
+    w, b = newton(x[:300], y[:300], 0.01)
+    model = score.linear_probe(rows.where("sample_id < 300"))
+    for r in score.probe_scores(model, rows.where("sample_id >= 300"), "probe").collect():
+        margin = float(x[r.sample_id] @ w + b)
+        assert abs(r.logit_1 - margin) < 1e-3 and r.logit_0 == -r.logit_1
+        assert abs(r.p_1 - 1 / (1 + np.exp(-r.logit_1))) < 1e-12 and abs(r.p_0 + r.p_1 - 1) < 1e-12 and r.p == r.p_1 and r.pred == int(r.p_1 >= 0.5)
+
+
+def test_best_candidate_is_that_of_plain_fits(fitted_rows):
+    x, y, rows = fitted_rows
+    settings = (0.3, 0.1, 0.01)
+    log = score.candidate_log(rows.where("sample_id < 300"), rows.where("sample_id >= 300"), settings)
+    table = {r.setting: r for r in log.collect()}
+    for reg in settings:
+        w, b = newton(x[:300], y[:300], reg)
+        p = 1 / (1 + np.exp(-(x[300:] @ w + b)))
+        ones, zeros = p[y[300:] == 1], p[y[300:] == 0]
+        auc = np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros))
+        loss = -np.mean(np.where(y[300:] == 1, np.log(p), np.log(1 - p)))
+        assert abs(table[reg].roc_auc - auc) < 2e-3 and abs(table[reg].log_loss - loss) < 1e-3 and abs(table[reg].accuracy - np.mean((p >= 0.5) == y[300:])) < 0.02
+    best = score.best_candidate(log).first()
+    assert best.epoch in (1, 2, 3) and best.setting == settings[best.epoch - 1]
+
+
+def test_auc_of_crowded_scores(spark):
+    """Scores that crowd at one end, more of them distinct than there are buckets, in two groups."""
+    draw = np.random.default_rng(9)
+    rows = [(g, int(draw.integers(2)), float(p)) for g in "ab" for p in np.append(1 - draw.random(3000) * 1e-9, [0.0, 0.5, 1.0, 1.0])]
+    got = dict(metrics.roc_auc(spark.createDataFrame(rows, "g string, label int, p double"), ["g"]).collect())
+    for g in "ab":
+        ones, zeros = (np.array([p for h, y, p in rows if h == g and y == label]) for label in (1, 0))
+        assert abs(got[g] - np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros))) < 1e-12
