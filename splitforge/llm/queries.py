@@ -42,8 +42,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item found in a document."""
-    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Every benchmark item found in a document, with its score to nine places."""
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 9))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op6_embedding_dedup": OP6_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL}
 
 
 OP1_SQL = r"""
@@ -116,3 +117,54 @@ many AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
 FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN many m ON m.a = e.vec_id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_GRAMS = "CASE WHEN len({w}) >= 5 THEN list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i + 4], ' '))) ELSE [] END"
+
+
+def _item_words(text: str) -> str:
+    return f"regexp_extract_all({_LOWER.replace('text', text)}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+# Passages of twice the longest item begin every longest item's words. An item of five words and more, or a question of as
+# many, is held by its distinct runs of five words; a shorter one as a whole.
+OP4_SQL = rf"""
+WITH given AS (SELECT DISTINCT item_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS bare FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+cut AS (SELECT *, list_filter(string_split(regexp_replace(bare, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM given),
+said AS (SELECT item_id, text, CASE WHEN len(parts) > 1 THEN array_to_string(parts[:-2], ' ') ELSE bare END AS question, CASE WHEN len(parts) > 1 THEN parts[-1] ELSE bare END AS answer FROM cut),
+items AS (SELECT row_number() OVER () AS k, * FROM (SELECT item_id, {_item_words('text')} AS w, {_item_words('question')} AS q, list_distinct({_item_words('answer')}) AS a FROM said) WHERE len(w) > 0),
+sized AS (SELECT count(*) AS total, avg(len(w)) AS mean, max(len(w)) AS step FROM items),
+terms AS (SELECT k, len(w) AS size, unnest(w) AS term FROM items),
+counted AS (SELECT k, size, term, count(*) AS n FROM terms GROUP BY ALL),
+held AS (SELECT term, count(*) AS h FROM counted GROUP BY term),
+weighted AS (SELECT k, term, ln(1 + (total - h + 0.5) / (h + 0.5)) * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25 + 0.75 * size / greatest(mean, 1))) AS x FROM counted JOIN held USING (term) CROSS JOIN sized),
+shares AS (SELECT k, list(term) AS terms, list(x) AS xs, sum(x) AS own FROM weighted GROUP BY k),
+texts AS (SELECT row_number() OVER () AS d, doc_id, {_item_words('text')} AS w FROM documents),
+passages AS (SELECT d, doc_id, p, w[p * step + 1:p * step + 2 * step] AS w FROM (SELECT d, doc_id, w, step, unnest(range(0, greatest(CAST(ceil(len(w) / step) AS BIGINT), 1))) AS p FROM texts CROSS JOIN sized)),
+item_grams AS (SELECT k, unnest({_GRAMS.format(w='w')}) AS g FROM items),
+text_grams AS (SELECT d, p, unnest({_GRAMS.format(w='w')}) AS g FROM passages),
+long AS (SELECT d, p, k FROM (SELECT d, p, k, count(*) AS n FROM text_grams JOIN item_grams USING (g) GROUP BY ALL) JOIN (SELECT k, count(*) AS m FROM item_grams GROUP BY k) USING (k) WHERE n >= 0.8 * m),
+short AS (SELECT d, p, k FROM passages x JOIN items i ON len(i.w) < 5 AND contains(' ' || array_to_string(x.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')),
+found AS (SELECT x.d, x.doc_id, x.p, x.w, i.k, i.item_id, i.q, i.a FROM (SELECT * FROM long UNION ALL SELECT * FROM short) c JOIN passages x USING (d, p) JOIN items i USING (k)),
+judged AS (SELECT d, doc_id, p, item_id, k,
+  CASE WHEN len(q) >= 5 THEN len(list_intersect({_GRAMS.format(w='q')}, {_GRAMS.format(w='w')})) / len({_GRAMS.format(w='q')})
+    WHEN len(q) = 0 OR contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') THEN 1.0 ELSE 0.0 END AS question_overlap,
+  CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_filter(a, lambda t: list_contains(w, t))) / len(a) END AS answer_overlap,
+  list_sum(list_transform(range(1, len(terms) + 1), lambda i: CASE WHEN list_contains(w, terms[i]) THEN xs[i] ELSE 0 END)) / own AS score
+  FROM found JOIN shares USING (k))
+SELECT doc_id, item_id, round(score, 9) AS score, CAST(question_overlap AS DOUBLE) AS question_overlap, CAST(answer_overlap AS DOUBLE) AS answer_overlap FROM judged
+WHERE question_overlap >= 0.7 AND answer_overlap >= 0.5
+QUALIFY row_number() OVER (PARTITION BY d, k ORDER BY round(score, 9) DESC, p) = 1
+"""
+
+OP8_SQL = rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE {_GRAMS.format(w='w')} END) AS g FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least l ON l.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
