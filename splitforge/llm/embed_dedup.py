@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by tile products of int8 vectors with rigorous error bounds.
 
-Equal vectors are collapsed first. The vectors of a label are dealt into tiles of bounded size, and each pair of
+Equal vectors are collapsed first, by two 64-bit hashes, so vectors are shuffled to be collapsed and into tiles, and
+what is found goes back to the rows by hash. The vectors of a label are dealt into tiles of bounded size, and each pair of
 tiles of a label meets in one task: the unit vectors are quantised to int8 with the exact norm of each vector's
 quantisation error, the integer products of the tiles are taken at once, and by the bound on the error only pairs that
 could reach the threshold are computed again in double precision. A task gives sums of links and a spanning forest of
@@ -59,25 +60,28 @@ def groups(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vecto
     """(id_col, n_links, component_id, kept) of every vector: links are cosines >= threshold within a label.
 
     n_links counts the other vectors linked directly, component_id is the least id that links lead to, kept marks the
-    row with that id. Vectors that are null, empty, zero or hold null or non-finite components, and rows without label
+    row with that id; ids may be of any type with an order. Vectors that are null, empty, zero or hold null or non-finite components, and rows without label
     or id, link with nothing; vectors of different lengths don't either. Repeated rows are vectors of their own with
     one id. An empty table gives no rows; further columns are ignored.
     """
     usable = _valid(F.col(vector_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    kind, label_kind, key = dict(df.dtypes)[id_col], dict(df.dtypes)[label_col], ["label", "hash_a", "hash_b"]
     base = df.select(F.col(id_col).alias("id"), F.when(usable, F.col(label_col)).alias("label"), F.when(usable, F.col(vector_col).cast("array<double>")).alias("vec"))
-    reps = stored(base.where("vec IS NOT NULL").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    cells = reps.select("label", F.size("vec").alias("dim"), "rep", "copies", "vec")
+    base = base.withColumns({"hash_a": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")), "hash_b": F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit("b"), "vec"))})
+    reps = stored(base.where("vec IS NOT NULL").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vectors")
+    cells = reps.select(*key, F.size("vec").alias("dim"), "rep", "copies", "vec")
     tiles = cells.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = cells.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("label", "dim", "rep", "copies", "vec", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "copies", "vec")
+    dealt = dealt.select(*key, "dim", "rep", "copies", "vec", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select(*key, "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "copies", "vec")
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, copies, tile, first, last = (np.asarray(table.column(c), np.int64) for c in ("rep", "copies", "tile", "i", "j"))
+        ids = table.column("rep").combine_chunks()
+        copies, tile, first, last = (np.asarray(table.column(c), np.int64) for c in ("copies", "tile", "i", "j"))
         vectors = np.asarray(table.column("vec").chunk(0).flatten(), np.float64).reshape(len(ids), -1)
         left, right = np.flatnonzero(tile == first), np.flatnonzero(tile == last)
-        links, froms, tos = np.zeros(len(ids), np.int64), [], []
+        links, froms, tos = np.zeros(len(ids), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(left) and len(right):
             a, b, _ = similar_pairs(vectors[left], vectors[right], threshold)
             a, b = left[a], right[b]
@@ -88,12 +92,14 @@ def groups(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vecto
             froms = np.flatnonzero(root != np.arange(len(ids)))
             tos = root[froms]
         some = np.flatnonzero(links)
-        return pa.table({"id": np.concatenate([ids[some], ids[np.asarray(froms, np.int64)]]), "links": np.concatenate([links[some], np.zeros(len(froms), np.int64)]), "to": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[np.asarray(tos, np.int64)], pa.int64())])})
+        to = pa.concat_arrays([pa.nulls(len(some), ids.type), ids.take(pa.array(tos))])
+        own = pa.array(np.concatenate([some, froms]))
+        return pa.table({**{c: table.column(c).take(own) for c in key}, "id": ids.take(own), "links": np.concatenate([links[some], np.zeros(len(froms), np.int64)]), "to": to})
 
-    found = stored(dealt.groupBy("label", "dim", "i", "j").applyInArrow(work, "id long, links long, to long"), "tiles")
-    linked = found.where("to IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
+    found = stored(dealt.groupBy("label", "dim", "i", "j").applyInArrow(work, f"label {label_kind}, hash_a long, hash_b long, id {kind}, links long, to {kind}"), "tiles")
+    linked = found.where("to IS NULL").groupBy(*key).agg(F.sum("links").alias("links"))
     placed = components(found.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    named = reps.join(linked, F.col("rep") == F.col("id"), "left").drop("id").join(placed, F.col("rep") == F.col("id"), "left")
-    named = named.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = base.join(named, ["label", "vec"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = reps.select(*key, "rep", "copies").join(linked, key, "left").join(placed, F.col("rep") == F.col("id"), "left")
+    named = named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = base.drop("vec").join(named, key, "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

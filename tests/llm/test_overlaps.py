@@ -404,3 +404,13 @@ def test_groups_of_embeddings(spark, monkeypatch):
                 parent[max(x, y)] = min(x, y)
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in found.items()} == {i: (links[i], find(i), find(i) == i) for i in found}
     assert embed_dedup.groups(df.limit(0)).collect() == []
+    named = df.withColumn("vec_id", F.format_string("v%04d", "vec_id"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.groups(named).collect()} == {f"v{i:04d}": (r.n_links, f"v{r.component_id:04d}") for i, r in found.items()}
+
+
+def test_repeated_rows_of_one_vector_id(spark):
+    """Rows of one id are vectors of their own that are linked; their component is the least id reached."""
+    rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (5, [0.0, 1.0], 1), (9, [0.0, -0.0], 1), (8, [0.0, 3.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.groups(df).collect())
+    assert found == [(3, 2, 3), (5, 0, 3), (5, 2, 3), (5, 2, 3), (8, 0, 8), (9, 0, 9)]
