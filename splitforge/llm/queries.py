@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitforge.llm import bpe, chat, decontam, embed_dedup, line_dedup, near_dedup, pseudonyms, quality, token_files, toxicity
+from splitforge.llm import bpe, centroids, chat, decontam, embed_dedup, licenses, line_dedup, near_dedup, pseudonyms, quality, search, token_files, toxicity
 from splitforge.llm.shared import bound_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,12 +77,27 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(table(spark, sf_dir, "documents"), "a key that is kept elsewhere")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of all embeddings after five rounds from 40 centroids."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which licenses every document names, by phrases and by notices."""
+    return licenses.digests(licenses.matches(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op6_embedding_dedup, op7_toxicity, op8_near_dedup, op9_line_dedup, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_round_trip, op3_quality_classifier, op4_decontamination, op5_token_files, op6_embedding_dedup, op7_toxicity, op8_near_dedup, op9_line_dedup, op10_pseudonyms, op11_ranked_search, op12_centroid_clusters, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_centroid_clusters": OP12_SQL, "op13_license_scan": OP13_SQL}
 
 
 OP1_SQL = r"""
@@ -168,3 +183,76 @@ reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r
 least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least l ON l.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+sized AS (SELECT d, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM texts WHERE len(w) > 0),
+counted AS (SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS length FROM sized),
+items AS (SELECT row_number() OVER () AS k, item_id, list_distinct({_TERMS}) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+asked AS (SELECT k, unnest(w) AS term FROM items),
+tfs AS (SELECT d, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tfs CROSS JOIN counted GROUP BY term, total),
+lengths AS (SELECT d, doc_id, 10 + (90 * n * total) // length AS m FROM sized CROSS JOIN counted),
+scored AS (SELECT k, doc_id, d, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM tfs JOIN weights USING (term) JOIN asked USING (term) JOIN lengths USING (d) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) JOIN items USING (k) WHERE rank <= 10
+"""
+
+
+def _clusters_sql(k: int, rounds: int, seed: str) -> str:
+    """Rounds of assignment and means; the squared distance as a sum over components."""
+
+    def assigned(r: int) -> str:
+        apart = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+        return f"a{r} AS MATERIALIZED (SELECT v, any_value(vec_id) AS vec_id, any_value(x) AS x, min(p) AS best FROM (SELECT v.v, v.vec_id, v.x, {{'d': {apart}, 'c': c.c}} AS p FROM kept v CROSS JOIN c{r} c) GROUP BY v)"
+
+    parts = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS v, vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(256 * x) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 524288)) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INT) AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM kept WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        parts.append(assigned(r))
+        parts.append(f"""m{r} AS (SELECT c, list(y ORDER BY i) AS x FROM (SELECT c, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT best.c AS c, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c)""")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)")
+    parts.append(assigned(rounds))
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.c = best.c"""
+
+
+OP12_SQL = _clusters_sql(40, 5, "2")
+
+
+def _words_sql(text: str) -> str:
+    return rf"regexp_extract_all({_LOWER.replace('text', text)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _licenses_sql() -> str:
+    """Phrases by their consecutive words; notices by the distinct words that each window of 2 h words has of them."""
+
+    def values(rows):
+        return ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in row)) for k, row in enumerate(rows))
+
+    return rf"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_words_sql('text')} AS w FROM documents),
+phrases AS (SELECT {_words_sql('said')} AS q, label FROM (VALUES {values(licenses.PHRASES)}) p(k, said, label)),
+notices AS (SELECT k, label, len(w) AS size, list_distinct(w) AS w FROM (SELECT k, label, {_words_sql('said')} AS w FROM (VALUES {values(licenses.NOTICES)}) n(k, said, label))),
+shaped AS (SELECT k, label, len(w) AS size, CAST(2 ** ceil(log2(size)) AS BIGINT) AS h, w FROM notices),
+told AS (SELECT k, unnest(w) AS word FROM shaped),
+words AS MATERIALIZED (SELECT d, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM texts),
+spots AS (SELECT t.d, x.p, label FROM words x JOIN phrases ON x.word = q[1] JOIN texts t ON t.d = x.d WHERE t.w[x.p + 1:x.p + len(q)] = q),
+base AS (SELECT d, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(label) AS labels FROM spots GROUP BY d),
+places AS (SELECT DISTINCT d, k, word, p // h - back AS win FROM words JOIN told USING (word) JOIN shaped USING (k) CROSS JOIN (VALUES (0), (1)) b(back) WHERE p // h >= back),
+held AS (SELECT d, label, max(n / size) AS part FROM (SELECT d, k, win, count(*) AS n FROM places GROUP BY ALL) JOIN shaped USING (k) WHERE n >= greatest(1, ceil({licenses.CONTAINED}::DOUBLE * size - 1e-9)) GROUP BY ALL),
+found AS (SELECT d, list(label) AS labels, max(part) AS part FROM held GROUP BY d)
+SELECT doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END AS score
+FROM texts t LEFT JOIN base b USING (d) LEFT JOIN found f USING (d)
+"""
+
+
+OP13_SQL = _licenses_sql()
