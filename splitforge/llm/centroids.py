@@ -99,8 +99,8 @@ def _planes(rows: DataFrame, lowest: int, planes: int) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, planes binary")
 
 
-def _sums(rows: DataFrame, centres: np.ndarray) -> list:
-    """(cluster, n, sums by component) of the clusters that get vectors; sums are of the numbers from 0."""
+def _sums(rows: DataFrame, centres: np.ndarray, kind: str) -> list:
+    """(cluster, n, sums by component) of the clusters that get vectors; sums are of the numbers from 0, of type `kind`."""
     planes, k = centres.shape[1], len(centres)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def _sums(rows: DataFrame, centres: np.ndarray) -> list:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(list(sums[some]), pa.list_(pa.int64()))], ["cluster", "n", "sums"])
 
     parts = rows.select("planes").mapInArrow(work, "cluster int, n long, sums array<long>")
-    total = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(WIDTH)]
+    total = [F.sum(F.col("sums")[i].cast(kind)).alias(f"s{i}") for i in range(WIDTH)]
     return parts.groupBy("cluster").agg(F.sum("n").alias("n"), *total).collect()
 
 
@@ -137,7 +137,7 @@ def clusters(df: DataFrame, k: int = 40, rounds: int = 5, seed: str = "2", id_co
     """
     ints = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * SCALE).cast("int"))
     rows = df.where(_kept(F.col(vector_col).cast("array<double>"))).select(F.col(id_col).alias("id"), ints.alias("ints"))
-    lowest, highest = rows.agg(F.min(F.array_min("ints")), F.max(F.array_max("ints"))).first()
+    lowest, highest, n = rows.agg(F.min(F.array_min("ints")), F.max(F.array_max("ints")), F.count("*")).first()
     empty = rows.select(F.col("id").alias(id_col), *(F.lit(0).cast(t).alias(c) for c, t in _RESULT.items())).limit(0)
     if lowest is None:
         return empty
@@ -149,9 +149,10 @@ def clusters(df: DataFrame, k: int = 40, rounds: int = 5, seed: str = "2", id_co
     if not starts:
         return empty
     centres = np.concatenate([np.frombuffer(bytes(r[0]), "<u8") for r in starts]).reshape(len(starts), planes).astype(np.uint64)
+    kind = "long" if n << planes < 1 << 63 else "decimal(38,0)"
     for _ in range(rounds):
         values = unpack(centres)
-        for row in _sums(packed, centres):
+        for row in _sums(packed, centres, kind):
             # The floor of the mean moves with the components.
             values[row["cluster"]] = [int(row[f"s{i}"]) // row["n"] for i in range(WIDTH)]
         centres = pack(values, planes)

@@ -2,7 +2,8 @@
 
 Text blocks are windows of words: a notice of up to h words, h a power of two, is held against windows of 2 h words that
 begin every h words, so wherever it stands, and however it is broken into lines, one window has it whole. A window
-matches if it holds the share CONTAINED of the notice's distinct words.
+matches if it holds the share CONTAINED of the notice's distinct words, those that name the license among them; a notice
+that is part of another one in the same window is not counted beside it.
 
 Only words that some notice has matter. One pass over the texts counts them and keeps their places; the counts over all
 documents order the words, rarest first. A window that matches must share one of the first |T| - c + 1 words of the
@@ -28,32 +29,32 @@ from splitforge.llm.shared import stored
 CONTAINED = 0.8
 #: Phrases that name a license, with its label.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices, with their labels.
+#: Notices, with their labels and the words that tell each from the others.
 NOTICES = (
-    ("Released under the MIT License.", "mit"),
-    ("This project is licensed under the terms of the MIT license.", "mit"),
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("Licensed under the Apache License, Version 2.0.", "apache"),
-    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache"),
-    ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
-    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
-    ("licensed under the GNU Affero General Public License", "agpl"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
-    ("licensed under the BSD 3-Clause License", "bsd"),
-    ("licensed under the ISC License", "isc"),
-    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
-    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl"),
-    ("This is free and unencumbered software released into the public domain.", "unlicense"),
-    ("Licensed under CC BY 4.0.", "cc-by"),
-    ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
-    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
-    ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
-    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"),
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
-    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("Released under the MIT License.", "mit", "mit"),
+    ("This project is licensed under the terms of the MIT license.", "mit", "mit"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit", "granted"),
+    ("Licensed under the Apache License, Version 2.0.", "apache", "apache"),
+    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache", "compliance"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl", "gnu general"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl", "gnu general"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl", "lesser"),
+    ("licensed under the GNU Affero General Public License", "agpl", "affero"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd", "redistribution"),
+    ("licensed under the BSD 3-Clause License", "bsd", "bsd"),
+    ("licensed under the ISC License", "isc", "isc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc", "granted"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl", "mozilla"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl", "eclipse"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense", "unencumbered"),
+    ("Licensed under CC BY 4.0.", "cc-by", "cc by"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by-sa", "cc by sa"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc", "cc by nc"),
+    ("Licensed under CC BY-ND 4.0.", "cc-by-nd", "cc by nd"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa", "cc by nc sa"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by", "creative commons attribution"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa", "creative commons sharealike"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc", "creative commons noncommercial"),
 )
 #: Words are runs of digits, small letters and characters beyond ASCII, after A-Z are lower-cased.
 PART = np.zeros(256, bool)
@@ -68,23 +69,26 @@ def _words(texts: Sequence[str]) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Notices:
-    """Notices and phrases in numbers of their words; see known()."""
+    """Notices, their names and phrases in numbers of their words; see known()."""
 
     words: np.ndarray
     notices: list[np.ndarray]
+    names: list[np.ndarray]
     phrases: list[np.ndarray]
     steps: list[int]
 
 
-def known(notices: Sequence[tuple[str, str]], phrases: Sequence[tuple[str, str]]) -> Notices:
-    """The hashes of all words of notices and phrases, ascending; each notice's distinct words and each phrase's words by
-    their places there; and the step h of each notice's windows."""
-    texts, said = _words([t for t, _ in notices]), _words([t for t, _ in phrases])
+def known(notices: Sequence[tuple[str, str, str]], phrases: Sequence[tuple[str, str]]) -> Notices:
+    """The hashes of all words of notices and phrases, ascending; each notice's distinct words, its name's and each phrase's
+    words by their places there; and the step h of each notice's windows."""
+    texts, names, said = _words([t for t, _, _ in notices]), _words([n for _, _, n in notices]), _words([t for t, _ in phrases])
     if any(len(w) == 0 for w in [*texts, *said]):
         raise ValueError("a notice or phrase has no words")
+    if any(len(np.setdiff1d(n, w)) for n, w in zip(names, texts)):
+        raise ValueError("a notice lacks a word of its name")
     words = np.unique(np.concatenate([*texts, *said, np.empty(0, np.uint64)]))
     steps = [1 << (len(w) - 1).bit_length() for w in texts]
-    return Notices(words, [np.unique(np.searchsorted(words, w)) for w in texts], [np.searchsorted(words, w) for w in said], steps)
+    return Notices(words, *([np.unique(np.searchsorted(words, w)) for w in some] for some in (texts, names)), [np.searchsorted(words, w) for w in said], steps)
 
 
 def _places(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -121,17 +125,23 @@ def phrase_places(phrases: list[np.ndarray], owner: np.ndarray, place: np.ndarra
     return tuple(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in out)
 
 
-def contained(notices: list[np.ndarray], steps: list[int], rank: np.ndarray, share: float, owner: np.ndarray, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contained(given: Notices, rank: np.ndarray, share: float, owner: np.ndarray, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word of the window, notice, common words) of every window that holds the share of a notice.
 
     rank: of each known word its place in the order from the rarest on; owner ascends, and place within a text.
     """
     out = [[], [], [], []]
-    for h in sorted(set(steps)):
-        mine = [k for k, s in enumerate(steps) if s == h]
-        for parts, values in zip(out, _windows_that_hold([notices[k] for k in mine], np.array(mine), h, rank, share, owner, place, word)):
+    for h in sorted(set(given.steps)):
+        for parts, values in zip(out, _windows_that_hold(given, h, rank, share, owner, place, word)):
             parts.append(values)
-    return tuple(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in out)
+    text, first, notice, common = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in out)
+    alone = np.ones(len(text), bool)
+    window = text * (int(place.max(initial=0)) + 1) + first
+    for k, own in enumerate(given.notices):
+        for other, longer in enumerate(given.notices):
+            if given.steps[k] == given.steps[other] and len(own) < len(longer) and np.isin(own, longer).all():
+                alone &= (notice != k) | ~np.isin(window, window[notice == other])
+    return text[alone], first[alone], notice[alone], common[alone]
 
 
 def least_common(size: int, share: float) -> int:
@@ -139,7 +149,9 @@ def least_common(size: int, share: float) -> int:
     return max(1, int(np.ceil(share * size - 1e-9)))
 
 
-def _windows_that_hold(notices, numbers, h, rank, share, owner, place, word):
+def _windows_that_hold(given, h, rank, share, owner, place, word):
+    numbers = np.flatnonzero(np.array(given.steps) == h)
+    notices = [given.notices[k] for k in numbers]
     ordered = [np.sort(rank[w]) for w in notices]
     need = np.array([least_common(len(w), share) for w in ordered])
     # Prefix filter: (word, notice) pairs by the word's rank.
@@ -183,6 +195,7 @@ def _windows_that_hold(notices, numbers, h, rank, share, owner, place, word):
         j = where[np.arange(len(at)), i] - begins[mine[at]]
         most = 1 + np.minimum(len(words) - i - 1, begins[mine[at] + 1] - begins[mine[at]] - j - 1)
         at = at[shared.any(axis=1) & (most >= need[k])]
+        at = at[_has(known_words, mine[at], rank[given.names[numbers[k]]], len(rank))[0].all(axis=1)]
         common[at] = _has(known_words, mine[at], words, len(rank))[0].sum(axis=1)
     good = common >= need[notice]
     text, number = np.divmod(windows[good], span)
@@ -196,12 +209,12 @@ def _has(keys: np.ndarray, windows: np.ndarray, words: np.ndarray, width: int) -
     return keys[at] == key, at
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: Sequence[tuple[str, str]] = NOTICES, phrases: Sequence[tuple[str, str]] = PHRASES, share: float = CONTAINED) -> DataFrame:
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: Sequence[tuple[str, str, str]] = NOTICES, phrases: Sequence[tuple[str, str]] = PHRASES, share: float = CONTAINED) -> DataFrame:
     """(id_col, n_words, phrases, notices) of every document.
 
     phrases: an array of (label, first) of the places where a phrase stands, by place; notices: an array of (label,
-    notice, first, words, contained) of the windows that hold the share of a notice's words: which notice, the window's
-    first word and length, and the share. Words are runs of digits, letters and characters beyond ASCII of the whole text, A-Z in lower
+    notice, first, words, contained) of the windows that hold the share of a notice's words and its name: which notice, the
+    window's first word and length, and the share held; without notices that are part of another one there. Words are runs of digits, letters and characters beyond ASCII of the whole text, A-Z in lower
     case. Null and empty texts have no words and no matches; repeated rows and rows without id are rows of their own; an
     empty table gives no rows; further columns are ignored. Notices and phrases are a catalogue of fixed size, which
     every task gets. Words are compared by 64 bits of hash.
@@ -214,7 +227,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", not
         counts[word] = n
     rank = np.empty(len(counts), np.int64)
     rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
-    sizes, labels, named = np.array([len(w) for w in given.notices]), [x for _, x in notices], [x for _, x in phrases]
+    sizes, labels, named = np.array([len(w) for w in given.notices]), [x for _, x, _ in notices], [x for _, x in phrases]
     spot = pa.struct([("label", pa.string()), ("first", pa.int64())])
     span = pa.struct([("label", pa.string()), ("notice", pa.int32()), ("first", pa.int64()), ("words", pa.int64()), ("contained", pa.float64())])
 
@@ -229,7 +242,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", not
             place, word = np.asarray(column.flatten(), np.int64), np.asarray(batch.column("word").flatten(), np.int64)
             text, first, phrase = phrase_places(given.phrases, owner, place, word)
             said = listed(text, np.lexsort((phrase, first, text)), [pa.array([named[p] for p in phrase], pa.string()), pa.array(first)], spot, n)
-            text, first, notice, common = contained(given.notices, given.steps, rank, share, owner, place, word)
+            text, first, notice, common = contained(given, rank, share, owner, place, word)
             columns = [pa.array([labels[k] for k in notice], pa.string()), pa.array(notice, pa.int32()), pa.array(first), pa.array([2 * given.steps[k] for k in notice], pa.int64()), pa.array(common / sizes[notice], pa.float64())]
             held = listed(text, np.lexsort((notice, first, text)), columns, span, n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), said, held], ["id", "n_words", "phrases", "notices"])

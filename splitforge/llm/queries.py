@@ -233,19 +233,20 @@ def _licenses_sql() -> str:
     """Phrases by their consecutive words; notices by the distinct words that each window of 2 h words has of them."""
 
     def values(rows):
-        return ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in row)) for k, row in enumerate(rows))
+        return ", ".join("({})".format(", ".join([str(k), *("'" + x.replace("'", "''") + "'" for x in row)])) for k, row in enumerate(rows))
 
     return rf"""
 WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_words_sql('text')} AS w FROM documents),
 phrases AS (SELECT {_words_sql('said')} AS q, label FROM (VALUES {values(licenses.PHRASES)}) p(k, said, label)),
-notices AS (SELECT k, label, len(w) AS size, list_distinct(w) AS w FROM (SELECT k, label, {_words_sql('said')} AS w FROM (VALUES {values(licenses.NOTICES)}) n(k, said, label))),
-shaped AS (SELECT k, label, len(w) AS size, CAST(2 ** ceil(log2(size)) AS BIGINT) AS h, w FROM notices),
+notices AS (SELECT k, label, name, len(w) AS size, list_distinct(w) AS w FROM (SELECT k, label, string_split(name, ' ') AS name, {_words_sql('said')} AS w FROM (VALUES {values(licenses.NOTICES)}) n(k, said, label, name))),
+shaped AS (SELECT k, label, name, len(w) AS size, CAST(2 ** ceil(log2(size)) AS BIGINT) AS h, w FROM notices),
 told AS (SELECT k, unnest(w) AS word FROM shaped),
 words AS MATERIALIZED (SELECT d, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM texts),
 spots AS (SELECT t.d, x.p, label FROM words x JOIN phrases ON x.word = q[1] JOIN texts t ON t.d = x.d WHERE t.w[x.p + 1:x.p + len(q)] = q),
 base AS (SELECT d, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(label) AS labels FROM spots GROUP BY d),
 places AS (SELECT DISTINCT d, k, word, p // h - back AS win FROM words JOIN told USING (word) JOIN shaped USING (k) CROSS JOIN (VALUES (0), (1)) b(back) WHERE p // h >= back),
-held AS (SELECT d, label, max(n / size) AS part FROM (SELECT d, k, win, count(*) AS n FROM places GROUP BY ALL) JOIN shaped USING (k) WHERE n >= greatest(1, ceil({licenses.CONTAINED}::DOUBLE * size - 1e-9)) GROUP BY ALL),
+counted AS (SELECT d, k, win, h, label, w, n / size AS part FROM (SELECT d, k, win, count(*) AS n, list(word) AS own FROM places GROUP BY ALL) JOIN shaped USING (k) WHERE n >= greatest(1, ceil({licenses.CONTAINED}::DOUBLE * size - 1e-9)) AND list_has_all(own, name)),
+held AS (SELECT d, label, part FROM counted a WHERE NOT EXISTS (SELECT 1 FROM counted b WHERE b.d = a.d AND b.h = a.h AND b.win = a.win AND len(b.w) > len(a.w) AND list_has_all(b.w, a.w))),
 found AS (SELECT d, list(label) AS labels, max(part) AS part FROM held GROUP BY d)
 SELECT doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(list_distinct(coalesce(b.labels, []))), ',') AS base_labels,

@@ -29,7 +29,7 @@ from splitforge.llm.shared import stored
 #: Bytes of items that are searched for in one pass over the documents, about; more items take several passes.
 MAX_BYTES = 16 << 20
 #: Documents below which a node isn't divided further.
-LEAF = 8
+LEAF = 32
 #: Terms are runs of letters and digits of ASCII and of all other characters.
 PART = np.zeros(256, bool)
 PART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
