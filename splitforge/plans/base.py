@@ -12,6 +12,8 @@ from splitforge.functions import columns as C
 from splitforge.operators import sampling
 
 SEED = 42
+#: Lengths of the given vectors, for which kernels are built.
+LENGTHS = (64,)
 HELD_GENERATORS, HELD_SOURCES = ("g8", "g9"), ("s4",)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import struct
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from splitforge.functions import columns as C
 from splitforge.operators import corrupt, images, joins, metrics, verify
 from splitforge.plans import base as B
 from splitforge.plans.base import scratch
-from splitforge.sources import readers, writers
+from splitforge.sources import listing, publish, readers, writers
 from splitforge.streaming import streams
 
 PLANS: dict = {}
@@ -27,17 +28,34 @@ def plan(sql: str | None = None):
     return put
 
 
-@plan("SELECT 'documents' AS name, true AS found UNION ALL SELECT 'labels', true UNION ALL SELECT 'no such table', false")
+#: Sub-folders that text files are dealt into.
+_FOLDERS = 16
+
+
+def _text_files(spark, docs: DataFrame) -> str:
+    """The folder below which each document stands as a file of its own, named by its id, written by tasks."""
+    root = scratch(spark, "texts")
+    name = F.concat(F.format_string("%02d/", F.col("doc_id") % _FOLDERS), F.col("doc_id"), F.when(F.col("lang") == "en", ".TXT").otherwise(".txt"))
+    listing.write_files(docs, root, name, F.col("text")).write.format("noop").mode("overwrite").save()
+    return root
+
+
+@plan(f"""SELECT format('{{:02d}}', doc_id % {_FOLDERS}) AS prefix, count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, min(doc_id || CASE WHEN lang = 'en' THEN '.TXT' ELSE '.txt' END) AS first_name
+  FROM documents GROUP BY ALL""")
 def src1_file_scan(spark, sf_dir):
-    found = readers.files(spark, sf_dir, ("parquet",)).select(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("name")).distinct().withColumn("found", F.lit(True))
-    wanted = B.names(spark, "name", ("documents", "labels", "no such table"))
-    return wanted.join(found, "name", "left").select("name", F.coalesce("found", F.lit(False)).alias("found"))
+    """Every document is written as a file; the folder is listed by its sub-folders, in tasks."""
+    root = _text_files(spark, B.table(spark, sf_dir, "documents"))
+    return listing.listed(spark, root, ("txt",)).groupBy("prefix").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min("name").alias("first_name"))
 
 
-@plan("SELECT 'no such table' AS name")
+@plan("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j9_missing_files(spark, sf_dir):
-    listing = readers.files(spark, sf_dir, ("parquet",)).select(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("name"))
-    return joins.missing_files(B.names(spark, "name", ("documents", "labels", "no such table")), listing, "name")
+    """The labelled documents are written as files; those of all documents that a listing doesn't have."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    root = _text_files(spark, docs.join(B.table(spark, sf_dir, "labels"), "doc_id", "left_semi"))
+    # The sub-folders are known here, so the driver looks at no folder.
+    found = listing.listed(spark, root, ("txt",), prefixes=[f"{k:02d}" for k in range(_FOLDERS)])
+    return joins.missing_files(docs.select("doc_id"), found.select(F.substring_index("name", ".", 1).cast("long").alias("doc_id")), "doc_id")
 
 
 @plan("SELECT CAST(doc_id AS VARCHAR) AS image_path, CAST(quality AS INT) AS label FROM labels")
@@ -90,11 +108,30 @@ def snk2_write_once(spark, sf_dir):
     for name, options in (("exists", {}), ("protected", {"force": True, "protected": [path.rsplit("/", 1)[0]]})):
         try:
             writers.manifest(rows.where("quality = 1"), path, ["doc_id", "quality"], kind="parquet", **options)
-        except (AnalysisException, PermissionError):
+        except (FileExistsError, PermissionError):
             refused.append(name)
     return spark.read.parquet(path).agg(F.count("*").alias("kept")).crossJoin(B.names(spark, "refused", refused)).select("refused", "kept")
 
 
+@plan("SELECT count(*) AS n, 1 AS writers_seen, true AS one_refused FROM labels")
+def snk1_two_writers(spark, sf_dir):
+    """Two writers of one manifest at the same time, each with all labelled ids under a label of its own: one of them is
+    refused and the rows are those of the other alone."""
+    path = scratch(spark, "manifest")
+    rows = B.table(spark, sf_dir, "labels")
+
+    def put(writer: int) -> bool:
+        try:
+            writers.manifest(rows.withColumn("writer", F.lit(writer)), path, ["doc_id", "writer"], kind="parquet")
+        except FileExistsError:
+            return False
+        return True
+
+    with ThreadPoolExecutor(2) as pool:
+        written = list(pool.map(put, (1, 2)))
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_distinct("writer").alias("writers_seen"), F.lit(sum(written) == 1).alias("one_refused"))
+
+
 @plan(f"WITH {B.VECTORS}, {B.SCORED} SELECT CAST(sample_id AS VARCHAR) AS image_path, CAST(pred AS BIGINT) AS pred FROM scored WHERE model = 'robust' AND name = 'clean'")
 def snk3_predictions(spark, sf_dir):
     path = scratch(spark, "predictions")
@@ -112,12 +149,18 @@ def snk4_metric_table(spark, sf_dir):
 
 @plan("SELECT l_linenumber AS epoch, count(*) AS n FROM lineitem GROUP BY l_linenumber")
 def snk5_append_log(spark, sf_dir):
-    """One append for each line number there is, in order, as a training loop logs its epochs; the rows are counted once."""
-    path = scratch(spark, "log")
-    counts = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("epoch")).agg(F.count("*").alias("n"))
-    for row in counts.orderBy("epoch").toLocalIterator():
-        writers.append_log(spark.createDataFrame([row], counts.schema), path)
-    return spark.read.csv(path, header=True, schema="epoch int, n long")
+    """A stream of the line items adds its counts to a log batch by batch; all batches are delivered once more, as after
+    a driver that died before it noted them, and each is in the log once."""
+    path, source = scratch(spark, "log"), scratch(spark, "lines")
+    B.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("epoch")).repartition(4).write.parquet(source)
+
+    def put(df: DataFrame, batch: int) -> None:
+        publish.appended(df.groupBy("epoch").agg(F.count("*").alias("n")), path, batch)
+
+    for _ in range(2):
+        lines = spark.readStream.schema("epoch int").option("maxFilesPerTrigger", 2).parquet(source)
+        lines.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return publish.log(spark, path, "epoch int, n long").groupBy("epoch").agg(F.sum("n").alias("n"))
 
 
 def _folder_digests(spark, path: str) -> DataFrame:
@@ -140,12 +183,15 @@ def v6_frozen_artefacts(spark, sf_dir):
     return verify.frozen_changes(before, _folder_digests(spark, path)).groupBy("change").agg(F.count("*").alias("n"))
 
 
-def _events(spark, sf_dir):
-    rows = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("record"), "ts")
+def _events(spark, sf_dir, files: int | None = None) -> DataFrame:
+    """All events twice, as a stream; or once, from so many files that arrive one by one."""
+    rows = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("record"))
     path = scratch(spark, "events")
-    rows.write.parquet(path)
-    rows.write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    (rows if files is None else rows.repartition(files, "record")).write.parquet(path)
+    if files is None:
+        rows.write.mode("append").parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _ended(spark, df: DataFrame, name: str) -> DataFrame:
@@ -154,24 +200,63 @@ def _ended(spark, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@plan("SELECT event_type AS key, least(2 * count(*), CASE event_type WHEN 'click' THEN 40 ELSE 15 END) AS n FROM events GROUP BY event_type")
-def st1_stateful_quota(spark, sf_dir):
-    """Every event comes twice; the stream lets pass 40 clicks and 15 of each other type."""
-    # State of this kind needs this provider; the session's own is set again when the stream has ended.
+@contextmanager
+def _rocksdb(spark):
+    """State of this kind needs this provider; the session's own is set again at the end."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        kept = _ended(spark, streams.stream_quota(_events(spark, sf_dir), {"click": 40}, 15), "quota")
+        yield
     finally:
         spark.conf.set(provider, before)
+
+
+@plan("SELECT event_type AS key, least(2 * count(*), CASE event_type WHEN 'click' THEN 40 ELSE 15 END) AS n FROM events GROUP BY event_type")
+def st1_stateful_quota(spark, sf_dir):
+    """Every event comes twice; the stream lets pass 40 clicks and 15 of each other type."""
+    caps = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct().withColumn("cap", F.when(F.col("key") == "click", 40).otherwise(15))
+    with _rocksdb(spark):
+        kept = _ended(spark, streams.stream_quota(_events(spark, sf_dir), caps), "quota")
     return kept.groupBy("key").agg(F.count("*").alias("n"))
 
 
-@plan("SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type")
+#: Files that events arrive in one after another.
+_ARRIVALS = 12
+
+
+@plan("""SELECT event_type AS key, CAST(count(*) // CASE WHEN event_type = 'click' THEN 8 ELSE 4 END AS BIGINT) AS cap, CAST(count(*) // CASE WHEN event_type = 'click' THEN 8 ELSE 4 END AS BIGINT) AS taken, CAST(0 AS BIGINT) AS missing, true AS files_left
+  FROM events GROUP BY event_type""")
+def st1_until_full(spark, sf_dir):
+    """An eighth of the clicks, which are held out, and a quarter of every other type are collected from a stream that has no
+    end of its own; it ends when all quotas are full, with files that were never read."""
+    counts = B.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    caps = streams.caps_by_kind(counts, B.names(spark, "key", ["click"]), F.floor(F.col("n") / 4), F.floor(F.col("n") / 8))
+    path = scratch(spark, "collected")
+    with _rocksdb(spark):
+        ended = streams.collect_until_full(_events(spark, sf_dir, _ARRIVALS), caps, path, f"{path}-state", timeout=600)
+    report = streams.shortfall(caps, spark.read.parquet(path).select("key"))
+    return report.withColumn("files_left", F.lit(ended.full and ended.batches < _ARRIVALS))
+
+
+@plan("SELECT count(DISTINCT sha256(text)) AS kept, count(DISTINCT sha256(text)) AS state_rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text)")
 def st2_stream_dedup(spark, sf_dir):
-    """Every event comes twice, and once after the stream."""
-    return _ended(spark, streams.stream_dedup(_events(spark, sf_dir), "record", "ts", "4000 days"), "single").groupBy("key").agg(F.count("*").alias("n"))
+    """The documents arrive in three deliveries, the last of which repeats all; the stream is stopped after each and goes on
+    from its state. Kept are the first ones of equal texts, and the state has a row for each distinct text."""
+    docs = B.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    middle = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
+    source, path = scratch(spark, "deliveries"), scratch(spark, "single")
+    state_rows = 0
+    with _rocksdb(spark):
+        for part in (F.col("doc_id") <= middle, F.col("doc_id") > middle, F.lit(True)):
+            docs.where(part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(docs.schema).parquet(source)
+            single = streams.stream_dedup(stream, F.sha2("text", 256), "doc_id")
+            query = single.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+            query.awaitTermination()
+            state_rows = sum(s.numRowsTotal for s in query.lastProgress.stateOperators)
+    kept = spark.read.parquet(path)
+    return kept.agg(F.count("*").alias("kept"), F.lit(state_rows).cast("long").alias("state_rows"), F.sum("doc_id").alias("ids"))
 
 
 #: Byte c of pixel i of the colour image of a vector: the number c * 21 places further on, as 0 to 255.
@@ -309,5 +394,5 @@ def v8_readability(spark, sf_dir):
 @plan("SELECT CAST(vec_id AS BIGINT) AS sample_id, round(-list_sum(embedding::DOUBLE[]), 6) AS s FROM embeddings")
 def u1_user_kernel(spark, sf_dir):
     corrupt.add("negative", lambda v, value, *seed: F.transform(v, lambda x: -x))
-    rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), B.SEED, (("negative", "-", None),))
+    rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), B.SEED, (("negative", "-", None),), lengths=B.LENGTHS)
     return rows.select("sample_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("s"))

@@ -107,7 +107,7 @@ def _kernel_plan(name: str):
     conditions = tuple(c for c in corrupt.SWEEP if c[0] == name)
 
     def run(spark, sf_dir):
-        return _summed(corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, conditions), "sample_id", "param")
+        return _summed(corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, conditions, lengths=B.LENGTHS), "sample_id", "param")
 
     return run, f"{_SWEEP} SELECT sample_id, param, round(sum(v * (i + 1)), 6) AS s FROM swept WHERE name = '{name}' GROUP BY ALL"
 
@@ -118,7 +118,7 @@ for _id, _name in (("c3_compress", "jpeg"), ("c4_blur", "blur"), ("c5_down_up",
 
 @plan(f"{_SWEEP} SELECT name, param, count(*) // 64 AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 5) AS spread FROM swept GROUP BY ALL")
 def c2_sweep(spark, sf_dir):
-    rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED)
+    rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, lengths=B.LENGTHS)
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     sums = F.aggregate("features", start, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     # Each vector is summed where it is; nothing is exploded.
@@ -162,7 +162,7 @@ def _augmented_sql(source: str) -> str:
 
 @plan(f"WITH {B.VECTORS}, {_augmented_sql('vectors')} SELECT sample_id, array_to_string(applied, ',') AS applied, round(list_sum(list_transform(range(0, 64), lambda j: features[j + 1] * (j + 1))), 6) AS s FROM step{_STEPS}")
 def c9_random_augmentation(spark, sf_dir):
-    rows = corrupt.augmented(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, num=_STEPS)
+    rows = corrupt.augmented(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, num=_STEPS, lengths=B.LENGTHS)
     return _summed(rows, "sample_id", F.array_join("applied", ",").alias("applied"))
 
 
@@ -176,7 +176,7 @@ _LEGACY_VALUE = " ".join(f"WHEN k = {i} THEN {v}" for i, v in enumerate(_LEGACY_
 @plan(f"""WITH {B.VECTORS}, picked AS (SELECT sample_id, features, CASE WHEN {_GATE} < 0.5 THEN floor({_PICK} * {len(corrupt.LEGACY)}) END AS k FROM vectors)
 SELECT sample_id, applied, round(sum(v * (i + 1)), 6) AS s FROM (SELECT sample_id, i, CASE {_LEGACY} END AS applied, CASE {_LEGACY_VALUE} ELSE features[i + 1] END AS v FROM picked CROSS JOIN (SELECT unnest(range(0, 64)) AS i)) GROUP BY ALL""")
 def c11_legacy_corruptions(spark, sf_dir):
-    return _summed(corrupt.legacy(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED), "sample_id", "applied")
+    return _summed(corrupt.legacy(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, lengths=B.LENGTHS), "sample_id", "applied")
 
 
 def _probe_sql() -> str:
@@ -195,7 +195,7 @@ def _probe_sql() -> str:
 
 @plan(f"WITH {B.VECTORS} SELECT sweep, step, count(*) AS n, round(avg(s), 5) AS mean FROM ({_probe_sql()}) GROUP BY ALL")
 def c12_probe_sweeps(spark, sf_dir):
-    rows = corrupt.probe(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED)
+    rows = corrupt.probe(B.vectors(spark, sf_dir).select("sample_id", "features"), SEED, lengths=B.LENGTHS)
     weighted = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return rows.groupBy("sweep", "step").agg(F.count("*").alias("n"), F.round(F.avg(weighted), 5).alias("mean"))
 
@@ -210,8 +210,8 @@ def c13_capped_dimensions(spark, sf_dir):
 def v7_reproducible_digests(spark, sf_dir):
     """The conditions of the sweep, all of which give the same digests when the samples are dealt otherwise."""
     samples = B.vectors(spark, sf_dir).select("sample_id", "features")
-    first = verify.condition_digests(corrupt.sweep(samples, SEED))
-    second = verify.condition_digests(corrupt.sweep(samples.repartition(5), SEED))
+    first = verify.condition_digests(corrupt.sweep(samples, SEED, lengths=B.LENGTHS))
+    second = verify.condition_digests(corrupt.sweep(samples.repartition(5), SEED, lengths=B.LENGTHS))
     return first.join(verify.not_reproduced(first, second), ["name", "param"], "left_anti").select("name", "param", "n")
 
 
@@ -232,7 +232,7 @@ def _train(spark, sf_dir):
 
 def _models(train):
     """The centroid model of the clean rows, and that of the clean ones and the same randomly augmented."""
-    noisy = corrupt.augmented(train, SEED, num=_STEPS).drop("applied")
+    noisy = corrupt.augmented(train, SEED, num=_STEPS, lengths=B.LENGTHS).drop("applied")
     return score.centroid_model(train, "baseline"), score.centroid_model(train.unionByName(noisy), "robust")
 
 
@@ -309,7 +309,7 @@ def _judged(spark, sf_dir, conditions):
     """Split, fit two centroid scorers on train, corrupt the other samples, score each changed row with both."""
     rows = B.stored(_train(spark, sf_dir), "samples")
     first, second = _models(rows.where("split = 'train'"))
-    swept = corrupt.sweep(rows.where("split != 'train'").select("sample_id", "label", "features"), SEED, conditions)
+    swept = corrupt.sweep(rows.where("split != 'train'").select("sample_id", "label", "features"), SEED, conditions, lengths=B.LENGTHS)
     return B.stored(score.score(swept, first.unionByName(second)).drop("features"), "scored")
 
 

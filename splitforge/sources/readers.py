@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitforge.sources.listing import listed
+
 #: Extensions of image files, and folder names that stand for a label.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 MORE_EXTENSIONS = (*EXTENSIONS, "tif", "tiff")
@@ -19,11 +21,13 @@ WIDE_MANIFEST = {"image_path": None, "label": None, "dataset": "", "generator":
 def files(spark: SparkSession, folder: str, extensions: Sequence[str] = EXTENSIONS, content: bool = False) -> DataFrame:
     """(path, length[, content]) of the files below a folder with one of the extensions, whatever their case.
 
-    Paths alone don't read any file. No matching file gives no rows.
+    Without content the folder is listed in tasks and no file is read. No matching file gives no rows.
     """
+    if not content:
+        return listed(spark, folder, extensions).select("path", "length")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rows = rows.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
-    return rows.select("path", "length", *(["content"] if content else []))
+    return rows.select("path", "length", "content")
 
 
 def labelled_folders(spark: SparkSession, root: str, folders: dict[str, int] | None = None, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: manifests, predictions, metrics and logs."""
+"""Sinks: manifests, predictions and metrics; logs are in publish."""
 
 from __future__ import annotations
 
@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitforge.functions.columns import rounded
+from splitforge.sources.publish import published
 
 
 def manifest(df: DataFrame, path: str, columns: Sequence[str], force: bool = False, protected: Sequence[str] = (), kind: str = "csv") -> None:
-    """Write the columns. What is there is kept unless forced, and never replaced below a protected folder."""
+    """Write the columns. What is there is kept unless forced, and never replaced below a protected folder.
+
+    The manifest appears whole or not at all, and of two writers of one path that aren't forced one is refused.
+    """
     if any(path.rstrip("/") == p.rstrip("/") or path.startswith(p.rstrip("/") + "/") for p in protected):
         raise PermissionError(f"{path} is protected")
-    writer = df.select(*columns).write.mode("overwrite" if force else "errorifexists")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
+    writer = df.select(*columns).write
+    put = writer.option("header", True).csv if kind == "csv" else writer.format(kind).save
+    if not published(df.sparkSession, put, path, replace=force):
+        raise FileExistsError(f"{path} is there already")
 
 
 def predictions(df: DataFrame, path: str, key: str = "sample_id") -> None:
@@ -29,8 +35,3 @@ def metrics(df: DataFrame, path: str, columns: Sequence[str], places: int = 6) -
     rows = df.select(*((rounded(c, places) if kinds[c] == "double" else F.col(c)).alias(c) for c in columns))
     rows.coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(f"{path}.csv")
     df.select(F.to_json(F.struct(*columns)).alias("value")).coalesce(1).write.text(f"{path}.json")
-
-
-def append_log(df: DataFrame, path: str) -> None:
-    """Add rows to a log."""
-    df.write.mode("append").option("header", True).csv(path)

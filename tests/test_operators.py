@@ -1,4 +1,5 @@
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splitforge.functions import columns as C
 from splitforge.operators import compare, corrupt, dedup, metrics, sampling, score, verify
-from splitforge.sources import readers, writers
+from splitforge.sources import listing, publish, readers, writers
 
 #: A published benchmark of 17 conditions, and error counts that must follow from its first rows.
 BENCHMARK = """clean,-,0.915,0.915,0.969,0.897,0.899,0.957
@@ -178,7 +179,24 @@ def test_unknown_transform_and_user_kernels(spark):
     corrupt.add("negative", lambda v, value, *seed: F.transform(v, lambda x: -x))
     rows = spark.createDataFrame([(1, [1.0, 2.0])], "sample_id int, features array<double>")
     assert corrupt.augmented(rows, 1, p=1.1, num=1, names=["negative"]).first().features == [-1.0, -2.0]
-    corrupt.KERNELS.pop("negative")
+    with pytest.raises(ValueError):
+        corrupt.add("nothing")
+    corrupt.add("mirror", build=lambda value, n: corrupt.Kernel(mix=[[(n - 1 - i, value)] for i in range(n)]), parameter="factor", values=(2.0,))
+    assert corrupt.augmented(rows, 1, p=1.1, num=1, names=["mirror"]).first().features == [4.0, 2.0]
+    shown = {r.name: tuple(r)[1:] for r in corrupt.described(spark).collect()}
+    assert shown["mirror"] == ("factor", [2.0], "kernel") and shown["negative"][2] == "column" and shown["jpeg"][0] == "quality in percent"
+    corrupt.remove("negative")
+    corrupt.remove("mirror")
+
+
+def test_lengths_of_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 6.0]), (2, [0.5]), (3, []), (4, None)], "sample_id int, features array<double>")
+    swept = corrupt.sweep(rows, 1, (("resize", "scale0.5", 0.5), ("clean", "-", None)))
+    got = {(r.sample_id, r.name): r.features for r in swept.collect()}
+    assert got[1, "resize"] == [1.5, 1.5, 6.0] and got[2, "resize"] == [0.5] and got[3, "resize"] == [] and got[4, "resize"] is None
+    assert got[1, "clean"] == [1.0, 2.0, 6.0] and len(got) == 8
+    with pytest.raises(Exception, match="kernels are for others"):
+        corrupt.sweep(rows, 1, (("resize", "scale0.5", 0.5),), lengths=(3,)).collect()
 
 
 def test_policies(spark):
@@ -208,8 +226,10 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 0)], "image_path string, label int")
     writers.manifest(rows.coalesce(1), path, ["image_path", "label"])
     assert sorted(readers.strict_manifest(spark, path).collect()) == [("a", 1), ("b", 0)]
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(FileExistsError):
         writers.manifest(rows, path, ["image_path", "label"])
+    writers.manifest(rows.limit(1), path, ["image_path", "label"], force=True)
+    assert readers.strict_manifest(spark, path).count() == 1
     with pytest.raises(PermissionError):
         writers.manifest(rows, path, ["image_path"], force=True, protected=[str(tmp_path)])
     (tmp_path / "wrong.csv").write_text("path,label\na,1\n")
@@ -224,13 +244,53 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.metrics(table, str(tmp_path / "metrics"), ["transformation", "parameter", "acc", "auc"])
     assert readers.metric_table(spark, str(tmp_path / "metrics.csv")).collect() == [("clean", "-", 0.123457, None)]
     assert readers.metric_json(spark, str(tmp_path / "metrics.json"), "acc double").first().acc == 0.1234567
-    for _ in range(2):
-        writers.append_log(spark.createDataFrame([(1, 0.5)], "epoch int, f1 double"), str(tmp_path / "log"))
-    assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 2
+    line, where = spark.createDataFrame([(1, 0.5)], "epoch int, f1 double"), str(tmp_path / "log")
+    assert publish.log(spark, where, "epoch int, f1 double").collect() == []
+    assert [publish.appended(line, where, b) for b in (0, 1, 0)] == [True, True, False]
+    assert sorted(publish.log(spark, where, "epoch int, f1 double").collect()) == [(1, 0.5, 0), (1, 0.5, 1)]
     writers.predictions(spark.createDataFrame([(7, 1)], "sample_id int, pred int"), str(tmp_path / "pred"))
     assert spark.read.json(str(tmp_path / "pred")).collect() == [("7", 1)]
 
 
+def test_publication_is_whole_or_nothing(spark, tmp_path):
+    path, rows = str(tmp_path / "out"), spark.range(50)
+
+    def breaks(place):
+        rows.write.parquet(place)
+        raise OSError("the writer died")
+
+    with pytest.raises(OSError):
+        publish.published(spark, breaks, path)
+    assert not (tmp_path / "out").exists() and list(tmp_path.iterdir()) == []
+    with ThreadPoolExecutor(4) as pool:
+        wrote = list(pool.map(lambda k: publish.published(spark, lambda place: rows.withColumn("writer", F.lit(k)).write.parquet(place), path), range(4)))
+    found = spark.read.parquet(path).groupBy("writer").count().collect()
+    assert sum(wrote) == 1 and [tuple(r) for r in found] == [(wrote.index(True), 50)]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert publish.published(spark, rows.limit(3).write.parquet, path, replace=True) and spark.read.parquet(path).count() == 3
+
+
+def test_a_lock_left_behind_is_taken_over(spark, tmp_path, monkeypatch):
+    (tmp_path / "_out.lock").touch()
+    monkeypatch.setattr(publish, "WAIT", 0.1)
+    with pytest.raises(TimeoutError):
+        publish.published(spark, spark.range(3).write.parquet, str(tmp_path / "out"))
+    monkeypatch.setattr(publish, "STALE", -1)
+    assert publish.published(spark, spark.range(3).write.parquet, str(tmp_path / "out"))
+
+
+def test_listing_by_sub_folders(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{i % 3}/{i % 2}/f{i}.{'txt' if i % 5 else 'bin'}", "x" * i) for i in range(60)] + [(60, "top.TXT", None), (61, None, "y")], "id int, name string, text string")
+    made = listing.write_files(docs.repartition(4), str(tmp_path), F.col("name"), F.col("text")).collect()
+    assert {r.name: r.length for r in made} == {r.name: len(r.text or "") for r in docs.where("name IS NOT NULL").collect()}
+    for levels in (0, 1, 2):
+        found = listing.listed(spark, str(tmp_path), ("txt",), levels).collect()
+        assert sorted((f"{r.prefix}/{r.name}".lstrip("/"), r.length) for r in found) == sorted((r.name, r.length) for r in made if not r.name.endswith("bin"))
+        assert all(r.path == f"{tmp_path}/{r.prefix}/{r.name}".replace("//", "/") for r in found)
+    assert listing.listed(spark, f"file://{tmp_path}", prefixes=["1", "not there"]).count() == 20
+    assert listing.listed(spark, str(tmp_path), ("png",)).collect() == []
+
+
 def newton(x, y, reg):
     """Logistic regression with the penalty on coefficients of standardised columns, as MLlib has it; the intercept is free."""
     n, spread = len(y), x.std(axis=0, ddof=1)
