@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from splitforge.functions.columns import col, normalise_real
@@ -40,6 +40,35 @@ def rejects(df: DataFrame, source: str = "source", reason: str = "reason") -> Da
     return df.groupBy(source, F.coalesce(F.col(reason), F.lit("added")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: What becomes of a row, in the order in which it is judged.
+REASONS = ("bad", "too small", "duplicate", "added")
+
+
+def judged(df: DataFrame, key: str, order: Sequence[str], bad: Column, too_small: Column) -> DataFrame:
+    """df with `reason`: bad, too small, duplicate or added. Only rows that are neither bad nor too small can be first of their
+    key; null counts as false in both, and rows without a key are no duplicates."""
+    early = F.when(F.coalesce(bad, F.lit(False)), "bad").when(F.coalesce(too_small, F.lit(False)), "too small")
+    rows = df.withColumn("reason", early)
+    firsts = rows.where("reason IS NULL").groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*order)).alias("__first"))
+    joined = rows.join(firsts, (F.col(key) == F.col("__key")) & F.col("reason").isNull(), "left")
+    late = F.col("__first").isNotNull() & (F.struct(*order) != F.col("__first"))
+    return joined.withColumn("reason", F.coalesce("reason", F.when(late, "duplicate"), F.lit("added"))).select(*df.columns, "reason")
+
+
+def write_added(rows: DataFrame, path: str, sources: Sequence[str], source: str = "source", reason: str = "reason") -> dict[tuple[str | None, str], int]:
+    """Write the rows whose reason is added, and return how many rows of each source had each reason, all from one job.
+
+    Counts are observed while rows pass, so nothing is read twice; those of sources that aren't named stand under None.
+    """
+    seen = Observation()
+    named = {s: F.col(source) == s for s in sources}
+    of = {**named, None: F.coalesce(~F.col(source).isin(*sources), F.lit(True)) if sources else F.lit(True)}
+    keys = [(s, r) for s in of for r in REASONS]
+    counts = [F.count_if(of[s] & (F.col(reason) == r)).alias(f"n{i}") for i, (s, r) in enumerate(keys)]
+    rows.observe(seen, *counts).where(F.col(reason) == "added").drop(reason).write.parquet(path)
+    return {k: seen.get[f"n{i}"] for i, k in enumerate(keys) if seen.get[f"n{i}"]}
+
+
 def pairwise_overlap(df: DataFrame, key: str, split: str = "split", examples: int = 3) -> DataFrame:
     """(left_split, right_split, n, examples): keys that stand in two splits, from one pass over all splits."""
     shared = df.select(key, split).where(F.col(key).isNotNull()).distinct().groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("in")).where(F.size("in") > 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitforge.functions.columns import known_key, size_bucket
+from splitforge.functions.columns import known_key, reconstructed_counts, size_bucket
 from splitforge.operators.ranking import running_sums
 
 COUNTS = ("tn", "fp", "fn", "tp")
@@ -111,6 +111,14 @@ def summed_errors(metrics: DataFrame, by: Sequence[str] = ("model",), name: str
     return metrics.where(F.col(name) != "clean").groupBy(*by).agg(F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
+def reconstructed_errors(metrics: DataFrame, positives: int, negatives: int, by: Sequence[str] = ("model",), name: str = "name", accuracy: str = "accuracy", f1: str = "f1") -> DataFrame:
+    """False positives and negatives that follow from published accuracy and F1, summed over all conditions but the clean one; and
+    how far the rounding of F1 can move the sum of true positives."""
+    counts = reconstructed_counts(accuracy, f1, positives, negatives)
+    rows = metrics.where(F.col(name) != "clean").select(*by, *(c.alias(k) for k, c in counts.items()))
+    return rows.groupBy(*by).agg(F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("tp_bound").alias("tp_bound"))
+
+
 def sweep_curve(df: DataFrame, by: Sequence[str] = ("model", "cohort", "sweep"), step: str = "step") -> DataFrame:
     return df.groupBy(*by, step).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"))
 

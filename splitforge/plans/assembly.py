@@ -108,6 +108,25 @@ def a15_reject_counts(spark, sf_dir):
     return dedup.rejects(rows.withColumn("reason", F.coalesce("reason", F.when(F.col("size") < 200, "too small"))))
 
 
+@plan("""WITH given AS (SELECT doc_id, coalesce(source, '?') AS source, n_chars, sha256(text) AS hash, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad FROM documents),
+  good AS (SELECT doc_id, row_number() OVER (PARTITION BY hash ORDER BY source, doc_id) AS r FROM given WHERE NOT bad AND n_chars >= 400)
+SELECT source, CASE WHEN bad THEN 'bad' WHEN n_chars < 400 THEN 'too small' WHEN r > 1 THEN 'duplicate' ELSE 'added' END AS reason, count(*) AS n, CAST(sum(CASE WHEN r = 1 THEN doc_id END) AS BIGINT) AS ids
+  FROM given LEFT JOIN good USING (doc_id) GROUP BY ALL""")
+def a15_one_pass(spark, sf_dir):
+    """The documents with their checksums, those of the toxic ones spoiled: what becomes of each, counted while the good ones are
+    written; beside the counts the sum of the ids that the written table has."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("?")).alias("source"), "n_chars", "text", F.crc32(F.encode("text", "UTF-8")).alias("sum"))
+    toxic = B.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(1).alias("spoiled"))
+    given = docs.join(toxic, "doc_id", "left").withColumn("text", F.when(F.col("spoiled") == 1, F.concat("text", F.lit("?"))).otherwise(F.col("text")))
+    broken = F.crc32(F.encode("text", "UTF-8")) != F.col("sum")
+    rows = dedup.judged(given.withColumn("hash", C.content_hash("text")), "hash", ["source", "doc_id"], broken, F.col("n_chars") < 400)
+    path = B.scratch(spark, "added")
+    counts = dedup.write_added(rows.select("doc_id", "source", "reason"), path, [f"src{i}" for i in range(20)])
+    table = spark.createDataFrame([(s, r, n) for (s, r), n in counts.items()], "source string, reason string, n long")
+    ids = spark.read.parquet(path).groupBy("source").agg(F.sum("doc_id").alias("ids")).withColumn("reason", F.lit("added"))
+    return table.join(ids, ["source", "reason"], "left")
+
+
 def _shares(spark, sf_dir):
     """Texts in three splits by id, so copies of a text stand in several."""
     split = F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("sample_id") % 3 + 1).cast("int"))

@@ -84,6 +84,19 @@ def a11_summed_errors(spark, sf_dir):
     return metrics.summed_errors(_table(spark, sf_dir))
 
 
+_TOTALS = "totals AS (SELECT count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM vectors)"
+_HITS = "CASE WHEN f >= 1 THEN pos ELSE round_even((pos + neg) / 2 * f * (1.0 - a) / (1.0 - f), 0) END"
+
+
+@plan(f"""{_WITH}, {_M}, {_TOTALS}, published AS (SELECT model, name, round(accuracy, 3)::DOUBLE AS a, round(f1, 3)::DOUBLE AS f FROM t), hits AS (SELECT *, {_HITS} AS tp FROM published CROSS JOIN totals)
+SELECT model, CAST(sum(greatest(0, least(neg, round_even(tp - ((pos + neg) * a - neg), 0)))) AS BIGINT) AS fp, CAST(sum(pos - tp) AS BIGINT) AS fn FROM hits WHERE name <> 'clean' GROUP BY model""")
+def a11_reconstructed_errors(spark, sf_dir):
+    """The errors that follow from accuracy and F1 to three places, as a report publishes them."""
+    totals = B.vectors(spark, sf_dir).agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    published = _table(spark, sf_dir).select(*KEYS, F.round("accuracy", 3).alias("accuracy"), F.round("f1", 3).alias("f1"))
+    return metrics.reconstructed_errors(published, totals[0], totals[1]).drop("tp_bound")
+
+
 _CURVES = "curves AS (SELECT model, CASE WHEN label = 1 THEN 'generated' ELSE 'real' END AS cohort, name AS sweep, sample_id % 4 AS step, count(*) AS n, avg(p) AS mean_p FROM scored GROUP BY ALL)"
 
 

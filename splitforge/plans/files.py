@@ -291,10 +291,63 @@ _BYTES = "bytes AS (SELECT CAST(vec_id AS VARCHAR) AS origin, list_transform(emb
 _PIXELS = f"""{_BYTES}, pixels AS (SELECT origin, i, f[i + 1] AS b, f[(i + {_SHIFT}) % 64 + 1] AS g, f[(i + 2 * {_SHIFT}) % 64 + 1] AS r FROM bytes CROSS JOIN (SELECT unnest(range(0, 64)) AS i))"""
 
 
-@plan("SELECT 17 * count(*) AS n, 17 * count(*) AS same_size FROM embeddings")
+def _rows_of(at) -> list[list[float]]:
+    """The 8x8 matrix whose row i weights the old positions by at(i): (position, weight) pairs."""
+    table = [[0.0] * 8 for _ in range(8)]
+    for i in range(8):
+        for j, w in at(i):
+            table[i][j] += w
+    return table
+
+
+def _between(i: int, old: int, new: int) -> list[tuple[int, float]]:
+    """The pixels on both sides of the centre of pixel i, when `old` pixels become `new`."""
+    x = min(max((i + 0.5) * old / new - 0.5, 0.0), old - 1.0)
+    low = math.floor(x)
+    return [(low, 1 - (x - low)), (min(low + 1, old - 1), x - low)]
+
+
+def _image_matrix(name: str, value: float) -> list[list[float]]:
+    """What blur, resampling or crop do along one side of an image of 8 pixels."""
+    if name == "blur":
+        reach = max(1, math.ceil(3 * value))
+        weights = {k: math.exp(-k * k / (2 * value * value)) for k in range(-reach, reach + 1)}
+        return _rows_of(lambda i: [(min(max(i + k, 0), 7), w / sum(weights.values())) for k, w in weights.items()])
+    if name == "resize":
+        small = max(1, int(8 * value))
+        return _rows_of(lambda i: [(k, w * v) for j, w in _between(i, small, 8) for k, v in _between(j, 8, small)])
+    inner = max(1, int(8 * value))
+    return _rows_of(lambda i: [(j + (8 - inner) // 2, w) for j, w in _between(i, inner, 8)])
+
+
+_SHOWN = "SELECT origin, name, param, CAST(sum((3 * i + k) * greatest(0, least(255, round_even(v, 0)))) AS BIGINT) AS s FROM {0} GROUP BY ALL"
+
+
+def _image_sweep_sql() -> str:
+    """Blur, resampling and crop as matrices on both sides, recompression as rounded cosine sums, of each colour."""
+    linear = [(n, p, i, j, w) for n, p, v in corrupt.SWEEP if n in ("blur", "resize", "center_crop") for i, row in enumerate(_image_matrix(n, v)) for j, w in enumerate(row) if w]
+    cosines = [(k, i, math.sqrt(2 / 8) * math.cos(math.pi * (2 * i + 1) * k / 16) * (math.sqrt(0.5) if k == 0 else 1)) for k in range(8) for i in range(8)]
+    scales = [(p, 50 / q if q < 50 else 2 - q / 50) for n, p, q in corrupt.SWEEP if n == "jpeg"]
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x) for x in row) + ")" for row in rows)
+    return f"""WITH {_PIXELS}, colours AS (SELECT origin, i // 8 AS y, i % 8 AS x, unnest([1, 2, 3]) AS k, unnest([b, g, r]) AS v FROM pixels),
+  side(name, param, new, old, w) AS (VALUES {values(linear)}), wave(f, i, w) AS (VALUES {values(cosines)}), scales(param, scale) AS (VALUES {values(scales)}),
+  down AS (SELECT origin, name, param, new AS y, x, k, sum(w * v) AS v FROM colours JOIN side ON old = y GROUP BY ALL),
+  both_sides AS (SELECT origin, d.name, d.param, y * 8 + new AS i, k, sum(w * v) AS v FROM down d JOIN side s ON s.name = d.name AND s.param = d.param AND old = x GROUP BY ALL),
+  down_f AS (SELECT origin, f AS p, x, k, sum(w * (v - 128)) AS v FROM colours JOIN wave ON i = y GROUP BY ALL),
+  coefficients AS (SELECT origin, p, f AS q, k, sum(w * v) AS v FROM down_f JOIN wave ON i = x GROUP BY ALL),
+  stepped AS (SELECT *, greatest(1.0, (8 + 6 * (p + q)) * scale) AS step FROM coefficients CROSS JOIN scales),
+  kept AS (SELECT origin, param, p, q, k, round_even(round(v / step, 9), 0) * step AS v FROM stepped WHERE round_even(round(v / step, 9), 0) <> 0 OR (p = 0 AND q = 0)),
+  back_f AS (SELECT origin, param, i AS y, q, k, sum(w * v) AS v FROM kept JOIN wave ON f = p GROUP BY ALL),
+  back AS (SELECT origin, 'jpeg' AS name, param, y * 8 + xx AS i, k, sum(w * v) + 128 AS v FROM back_f b JOIN (SELECT f, i AS xx, w FROM wave) ON f = q GROUP BY ALL),
+  clean AS (SELECT origin, 'clean' AS name, '-' AS param, y * 8 + x AS i, k, v FROM colours)
+{" UNION ALL ".join(_SHOWN.format(r) for r in ("both_sides", "back", "clean"))}"""
+
+
+@plan(_image_sweep_sql())
 def c3_image_sweep(spark, sf_dir):
-    rows = images.sweep(_images(spark, sf_dir), corrupt.catalogue(spark), B.SEED)
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.length("data") == 192).alias("same_size"))
+    """Colour images under every condition whose values SQL can state without their noise and jitter."""
+    conditions = tuple(c for c in corrupt.SWEEP if c[0] not in ("noise", "color_jitter"))
+    return _pixel_sum(images.sweep(_images(spark, sf_dir), corrupt.catalogue(spark, conditions), B.SEED), "origin", "name", "param")
 
 
 def _jittered_sql() -> str:
@@ -323,10 +376,29 @@ def c10_image_sizes(spark, sf_dir):
     return changed.select("origin", F.length("data").alias("n"))
 
 
-@plan()
+def _acquisition_sql() -> str:
+    def draw(what: str, *more: str) -> str:
+        return B.uniform_sql(f"'{B.SEED}'", f"'acquire {what}'", *more, "origin")
+
+    def step(name: str, low: float, high: float) -> str:
+        value = f"{low}::DOUBLE + {high - low!r}::DOUBLE * {draw('value', f"'{name}'")}"
+        how = f"['{"', '".join(images.HOWS)}'][CAST(floor({draw('how')} * {len(images.HOWS)}) AS INT) + 1]" if name == "resample" else "''"
+        return f"{{'h': sha256(concat_ws('|', '{B.SEED}', 'acquire order', '{name}', origin)), 's': '{name} ' || round({value}, 6) || ' ' || {how}}}"
+
+    steps = ", ".join(step(n, *r) for n, r in images.ACQUIRE.items())
+    return f"""WITH {_PIXELS}, drawn AS (SELECT CAST(vec_id AS VARCHAR) AS origin FROM embeddings),
+  stepped AS (SELECT origin, CASE WHEN {draw('gate')} < {images.ACQUIRE_P} THEN array_to_string(list_transform(list_sort([{steps}])[1:{images.ACQUIRE_NUM}], lambda s: s.s), ', ') ELSE '' END AS steps FROM drawn),
+  sums AS (SELECT origin, CAST(sum((3 * i + 1) * b + (3 * i + 2) * g + (3 * i + 3) * r) AS BIGINT) AS s FROM pixels GROUP BY origin)
+SELECT origin, steps, CASE WHEN steps = '' THEN s END AS s FROM stepped JOIN sums USING (origin)"""
+
+
+@plan(_acquisition_sql())
 def c10_acquisition(spark, sf_dir):
+    """Which steps every image gets with which values; the pixels of those that get none, which must be the old ones."""
     changed = images.acquisition(_images(spark, sf_dir), B.SEED)
-    return changed.select("origin", F.sha2("data", 256).alias("digest"))
+    shown = F.transform("steps", lambda s: F.concat_ws(" ", s["name"], F.round(s["value"], 6), F.coalesce(s["how"], F.lit(""))))
+    summed = _pixel_sum(changed.withColumn("shown", F.array_join(shown, ", ")), "origin", "shown")
+    return summed.select("origin", F.col("shown").alias("steps"), F.when(F.col("shown") != "", None).otherwise(F.col("s")).alias("s"))
 
 
 _QUARTER = " + ".join(f"(3 * q + {k + 1}) * round_even(avg({c}), 0)" for k, c in enumerate("bgr"))
@@ -384,8 +456,8 @@ def v8_readability(spark, sf_dir):
     """Every vector is written as an image file, each tenth one cut off; the files are decoded, the broken ones found, and
     the pixels of the others summed."""
     path = scratch(spark, "bitmaps")
-    # The writer of text puts the bytes as they are into one file a name; the line end after them is no part of a bitmap.
-    _bitmaps(spark, sf_dir).select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").text(path)
+    name = F.concat(F.format_string("%02d/", F.col("name") % _FOLDERS), F.col("name"), F.lit(".bmp"))
+    listing.write_files(_bitmaps(spark, sf_dir), path, name, F.col("content")).write.format("noop").mode("overwrite").save()
     rows = images.read(spark, path)
     decoded = _pixel_sum(rows.where("height > 0"), "origin").agg(F.count("*").alias("decoded"), F.sum("s").alias("s"))
     return verify.readability(rows).drop("examples").crossJoin(decoded)
@@ -395,4 +467,17 @@ def v8_readability(spark, sf_dir):
 def u1_user_kernel(spark, sf_dir):
     corrupt.add("negative", lambda v, value, *seed: F.transform(v, lambda x: -x))
     rows = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), B.SEED, (("negative", "-", None),), lengths=B.LENGTHS)
+    corrupt.remove("negative")
     return rows.select("sample_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("s"))
+
+
+_TOLD = ", ".join(f"('{n}', '{t.parameter}', {v})" for n, t in corrupt.TRANSFORMS.items() for v in t.values)
+
+
+@plan(f"SELECT name, parameter, value::DOUBLE AS value, (SELECT count(*) FROM embeddings) AS n FROM (VALUES {_TOLD}) t(name, parameter, value)")
+def u1_described(spark, sf_dir):
+    """What the registry says of each transform, and how many vectors come out of a sweep of all its values."""
+    told = corrupt.described(spark).select("name", "parameter", F.explode("values").alias("value"))
+    conditions = tuple((r.name, str(r.value), r.value) for r in told.collect())
+    swept = corrupt.sweep(B.vectors(spark, sf_dir).select("sample_id", "features"), B.SEED, conditions, lengths=B.LENGTHS)
+    return swept.where("size(features) = 64").groupBy("name", "value").agg(F.count("*").alias("n")).join(F.broadcast(told), ["name", "value"])

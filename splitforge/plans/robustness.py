@@ -10,6 +10,7 @@ from splitforge.functions import columns as C
 from splitforge.operators import corrupt, joins, metrics, score, verify
 from splitforge.operators.compare import robustness_summary
 from splitforge.plans import base as B
+from splitforge.sources import publish
 
 PLANS: dict = {}
 SEED = B.SEED
@@ -260,27 +261,93 @@ def m4_batch_scores(spark, sf_dir):
     return scored.select("sample_id", "model", F.round("margin", 6).alias("margin"))
 
 
-def _probe(spark, sf_dir):
+#: Candidates of the fit by epochs, how many epochs they have, and after how many without a better f1 they stop.
+_CANDIDATES = (score.Candidate("slow", 0.5, 0.001), score.Candidate("steady", 4.0, 0.001), score.Candidate("fast", 32.0, 0.0))
+_EPOCHS, _PATIENCE = 12, 3
+
+
+def _fit_sql() -> str:
+    """Relations w1, w2, ... of the weights that each epoch begins with (candidate, w), e1, ... of its lines, and log, those up to
+    where each candidate stops."""
+    given = ", ".join(f"({k}, '{c.name}', {c.rate!r}::DOUBLE, {c.reg!r}::DOUBLE)" for k, c in enumerate(_CANDIDATES))
+    parts = [
+        f"given(ord, candidate, rate, reg) AS (VALUES {given})",
+        "fit_rows AS MATERIALIZED (SELECT v.sample_id, v.label, s.split, list_append(v.features, 1.0) AS x FROM vectors v JOIN splits s USING (sample_id))",
+        "w1 AS (SELECT candidate, list_transform(range(0, 65), lambda i: 0.0::DOUBLE) AS w FROM given)",
+    ]
+    for e in range(1, _EPOCHS + 1):
+        parts.append(f"""p{e} AS MATERIALIZED (SELECT split, label, x, candidate, least(greatest(1 / (1 + exp(-list_dot_product(x, w))), 1e-12), 1 - 1e-12) AS p FROM fit_rows CROSS JOIN w{e} WHERE split <> 'test')""")
+        parts.append(f"""e{e} AS (SELECT {e} AS epoch, candidate, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) FILTER (split = 'train') AS train_loss, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) FILTER (split = 'val') AS val_loss,
+  count(*) FILTER (split = 'val' AND label = 0 AND p < 0.5) AS tn, count(*) FILTER (split = 'val' AND label = 0 AND p >= 0.5) AS fp, count(*) FILTER (split = 'val' AND label = 1 AND p < 0.5) AS fn, count(*) FILTER (split = 'val' AND label = 1 AND p >= 0.5) AS tp FROM p{e} GROUP BY candidate)""")
+        parts.append(f"""w{e + 1} AS MATERIALIZED (SELECT candidate, list(w - rate * (g + CASE WHEN i < 65 THEN reg * w ELSE 0 END) ORDER BY i) AS w
+  FROM (SELECT candidate, i, avg((p - label) * v) AS g FROM (SELECT candidate, p, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM p{e} WHERE split = 'train') GROUP BY candidate, i)
+  JOIN (SELECT candidate, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w{e}) USING (candidate, i) JOIN given USING (candidate) GROUP BY candidate)""")
+    every = " UNION ALL ".join(f"SELECT * FROM e{e}" for e in range(1, _EPOCHS + 1))
+    parts.append(f"""shown AS (SELECT epoch, candidate, train_loss, val_loss, (tp + tn) / (tn + fp + fn + tp) AS accuracy, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS "precision",
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM ({every}))""")
+    parts.append("marked AS (SELECT *, f1 > coalesce(max(f1) OVER (PARTITION BY candidate ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS improved FROM shown)")
+    parts.append("since AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY candidate ORDER BY epoch) AS waited FROM marked)")
+    parts.append(f"log AS (SELECT s.* FROM since s LEFT JOIN (SELECT candidate, min(epoch) AS stop FROM since WHERE waited >= {_PATIENCE} GROUP BY candidate) t USING (candidate) WHERE stop IS NULL OR epoch <= stop)")
+    parts.append("best AS (SELECT epoch, candidate FROM log JOIN given USING (candidate) ORDER BY f1 DESC, epoch, ord LIMIT 1)")
+    weights = " UNION ALL ".join(f"SELECT {e} AS epoch, candidate, w FROM w{e}" for e in range(1, _EPOCHS + 1))
+    parts.append(f"chosen AS (SELECT w FROM ({weights}) JOIN best USING (epoch, candidate))")
+    return f"{B.VECTORS}, {B.KEYED}, {B.SPLITS}, {', '.join(parts)}"
+
+
+_ROUNDED = """epoch, candidate, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, improved"""
+
+
+def _fit(spark, sf_dir, log_path=None):
     rows = B.stored(_train(spark, sf_dir).select("sample_id", "label", "features", "split"), "samples")
-    return score.linear_probe(rows.where("split = 'train'")), rows
+    return score.fit_by_epochs(rows.where("split != 'test'"), _CANDIDATES, _EPOCHS, _PATIENCE, B.LENGTHS[0], log_path), rows
 
 
-@plan()
-def m1_linear_probe(spark, sf_dir):
-    model, rows = _probe(spark, sf_dir)
-    return metrics.classification(score.probe_scores(model, rows.where("split = 'test'"), "probe"), ["model"])
+def _rounded_log(log):
+    return log.select(*(C.rounded(c).alias(c) if t == "double" else F.col(c) for c, t in log.dtypes))
 
 
-@plan()
-def m5_diagnostic_scores(spark, sf_dir):
-    model, rows = _probe(spark, sf_dir)
-    return score.probe_scores(model, rows.where("split = 'val'"), "probe").select("sample_id", "label", "logit_0", "logit_1", "p_0", "p_1", "pred")
+@plan(f"WITH {_fit_sql()} SELECT {_ROUNDED} FROM log")
+def m6_epoch_log(spark, sf_dir):
+    """The log of three candidates, appended epoch by epoch and read back."""
+    path = B.scratch(spark, "epochs")
+    _fit(spark, sf_dir, path)
+    return _rounded_log(publish.log(spark, path, score.LOG).drop("batch"))
+
+
+_EVERY_P = " UNION ALL ".join(f"SELECT {e} AS epoch, candidate, label, p FROM p{e} WHERE split = 'val'" for e in range(1, _EPOCHS + 1))
 
 
-@plan()
+@plan(f"WITH {_fit_sql()}, every_p AS ({_EVERY_P}), aucs AS ({B.auc_sql('every_p', 'epoch, candidate')}) SELECT epoch, candidate, round(roc_auc, 6) AS roc_auc FROM aucs JOIN log USING (epoch, candidate)")
+def m6_epoch_aucs(spark, sf_dir):
+    """The area under the curve of every epoch of the log."""
+    fit, rows = _fit(spark, sf_dir)
+    return score.epoch_aucs(fit, rows.where("split = 'val'")).withColumn("roc_auc", F.round("roc_auc", 6))
+
+
+@plan(f"WITH {_fit_sql()} SELECT {_ROUNDED} FROM log JOIN best USING (epoch, candidate)")
 def m6_best_candidate(spark, sf_dir):
-    rows = B.stored(_train(spark, sf_dir).select("sample_id", "label", "features", "split"), "samples")
-    return score.best_candidate(score.candidate_log(rows.where("split = 'train'"), rows.where("split = 'val'"), (0.3, 0.1, 0.01)))
+    """The line of the epoch and candidate that win on val."""
+    fit, _ = _fit(spark, sf_dir)
+    epoch, name = fit.best
+    return _rounded_log(fit.log).where((F.col("epoch") == epoch) & (F.col("candidate") == name))
+
+
+_TESTED = "tested AS (SELECT sample_id, label, list_dot_product(x, w) AS margin FROM fit_rows CROSS JOIN chosen WHERE split = '{split}'), scored AS (SELECT *, 'probe' AS model, CAST(1 / (1 + exp(-margin)) >= 0.5 AS INT) AS pred FROM tested)"
+
+
+@plan(f"WITH {_fit_sql()}, {_TESTED.format(split='test')}, m AS ({B.metrics_sql('scored', 'model')}) SELECT * FROM m")
+def m1_linear_probe(spark, sf_dir):
+    """The winner of the epochs on the test rows."""
+    fit, rows = _fit(spark, sf_dir)
+    return metrics.classification(score.fitted_scores(fit.weights[fit.best], rows.where("split = 'test'"), "probe"), ["model"])
+
+
+@plan(f"""WITH {_fit_sql()}, {_TESTED.format(split='val')} SELECT sample_id, label, round(-margin, 6) AS logit_0, round(margin, 6) AS logit_1, round(1 - 1 / (1 + exp(-margin)), 6) AS p_0, round(1 / (1 + exp(-margin)), 6) AS p_1, pred FROM scored""")
+def m5_diagnostic_scores(spark, sf_dir):
+    """Logits and probabilities of both classes of the val rows under the winner."""
+    fit, rows = _fit(spark, sf_dir)
+    scored = score.fitted_scores(fit.weights[fit.best], rows.where("split = 'val'"), "probe")
+    return scored.select("sample_id", "label", *(F.round(c, 6).alias(c) for c in ("logit_0", "logit_1", "p_0", "p_1")), "pred")
 
 
 # Flagship: how much accuracy the scorers keep under each corruption

@@ -44,6 +44,13 @@ def j8_not_in_manifest(spark, sf_dir):
     return joins.not_in_manifest(scored, B.splits(spark, sf_dir).where("split = 'train'"))
 
 
+@plan(f"""WITH {B.VECTORS}, {B.KEYED}, {B.SPLITS} SELECT split, array_to_string(list_sort(list(DISTINCT generator) FILTER (generator IS NOT NULL)), ',') AS generators, array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ',') AS sources FROM splits GROUP BY split""")
+def a8_members(spark, sf_dir):
+    """The sorted names that stand in each split."""
+    names = metrics.members(B.splits(spark, sf_dir))
+    return names.select("split", F.array_join("generators", ",").alias("generators"), F.array_join("sources", ",").alias("sources"))
+
+
 @plan(f"""{_WITH}, x AS (SELECT split, label, coalesce(generator, source) AS origin, CASE WHEN sample_id <= 96 THEN '<=96' WHEN sample_id <= 224 THEN '96-224' WHEN sample_id <= 512 THEN '224-512' WHEN sample_id <= 1024 THEN '512-1024' ELSE '>1024' END AS bucket FROM splits)
 SELECT split, 'all' AS kind, '' AS key, count(*) AS n FROM x GROUP BY split UNION ALL SELECT split, 'label', CAST(label AS VARCHAR), count(*) FROM x GROUP BY split, label
 UNION ALL SELECT split, 'origin', origin || '/' || label, count(*) FROM x GROUP BY split, origin, label UNION ALL SELECT split, 'bucket', bucket, count(*) FROM x GROUP BY split, bucket""")

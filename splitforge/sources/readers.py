@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splitforge.sources.listing import listed
@@ -48,30 +48,40 @@ def labelled_folders(spark: SparkSession, root: str, folders: dict[str, int] | N
 
 @dataclass(frozen=True)
 class NamedSource:
-    """Rows of one origin, their label (null: not known), and whether the origin is held out."""
+    """Rows of one origin: which they are, their label (null: not known), whether the origin is held out, and how many are
+    taken at most."""
 
     name: str
-    rows: DataFrame
+    applies: Column
     label: int | None
     held_out: bool
     first: int | None = None
 
 
-def named_union(sources: Sequence[NamedSource], dataset: str, order: str | None = None, check: bool = False) -> DataFrame:
-    """All rows with dataset, source, label and held_out; at most `first` rows of a source, in the given order.
+def named_sources(rows: DataFrame, sources: Sequence[NamedSource], dataset: str, order: Sequence[str] = (), check: bool = False) -> DataFrame:
+    """The rows of all sources with dataset, source, label, held_out and source_rank, from one scan; at most `first` rows of a
+    source, in the given order. A row that several sources apply to stands in each; columns of these names are replaced.
 
-    check: an empty source is an error (one look at each source).
+    check: a source without rows is an error (one pass that counts).
     """
-    out = None
-    for i, s in enumerate(sources):
-        if check and not s.rows.take(1):
-            raise ValueError(f"source {s.name} is empty")
-        rows = s.rows if s.first is None else (s.rows.orderBy(order) if order else s.rows).limit(s.first)
-        rows = rows.withColumns({"dataset": F.lit(dataset), "source": F.lit(s.name), "label": F.lit(s.label).cast("int"), "held_out": F.lit(s.held_out), "source_rank": F.lit(i)})
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    if not sources:
         raise ValueError("no sources")
-    return out
+    if any(s.first is not None for s in sources) and not order:
+        raise ValueError("the first rows of a source need an order")
+    table = rows.sparkSession.createDataFrame([(i, s.name, s.label, s.held_out, s.first) for i, s in enumerate(sources)], "source_rank int, source string, label int, held_out boolean, __first long")
+    hits = F.filter(F.array(*(F.when(s.applies, F.lit(i)) for i, s in enumerate(sources))), lambda i: i.isNotNull())
+    added = {"source_rank", "source", "label", "held_out", "dataset"}
+    tagged = rows.select(*(c for c in rows.columns if c not in added), F.explode(hits).alias("source_rank")).join(F.broadcast(table), "source_rank")
+    if check:
+        there = {r[0] for r in tagged.select("source").distinct().collect()}
+        if missing := [s.name for s in sources if s.name not in there]:
+            raise ValueError(f"no rows of {', '.join(missing)}")
+    bounds = [s.first for s in sources if s.first is not None]
+    if bounds:
+        # A constant bound beside the source's own: each task keeps no more than that of a source before the shuffle.
+        limited = tagged.where("__first IS NOT NULL").withColumn("__rank", F.row_number().over(Window.partitionBy("source_rank").orderBy(*order))).where(F.col("__rank") <= max(bounds)).where("__rank <= __first").drop("__rank")
+        tagged = limited if len(bounds) == len(sources) else limited.unionByName(tagged.where("__first IS NULL"))
+    return tagged.drop("__first").withColumn("dataset", F.lit(dataset))
 
 
 def strict_manifest(spark: SparkSession, path: str) -> DataFrame:

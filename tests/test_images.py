@@ -124,15 +124,33 @@ def test_recompression_loses_more_at_lower_quality_and_nothing_of_flat_blocks():
 def test_acquisition_changes_its_share_and_repeats(spark, rows):
     one = rows.where("origin LIKE '%b.bmp'").first()
     many = spark.createDataFrame([(f"o{i}", one.height, one.width, 3, 16, one.data) for i in range(300)], images.IMAGE)
-    first = {r.origin: bytes(r.data) for r in images.acquisition(many, 42).collect()}
+    made = images.acquisition(many, 42).collect()
+    first = {r.origin: bytes(r.data) for r in made}
+    steps = {r.origin: [s.asDict() for s in r.steps] for r in made}
     assert first == {r.origin: bytes(r.data) for r in images.acquisition(many.repartition(5), 42).collect()}
     source = images.pixels(one.height, one.width, 3, one.data)
     for origin, data in first.items():
-        assert data == images.acquired(source, 42, origin).astype(np.uint8).tobytes()
+        assert data == images.acquired(source, steps[origin], 42, origin).astype(np.uint8).tobytes()
+        assert len({s["name"] for s in steps[origin]}) == len(steps[origin]) in (0, 2)
+        for s in steps[origin]:
+            low, high = images.ACQUIRE[s["name"]]
+            assert low < s["value"] < high and (s["how"] in images.HOWS) == (s["name"] == "resample")
+    assert {s["name"] for some in steps.values() for s in some} == set(images.ACQUIRE)
     # Of 300 images 60 % draw two steps; with five standard deviations to both sides.
     assert 180 - 43 <= sum(d != bytes(one.data) for d in first.values()) <= 180 + 43
 
 
+def test_kernels_on_many_images_are_those_on_each(rows):
+    some = np.random.default_rng(4).integers(0, 256, (5, 13, 10, 3)).astype(float)
+    for name in ("jpeg", "blur", "resize", "center_crop"):
+        value = 60.0 if name == "jpeg" else 0.6
+        assert np.array_equal(images.KERNELS[name](some, value), np.stack([images.KERNELS[name](x, value) for x in some])), name
+    for how in images.HOWS:
+        assert np.allclose(images.resample(some, 6, 17, how), np.stack([images.resample(x, 6, 17, how) for x in some])), how
+    for kind in ("brightness", "contrast", "saturation"):
+        assert np.array_equal(images._around(some, kind, np.full((5, 1, 1, 1), 1.3)), np.stack([images._around(x, kind, 1.3) for x in some]))
+
+
 def test_images_come_out_whole_across_small_batches(rows, monkeypatch):
     expected = {r.origin: bytes(r.data) for r in images.capped(rows, 16).collect()}
     monkeypatch.setattr(images, "BATCH_BYTES", 1)

@@ -345,3 +345,73 @@ def test_auc_of_crowded_scores(spark):
     for g in "ab":
         ones, zeros = (np.array([p for h, y, p in rows if h == g and y == label]) for label in (1, 0))
         assert abs(got[g] - np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros))) < 1e-12
+
+
+def test_epochs_are_those_of_a_plain_loop_and_a_log_is_written_once(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (240, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + draw.normal(0, 1.5, 240) > 0.3).astype(float)
+    train = np.arange(240) < 160
+    rows = spark.createDataFrame([("train" if t else "val", int(label), v.tolist(), "more") for t, label, v in zip(train, y, x)], "split string, label int, features array<double>, other string")
+    candidates = [score.Candidate("a", 0.3, 0.1), score.Candidate("b", 3.0)]
+    log = str(tmp_path / "log")
+    fit = score.fit_by_epochs(rows.repartition(5), candidates, epochs=9, patience=2, log_path=log)
+    got = {(r.epoch, r.candidate): r for r in fit.log.collect()}
+    z, want = np.hstack([x, np.ones((240, 1))]), {}
+    for c in candidates:
+        w, top, since = np.zeros(5), -1.0, 0
+        for epoch in range(1, 10):
+            p = 1 / (1 + np.exp(-z @ w))
+            hit = p >= 0.5
+            tp, fp, fn = (np.sum(hit & (y == 1) & ~train), np.sum(hit & (y == 0) & ~train), np.sum(~hit & (y == 1) & ~train))
+            f1 = 2 * tp / (2 * tp + fp + fn)
+            losses = [-np.mean(np.log(np.where(y == 1, p, 1 - p))[s]) for s in (train, ~train)]
+            want[epoch, c.name] = (losses, f1, w.copy())
+            top, since = (f1, 0) if f1 > top else (top, since + 1)
+            if since >= 2:
+                break
+            w = w - c.rate * ((p - y)[train] @ z[train] / 160 + np.append(c.reg * w[:-1], 0))
+    assert set(got) == set(want) and len(want) < 18
+    for k, (losses, f1, w) in want.items():
+        assert np.allclose([got[k].train_loss, got[k].val_loss], losses, atol=1e-9) and abs(got[k].f1 - f1) < 1e-12 and np.allclose(fit.weights[k], w, atol=1e-9)
+    assert fit.best == min(want, key=lambda k: (-want[k][1], k[0], k[1]))
+    score.fit_by_epochs(rows, candidates, epochs=9, patience=2, width=4, log_path=log)
+    assert publish.log(spark, log, score.LOG).count() == len(want)
+    scored = score.fitted_scores(fit.weights[fit.best], rows.where("split = 'val'"), "m")
+    assert metrics.classification(scored).first().f1 == pytest.approx(want[fit.best][1])
+    aucs = {(r.epoch, r.candidate): r.roc_auc for r in score.epoch_aucs(fit, rows.where("split = 'val'")).collect()}
+    margin = z[~train] @ want[fit.best][2]
+    pos, neg = margin[y[~train] == 1], margin[y[~train] == 0]
+    assert set(aucs) == set(want) and aucs[fit.best] == pytest.approx(np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)))
+    with pytest.raises(ValueError, match="train and of val"):
+        score.fit_by_epochs(rows.where("split = 'train'"), candidates)
+
+
+def test_rejects_are_judged_in_order_and_counted_in_passing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "s", "a", 9, False), (2, "s", "a", 9, False), (0, "s", "a", 9, True), (3, "t", "b", 1, False), (4, "t", "b", 9, False), (5, "t", None, 9, None), (6, None, None, None, False), (7, "u", "a", 9, False)], "id int, source string, key string, size int, broken boolean")
+    found = dedup.judged(rows.repartition(3), "key", ["id"], F.col("broken"), F.col("size") < 5)
+    assert {r.id: r.reason for r in found.collect()} == {0: "bad", 1: "added", 2: "duplicate", 3: "too small", 4: "added", 5: "added", 6: "added", 7: "duplicate"}
+    counts = dedup.write_added(found, str(tmp_path / "added"), ["s", "t"])
+    assert counts == {("s", "bad"): 1, ("s", "added"): 1, ("s", "duplicate"): 1, ("t", "too small"): 1, ("t", "added"): 2, (None, "added"): 1, (None, "duplicate"): 1}
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "added")).collect()) == [1, 4, 5, 6]
+
+
+def test_named_sources_come_from_one_scan(spark, tmp_path):
+    spark.createDataFrame([(i, f"s{i % 3}", "old") for i in range(12)], "id int, origin string, source string").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    some = [readers.NamedSource("zero", F.col("origin") == "s0", 0, False, 2), readers.NamedSource("one", F.col("origin") == "s1", 1, True, 3), readers.NamedSource("low", F.col("id") < 2, None, False, 9)]
+    out = readers.named_sources(rows, some, "d", ["id"])
+    assert sorted(map(tuple, out.select("source", "id", "label", "held_out", "dataset").collect()), key=str) == sorted([("zero", 0, 0, False, "d"), ("zero", 3, 0, False, "d"), ("one", 1, 1, True, "d"), ("one", 4, 1, True, "d"), ("one", 7, 1, True, "d"), ("low", 0, None, False, "d"), ("low", 1, None, False, "d")], key=str)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert readers.named_sources(rows, [readers.NamedSource("all", F.lit(True), None, False)], "d").count() == 12
+    with pytest.raises(ValueError, match="no rows of none"):
+        readers.named_sources(rows, [readers.NamedSource("none", F.col("id") < 0, None, False)], "d", check=True)
+    with pytest.raises(ValueError, match="order"):
+        readers.named_sources(rows, some, "d")
+
+
+def test_errors_follow_from_published_values(spark):
+    table = spark.createDataFrame([("m", "clean", 0.9, 0.9), ("m", "blur", 0.569, 0.259), ("m", "jpeg", 0.5, 0.0)], "model string, name string, accuracy double, f1 double")
+    row = metrics.reconstructed_errors(table, 5000, 5000).first()
+    # 4310 errors and an F1 of 0.259 are 753 hits; half right and no hits are 5000 misses.
+    assert (row.fp, row.fn) == (63, 4247 + 5000) and row.tp_bound > 0
