@@ -28,6 +28,8 @@ from splitforge.llm import flat
 K1, B = 1.2, 0.75
 #: Items of a block, and items of an index at most; more items are split into several indexes.
 BLOCK, MAX_ITEMS = 8, 20_000
+#: Bytes of text of the items of an index, about; a single longer item is one by itself.
+MAX_BYTES = 32 << 20
 #: Rows that one step of a query opens at most, about.
 _ROWS = 1_000_000
 #: Shares of the shingles of an item, and of its question, that a passage must hold; and of its answer's words.
@@ -242,7 +244,7 @@ class Index:
 
 
 def with_terms(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, text, words, terms array<long>) of the distinct items that have words."""
+    """(item, text, words, terms array<long>) of the distinct items that have words; ids are of any type, or null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,25 +252,28 @@ def with_terms(items: DataFrame, item_col: str = "item_id", text_col: str = "tex
             terms = [np.unique(words.hashes[a:b]).view(np.int64) for a, b in zip(words.rows[:-1], words.rows[1:])]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(words.rows)), pa.array(terms, pa.list_(pa.int64()))], names=["item", "text", "words", "terms"])
 
-    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
-    return rows.mapInArrow(work, "item long, text string, words long, terms array<long>").where("words > 0")
+    rows = items.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    return rows.mapInArrow(work, f"item {dict(items.dtypes)[item_col]}, text string, words long, terms array<long>").where("words > 0")
 
 
-def _parts(items: DataFrame, item_col: str, text_col: str, threshold: float | None) -> Iterator[tuple[str, tuple]]:
-    """(a name, what Index takes) of groups of about MAX_ITEMS distinct items, by hash.
+def _parts(items: DataFrame, item_col: str, text_col: str, threshold: float | None) -> Iterator[tuple[str, tuple, pa.Array]]:
+    """(a name, what Index takes, the ids of its items) of groups of about MAX_ITEMS distinct items and MAX_BYTES of text, by hash.
 
     Frequencies are counted over all items by Spark. One group at a time comes to the driver, so what it holds and what
     is sent to the executors at once is bounded however many items there are.
     """
     rows = with_terms(items, item_col, text_col)
-    total, mean, longest = rows.agg(F.count("*"), F.avg("words"), F.max("words")).first()
+    total, mean, longest, size = rows.agg(F.count("*"), F.avg("words"), F.max("words"), F.sum(F.octet_length("text"))).first()
     frequencies = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    groups = -(-total // MAX_ITEMS)
+    groups = max(-(-total // MAX_ITEMS), -(-(size or 0) // MAX_BYTES))
     for group in range(groups):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == group)
         own = part.select(F.explode("terms").alias("term")).distinct().join(frequencies, "term").toArrow()
-        pairs = sorted((r[0], r[1]) for r in part.select("item", "text").collect())
-        yield uuid.uuid4().hex, (pairs, np.asarray(own.column("term")).view(np.uint64), np.asarray(own.column("n")), total, mean, longest, threshold)
+        table = part.select("item", "text").orderBy("item", "text").toArrow().combine_chunks()
+        # The index knows items by their places; what their ids are, and of which type, is none of its business.
+        pairs = list(enumerate(table.column("text").to_pylist()))
+        ids = table.column("item").combine_chunks()
+        yield uuid.uuid4().hex, (pairs, np.asarray(own.column("term")).view(np.uint64), np.asarray(own.column("n")), total, mean, longest, threshold), ids
 
 
 #: The indexes that this worker has built last, by name.
@@ -290,10 +295,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float | None = None
     No shuffle of documents: the index goes to the executors and documents are read once for each MAX_ITEMS items; the
     result doesn't depend on MAX_ITEMS. threshold: the share of its own score that retrieves an item; None: of each item
     the least that verification allows. Null and empty texts hold nothing, items without words are found nowhere,
-    repeated documents are reported each, repeated items once; empty tables give no rows; further columns are ignored.
+    repeated documents are reported each, items repeated with one id and text once; ids of either may be of any type, and items
+    without an id are looked for like others; empty tables give no rows; further columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double"
+    schema = f"`{id_col}` {kind}, item_id {dict(items.dtypes)[item_col]}, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     found = [_found(rows, part, id_col, schema) for part in _parts(items, item_col, text_col, threshold)]
     if not found:
@@ -304,8 +310,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float | None = None
     return out
 
 
-def _found(rows: DataFrame, part: tuple[str, tuple], id_col: str, schema: str) -> DataFrame:
-    name, shared = part[0], rows.sparkSession.sparkContext.broadcast(part[1])
+def _found(rows: DataFrame, part: tuple[str, tuple, pa.Array], id_col: str, schema: str) -> DataFrame:
+    name, item_ids, shared = part[0], part[2], rows.sparkSession.sparkContext.broadcast(part[1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(name, shared)
@@ -314,7 +320,7 @@ def _found(rows: DataFrame, part: tuple[str, tuple], id_col: str, schema: str) -
                 leaks = index.leaks(batch.column(1).slice(first, n))
                 if leaks:
                     row, item, score, question, answer = zip(*leaks)
-                    columns = [batch.column(0).take(pa.array([first + r for r in row])), pa.array(item, pa.int64()), pa.array(score), pa.array(question), pa.array(answer)]
+                    columns = [batch.column(0).take(pa.array([first + r for r in row])), item_ids.take(pa.array(item)), pa.array(score), pa.array(question), pa.array(answer)]
                     yield pa.record_batch(columns, names=[id_col, "item_id", "score", "question_overlap", "answer_overlap"])
 
     return rows.mapInArrow(work, schema)
@@ -323,7 +329,7 @@ def _found(rows: DataFrame, part: tuple[str, tuple], id_col: str, schema: str) -
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no item is found, with all their columns; a document without id stays if it holds none."""
     out = docs
-    for name, part in _parts(items, "item_id", "text", None):
+    for name, part, _ in _parts(items, "item_id", "text", None):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def work(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:

@@ -211,8 +211,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def fitted(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
     """The model of rows of statistics whose crc32(id) mod 3 isn't 1; of several rows of one id the least counts."""
-    once = rows.groupBy(id_col).agg(F.min(F.struct(*STATISTICS)).alias("s")).select(id_col, "s.*")
-    return fit(stored(once.join(training_rows(rows, labels, "quality", 3, 1, id_col=id_col), id_col), "labelled").coalesce(4))
+    # The labelled ids are few: statistics of others don't get as far as the sums.
+    learnt = stored(training_rows(rows, labels, "quality", 3, 1, id_col=id_col), "training")
+    known = rows.join(learnt.select(id_col), id_col, "left_semi")
+    once = stored(known.select(id_col, F.struct(*STATISTICS).alias("s")), "known").groupBy(id_col).agg(F.min("s").alias("s")).select(id_col, "s.*")
+    return fit(stored(once.join(learnt, id_col), "labelled").coalesce(4))
 
 
 def with_score(rows: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

@@ -144,7 +144,7 @@ def _item_words(text: str) -> str:
 # Passages of twice the longest item begin every longest item's words. An item of five words and more, or a question of as
 # many, is held by its distinct runs of five words; a shorter one as a whole.
 OP4_SQL = rf"""
-WITH given AS (SELECT DISTINCT item_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS bare FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+WITH given AS (SELECT DISTINCT item_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS bare FROM benchmark WHERE text IS NOT NULL),
 cut AS (SELECT *, list_filter(string_split(regexp_replace(bare, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM given),
 said AS (SELECT item_id, text, CASE WHEN len(parts) > 1 THEN array_to_string(parts[:-2], ' ') ELSE bare END AS question, CASE WHEN len(parts) > 1 THEN parts[-1] ELSE bare END AS answer FROM cut),
 items AS (SELECT row_number() OVER () AS k, * FROM (SELECT item_id, {_item_words('text')} AS w, {_item_words('question')} AS q, list_distinct({_item_words('answer')}) AS a FROM said) WHERE len(w) > 0),

@@ -288,6 +288,18 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_items_with_ids_of_any_type_or_none(spark, monkeypatch):
+    draw = random.Random(12)
+    texts = [sentences(draw, 4) for _ in range(9)]
+    docs = spark.createDataFrame([(f"d{k}", f"{sentences(draw, 3)} {t}") for k, t in enumerate(texts)] + [(None, texts[0])], "doc_id string, text string")
+    items = spark.createDataFrame([(None if k % 4 == 0 else f"item {k}", t) for k, t in enumerate(texts)] + [("item 1", texts[1]), (None, texts[0]), ("item 1", texts[2])], "item_id string, text string")
+    expected = sorted([(f"d{k}", None if k % 4 == 0 else f"item {k}") for k in range(9)] + [(None, None), ("d2", "item 1")], key=str)
+    for most in (decontam.MAX_BYTES, 300):
+        monkeypatch.setattr(decontam, "MAX_BYTES", most)
+        assert sorted(((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()), key=str) == expected
+        assert decontam.without_leaks(docs, items.where("item_id IS NULL")).count() == 6
+
+
 def index_of(items, threshold=None):
     words = decontam._words([x for _, x in items])
     owner = np.repeat(np.arange(len(items)), np.diff(words.rows))
