@@ -10,9 +10,11 @@ Two digits, two digits and a year are day, month and year where that is a date,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitforge.llm.shared import new_path
+
 ROUNDS = 8
 #: Dates are permuted among the days of a span of 250 * 292 days; spans are counted from the first day.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1900-01-01", 250, 292
@@ -47,7 +49,23 @@ def _digit(text: Column, at) -> Column:
     return F.substring(text, at, 1).cast("int")
 
 
-def _hash(key: str, tweak: str | Column, turn: Column, half: Column) -> Column:
+def put_key(spark: SparkSession, key: str) -> str:
+    """A new file in the shared folder that holds the key, for a job that has it from elsewhere. It is written as bytes, so no plan
+    shows it."""
+    path = new_path(spark, "key")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place)
+    out.write(key.encode())
+    out.close()
+    return path
+
+
+def key_table(spark: SparkSession, path: str) -> DataFrame:
+    """The key that a file holds, as a table of one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("key"))
+
+
+def _hash(key: str | Column, tweak: str | Column, turn: Column, half: Column) -> Column:
     """A keyed hash of one half in a round, as 128 hex digits."""
     return F.sha2(F.concat_ws("|", F.lit(key), tweak if isinstance(tweak, Column) else F.lit(tweak), turn.cast("string"), half), 512)
 
@@ -61,7 +79,7 @@ def _shifted(char: Column, by: Column, sign: int) -> Column:
     return F.when(char.between("0", "9"), within("0", 10)).when(char.between("a", "z"), within("a", 26)).when(char.between("A", "Z"), within("A", 26)).otherwise(char)
 
 
-def permuted_text(text: Column, key: str, tweak: str | Column, sign: int = 1) -> Column:
+def permuted_text(text: Column, key: str | Column, tweak: str | Column, sign: int = 1) -> Column:
     """A Feistel network over the characters of a text of at most PIECE: each round adds a keyed hash of one half to
     the other, 32 bits for each character, within its class. sign -1 reverses it."""
     chars = F.split(text, "")
@@ -79,7 +97,7 @@ def permuted_text(text: Column, key: str, tweak: str | Column, sign: int = 1) ->
     return F.aggregate(turns, F.struct(left.alias("l"), right.alias("r")), step, lambda s: F.concat(F.array_join(s["l"], ""), F.array_join(s["r"], "")))
 
 
-def permuted_pieces(text: Column, key: str, tweak: str | Column, sign: int = 1) -> Column:
+def permuted_pieces(text: Column, key: str | Column, tweak: str | Column, sign: int = 1) -> Column:
     """permuted_text of each PIECE characters of a text, the number of a later piece in its tweak."""
     tweak = tweak if isinstance(tweak, Column) else F.lit(tweak)
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / PIECE).cast("int") - 1, F.lit(0)))
@@ -90,7 +108,7 @@ def permuted_pieces(text: Column, key: str, tweak: str | Column, sign: int = 1)
     return F.array_join(F.transform(pieces, piece), "")
 
 
-def permuted_pair(high: Column, low: Column, many_high, many_low, key: str, tweak: str | Column, sign: int = 1) -> Column:
+def permuted_pair(high: Column, low: Column, many_high, many_low, key: str | Column, tweak: str | Column, sign: int = 1) -> Column:
     """A Feistel network over high * many_low + low, with high below many_high and low below many_low; as one long."""
     many_high, many_low = F.lit(many_high) if isinstance(many_high, int) else many_high, F.lit(many_low) if isinstance(many_low, int) else many_low
 
@@ -134,6 +152,14 @@ def _issued(digits: Column) -> Column:
     return out
 
 
+def _begins(head: Column) -> Column:
+    """Whether four digits begin the cards of an issuer."""
+    out = F.lit(False)
+    for low, high, _, _ in ISSUERS:
+        out = out | head.cast("int").between(low, high)
+    return out
+
+
 def cards(run: Column) -> Column:
     """(s, e): first and last character of the card numbers in a run of digit groups, from the left, of those that begin
     with one group the longest. A card is whole groups, of as many digits as its issuer has, with a right check digit."""
@@ -141,20 +167,36 @@ def cards(run: Column) -> Column:
 
     def within(groups: Column) -> Column:
         def size(i: Column) -> Column:
-            """How many groups from the i-th on (from 0) are a card; null if none are. A card has at most 19 groups."""
+            """How many groups from the i-th on (from 0) are a card; null if none are. A card has at most 19 groups, and
+            only counts of groups with as many digits as cards have are looked at, after an issuer's first digits."""
+
+            def among(few: Column) -> Column:
+                def add(state: Column, group: Column) -> Column:
+                    total, k = state["total"] + F.length(group), state["k"] + 1
+                    ends = F.when(total.between(13, 19), F.concat(state["ends"], F.array(F.struct(k.alias("k"), total.alias("total"))))).otherwise(state["ends"])
+                    return F.struct(total.alias("total"), k.alias("k"), ends.alias("ends"))
+
+                start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("k"), F.array().cast("array<struct<k:int,total:int>>").alias("ends"))
+                ends = F.reverse(F.aggregate(few, start, add, lambda state: state["ends"]))
 
-            def valid(k: Column) -> Column:
-                plain = F.array_join(F.slice(groups, i + 1, k), "")
-                return F.when(F.length(plain).between(13, 19) & _issued(plain), luhn_sum(plain) % 10 == 0).otherwise(F.lit(False))
+                def valid(digits: Column) -> Column:
+                    def right(end: Column) -> Column:
+                        plain = F.substr(digits, F.lit(1), end["total"])
+                        return F.when(_issued(plain), luhn_sum(plain) % 10 == 0).otherwise(F.lit(False))
 
-            return F.get(F.filter(F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1), F.lit(-1)), valid), 0)
+                    return F.get(F.filter(ends, right), 0)["k"]
+
+                return _bound(F.array_join(few, ""), valid)
+
+            head = F.substring(F.array_join(F.slice(groups, i + 1, F.lit(4)), ""), 1, 4)
+            return F.when(_begins(head), _bound(F.slice(groups, i + 1, F.lit(19)), among))
 
         def step(state: Column, i: Column) -> Column:
             def put(k: Column) -> Column:
                 last = state["at"] + F.length(F.array_join(F.slice(groups, i + 1, k), " ")) - 1
                 return F.when(k.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(state["at"].alias("s"), last.alias("e")))))
 
-            out = F.when(F.coalesce(F.get(state["out"], F.size(state["out"]) - 1)["e"], F.lit(0)) > state["at"], state["out"]).otherwise(_bound(size(i), put))
+            out = F.when(F.coalesce(F.get(state["out"], F.size(state["out"]) - 1)["e"], F.lit(0)) >= state["at"], state["out"]).otherwise(_bound(size(i), put))
             return F.struct((state["at"] + F.length(F.get(groups, i)) + 1).alias("at"), out.alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("out")), step, lambda state: state["out"])
@@ -184,7 +226,7 @@ def _date(number: Column) -> Column:
     return F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int"))
 
 
-def permuted_day(number: Column, key: str, sign: int = 1) -> Column:
+def permuted_day(number: Column, key: str | Column, sign: int = 1) -> Column:
     """Another day of the same span, as a number."""
 
     def within(n: Column) -> Column:
@@ -197,7 +239,7 @@ def permuted_day(number: Column, key: str, sign: int = 1) -> Column:
     return _bound(number, within)
 
 
-def permuted_late_day(number: Column, key: str, sign: int = 1) -> Column:
+def permuted_late_day(number: Column, key: str | Column, sign: int = 1) -> Column:
     """Another day of the same span among those after the twelfth of a month: permuted until it is one.
 
     Three days in five are; that 64 turns don't reach one has a probability below 1e-25.
@@ -240,7 +282,7 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def _kept_head(value: Column, head: str, key: str, tweak: str, sign: int) -> Column:
+def _kept_head(value: Column, head: str, key: str | Column, tweak: str, sign: int) -> Column:
     """The value with all but what the pattern `head` matches at its start permuted."""
     first = F.regexp_extract(value, head, 0)
     return F.concat(first, permuted_pieces(F.substr(value, F.length(first) + 1), key, tweak, sign))
@@ -259,7 +301,7 @@ def _laid(form: Column, plain: Column) -> Column:
     return _bound(F.struct(form.alias("form"), plain.alias("plain")), put)
 
 
-def _card(value: Column, key: str, sign: int) -> Column:
+def _card(value: Column, key: str | Column, sign: int) -> Column:
     """Another card number in the form of one. What tells the issuer stays: the first digit if it is 4, else four."""
 
     def other(digits: Column) -> Column:
@@ -272,7 +314,7 @@ def _card(value: Column, key: str, sign: int) -> Column:
     return _laid(value, _bound(_bound(F.regexp_replace(value, "[^0-9]", ""), other), checked))
 
 
-def _phone(value: Column, key: str, sign: int) -> Column:
+def _phone(value: Column, key: str | Column, sign: int) -> Column:
     """Another phone number in the form of one; with a plus its first two digits stay, else the first."""
     stay = F.when(F.substring(value, 1, 1) == "+", 2).otherwise(1)
 
@@ -282,7 +324,7 @@ def _phone(value: Column, key: str, sign: int) -> Column:
     return _laid(value, _bound(F.regexp_replace(value, "[^0-9]", ""), other))
 
 
-def _iban(value: Column, key: str, sign: int) -> Column:
+def _iban(value: Column, key: str | Column, sign: int) -> Column:
     """Another IBAN of the country, in the form of one."""
 
     def other(plain: Column) -> Column:
@@ -295,7 +337,7 @@ def _iban(value: Column, key: str, sign: int) -> Column:
     return _laid(value, _bound(F.regexp_replace(value, " ", ""), other))
 
 
-def _with_cards(run: Column, key: str, sign: int) -> Column:
+def _with_cards(run: Column, key: str | Column, sign: int) -> Column:
     """A run of digit groups with other card numbers in place of its own."""
 
     def put(s: Column, x: Column) -> Column:
@@ -304,7 +346,7 @@ def _with_cards(run: Column, key: str, sign: int) -> Column:
     return F.aggregate(cards(run), F.struct(F.lit(1).alias("at"), F.lit("").alias("text")), put, lambda s: F.concat(s["text"], F.substr(run, s["at"])))
 
 
-def pseudonym(value: Column, kind: Column, key: str, sign: int = 1) -> Column:
+def pseudonym(value: Column, kind: Column, key: str | Column, sign: int = 1) -> Column:
     """The permuted value of a candidate of that kind; the value itself where kind is null."""
     iso, day = (_date(permuted_day(_day_number(value, k), key, sign)) for k in ("iso_date", "day_date"))
     late = _date(permuted_late_day(_day_number(value, "month_date"), key, sign))
@@ -339,9 +381,12 @@ def pseudonym(value: Column, kind: Column, key: str, sign: int = 1) -> Column:
     )
 
 
-def pseudonymised(df: DataFrame, key: str, text_col: str = "text", sign: int = 1) -> DataFrame:
+def pseudonymised(df: DataFrame, key: str | DataFrame, text_col: str = "text", sign: int = 1) -> DataFrame:
     """df with `text_col` pseudonymised and a column `pii_kinds`, the kinds replaced in order of appearance.
 
+    key: a table of one row and column, such as key_table() gives, which joins as one broadcast row and stands in no plan;
+    one without a key is an error. A key given as text stands in the plan, and so in logs: for trials only.
+
     Whole texts, no shuffle. Null stays null with no kinds; texts without valid values stay as they are; equal values
     become equal pseudonyms; sign -1 restores them, but for a card among other digit groups where by chance these and the
     pseudonym make up another number with a right check digit. Other columns stay, whatever their names; a column pii_kinds is
@@ -353,6 +398,10 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", sign: int = 1
     rows = df.select(F.struct(*shown).alias("row"), found.alias("found")).select("row", F.filter("found", lambda v: v != "").alias("found"))
     rows = rows.select("row", F.when(F.size("found") > 0, F.col("found")).alias("found"))
     rows = rows.select("row", "found", F.transform("found", kind_of).alias("kinds"))
+    if isinstance(key, DataFrame):
+        # One row, whatever the table has.
+        rows = rows.crossJoin(F.broadcast(key.agg(F.max(key.columns[0]).alias("secret"))))
+        key = F.coalesce("secret", F.raise_error(F.lit("there is no key")).cast("string"))
     each = F.zip_with("found", "kinds", lambda v, k: F.when(k.isNull(), F.array().cast("array<string>")).when(k == "card", F.array_repeat(k, F.size(cards(v)))).otherwise(F.array(k)))
     rows = rows.select("row", each.alias("kinds"), F.zip_with("found", "kinds", lambda v, k: pseudonym(v, k, key, sign)).alias("put"))
     between = F.split(F.col("row")[text_col], PATTERN, -1)
@@ -361,7 +410,7 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", sign: int = 1
     return rows.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in shown), kinds.alias("pii_kinds"))
 
 
-def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_numbers, n_dates, kinds, text) of the documents in which something was replaced."""
     rows = pseudonymised(docs.select(id_col, text_col), key, text_col).where(F.size("pii_kinds") > 0)
     dates = F.size(F.filter("pii_kinds", lambda k: k.isin(*DATES)))

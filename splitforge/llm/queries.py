@@ -74,7 +74,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with personal numbers or dates, with pseudonyms in their place."""
-    return pseudonyms.report(table(spark, sf_dir, "documents"), "a key that is kept elsewhere")
+    key = pseudonyms.key_table(spark, pseudonyms.put_key(spark, "a key that is kept elsewhere"))
+    return pseudonyms.report(table(spark, sf_dir, "documents"), key)
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Pseudonyms: validity, linkage, reversal, and awkward rows."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,22 @@ def test_awkward_rows(spark, awkward):
     r = P.report(many, "key").first()
     assert r.n_numbers == 20_000 and r.n_dates == 0 and len(set(r.text.split())) == 1
     assert P.report(awkward.limit(0), "key").collect() == []
+
+
+def test_no_plan_shows_the_key_and_a_table_gives_what_its_text_gives(spark, rows):
+    secret = "5f2b-the-key-itself"
+    table = P.key_table(spark, P.put_key(spark, secret))
+    out = P.pseudonymised(rows, table)
+    plans = out._jdf.queryExecution().toString() + out._jdf.queryExecution().stringWithStats()
+    assert secret not in plans and secret in P.pseudonymised(rows, secret)._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, P.pseudonymised(rows, secret).collect()), key=str)
+    with pytest.raises(Exception, match="there is no key"):
+        P.pseudonymised(rows, table.limit(0)).collect()
+
+
+@pytest.mark.parametrize("text", ["1-" * 150_000 + "1", "12 34 " * 40_000, "4 " * 60_000])
+def test_long_runs_of_digit_groups_take_seconds(spark, text):
+    rows = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    assert len(P.pseudonymised(rows, "key").first().text) == len(text)
+    assert time.time() - began < 40
