@@ -69,6 +69,13 @@ def write_added(rows: DataFrame, path: str, sources: Sequence[str], source: str
     return {k: seen.get[f"n{i}"] for i, k in enumerate(keys) if seen.get[f"n{i}"]}
 
 
+def examples(df: DataFrame, by: str, value: str, n: int = 3) -> DataFrame:
+    """(by, examples): the first n distinct values of each group. The bound of the rank is a constant, so each task keeps n of a
+    group before the shuffle."""
+    first = df.select(by, value).where(F.col(value).isNotNull()).distinct().withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(value))).where(F.col("__rank") <= n)
+    return first.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("examples"))
+
+
 def pairwise_overlap(df: DataFrame, key: str, split: str = "split", examples: int = 3) -> DataFrame:
     """(left_split, right_split, n, examples): keys that stand in two splits, from one pass over all splits."""
     shared = df.select(key, split).where(F.col(key).isNotNull()).distinct().groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("in")).where(F.size("in") > 1)

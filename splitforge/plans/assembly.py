@@ -180,8 +180,7 @@ def o3_seeded_order(spark, sf_dir):
 
 @plan("SELECT source, array_to_string(list_sort(list(DISTINCT lang))[1:3], ',') AS examples FROM documents GROUP BY source")
 def o4_examples(spark, sf_dir):
-    rows = B.table(spark, sf_dir, "documents").groupBy("source")
-    return rows.agg(F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 3), ",").alias("examples"))
+    return dedup.examples(B.table(spark, sf_dir, "documents"), "source", "lang").withColumn("examples", F.array_join("examples", ","))
 
 
 @plan("SELECT event_type AS key, least(count(*), 50) AS n FROM events GROUP BY ALL")

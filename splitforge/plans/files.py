@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import struct
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,23 +199,11 @@ def _ended(spark, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def _rocksdb(spark):
-    """State of this kind needs this provider; the session's own is set again at the end."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(provider, before)
-
-
 @plan("SELECT event_type AS key, least(2 * count(*), CASE event_type WHEN 'click' THEN 40 ELSE 15 END) AS n FROM events GROUP BY event_type")
 def st1_stateful_quota(spark, sf_dir):
     """Every event comes twice; the stream lets pass 40 clicks and 15 of each other type."""
     caps = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct().withColumn("cap", F.when(F.col("key") == "click", 40).otherwise(15))
-    with _rocksdb(spark):
+    with B.rocksdb(spark):
         kept = _ended(spark, streams.stream_quota(_events(spark, sf_dir), caps), "quota")
     return kept.groupBy("key").agg(F.count("*").alias("n"))
 
@@ -233,7 +220,7 @@ def st1_until_full(spark, sf_dir):
     counts = B.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
     caps = streams.caps_by_kind(counts, B.names(spark, "key", ["click"]), F.floor(F.col("n") / 4), F.floor(F.col("n") / 8))
     path = scratch(spark, "collected")
-    with _rocksdb(spark):
+    with B.rocksdb(spark):
         ended = streams.collect_until_full(_events(spark, sf_dir, _ARRIVALS), caps, path, f"{path}-state", timeout=600)
     report = streams.shortfall(caps, spark.read.parquet(path).select("key"))
     return report.withColumn("files_left", F.lit(ended.full and ended.batches < _ARRIVALS))
@@ -247,7 +234,7 @@ def st2_stream_dedup(spark, sf_dir):
     middle = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0]
     source, path = scratch(spark, "deliveries"), scratch(spark, "single")
     state_rows = 0
-    with _rocksdb(spark):
+    with B.rocksdb(spark):
         for part in (F.col("doc_id") <= middle, F.col("doc_id") > middle, F.lit(True)):
             docs.where(part).write.mode("append").parquet(source)
             stream = spark.readStream.schema(docs.schema).parquet(source)

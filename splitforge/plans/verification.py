@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from splitforge.operators import joins, metrics, verify
 from splitforge.plans import base as B
+from splitforge.streaming import streams
 
 PLANS: dict = {}
 _WITH = f"WITH {B.VECTORS}, {B.KEYED}, {B.SPLITS}"
@@ -122,6 +123,23 @@ def v4_quota_plan(spark, sf_dir):
     return verify.quota_plan(B.splits(spark, sf_dir).where("label = 1"), 230, 45, 45, strict=False)
 
 
+@plan(f"""{_WITH}, planned AS (SELECT generator, least(count(*), 45, floor(230 / (SELECT count(DISTINCT generator) FROM splits))) AS quota FROM splits WHERE label = 1 GROUP BY generator)
+SELECT generator, CAST(quota AS BIGINT) AS cap, CAST(least(n, quota) AS BIGINT) AS taken, CAST(greatest(quota - n, 0) AS BIGINT) AS missing FROM planned JOIN (SELECT generator, count(*) FILTER (split <> 'test') AS n FROM splits WHERE label = 1 GROUP BY generator) USING (generator)""")
+def v4_collected_plan(spark, sf_dir):
+    """The second pass after a quota plan: the samples outside test arrive as a stream and are collected by the plan's quotas; what is
+    missing of each is reported."""
+    rows = B.stored(B.splits(spark, sf_dir).where("label = 1").select("sample_id", "generator", "split"), "samples")
+    caps = verify.quota_plan(rows, 230, 45, 45, strict=False).select("generator", F.col("quota").alias("cap"))
+    source, path = B.scratch(spark, "arriving"), B.scratch(spark, "collected")
+    given = rows.where("split != 'test'").select("generator", "sample_id")
+    given.repartition(3, "sample_id").write.parquet(source)
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with B.rocksdb(spark):
+        kept = streams.stream_quota(stream, caps, "generator")
+        kept.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    return streams.shortfall(caps, spark.read.schema(given.schema).parquet(path), "generator")
+
+
 @plan(f"{_WITH} SELECT generator, count(*) AS n FROM splits WHERE label = 1 AND split IN ('train', 'val') GROUP BY generator HAVING count(*) < 45")
 def v5_thin_generators(spark, sf_dir):
     return verify.thin_generators(B.splits(spark, sf_dir), 45)
