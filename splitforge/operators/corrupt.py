@@ -47,13 +47,14 @@ Sparse = list[list[tuple[int, float]]]
 class Kernel:
     """What becomes of a vector v: f * (mix v) + (1 - f) * (rest v), then noise, then rounding.
 
-    mix and rest have for each position the (position, weight) pairs that are summed for it; no mix is the identity, no rest is zero.
+    mix has for each position the (position, weight) pairs that are summed for it, none is the identity; rest has the pairs of
+    one sum that is the same for all positions, none is zero.
     f is drawn evenly from 1 - spread to 1 + spread. sigma is the size of normal noise in halves of the range, after which values are
     clipped to [-1, 1]; steps is how many levels a unit is rounded to. What is 0 is left out.
     """
 
     mix: Sparse | None = None
-    rest: Sparse | None = None
+    rest: list[tuple[int, float]] | None = None
     spread: float = 0.0
     sigma: float = 0.0
     steps: float = 0.0
@@ -95,7 +96,7 @@ def brightness(spread: float, n: int) -> Kernel:
 
 
 def contrast(spread: float, n: int) -> Kernel:
-    return Kernel(rest=[[(j, 1 / n) for j in range(n)]] * n, spread=spread)
+    return Kernel(rest=[(j, 1 / n) for j in range(n)], spread=spread)
 
 
 def centre_crop(keep: float, n: int) -> Kernel:
@@ -154,8 +155,8 @@ def described(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, parameter string, values array<double>, form string")
 
 
-_CELLS = pa.list_(pa.list_(pa.struct([("pos", pa.int32()), ("w", pa.float64())])))
-_KERNEL = pa.struct([("mix", _CELLS), ("rest", _CELLS), ("spread", pa.float64()), ("sigma", pa.float64()), ("steps", pa.float64())])
+_CELLS = pa.list_(pa.struct([("pos", pa.int32()), ("w", pa.float64())]))
+_KERNEL = pa.struct([("mix", pa.list_(_CELLS)), ("rest", _CELLS), ("spread", pa.float64()), ("sigma", pa.float64()), ("steps", pa.float64())])
 
 
 def _lengths(samples: DataFrame, vector: str, lengths: Sequence[int] | None) -> list[int]:
@@ -174,8 +175,8 @@ def kernels(spark: SparkSession, entries: Sequence[tuple[tuple, str, float | Non
     names = [c.split()[0] for c in key.split(",")]
     rows = [(k, n, t.build(0.0 if value is None else value, n)) for k, name, value in entries for n in lengths if (t := named(name)).build]
     columns = {c: [k[i] for k, _, _ in rows] for i, c in enumerate(names)}
-    cells = lambda m: m and [[{"pos": p, "w": w} for p, w in row] for row in m]
-    made = [{"mix": cells(k.mix), "rest": cells(k.rest), "spread": k.spread, "sigma": k.sigma, "steps": k.steps} for _, _, k in rows]
+    cells = lambda row: row and [{"pos": p, "w": w} for p, w in row]
+    made = [{"mix": k.mix and [cells(row) for row in k.mix], "rest": cells(k.rest), "spread": k.spread, "sigma": k.sigma, "steps": k.steps} for _, _, k in rows]
     kinds = {"string": pa.string(), "int": pa.int32()}
     fields = [(c.split()[0], kinds[c.split()[1]]) for c in key.split(",")]
     table = pa.table({**columns, "n": [n for _, n, _ in rows], "kernel": made}, schema=pa.schema([*fields, ("n", pa.int32()), ("kernel", _KERNEL)]))
@@ -185,17 +186,14 @@ def kernels(spark: SparkSession, entries: Sequence[tuple[tuple, str, float | Non
 def applied(v: Column, kernel: Column, *seed) -> Column:
     """What the kernel makes of the vector; a null kernel leaves it."""
 
-    def product(rows: Column, of: Column) -> Column:
-        return F.transform(rows, lambda row: F.aggregate(row, F.lit(0.0), lambda a, s: a + F.get(of, s["pos"]) * s["w"]))
+    def total(row: Column, of: Column) -> Column:
+        return F.aggregate(row, F.lit(0.0), lambda a, s: a + F.get(of, s["pos"]) * s["w"])
 
     def mixed(of: Column) -> Column:
-        own = F.when(kernel["mix"].isNull(), of).otherwise(product(kernel["mix"], of))
+        own = F.when(kernel["mix"].isNull(), of).otherwise(F.transform(kernel["mix"], lambda row: total(row, of)))
         factor = 1 - kernel["spread"] + 2 * kernel["spread"] * uniform(*seed, "factor")
-
-        def drawn(f: Column) -> Column:
-            return F.when(kernel["rest"].isNull(), F.transform(own, lambda x: f * x)).otherwise(F.zip_with(own, product(kernel["rest"], of), lambda x, y: f * x + (1 - f) * y))
-
-        return F.when(kernel["spread"] > 0, bound(factor, drawn)).otherwise(own)
+        drawn = F.struct(factor.alias("f"), ((1 - factor) * F.when(kernel["rest"].isNull(), 0.0).otherwise(total(kernel["rest"], of))).alias("rest"))
+        return F.when(kernel["spread"] > 0, bound(drawn, lambda d: F.transform(own, lambda x: d["f"] * x + d["rest"]))).otherwise(own)
 
     def noisy(of: Column) -> Column:
         one = F.lit(1.0)
