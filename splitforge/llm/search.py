@@ -30,6 +30,8 @@ from splitforge.llm.shared import stored
 MAX_BYTES = 16 << 20
 #: Documents below which a node isn't divided further.
 LEAF = 32
+#: Documents that a task searches, about: vectors are so small that a block of a file holds far more.
+TASK = 8_000
 #: Terms are runs of letters and digits of ASCII and of all other characters.
 PART = np.zeros(256, bool)
 PART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -313,9 +315,10 @@ def _of_group(docs: DataFrame, rows: list, k: int) -> DataFrame | None:
     for own in terms:
         ranks = np.sort(rank[np.searchsorted(known, own)])
         asked.append((ranks, weight[ranks]))
-    found = stored(_candidates(vectors.where("size(terms) > 0"), asked, rank, total, length, k), "candidates")
+    dealt = vectors.where("size(terms) > 0").repartition(max(1, -(-total // TASK)))
+    found = stored(_candidates(dealt, asked, rank, total, length, k), "candidates")
     best = [F.col("score").desc(), F.col("id").asc_nulls_last()]
     # Two steps: an item with candidates from very many trees has no task with all of them.
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-    few = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("item", "part").orderBy(*best))).where(F.col("rank") <= k)
+    parts = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    few = parts.withColumn("rank", F.row_number().over(Window.partitionBy("item", "part").orderBy(*best))).where(F.col("rank") <= k)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*best))).where(F.col("rank") <= k).select("item", "rank", "id", "score")
