@@ -8,6 +8,12 @@ stands, and one of `least` words and more holds a whole chunk at least, however
 Chunks found in an earlier document (or earlier in the same) put the two texts on a diagonal: a pair of documents and the
 distance between their places. Along each diagonal the bytes of both are compared, and runs of at least `least` equal
 words are removed. The first occurrence of everything stays, and whatever goes stands in one piece in an earlier text.
+
+A chunk is held against its first holder only, which may lack the passage around it. So a second step takes the windows of
+`least` words that hold a chunk of such a diagonal and aren't equal along it, and puts texts on diagonals by the hash of
+the whole window. Nothing is passed over: the first holder of such a window lacks it on its own diagonals too (or is the
+first holder of the chunk, and then the others found it there), so all who hold it meet. The words removed are those in
+runs of `least` and more that stand in an earlier text or earlier in the same, however rows are dealt.
 """
 
 from __future__ import annotations
@@ -64,7 +70,8 @@ def _least_around(values: np.ndarray, ends: np.ndarray, window: int) -> np.ndarr
 
 
 def chunks(texts: pa.Array, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, first byte, first byte of the same chunk before it in its text, or -1) of the chunks of a batch."""
+    """(row, key, first byte, context) of the chunks of a batch; the context is a hash of all words that a window of `least`
+    words with the chunk in it can have."""
     size, window = shape(least)
     words = flat.Words(texts, lower=False)
     n = len(words.starts)
@@ -94,38 +101,36 @@ def chunks(texts: pa.Array, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndar
     place = words.starts[first[chosen]]
     key = flat.span_hashes(words.values, place, words.ends[last[chosen + size - 1]], words.total).view(np.int64)
     row = np.searchsorted(line_rows, chosen, "right") - 1
-    order = np.lexsort((place, key, row))
-    same = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1])
-    before = np.full(len(key), -1)
-    place = place - words.offsets[row]
-    before[order[1:][same]] = place[order[:-1][same]]
-    return row, key, place, before
+    low, high = first[chosen], last[chosen + size - 1]
+    reach = np.maximum(least - (high - low + 1), 0)
+    low, high = np.maximum(low - reach, rows[row]), np.minimum(high + reach, rows[row + 1] - 1)
+    around = flat.span_hashes(words.values, words.starts[low], words.ends[high], words.total)
+    context = flat.mix(around ^ flat.mix((place - words.starts[low]).astype(np.uint64) + key.view(np.uint64)))
+    return row, key, place - words.offsets[row], context
 
 
 def _linked(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a slice of texts tells of its chunks, by the ranks of the texts' ids: (positions of the chunks that stand for
-    their key in the slice, rows of (row, other row, distance, first place, last place) of diagonals within it)."""
-    row, key, at, before = found
-    again = before >= 0
-    own = np.stack([row[again], row[again], (before - at)[again], at[again]])
-    new = np.flatnonzero(~again)
-    order = new[np.lexsort((at[new], rank[row[new]], key[new]))]
+    """What a slice of texts tells of its chunks, by the ranks of the texts' ids: (positions of the chunks that are the first
+    with their context in the slice, rows of (row, other row, distance, first place, last place) of diagonals within it)."""
+    row, _, at, context = found
+    order = np.lexsort((at, row, rank[row], context))
     fresh = np.ones(len(order), bool)
-    fresh[1:] = key[order][1:] != key[order][:-1]
+    fresh[1:] = context[order][1:] != context[order][:-1]
     head = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(order) else order
-    later = rank[row[order]] > rank[row[head]]
+    # Rows of one id aren't held against one another.
+    later = ~fresh & ((rank[row[order]] > rank[row[head]]) | (row[order] == row[head]))
     a, b = order[later], head[later]
-    pairs = np.concatenate([own, np.stack([row[a], row[b], at[b] - at[a], at[a]])], axis=1)
+    pairs = np.stack([row[a], row[b], at[b] - at[a], at[a]])
     pairs = pairs[:, np.lexsort(pairs[::-1])]
     if not pairs.shape[1]:
-        return order[fresh], np.empty((5, 0), np.int64)
+        return order[~later], np.empty((5, 0), np.int64)
     starts = np.flatnonzero(np.concatenate([[True], (pairs[:3, 1:] != pairs[:3, :-1]).any(axis=0)]))
-    return order[fresh], np.concatenate([pairs[:, starts], pairs[3:, np.append(starts[1:], pairs.shape[1]) - 1]])
+    return order[~later], np.concatenate([pairs[:, starts], pairs[3:, np.append(starts[1:], pairs.shape[1]) - 1]])
 
 
 def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, id, low, diagonal struct<high, first, shift>): the chunks of all rows with an id, one for each key of a slice
-    of rows (diagonal is null), and the diagonals within a slice, with any key. Rows are few bytes each and in the order
+    """(key, id, low, diagonal struct<high, first, shift>): the chunks of all rows with an id, one for each context of a
+    slice of rows (diagonal is null), and the diagonals within a slice, with any key. Rows are few bytes each and in the order
     of the texts, so neighbours in the shuffle have their id in common."""
     kind = dict(df.dtypes)[id_col]
 
@@ -150,18 +155,27 @@ def diagonals(places: DataFrame) -> DataFrame:
     """(id, first, shift, low, high): for each document and each earlier one that chunks of it stand in (or itself), the
     distances between the places, and from where to where in the document its chunks have that distance.
 
-    A chunk is held against that of the least id in its slice of rows, those against the one of the least id of all, a
-    repetition within a document against the one before. So a key that is common to all documents has a row a slice in
-    the one shuffle by key, not one a document.
+    A chunk is held against the first with the same context in its slice of rows, and those against the first of all. So
+    the middle of a passage that is common to all documents has a row a slice in the one shuffle by key, not one a document.
     """
     of_key = Window.partitionBy("key").orderBy(F.col("diagonal").isNotNull(), "id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = places.withColumn("lead", F.first(F.struct("id", "low")).over(of_key))
     linked = F.struct(F.col("low").alias("high"), F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"))
-    rows = rows.where(F.col("diagonal").isNotNull() | (F.col("lead.id") < F.col("id"))).select("id", "low", F.coalesce("diagonal", linked).alias("d"))
-    rows = rows.select("id", "d.first", "d.shift", "low", "d.high")
+    rows = rows.where(F.col("diagonal").isNotNull() | (F.col("lead") < F.struct("id", "low"))).select("id", "low", F.coalesce("diagonal", linked).alias("d"))
+    return _drawn(rows.select("id", "d.first", "d.shift", "low", "d.high"))
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id", "first", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def window_diagonals(windows: DataFrame) -> DataFrame:
+    """Like diagonals(), from (key, id, low) of windows of words, each held against the first of all with its key."""
+    of_key = Window.partitionBy("key").orderBy("id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = windows.withColumn("lead", F.first(F.struct("id", "low")).over(of_key)).where(F.col("lead") < F.struct("id", "low"))
+    return _drawn(rows.select("id", F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"), "low", F.col("low").alias("high")))
+
+
 def _bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last (exclusive) byte of the words of a text."""
     solid = np.zeros(len(raw) + 2, np.int8)
@@ -203,6 +217,52 @@ def whole_words(span: tuple[int, int], bounds: tuple[np.ndarray, np.ndarray], be
     return i, j
 
 
+class Marks:
+    """The diagonals of the texts of a batch, with the other text's bytes along them, from a column of lists."""
+
+    def __init__(self, column: pa.Array):
+        self.offsets, listed, self.valid = np.asarray(column.offsets), column.values, np.asarray(column.is_valid())
+        self.shift, self.low, self.high, self.begin = (np.asarray(listed.field(c).fill_null(0)) for c in ("shift", "low", "high", "begin"))
+        pieces = listed.field("piece")
+        self.given = np.asarray(pieces.is_valid())
+        self.place = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else None
+        self.data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
+
+    def runs(self, i: int, raw: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], fewest: int, least: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(low, high, runs of words) of each diagonal of text i: those of `fewest` and more equal words along it."""
+        for m in range(self.offsets[i], self.offsets[i + 1]) if self.valid[i] else ():
+            low, high = int(self.low[m]), int(self.high[m])
+            if self.given[m]:
+                begin, other = int(self.begin[m]), self.data[self.place[m] : self.place[m + 1]]
+            else:
+                a, b = _widened(bounds, low + self.shift[m], high + self.shift[m], least)
+                begin, other = a - int(self.shift[m]), raw[a:b]
+            found = (whole_words(span, bounds, begin, other) for span in equal_spans(raw, begin, other, fewest))
+            yield low, high, [(a, b) for a, b in found if b - a >= fewest]
+
+
+def open_windows(n: int, bounds: tuple[np.ndarray, np.ndarray], marks: list[tuple[int, int, list[tuple[int, int]]]], least: int) -> np.ndarray:
+    """First words of the windows of `least` words that may hold a chunk of a diagonal and are in no run of equal words.
+
+    A chunk has a word a line at least, and begins between the places that its diagonal names.
+    """
+    size = shape(least)[0]
+    step = np.zeros(max(n - least, 0) + 2, np.int64)
+    covered = np.zeros_like(step)
+    top = n - least
+    for low, high, runs in marks:
+        from_word, to_word = np.searchsorted(bounds[0], (low, high), "right") - 1
+        for a, b in runs:
+            first, end = max(a, from_word) + size - least, min(b - size, to_word)
+            if max(first, 0) <= min(end, top):
+                step[max(first, 0)] += 1
+                step[min(end, top) + 1] -= 1
+            if b - a >= least:
+                covered[a] += 1
+                covered[b - least + 1] -= 1
+    return np.flatnonzero((np.cumsum(step) > 0) & (np.cumsum(covered) == 0))
+
+
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs, those that overlap or adjoin as one."""
     out: list[tuple[int, int]] = []
@@ -239,10 +299,6 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
 
     # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
     packed = df.select(*(F.col(c).alias(n) for c, n in zip(shown, names))).mapInArrow(pack, packed_kinds)
-    lines = diagonals(_places(df, id_col, text_col, least))
-    # The join keeps null ids apart without a filter, so both joins share the shuffle of `packed`.
-    found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", *names)
-
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
         known, raw, bounds = None, np.empty(0, np.uint8), None
@@ -265,9 +321,34 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 pieces.append(raw[a:b].tobytes())
             yield pa.record_batch([ids, shift, low, high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "begin", "piece"])
 
-    marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, begin int, piece binary")
-    marks = marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "begin", "piece")).alias("__marks"))
-    rows = packed.hint("merge").join(marks, F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks")
+    def marked(lines: DataFrame, name: str) -> DataFrame:
+        """(__id, name): the diagonals of each document, with the other text's bytes."""
+        # The join keeps null ids apart without a filter, so all joins share the shuffle of `packed`.
+        found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", *names)
+        marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, begin int, piece binary")
+        return marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "begin", "piece")).alias(name))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor()
+        for batch in batches:
+            marks, owner, keys, lows = Marks(batch.column(2)), [], [], []
+            for i in range(batch.num_rows):
+                if not batch.column(1)[i].is_valid or not marks.valid[i]:
+                    continue
+                raw = np.frombuffer(coder.decompress(batch.column(1)[i].as_buffer()), np.uint8)
+                bounds = _bounds(raw)
+                at = open_windows(len(bounds[0]), bounds, list(marks.runs(i, raw, bounds, shape(least)[0], least)), least)
+                if len(at):
+                    begin = bounds[0][at]
+                    keys.append(flat.span_hashes(flat.BYTE_VALUE[raw], begin, bounds[1][at + least - 1]).view(np.int64))
+                    lows.append(begin.astype(np.int32))
+                    owner.append(np.full(len(at), i))
+            if keys:
+                yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(lows))], names=["key", "id", "low"])
+
+    rows = packed.hint("merge").join(marked(diagonals(_places(df, id_col, text_col, least)), "__marks"), F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks")
+    open_rows = rows.where("__marks IS NOT NULL").select(names[own], names[at], "__marks").mapInArrow(windows, f"key long, id {id_kind}, low int")
+    rows = rows.hint("merge").join(marked(window_diagonals(open_rows), "__more"), F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks", "__more")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
 
     if changed:
@@ -276,33 +357,17 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
-            marks, packed_texts = batch.column(len(shown)), batch.column(at)
-            bounds_of, listed = np.asarray(marks.offsets), marks.values
-            valid = np.asarray(marks.is_valid())
-            shift, low, high, begins = (np.asarray(listed.field(c).fill_null(0)) for c in ("shift", "low", "high", "begin"))
-            pieces = listed.field("piece")
-            given, place = np.asarray(pieces.is_valid()), np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else None
-            data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
+            both, packed_texts = (Marks(batch.column(len(shown))), Marks(batch.column(len(shown) + 1))), batch.column(at)
             texts, runs, gone = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 if not packed_texts[i].is_valid:
                     texts.append(None)
                     continue
                 text = coder.decompress(packed_texts[i].as_buffer())
-                if text and valid[i]:
-                    raw, bounds, cuts = np.frombuffer(text, np.uint8), None, []
-                    for m in range(bounds_of[i], bounds_of[i + 1]):
-                        if given[m]:
-                            begin, other = int(begins[m]), data[place[m] : place[m + 1]]
-                        else:
-                            bounds = bounds or _bounds(raw)
-                            a, b = _widened(bounds, low[m] + shift[m], high[m] + shift[m], least)
-                            begin, other = a - int(shift[m]), raw[a:b]
-                        for span in equal_spans(raw, begin, other, least):
-                            bounds = bounds or _bounds(raw)
-                            first, end = whole_words(span, bounds, begin, other)
-                            if end - first >= least:
-                                cuts.append((first, end))
+                if text and both[0].valid[i]:
+                    raw = np.frombuffer(text, np.uint8)
+                    bounds = _bounds(raw)
+                    cuts = [run for marks in both for _, _, found in marks.runs(i, raw, bounds, least, least) for run in found]
                     if cuts:
                         cuts = _joined(cuts)
                         runs[i], gone[i] = len(cuts), sum(b - a for a, b in cuts)
