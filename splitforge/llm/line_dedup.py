@@ -152,28 +152,33 @@ def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
 
 
 def diagonals(places: DataFrame) -> DataFrame:
-    """(id, first, shift, low, high): for each document and each earlier one that chunks of it stand in (or itself), the
-    distances between the places, and from where to where in the document its chunks have that distance.
+    """(id, first, shift, low, high, open_low, open_high): for each document and each earlier one that chunks of it stand in (or itself), the
+    distances between the places, and from where to where in the document its chunks have that distance; and from where to
+    where those that three texts and more have (null: none do).
 
     A chunk is held against the first with the same context in its slice of rows, and those against the first of all. So
     the middle of a passage that is common to all documents has a row a slice in the one shuffle by key, not one a document.
     """
-    of_key = Window.partitionBy("key").orderBy(F.col("diagonal").isNotNull(), "id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = places.withColumn("lead", F.first(F.struct("id", "low")).over(of_key))
+    by_key = Window.partitionBy("key").orderBy(F.col("diagonal").isNotNull(), "id", "low")
+    lead = F.first(F.struct("id", "low")).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    known = F.col("diagonal").isNotNull()
+    # Of two holders, one is the first. Only three and more may have in common what the first one lacks.
+    rows = places.withColumn("lead", lead).withColumn("open", ~known & ((F.row_number().over(by_key) > 2) | F.lead("low").over(by_key).isNotNull()))
     linked = F.struct(F.col("low").alias("high"), F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"))
-    rows = rows.where(F.col("diagonal").isNotNull() | (F.col("lead") < F.struct("id", "low"))).select("id", "low", F.coalesce("diagonal", linked).alias("d"))
-    return _drawn(rows.select("id", "d.first", "d.shift", "low", "d.high"))
+    rows = rows.where(known | (F.col("lead") < F.struct("id", "low"))).select("id", "low", "open", F.coalesce("diagonal", linked).alias("d"))
+    return _drawn(rows.select("id", "d.first", "d.shift", "low", "d.high", F.when(F.col("open"), F.col("low")).alias("open")))
 
 
 def _drawn(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id", "first", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    """(id, first, shift, low, high, open_low, open_high) from places of diagonals; the last two are of the open ones."""
+    return rows.groupBy("id", "first", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("open").alias("open_low"), F.max("open").alias("open_high"))
 
 
 def window_diagonals(windows: DataFrame) -> DataFrame:
     """Like diagonals(), from (key, id, low) of windows of words, each held against the first of all with its key."""
     of_key = Window.partitionBy("key").orderBy("id", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = windows.withColumn("lead", F.first(F.struct("id", "low")).over(of_key)).where(F.col("lead") < F.struct("id", "low"))
-    return _drawn(rows.select("id", F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"), "low", F.col("low").alias("high")))
+    return _drawn(rows.select("id", F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"), "low", F.col("low").alias("high"), F.lit(None).cast("int").alias("open")))
 
 
 def _bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +228,14 @@ class Marks:
     def __init__(self, column: pa.Array):
         self.offsets, listed, self.valid = np.asarray(column.offsets), column.values, np.asarray(column.is_valid())
         self.shift, self.low, self.high, self.begin = (np.asarray(listed.field(c).fill_null(0)) for c in ("shift", "low", "high", "begin"))
+        self.open_low, self.open_high = (np.asarray(listed.field(c).fill_null(-1)) for c in ("open_low", "open_high"))
         pieces = listed.field("piece")
         self.given = np.asarray(pieces.is_valid())
         self.place = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else None
         self.data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
 
     def runs(self, i: int, raw: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], fewest: int, least: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(low, high, runs of words) of each diagonal of text i: those of `fewest` and more equal words along it."""
+        """(open_low, open_high, runs of words) of each diagonal of text i: those of `fewest` and more equal words along it."""
         for m in range(self.offsets[i], self.offsets[i + 1]) if self.valid[i] else ():
             low, high = int(self.low[m]), int(self.high[m])
             if self.given[m]:
@@ -238,13 +244,14 @@ class Marks:
                 a, b = _widened(bounds, low + self.shift[m], high + self.shift[m], least)
                 begin, other = a - int(self.shift[m]), raw[a:b]
             found = (whole_words(span, bounds, begin, other) for span in equal_spans(raw, begin, other, fewest))
-            yield low, high, [(a, b) for a, b in found if b - a >= fewest]
+            yield int(self.open_low[m]), int(self.open_high[m]), [(a, b) for a, b in found if b - a >= fewest]
 
 
 def open_windows(n: int, bounds: tuple[np.ndarray, np.ndarray], marks: list[tuple[int, int, list[tuple[int, int]]]], least: int) -> np.ndarray:
-    """First words of the windows of `least` words that may hold a chunk of a diagonal and are in no run of equal words.
+    """First words of the windows of `least` words that may hold an open chunk and are in no run of equal words; `marks` are
+    Marks.runs of all diagonals of the text.
 
-    A chunk has a word a line at least, and begins between the places that its diagonal names.
+    A chunk has a word a line at least, and begins between the places that its diagonal names (-1: none is open).
     """
     size = shape(least)[0]
     step = np.zeros(max(n - least, 0) + 2, np.int64)
@@ -254,7 +261,7 @@ def open_windows(n: int, bounds: tuple[np.ndarray, np.ndarray], marks: list[tupl
         from_word, to_word = np.searchsorted(bounds[0], (low, high), "right") - 1
         for a, b in runs:
             first, end = max(a, from_word) + size - least, min(b - size, to_word)
-            if max(first, 0) <= min(end, top):
+            if low >= 0 and max(first, 0) <= min(end, top):
                 step[max(first, 0)] += 1
                 step[min(end, top) + 1] -= 1
             if b - a >= least:
@@ -303,8 +310,8 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
         coder = zstandard.ZstdDecompressor()
         known, raw, bounds = None, np.empty(0, np.uint8), None
         for batch in batches:
-            ids, first, shift, low, high = (batch.column(i) for i in range(5))
-            texts = batch.column(5 + at)
+            ids, first, shift, low, high, open_low, open_high = (batch.column(i) for i in range(7))
+            texts = batch.column(7 + at)
             begins, pieces = [], []
             for i in range(batch.num_rows):
                 if ids[i].equals(first[i]) or not texts[i].is_valid:
@@ -319,14 +326,14 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 a, b = _widened(bounds, low[i].as_py() + shift[i].as_py(), high[i].as_py() + shift[i].as_py(), least)
                 begins.append(a - shift[i].as_py())
                 pieces.append(raw[a:b].tobytes())
-            yield pa.record_batch([ids, shift, low, high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "begin", "piece"])
+            yield pa.record_batch([ids, shift, low, high, open_low, open_high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "open_low", "open_high", "begin", "piece"])
 
     def marked(lines: DataFrame, name: str) -> DataFrame:
         """(__id, name): the diagonals of each document, with the other text's bytes."""
         # The join keeps null ids apart without a filter, so all joins share the shuffle of `packed`.
-        found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", *names)
-        marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, begin int, piece binary")
-        return marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "begin", "piece")).alias(name))
+        found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", "open_low", "open_high", *names)
+        marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, open_low int, open_high int, begin int, piece binary")
+        return marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "open_low", "open_high", "begin", "piece")).alias(name))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
