@@ -305,7 +305,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 yield pa.record_batch([texts if i == at else part.column(i) for i in range(len(shown))], names=names)
 
     # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
-    packed = df.select(*(F.col(c).alias(n) for c, n in zip(shown, names))).mapInArrow(pack, packed_kinds)
+    packed = df.select(*(F.col(c).alias(n) for c, n in zip(shown, names))).mapInArrow(pack, packed_kinds).withColumn("__key", F.xxhash64(names[own]))
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
         known, raw, bounds = None, np.empty(0, np.uint8), None
@@ -329,11 +329,14 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
             yield pa.record_batch([ids, shift, low, high, open_low, open_high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "open_low", "open_high", "begin", "piece"])
 
     def marked(lines: DataFrame, name: str) -> DataFrame:
-        """(__id, name): the diagonals of each document, with the other text's bytes."""
-        # The join keeps null ids apart without a filter, so all joins share the shuffle of `packed`.
-        found = lines.withColumnRenamed("id", "__id").hint("merge").join(packed, F.col("first").eqNullSafe(F.col(names[own])), "left").select("__id", "first", "shift", "low", "high", "open_low", "open_high", *names)
+        """(<name>_key, <name>): the hash of each id and the diagonals of its document, with the other text's bytes."""
+        # Hashes of ids are never null, so no join needs a filter and all share the shuffle of `packed`; and the shuffle that
+        # groups the marks is the one of their join. Were two ids to have one hash, bytes would still be compared.
+        found = lines.select(F.col("id").alias("__id"), "first", "shift", "low", "high", "open_low", "open_high", F.xxhash64("first").alias("__first")).hint("merge")
+        found = found.join(packed, F.col("__first") == F.col("__key"), "left").select("__id", "first", "shift", "low", "high", "open_low", "open_high", *names)
         marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, open_low int, open_high int, begin int, piece binary")
-        return marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("shift", "low", "high", "open_low", "open_high", "begin", "piece")).alias(name))
+        marks = marks.withColumn(f"{name}_key", F.xxhash64("id")).groupBy(f"{name}_key")
+        return marks.agg(F.collect_list(F.struct("shift", "low", "high", "open_low", "open_high", "begin", "piece")).alias(name))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
@@ -353,9 +356,9 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(lows))], names=["key", "id", "low"])
 
-    rows = packed.hint("merge").join(marked(diagonals(_places(df, id_col, text_col, least)), "__marks"), F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks")
+    rows = packed.hint("merge").join(marked(diagonals(_places(df, id_col, text_col, least)), "__marks"), F.col("__key") == F.col("__marks_key"), "left").select("__key", *names, "__marks")
     open_rows = rows.where("__marks IS NOT NULL").select(names[own], names[at], "__marks").mapInArrow(windows, f"key long, id {id_kind}, low int")
-    rows = rows.hint("merge").join(marked(window_diagonals(open_rows), "__more"), F.col(names[own]).eqNullSafe(F.col("__id")), "left").select(*names, "__marks", "__more")
+    rows = rows.hint("merge").join(marked(window_diagonals(open_rows), "__more"), F.col("__key") == F.col("__more_key"), "left").select(*names, "__marks", "__more")
     schema = df.select(*shown).schema.add("removed_runs", "long").add("removed_words", "long")
 
     if changed:
