@@ -235,7 +235,8 @@ class Marks:
         self.data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
 
     def runs(self, i: int, raw: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], fewest: int, least: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(open_low, open_high, runs of words) of each diagonal of text i: those of `fewest` and more equal words along it."""
+        """(open_low, open_high, runs of words) of each diagonal of text i: those of `fewest` (not open: `least`) and more equal words
+        along it."""
         for m in range(self.offsets[i], self.offsets[i + 1]) if self.valid[i] else ():
             low, high = int(self.low[m]), int(self.high[m])
             if self.given[m]:
@@ -243,8 +244,10 @@ class Marks:
             else:
                 a, b = _widened(bounds, low + self.shift[m], high + self.shift[m], least)
                 begin, other = a - int(self.shift[m]), raw[a:b]
-            found = (whole_words(span, bounds, begin, other) for span in equal_spans(raw, begin, other, fewest))
-            yield int(self.open_low[m]), int(self.open_high[m]), [(a, b) for a, b in found if b - a >= fewest]
+            # Runs too short to be removed matter only around open chunks.
+            most = fewest if self.open_low[m] >= 0 else least
+            found = [whole_words(span, bounds, begin, other) for span in equal_spans(raw, begin, other, most)]
+            yield int(self.open_low[m]), int(self.open_high[m]), [(a, b) for a, b in found if b - a >= most]
 
 
 def open_windows(n: int, bounds: tuple[np.ndarray, np.ndarray], marks: list[tuple[int, int, list[tuple[int, int]]]], least: int) -> np.ndarray:
@@ -343,7 +346,8 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
         for batch in batches:
             marks, owner, keys, lows = Marks(batch.column(2)), [], [], []
             for i in range(batch.num_rows):
-                if not batch.column(1)[i].is_valid or not marks.valid[i]:
+                listed = slice(marks.offsets[i], marks.offsets[i + 1])
+                if not batch.column(1)[i].is_valid or not marks.valid[i] or not (marks.open_low[listed] >= 0).any():
                     continue
                 raw = np.frombuffer(coder.decompress(batch.column(1)[i].as_buffer()), np.uint8)
                 bounds = _bounds(raw)
