@@ -181,98 +181,175 @@ def window_diagonals(windows: DataFrame) -> DataFrame:
     return _drawn(rows.select("id", F.col("lead.id").alias("first"), (F.col("lead.low") - F.col("low")).alias("shift"), "low", F.col("low").alias("high"), F.lit(None).cast("int").alias("open")))
 
 
-def _bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last (exclusive) byte of the words of a text."""
-    solid = np.zeros(len(raw) + 2, np.int8)
-    solid[1:-1] = ~flat.IS_SPACE[raw]
-    step = np.diff(solid)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
-def _widened(bounds: tuple[np.ndarray, np.ndarray], low: int, high: int, by: int) -> tuple[int, int]:
-    """The bytes from `by` words before the word at `low` to as many after the one at `high`."""
-    starts, ends = bounds
-    if not len(starts):
-        return 0, 0
-    i = max(0, int(np.searchsorted(starts, low)) - by)
-    j = min(len(starts) - 1, int(np.searchsorted(starts, high)) + by)
-    return int(starts[min(i, j)]), int(ends[j])
-
-
-def equal_spans(own: np.ndarray, begin: int, other: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The bytes (from, to) of the runs in which a text equals `other`, laid at its byte `begin`, that may hold `least` words."""
-    low, high = max(begin, 0), min(begin + len(other), len(own))
-    if high <= low:
-        return []
-    differ = np.flatnonzero(own[low:high] != other[low - begin : high - begin]) + low
-    edges = np.concatenate([[low - 1], differ, [high]])
-    long = np.flatnonzero(np.diff(edges) >= 2 * least)
-    return [(int(edges[i]) + 1, int(edges[i + 1])) for i in long.tolist()]
-
-
-def whole_words(span: tuple[int, int], bounds: tuple[np.ndarray, np.ndarray], begin: int, other: np.ndarray) -> tuple[int, int]:
-    """(first word, end word) of a span of equal bytes, of words that are whole in both texts; `other` begins and ends
-    where words of its text do."""
-    (a, b), (starts, ends) = span, bounds
-    i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(ends, b, "right"))
-    if i < j and starts[i] == a > begin and not flat.IS_SPACE[other[a - begin - 1]]:
-        i += 1
-    if i < j and ends[j - 1] == b < begin + len(other) and not flat.IS_SPACE[other[b - begin]]:
-        j -= 1
-    return i, j
+class Texts:
+    """The words of several texts, one blank after each: raw bytes, the byte each text begins at (offsets, one more at the end),
+    first and last (exclusive) byte of every word (starts, ends), and the words before each text (rows, one more at the end)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        self.offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=self.offsets[1:])
+        solid = np.zeros(len(self.raw) + 2, np.int8)
+        solid[1:-1] = ~flat.IS_SPACE[self.raw]
+        step = np.diff(solid)
+        self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.rows = np.searchsorted(self.starts, self.offsets)
+
+    def widened(self, row: np.ndarray, low: np.ndarray, high: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of raw from `by` words before the word at byte `low` of text `row` to as many after the one at `high`; none
+        in a text without words."""
+        base, first, last = self.offsets[row], self.rows[row], self.rows[row + 1] - 1
+        i = np.maximum(first, np.searchsorted(self.starts, base + low) - by)
+        j = np.minimum(last, np.searchsorted(self.starts, base + high) + by)
+        if not len(self.starts):
+            return base, base
+        some = first <= last
+        return np.where(some, self.starts[np.minimum(i, j)], base), np.where(some, self.ends[j], base)
+
+
+def equal_runs(own: np.ndarray, other: np.ndarray, bounds: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the runs of `shortest` equal bytes and more between two arrays, none across a bound; the arrays are of whole
+    groups of four bytes and differ after the last bound.
+
+    A run of seven bytes and more holds an equal group, so bytes are looked at only in groups beside an equal one; and what
+    begins before an equal group ends at the next byte that differs in such a group.
+    """
+    same = own.view(np.uint32) == other.view(np.uint32)
+    beside = ~same
+    if shortest >= 7:
+        close = np.zeros(len(same), bool)
+        close[1:] = same[:-1]
+        close[:-1] |= same[1:]
+        beside &= close
+    at = (np.flatnonzero(beside)[:, None] * 4 + np.arange(4)).ravel()
+    differ = at[own[at] != other[at]]
+    begins = np.insert(differ + 1, np.searchsorted(differ + 1, bounds[:-1]), bounds[:-1])
+    stops = np.insert(differ, np.searchsorted(differ, bounds[1:]), bounds[1:])
+    # The arrays differ after the last bound, where a byte may have been looked at that no diagonal ends before.
+    n = min(len(begins), len(stops))
+    begins, stops = begins[:n], np.minimum(stops[:n], bounds[-1])
+    long = stops - begins >= shortest
+    if shortest >= 7:
+        long &= same[np.minimum((begins + 3) // 4, len(same) - 1)]
+    return begins[long], stops[long]
 
 
 class Marks:
     """The diagonals of the texts of a batch, with the other text's bytes along them, from a column of lists."""
 
     def __init__(self, column: pa.Array):
-        self.offsets, listed, self.valid = np.asarray(column.offsets), column.values, np.asarray(column.is_valid())
-        self.shift, self.low, self.high, self.begin = (np.asarray(listed.field(c).fill_null(0)) for c in ("shift", "low", "high", "begin"))
-        self.open_low, self.open_high = (np.asarray(listed.field(c).fill_null(-1)) for c in ("open_low", "open_high"))
+        offsets, listed = np.asarray(column.offsets), column.values
+        self.offsets, self.counts = offsets, np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
+        self.shift, self.low, self.high, self.begin = (np.asarray(listed.field(c).fill_null(0)).astype(np.int64) for c in ("shift", "low", "high", "begin"))
+        self.open_low, self.open_high = (np.asarray(listed.field(c).fill_null(-1)).astype(np.int64) for c in ("open_low", "open_high"))
         pieces = listed.field("piece")
         self.given = np.asarray(pieces.is_valid())
-        self.place = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else None
+        self.place = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :].astype(np.int64) if len(pieces) else np.zeros(1, np.int64)
         self.data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
 
-    def runs(self, i: int, raw: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], fewest: int, least: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(open_low, open_high, runs of words) of each diagonal of text i: those of `fewest` (not open: `least`) and more equal words
-        along it."""
-        for m in range(self.offsets[i], self.offsets[i + 1]) if self.valid[i] else ():
-            low, high = int(self.low[m]), int(self.high[m])
-            if self.given[m]:
-                begin, other = int(self.begin[m]), self.data[self.place[m] : self.place[m + 1]]
-            else:
-                a, b = _widened(bounds, low + self.shift[m], high + self.shift[m], least)
-                begin, other = a - int(self.shift[m]), raw[a:b]
-            # Runs too short to be removed matter only around open chunks.
-            most = fewest if self.open_low[m] >= 0 else least
-            found = [whole_words(span, bounds, begin, other) for span in equal_spans(raw, begin, other, most)]
-            yield int(self.open_low[m]), int(self.open_high[m]), [(a, b) for a, b in found if b - a >= most]
-
-
-def open_windows(n: int, bounds: tuple[np.ndarray, np.ndarray], marks: list[tuple[int, int, list[tuple[int, int]]]], least: int) -> np.ndarray:
-    """First words of the windows of `least` words that may hold an open chunk and are in no run of equal words; `marks` are
-    Marks.runs of all diagonals of the text.
+    def of(self, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the diagonals of the texts `picks` of the batch, for each the position in picks)."""
+        counts = self.counts[picks]
+        owner = np.repeat(np.arange(len(picks)), counts)
+        return np.arange(counts.sum()) + np.repeat(self.offsets[:-1][picks] - np.cumsum(counts) + counts, counts), owner
+
+    def any_open(self) -> np.ndarray:
+        """Of which texts of the batch a diagonal is open."""
+        total = np.concatenate([[0], np.cumsum(self.open_low >= 0)])
+        return total[self.offsets[:-1] + self.counts] > total[self.offsets[:-1]]
+
+    def runs(self, at: np.ndarray, row: np.ndarray, texts: Texts, fewest: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in `at`, first word, end word) of the runs of equal words along the diagonals `at`, which are those of texts
+        `row`: of `fewest` words and more on open ones, of `least` on the others. Words are counted over all texts."""
+        base, size = texts.offsets[row], texts.offsets[row + 1] - texts.offsets[row] - 1
+        given, shift = self.given[at], self.shift[at]
+        from_byte, to_byte = texts.widened(row, self.low[at] + np.where(given, 0, shift), self.high[at] + np.where(given, 0, shift), least)
+        # Where the other text's bytes stand, in `data` or in the text itself, and the byte of the text that lies at the first.
+        from_byte, to_byte = np.where(given, self.place[at], from_byte), np.where(given, self.place[at + 1], to_byte)
+        begin = np.where(given, self.begin[at], from_byte - base - shift)
+        low = np.maximum(begin, 0)
+        lengths = np.maximum(np.minimum(begin + to_byte - from_byte, size) - low, 0)
+        most = np.where(self.open_low[at] >= 0, fewest, least)
+        own_at, other_at = base + low, from_byte + low - begin
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ends = np.cumsum(lengths)
+        first = 0
+        while first < len(at):
+            # Some four million bytes at once; a longer diagonal by itself.
+            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (4 << 20), "right")))
+            part = slice(first, stop)
+            found.append(self._runs(texts, *(x[part] for x in (own_at, other_at, from_byte, to_byte, lengths, given, most)), first))
+            first = stop
+        if not found:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _runs(self, texts: Texts, own_at, other_at, from_byte, to_byte, lengths, given, most, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw, data = texts.raw, self.data
+        bounds = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=bounds[1:])
+        # Whole groups of four bytes.
+        edge = np.zeros(4 + -int(bounds[-1]) % 4, np.uint8)
+        own = np.concatenate([*(raw[a : a + n] for a, n in zip(own_at.tolist(), lengths.tolist())), edge])
+        other = np.concatenate([*((data if g else raw)[a : a + n] for a, n, g in zip(other_at.tolist(), lengths.tolist(), given.tolist())), edge + 1])
+        shortest = 2 * int(most.min())
+        begins, stops = equal_runs(own, other, bounds, shortest)
+        m = np.searchsorted(bounds, begins, "right") - 1
+        a, b = own_at[m] + begins - bounds[m], own_at[m] + stops - bounds[m]
+        i, j = np.searchsorted(texts.starts, a), np.searchsorted(texts.ends, b, "right")
+        if not len(a) or not len(texts.starts):
+            return (np.empty(0, np.int64),) * 3
+        # Words must be whole in both texts; what is laid beside begins and ends where words of its text do.
+        before, after = other_at[m] + begins - bounds[m] - 1, other_at[m] + stops - bounds[m]
+        i = i + ((i < j) & (texts.starts[np.minimum(i, len(texts.starts) - 1)] == a) & (before >= from_byte[m]) & self._solid(raw, before, given[m]))
+        j = j - ((i < j) & (texts.ends[j - 1] == b) & (after < to_byte[m]) & self._solid(raw, after, given[m]))
+        kept = j - i >= most[m]
+        return m[kept] + first, i[kept], j[kept]
+
+    def _solid(self, raw: np.ndarray, at: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Whether the bytes at these places, in `data` or in `raw`, are of words."""
+        out = np.zeros(len(at), bool)
+        for bytes_, here in ((self.data, given), (raw, ~given)):
+            if here.any() and len(bytes_):
+                out[here] = ~flat.IS_SPACE[bytes_[np.clip(at[here], 0, len(bytes_) - 1)]]
+        return out
+
+
+def open_windows(texts: Texts, row: np.ndarray, low: np.ndarray, high: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """First words of the windows of `least` words that may hold an open chunk and are in no run of equal words; `row`, `low` and
+    `high` are the text and the open places of diagonals, `runs` are Marks.runs of them.
 
     A chunk has a word a line at least, and begins between the places that its diagonal names (-1: none is open).
     """
     size = shape(least)[0]
-    step = np.zeros(max(n - least, 0) + 2, np.int64)
-    covered = np.zeros_like(step)
-    top = n - least
-    for low, high, runs in marks:
-        from_word, to_word = np.searchsorted(bounds[0], (low, high), "right") - 1
-        for a, b in runs:
-            first, end = max(a, from_word) + size - least, min(b - size, to_word)
-            if low >= 0 and max(first, 0) <= min(end, top):
-                step[max(first, 0)] += 1
-                step[min(end, top) + 1] -= 1
-            if b - a >= least:
-                covered[a] += 1
-                covered[b - least + 1] -= 1
+    m, a, b = runs
+    owner = row[m]
+    from_word, to_word = (np.searchsorted(texts.starts, texts.offsets[owner] + place[m], "right") - 1 for place in (low, high))
+    first = np.maximum(np.maximum(a, from_word) + size - least, texts.rows[owner])
+    end = np.minimum(np.minimum(b - size, to_word), texts.rows[owner + 1] - least)
+    shown = (low[m] >= 0) & (first <= end)
+    n = len(texts.starts) + 1
+    step = np.bincount(first[shown], minlength=n) - np.bincount(end[shown] + 1, minlength=n)
+    whole = b - a >= least
+    covered = np.bincount(a[whole], minlength=n) - np.bincount(b[whole] - least + 1, minlength=n)
     return np.flatnonzero((np.cumsum(step) > 0) & (np.cumsum(covered) == 0))
 
 
+def _unpacked(column: pa.Array, picks: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The picked texts of a column of compressed ones with their positions, some `most` bytes at once."""
+    coder = zstandard.ZstdDecompressor()
+    rows, texts, size = [], [], 0
+    for i in picks.tolist():
+        texts.append(coder.decompress(column[i].as_buffer()))
+        rows.append(i)
+        size += len(texts[-1])
+        if size >= most:
+            yield np.array(rows), texts
+            rows, texts, size = [], [], 0
+    if rows:
+        yield np.array(rows), texts
+
+
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs, those that overlap or adjoin as one."""
     out: list[tuple[int, int]] = []
@@ -310,26 +387,23 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
     packed = df.select(*(F.col(c).alias(n) for c, n in zip(shown, names))).mapInArrow(pack, packed_kinds).withColumn("__key", F.xxhash64(names[own]))
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
-        known, raw, bounds = None, np.empty(0, np.uint8), None
         for batch in batches:
-            ids, first, shift, low, high, open_low, open_high = (batch.column(i) for i in range(7))
-            texts = batch.column(7 + at)
-            begins, pieces = [], []
-            for i in range(batch.num_rows):
-                if ids[i].equals(first[i]) or not texts[i].is_valid:
-                    # A repetition within the document needs no other text.
-                    begins.append(None)
-                    pieces.append(None)
-                    continue
-                data = texts[i].as_py()
-                if data != known:
-                    known, raw = data, np.frombuffer(coder.decompress(data), np.uint8)
-                    bounds = _bounds(raw)
-                a, b = _widened(bounds, low[i].as_py() + shift[i].as_py(), high[i].as_py() + shift[i].as_py(), least)
-                begins.append(a - shift[i].as_py())
-                pieces.append(raw[a:b].tobytes())
-            yield pa.record_batch([ids, shift, low, high, open_low, open_high, pa.array(begins, pa.int32()), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "open_low", "open_high", "begin", "piece"])
+            ids, first, shift, low, high = (batch.column(i) for i in range(5))
+            shifts, lows, highs = (np.asarray(c).astype(np.int64) for c in (shift, low, high))
+            # Neighbouring rows have their text in common, so each is unpacked once. A repetition within the document needs none.
+            coded = batch.column(7 + at).dictionary_encode()
+            own_text = np.asarray(pc.equal(ids, first)) | np.asarray(coded.is_null())
+            code = np.asarray(coded.indices.fill_null(-1))
+            begins, pieces = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, None, object)
+            for codes, texts in _unpacked(coded.dictionary, np.unique(code[~own_text])):
+                here = np.flatnonzero(~own_text & np.isin(code, codes))
+                found = Texts(texts)
+                row = np.searchsorted(codes, code[here])
+                a, b = found.widened(row, lows[here] + shifts[here], highs[here] + shifts[here], least)
+                begins[here] = a - found.offsets[row] - shifts[here]
+                whole = found.raw.tobytes()
+                pieces[here] = [whole[i:j] for i, j in zip(a.tolist(), b.tolist())]
+            yield pa.record_batch([ids, shift, low, high, batch.column(5), batch.column(6), pa.array(begins, pa.int32(), mask=own_text), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "open_low", "open_high", "begin", "piece"])
 
     def marked(lines: DataFrame, name: str) -> DataFrame:
         """(<name>_key, <name>): the hash of each id and the diagonals of its document, with the other text's bytes."""
@@ -342,21 +416,19 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
         return marks.agg(F.collect_list(F.struct("shift", "low", "high", "open_low", "open_high", "begin", "piece")).alias(name))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
         for batch in batches:
             marks, owner, keys, lows = Marks(batch.column(2)), [], [], []
-            for i in range(batch.num_rows):
-                listed = slice(marks.offsets[i], marks.offsets[i + 1])
-                if not batch.column(1)[i].is_valid or not marks.valid[i] or not (marks.open_low[listed] >= 0).any():
-                    continue
-                raw = np.frombuffer(coder.decompress(batch.column(1)[i].as_buffer()), np.uint8)
-                bounds = _bounds(raw)
-                at = open_windows(len(bounds[0]), bounds, list(marks.runs(i, raw, bounds, shape(least)[0], least)), least)
-                if len(at):
-                    begin = bounds[0][at]
-                    keys.append(flat.span_hashes(flat.BYTE_VALUE[raw], begin, bounds[1][at + least - 1]).view(np.int64))
-                    lows.append(begin.astype(np.int32))
-                    owner.append(np.full(len(at), i))
+            picks = np.flatnonzero(marks.any_open() & np.asarray(batch.column(1).is_valid()))
+            for rows, packed_texts in _unpacked(batch.column(1), picks):
+                texts = Texts(packed_texts)
+                listed, row = marks.of(rows)
+                runs = marks.runs(listed, row, texts, shape(least)[0], least)
+                first = open_windows(texts, row, marks.open_low[listed], marks.open_high[listed], runs, least)
+                if len(first):
+                    begin, of = texts.starts[first], np.searchsorted(texts.rows, first, "right") - 1
+                    keys.append(flat.span_hashes(flat.BYTE_VALUE[texts.raw], begin, texts.ends[first + least - 1]).view(np.int64))
+                    lows.append((begin - texts.offsets[of]).astype(np.int32))
+                    owner.append(rows[of])
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(lows))], names=["key", "id", "low"])
 
@@ -369,24 +441,25 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
         rows = rows.where("__marks IS NOT NULL")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
         for batch in batches:
             both, packed_texts = (Marks(batch.column(len(shown))), Marks(batch.column(len(shown) + 1))), batch.column(at)
-            texts, runs, gone = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i in range(batch.num_rows):
-                if not packed_texts[i].is_valid:
-                    texts.append(None)
-                    continue
-                text = coder.decompress(packed_texts[i].as_buffer())
-                if text and both[0].valid[i]:
-                    raw = np.frombuffer(text, np.uint8)
-                    bounds = _bounds(raw)
-                    cuts = [run for marks in both for _, _, found in marks.runs(i, raw, bounds, least, least) for run in found]
-                    if cuts:
-                        cuts = _joined(cuts)
-                        runs[i], gone[i] = len(cuts), sum(b - a for a, b in cuts)
-                        text = _without(text, bounds, cuts)
-                texts.append(text)
+            texts: list[bytes | None] = [None] * batch.num_rows
+            runs, gone = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for rows, found in _unpacked(packed_texts, np.flatnonzero(np.asarray(packed_texts.is_valid()))):
+                words = Texts(found)
+                cuts: list[list[tuple[int, int]]] = [[] for _ in found]
+                for marks in both:
+                    listed, row = marks.of(rows)
+                    m, first, end = marks.runs(listed, row, words, least, least)
+                    for k, a, b in zip(row[m].tolist(), first.tolist(), end.tolist()):
+                        cuts[k].append((a, b))
+                for k, i in enumerate(rows.tolist()):
+                    texts[i] = found[k]
+                    if cuts[k]:
+                        w0, w1, base = words.rows[k], words.rows[k + 1], words.offsets[k]
+                        joined = [(a - int(w0), b - int(w0)) for a, b in _joined(cuts[k])]
+                        runs[i], gone[i] = len(joined), sum(b - a for a, b in joined)
+                        texts[i] = _without(found[k], (words.starts[w0:w1] - base, words.ends[w0:w1] - base), joined)
             column = pa.array(texts, pa.binary()).cast(pa.string())
             columns = [column if i == at else batch.column(i) for i in range(len(shown))]
             out = pa.record_batch([*columns, pa.array(runs), pa.array(gone)], names=[*shown, "removed_runs", "removed_words"])

@@ -282,6 +282,26 @@ def test_parts_from_several_documents_stay(spark):
     assert {r.doc_id: r.removed_words for r in line_dedup.without_repeats(df).collect()} == {0: 0, 1: 0, 2: 0, 9: 0}
 
 
+@pytest.mark.parametrize("shortest", [4, 7, 8, 22])
+def test_equal_runs_equal_a_plain_search(shortest):
+    rng = np.random.default_rng(shortest)
+    for _ in range(200):
+        bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 60, rng.integers(1, 6)))])
+        own = rng.integers(0, 3, bounds[-1]).astype(np.uint8)
+        differ = rng.random(len(own)) < rng.choice([0.02, 0.1, 0.3, 0.9])
+        expected = []
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            begin = low
+            for at in range(low, high + 1):
+                if at == high or differ[at]:
+                    if at - begin >= shortest:
+                        expected.append((begin, at))
+                    begin = at + 1
+        edge = np.zeros(4 + -len(own) % 4, np.uint8)
+        begins, stops = line_dedup.equal_runs(np.concatenate([own, edge]), np.concatenate([own + differ, edge + 1]).astype(np.uint8), bounds, shortest)
+        assert list(zip(begins.tolist(), stops.tolist())) == expected
+
+
 def test_line_dedup_of_awkward_rows(spark, awkward):
     rows = line_dedup.without_repeats(awkward)
     assert rows.columns[:9] == awkward.columns
