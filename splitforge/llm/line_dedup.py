@@ -33,6 +33,8 @@ from splitforge.llm import flat
 MIN_WORDS = 25
 #: Words of a line at most.
 WRAP = 2
+#: Buckets of keys for each partition of a shuffle, at least.
+_BUCKETS_EACH = 4
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -129,26 +131,42 @@ def _linked(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], rank:
 
 
 def _places(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, id, low, diagonal struct<high, first, shift>): the chunks of all rows with an id, one for each context of a
-    slice of rows (diagonal is null), and the diagonals within a slice, with any key. Rows are few bytes each and in the order
-    of the texts, so neighbours in the shuffle have their id in common."""
+    """(bucket, key, id, low, diagonal struct<high, first, shift>): the chunks of all rows with an id, one for each context of a
+    slice of rows (diagonal is null), and the diagonals within a slice, with any key.
+
+    They are shuffled by a bucket of the key, all chunks of a slice and bucket as one row of arrays: a third less disk than a row
+    a chunk. There are some times more buckets than partitions of a shuffle.
+    """
     kind = dict(df.dtypes)[id_col]
+    bits = int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * _BUCKETS_EACH).bit_length()
+
+    def listed(keys: np.ndarray, columns: list[pa.Array]) -> tuple[pa.Array, list[pa.Array]]:
+        """The bucket of each row, and the columns as lists by bucket."""
+        bucket = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0])) if len(order) else order
+        offsets = pa.array(np.append(starts, len(order)), pa.int32())
+        return pa.array(bucket[order][starts]), [pa.ListArray.from_arrays(offsets, c.take(pa.array(order))) for c in columns]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "keys", "ids", "lows", "diagonals"]
         for batch in batches:
             for first, n in flat.slices(batch.column(1)):
                 ids = batch.column(0).slice(first, n)
                 found = chunks(batch.column(1).slice(first, n), least)
                 heads, (row, other, shift, low, high) = _linked(found, np.asarray(pc.rank(ids, tiebreaker="dense")))
                 heads = np.sort(heads)
-                owner, at = found[0][heads], found[2][heads]
+                bucket, lists = listed(found[1][heads], [pa.array(found[1][heads]), ids.take(pa.array(found[0][heads])), pa.array(found[2][heads].astype(np.int32))])
                 any_key = flat.mix((low.astype(np.uint64) << np.uint64(32)) ^ (shift.astype(np.uint64) << np.uint64(8)) ^ row.astype(np.uint64)).view(np.int64)
                 known = pa.StructArray.from_arrays([pa.array(high.astype(np.int32)), ids.take(pa.array(other)), pa.array(shift.astype(np.int32))], ["high", "first", "shift"])
-                columns = [pa.array(np.concatenate([found[1][heads], any_key])), ids.take(pa.array(np.concatenate([owner, row]))), pa.array(np.concatenate([at, low]).astype(np.int32)), pa.concat_arrays([pa.nulls(len(heads), known.type), known])]
-                yield pa.record_batch(columns, names=["key", "id", "low", "diagonal"])
+                yield pa.record_batch([bucket, *lists, pa.nulls(len(bucket), pa.list_(known.type))], names=names)
+                bucket, lists = listed(any_key, [pa.array(any_key), ids.take(pa.array(row)), pa.array(low.astype(np.int32)), known])
+                yield pa.record_batch([bucket, *lists], names=names)
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(work, f"key long, id {kind}, low int, diagonal struct<high: int, first: {kind}, shift: int>")
+    packed = rows.mapInArrow(work, f"bucket int, keys array<long>, ids array<{kind}>, lows array<int>, diagonals array<struct<high: int, first: {kind}, shift: int>>").repartition("bucket")
+    each = packed.select("bucket", F.posexplode("keys").alias("at", "key"), "ids", "lows", "diagonals")
+    return each.select("bucket", "key", *(F.col(c)[F.col("at")].alias(n) for c, n in (("ids", "id"), ("lows", "low"), ("diagonals", "diagonal"))))
 
 
 def diagonals(places: DataFrame) -> DataFrame:
@@ -159,7 +177,7 @@ def diagonals(places: DataFrame) -> DataFrame:
     A chunk is held against the first with the same context in its slice of rows, and those against the first of all. So
     the middle of a passage that is common to all documents has a row a slice in the one shuffle by key, not one a document.
     """
-    by_key = Window.partitionBy("key").orderBy(F.col("diagonal").isNotNull(), "id", "low")
+    by_key = Window.partitionBy("bucket", "key").orderBy(F.col("diagonal").isNotNull(), "id", "low")
     lead = F.first(F.struct("id", "low")).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     known = F.col("diagonal").isNotNull()
     # Of two holders, one is the first. Only three and more may have in common what the first one lacks.
