@@ -379,11 +379,20 @@ def _acquisition_sql() -> str:
 SELECT origin, steps, CASE WHEN steps = '' THEN s END AS s FROM stepped JOIN sums USING (origin)"""
 
 
+def _six_places(x):
+    """A number rounded to six places, half away from zero, as SQL writes it: 0.000137 and 3.9e-05, where Spark has 1.37E-4 and 3.9E-5."""
+    units = F.floor(F.abs(x * 1e6) + 0.5)
+    plain = F.regexp_replace(F.format_string("%d.%06d", F.floor(units / 1000000), units % 1000000), "0{1,5}$", "")
+    tens = F.concat(F.floor(units / 10).cast("string"), F.when(units % 10 == 0, "").otherwise(F.concat(F.lit("."), (units % 10).cast("string"))), F.lit("e-05"))
+    tiny = F.when(units == 0, "0.0").when(units < 10, F.concat(units.cast("string"), F.lit("e-06"))).otherwise(tens)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(units < 100, tiny).otherwise(plain))
+
+
 @plan(_acquisition_sql())
 def c10_acquisition(spark, sf_dir):
     """Which steps every image gets with which values; the pixels of those that get none, which must be the old ones."""
     changed = images.acquisition(_images(spark, sf_dir), B.SEED)
-    shown = F.transform("steps", lambda s: F.concat_ws(" ", s["name"], F.round(s["value"], 6), F.coalesce(s["how"], F.lit(""))))
+    shown = F.transform("steps", lambda s: F.concat_ws(" ", s["name"], _six_places(s["value"]), F.coalesce(s["how"], F.lit(""))))
     summed = _pixel_sum(changed.withColumn("shown", F.array_join(shown, ", ")), "origin", "shown")
     return summed.select("origin", F.col("shown").alias("steps"), F.when(F.col("shown") != "", None).otherwise(F.col("s")).alias("s"))
 
