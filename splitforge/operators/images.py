@@ -2,9 +2,10 @@
 
 Kernels are numpy inside mapInArrow, one stage for any number of conditions. Images of one shape in a batch are one array,
 so a kernel is a few operations for all of them, and what conditions share, like the cosine spectrum of recompression, is
-computed once. A task holds at most about BATCH_BYTES of such pixels, or one image. Kernels follow their own formulas: recompression
+computed once. A task works on about BATCH_BYTES of pixels at once, of the images or of what they are stretched to, or on one image. Kernels follow their own formulas: recompression
 quantises 8x8 blocks of cosine coefficients, resampling is nearest, bilinear or box. What is drawn, and for which image, is
-decided by the hashes of columns, so choices can be stated without the pixels.
+decided by the hashes of columns, so choices can be stated without the pixels. Kernels work in doubles and hold several tables at once, so
+a task's memory is a hundred times BATCH_BYTES at most beside what Python needs by itself.
 """
 
 from __future__ import annotations
@@ -238,8 +239,9 @@ def acquired(image: np.ndarray, steps: Sequence[dict], *seed) -> np.ndarray:
 _COLUMNS = ["origin", "height", "width", "nChannels", "mode", "data"]
 
 
-def _shapes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(positions, images) of the rows of one shape, about BATCH_BYTES of pixels at once; images is None for unreadable rows."""
+def _shapes(batch: pa.RecordBatch, side: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(positions, images) of the rows of one shape, about BATCH_BYTES of pixels at once; images is None for unreadable rows.
+    Images that are stretched to `side` x `side` count as that large."""
     sizes = [np.asarray(batch.column(c).fill_null(-1), np.int64) for c in ("height", "width", "nChannels")]
     table = np.stack(sizes, axis=1) if batch.num_rows else np.zeros((0, 3), np.int64)
     table[table[:, 0] <= 0] = -1
@@ -250,7 +252,7 @@ def _shapes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | No
             yield at, None
             continue
         height, width, channels = map(int, shape)
-        step = max(1, BATCH_BYTES // (height * width * 3))
+        step = max(1, BATCH_BYTES // (max(height, side) * max(width, side) * 3))
         for k in range(0, len(at), step):
             part = at[k : k + step]
             raw = b"".join(data[i].as_buffer() for i in part.tolist())
@@ -344,12 +346,12 @@ def capped(rows: DataFrame, most: int) -> DataFrame:
     return mapped(rows.withColumns({"orig_w": F.col("width"), "orig_h": F.col("height")}), change, ("orig_w", "orig_h"))
 
 
-def _described(rows: DataFrame, name: str, kind: str, arrow: pa.DataType, work: Callable[[np.ndarray, list[str]], list]) -> DataFrame:
-    """(origin, name): work(images, origins) of the images of one shape, null for unreadable ones."""
+def _described(rows: DataFrame, name: str, kind: str, arrow: pa.DataType, work: Callable[[np.ndarray, list[str]], list], side: int) -> DataFrame:
+    """(origin, name): work(images, origins) of the images of one shape, which it stretches to `side`; null for unreadable ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, images in _shapes(batch):
+            for at, images in _shapes(batch, side):
                 origins = batch.column("origin").take(pa.array(at))
                 values = pa.nulls(len(at), arrow) if images is None else pa.array(work(images, origins.to_pylist()), arrow)
                 yield pa.RecordBatch.from_pydict({"origin": origins, name: values})
@@ -369,17 +371,18 @@ def features(rows: DataFrame, side: int, mean: Sequence[float] = (0.485, 0.456,
             out[turned] = out[turned][:, :, ::-1]
         return list(((out - centre) / width).astype(np.float32).reshape(len(out), -1))
 
-    return _described(rows, "features", "array<float>", pa.list_(pa.float32()), work)
+    return _described(rows, "features", "array<float>", pa.list_(pa.float32()), work, side)
 
 
 def perceptual_keys(rows: DataFrame) -> DataFrame:
     """(origin, phash): signs of the 8x8 low frequencies of a 32x32 grey image against their median, as 16 hex digits."""
-    cosines = _cosines(32)
+    side = 32
+    cosines = _cosines(side)
 
     def work(images: np.ndarray, origins: list[str]) -> list:
-        grey = _luma(resample(images, 32, 32, "box"))
+        grey = _luma(resample(images, side, side, "box"))
         low = (cosines @ grey @ cosines.T)[:, :8, :8].reshape(len(images), -1)
         bits = np.packbits(low > np.median(low, axis=1)[:, None], axis=1)
         return [row.tobytes().hex() for row in bits]
 
-    return _described(rows, "phash", "string", pa.string(), work)
+    return _described(rows, "phash", "string", pa.string(), work, side)

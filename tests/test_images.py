@@ -1,7 +1,9 @@
 import hashlib
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from splitforge.operators import corrupt, images, verify
@@ -155,3 +157,30 @@ def test_images_come_out_whole_across_small_batches(rows, monkeypatch):
     expected = {r.origin: bytes(r.data) for r in images.capped(rows, 16).collect()}
     monkeypatch.setattr(images, "BATCH_BYTES", 1)
     assert {r.origin: bytes(r.data) for r in images.capped(rows, 16).collect()} == expected
+
+
+def _peak_mb(run, n):
+    """The most that numpy holds at once while `run` works on a batch of n images of 8x8."""
+    number = lambda v: pa.array(np.full(n, v, np.int32))
+    data = np.random.default_rng(2).integers(0, 256, (n, 192)).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"origin": pa.array(map(str, range(n))), "height": number(8), "width": number(8), "nChannels": number(3), "mode": number(16), "data": pa.array([d.tobytes() for d in data], pa.binary())})
+    tracemalloc.start()
+    made = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return made, peak / 2**20
+
+
+class _Stage:
+    """Stands for a table; gives the function that a task runs."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_keys_hold_little_memory_however_long_a_batch_is():
+    made, peak = _peak_mb(images.perceptual_keys(_Stage()), 10_000)
+    assert made == 10_000 and peak < 60
