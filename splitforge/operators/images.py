@@ -24,7 +24,7 @@ from splitforge.functions import columns as C
 IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
 _EIGHT_BIT_BGR = 16
 #: Bytes of pixels that a task works on at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 18
 
 
 def read(spark: SparkSession, folder: str, drop_unreadable: bool = False) -> DataFrame:

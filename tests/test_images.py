@@ -184,3 +184,9 @@ class _Stage:
 def test_keys_hold_little_memory_however_long_a_batch_is():
     made, peak = _peak_mb(images.perceptual_keys(_Stage()), 10_000)
     assert made == 10_000 and peak < 60
+
+
+def test_sweeps_hold_little_memory_however_long_a_batch_is(spark):
+    conditions = corrupt.catalogue(spark)
+    made, peak = _peak_mb(images.sweep(_Stage(), conditions, 42), 10_000)
+    assert made == 170_000 and peak < 60
