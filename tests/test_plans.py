@@ -42,3 +42,9 @@ def test_steps_of_small_amounts_are_written_as_in_sql(spark, con):
     values = [0.000137, -0.00098, 3.9e-05, -1e-05, 0.000001, 2.4e-07, -2.4e-07, 0.0, 0.0001, 0.00009950001, 0.001, 30.0, 76.6106774, 0.5, -0.6, 94.9999999]
     made = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(_six_places(F.col("v")).alias("x")).collect()]
     assert made == [con.execute(f"SELECT '' || round({v!r}::DOUBLE, 6)").fetchone()[0] for v in values]
+
+
+def test_image_files_are_decoded_once(spark):
+    """What v8_readability returns reads what a single pass over the files has left."""
+    df = registry.queries()["v8_readability"](spark, FOLDER)
+    assert "FileScan image" not in df._jdf.queryExecution().toString() and df.first().decoded > 0
