@@ -35,6 +35,9 @@ MIN_WORDS = 25
 WRAP = 2
 #: Buckets of keys for each partition of a shuffle, at least.
 _BUCKETS_EACH = 4
+#: What is known of a diagonal besides the other document; and how many of them a row has at most.
+_DIAGONAL = ("id", "shift", "low", "high", "open_low", "open_high")
+_BUNDLE = 256
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -177,7 +180,8 @@ def diagonals(places: DataFrame) -> DataFrame:
     A chunk is held against the first with the same context in its slice of rows, and those against the first of all. So
     the middle of a passage that is common to all documents has a row a slice in the one shuffle by key, not one a document.
     """
-    by_key = Window.partitionBy("bucket", "key").orderBy(F.col("diagonal").isNotNull(), "id", "low")
+    # Key before bucket, which follows from it: rows are sorted by the first column's bits, others are compared only where these are equal.
+    by_key = Window.partitionBy("key", "bucket").orderBy(F.col("diagonal").isNotNull(), "id", "low")
     lead = F.first(F.struct("id", "low")).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     known = F.col("diagonal").isNotNull()
     # Of two holders, one is the first. Only three and more may have in common what the first one lacks.
@@ -379,6 +383,20 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, listed): the diagonals (id, first, shift, low, high, open_low, open_high) that a batch has with one other text, at most
+    _BUNDLE a row."""
+    for batch in batches:
+        if batch.num_rows:
+            code = np.asarray(batch.column(1).dictionary_encode().indices).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            begins = np.concatenate([[True], np.diff(code[order]) > 0])
+            rank = np.arange(len(order)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            starts = np.flatnonzero(rank % _BUNDLE == 0)
+            listed = pa.StructArray.from_arrays([batch.column(c).take(pa.array(order)) for c in _DIAGONAL], list(_DIAGONAL))
+            yield pa.record_batch([batch.column(1).take(pa.array(order[starts])), pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), listed)], names=["first", "listed"])
+
+
 def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", changed: bool = False) -> DataFrame:
     """df with the repeated passages cut out of text_col, and columns removed_runs and removed_words.
 
@@ -404,32 +422,44 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
 
     # Texts are compressed before the one shuffle, by id, that brings them to the places of both ends of a diagonal.
     packed = df.select(*(F.col(c).alias(n) for c, n in zip(shown, names))).mapInArrow(pack, packed_kinds).withColumn("__key", F.xxhash64(names[own]))
+
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first, shift, low, high = (batch.column(i) for i in range(5))
-            shifts, lows, highs = (np.asarray(c).astype(np.int64) for c in (shift, low, high))
-            # Neighbouring rows have their text in common, so each is unpacked once. A repetition within the document needs none.
-            coded = batch.column(7 + at).dictionary_encode()
-            own_text = np.asarray(pc.equal(ids, first)) | np.asarray(coded.is_null())
-            code = np.asarray(coded.indices.fill_null(-1))
-            begins, pieces = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, None, object)
+            listed = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(listed.offsets)))
+            kept = dict(zip(_DIAGONAL, listed.flatten().flatten()))
+            shifts, lows, highs = (np.asarray(kept[c]).astype(np.int64) for c in ("shift", "low", "high"))
+
+            def told(at: np.ndarray, begins: pa.Array, pieces: pa.Array) -> pa.RecordBatch:
+                return pa.record_batch([*(kept[c].take(pa.array(at)) for c in _DIAGONAL), begins, pieces], names=[*_DIAGONAL, "begin", "piece"])
+
+            # Equal texts are unpacked once. A repetition within the document needs none.
+            coded = batch.column(2).dictionary_encode()
+            own_text = np.asarray(pc.equal(kept["id"], batch.column(0).take(pa.array(owner)))) | np.asarray(coded.is_null())[owner]
+            code = np.asarray(coded.indices.fill_null(-1))[owner]
+            if own_text.any():
+                yield told(np.flatnonzero(own_text), pa.nulls(own_text.sum(), pa.int32()), pa.nulls(own_text.sum(), pa.binary()))
             for codes, texts in _unpacked(coded.dictionary, np.unique(code[~own_text])):
                 here = np.flatnonzero(~own_text & np.isin(code, codes))
                 found = Texts(texts)
                 row = np.searchsorted(codes, code[here])
                 a, b = found.widened(row, lows[here] + shifts[here], highs[here] + shifts[here], least)
-                begins[here] = a - found.offsets[row] - shifts[here]
+                begins = (a - found.offsets[row] - shifts[here]).astype(np.int32)
                 whole = found.raw.tobytes()
-                pieces[here] = [whole[i:j] for i, j in zip(a.tolist(), b.tolist())]
-            yield pa.record_batch([ids, shift, low, high, batch.column(5), batch.column(6), pa.array(begins, pa.int32(), mask=own_text), pa.array(pieces, pa.binary())], names=["id", "shift", "low", "high", "open_low", "open_high", "begin", "piece"])
+                # Some four million bytes at once.
+                for part in np.split(np.arange(len(here)), np.flatnonzero(np.diff(np.cumsum(b - a) >> 22)) + 1):
+                    yield told(here[part], pa.array(begins[part]), pa.array([whole[i:j] for i, j in zip(a[part].tolist(), b[part].tolist())], pa.binary()))
 
     def marked(lines: DataFrame, name: str) -> DataFrame:
         """(<name>_key, <name>): the hash of each id and the diagonals of its document, with the other text's bytes."""
         # Hashes of ids are never null, so no join needs a filter and all share the shuffle of `packed`; and the shuffle that
         # groups the marks is the one of their join. Were two ids to have one hash, bytes would still be compared.
-        found = lines.select(F.col("id").alias("__id"), "first", "shift", "low", "high", "open_low", "open_high", F.xxhash64("first").alias("__first")).hint("merge")
-        found = found.join(packed, F.col("__first") == F.col("__key"), "left").select("__id", "first", "shift", "low", "high", "open_low", "open_high", *names)
-        marks = found.mapInArrow(locate, f"id {id_kind}, shift int, low int, high int, open_low int, open_high int, begin int, piece binary")
+        # The diagonals that a task has with one other text go there as one row, so the text is copied and unpacked once for them.
+        diagonal = f"id: {id_kind}, shift: int, low: int, high: int, open_low: int, open_high: int"
+        found = lines.select("id", "first", *_DIAGONAL[1:]).mapInArrow(_bundled, f"first {id_kind}, listed array<struct<{diagonal}>>")
+        found = found.withColumn("__first", F.xxhash64("first")).hint("merge")
+        found = found.join(packed, F.col("__first") == F.col("__key"), "left").select("first", "listed", names[at])
+        marks = found.mapInArrow(locate, f"{diagonal.replace(':', '')}, begin int, piece binary")
         marks = marks.withColumn(f"{name}_key", F.xxhash64("id")).groupBy(f"{name}_key")
         return marks.agg(F.collect_list(F.struct("shift", "low", "high", "open_low", "open_high", "begin", "piece")).alias(name))
 

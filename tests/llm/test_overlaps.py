@@ -485,3 +485,14 @@ def test_repeated_rows_of_one_vector_id(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     found = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.groups(df).collect())
     assert found == [(3, 2, 3), (5, 0, 3), (5, 2, 3), (5, 2, 3), (8, 0, 8), (9, 0, 9)]
+
+
+def test_diagonals_with_one_other_text_meet_it_as_one_row():
+    n = 600
+    first = [7 if i % 3 else 100 + i for i in range(n)]
+    number = lambda values: pa.array(values, pa.int32())
+    batch = pa.record_batch([pa.array(range(n)), pa.array(first), number(range(n)), number(range(n)), number(range(n)), number([None] * n), number([None] * n)], names=["id", "first", "shift", "low", "high", "open_low", "open_high"])
+    (made,) = line_dedup._bundled(iter([batch]))
+    assert made.num_rows == 200 + 2
+    rows = made.to_pylist()
+    assert sorted((d["id"], r["first"], d["shift"]) for r in rows for d in r["listed"]) == [(i, first[i], i) for i in range(n)]
