@@ -434,7 +434,7 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
                 return pa.record_batch([*(kept[c].take(pa.array(at)) for c in _DIAGONAL), begins, pieces], names=[*_DIAGONAL, "begin", "piece"])
 
             # Equal texts are unpacked once. A repetition within the document needs none.
-            coded = batch.column(2).dictionary_encode()
+            coded = batch.column(2 + at).dictionary_encode()
             own_text = np.asarray(pc.equal(kept["id"], batch.column(0).take(pa.array(owner)))) | np.asarray(coded.is_null())[owner]
             code = np.asarray(coded.indices.fill_null(-1))[owner]
             if own_text.any():
@@ -455,10 +455,11 @@ def without_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
         # Hashes of ids are never null, so no join needs a filter and all share the shuffle of `packed`; and the shuffle that
         # groups the marks is the one of their join. Were two ids to have one hash, bytes would still be compared.
         # The diagonals that a task has with one other text go there as one row, so the text is copied and unpacked once for them.
+        # All columns of `packed` are kept, or its shuffle wouldn't be the one that the other joins use.
         diagonal = f"id: {id_kind}, shift: int, low: int, high: int, open_low: int, open_high: int"
         found = lines.select("id", "first", *_DIAGONAL[1:]).mapInArrow(_bundled, f"first {id_kind}, listed array<struct<{diagonal}>>")
         found = found.withColumn("__first", F.xxhash64("first")).hint("merge")
-        found = found.join(packed, F.col("__first") == F.col("__key"), "left").select("first", "listed", names[at])
+        found = found.join(packed, F.col("__first") == F.col("__key"), "left").select("first", "listed", *names)
         marks = found.mapInArrow(locate, f"{diagonal.replace(':', '')}, begin int, piece binary")
         marks = marks.withColumn(f"{name}_key", F.xxhash64("id")).groupBy(f"{name}_key")
         return marks.agg(F.collect_list(F.struct("shift", "low", "high", "open_low", "open_high", "begin", "piece")).alias(name))

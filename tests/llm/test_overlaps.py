@@ -2,6 +2,9 @@
 
 import random
 import re
+import tempfile
+
+
 
 import numpy as np
 import pyarrow as pa
@@ -496,3 +499,13 @@ def test_diagonals_with_one_other_text_meet_it_as_one_row():
     assert made.num_rows == 200 + 2
     rows = made.to_pylist()
     assert sorted((d["id"], r["first"], d["shift"]) for r in rows for d in r["listed"]) == [(i, first[i], i) for i in range(n)]
+
+
+def test_all_joins_of_line_dedup_use_one_shuffle_of_the_texts(spark):
+    """Were a join to need fewer columns of them, the texts would be read, compressed and shuffled once more."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(i, "a passage of words that is the same in all of them " * 8 + str(i)) for i in range(9)], "doc_id int, text string").write.mode("overwrite").parquet(folder)
+    df = line_dedup.report(spark.read.parquet(folder))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 2 and "ReusedExchange" in plan
