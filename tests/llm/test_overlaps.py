@@ -4,8 +4,6 @@ import random
 import re
 import tempfile
 
-
-
 import numpy as np
 import pyarrow as pa
 import pytest
